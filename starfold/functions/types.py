@@ -30,21 +30,20 @@ def type_base(type_name: Column) -> Column:
     return F.trim(F.split_part(F.lower(F.trim(type_name)), F.lit("("), F.lit(1)))
 
 
+def _lookup(pairs: dict[str, str]) -> Column:
+    """Literal map, built in one call."""
+    return F.expr("map(" + ", ".join(f"'{key}', '{value}'" for key, value in pairs.items()) + ")")
+
+
 def normalize_type(type_name: Column) -> Column:
     """Model type of a source type name. Unknown, empty and null names are strings."""
-    base = type_base(type_name)
-    model_type = F.lit("string")
-    for name, accepted in TYPE_NAMES.items():
-        model_type = F.when(base.isin(accepted), name).otherwise(model_type)
-    return model_type
+    model_types = {name: model_type for model_type, names in TYPE_NAMES.items() for name in names}
+    return F.coalesce(F.try_element_at(_lookup(model_types), type_base(type_name)), F.lit("string"))
 
 
 def type_of_code(code: Column) -> Column:
     """Model type of a numeric type code, null for other codes."""
-    result = F.lit(None).cast("string")
-    for value, model_type in TYPE_CODES.items():
-        result = F.when(F.trim(code) == value, model_type).otherwise(result)
-    return result
+    return F.try_element_at(_lookup(TYPE_CODES), F.trim(code))
 
 
 def spark_type(type_name: str | None) -> T.DataType:

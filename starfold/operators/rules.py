@@ -83,7 +83,7 @@ def base_role() -> Column:
 def date_columns(columns: DataFrame) -> DataFrame:
     """Per table: number of date-part columns, and the preferred one of its datetime columns."""
     words = N.tokens(F.col("column"))
-    is_part = F.arrays_overlap(words, F.array(*[F.lit(t) for t in N.DATE_PART_TOKENS]))
+    is_part = F.arrays_overlap(words, N.text_array(N.DATE_PART_TOKENS))
     preference = F.struct((~F.array_contains(words, "date")).alias("unnamed"), "ordinal", F.col("column").alias("name"))
     return columns.groupBy("model_id", "table").agg(
         F.count_if(is_part).alias("n_date_parts"),
@@ -94,7 +94,7 @@ def date_tables(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """Tables with ``role``: a non-fact becomes a date table if it has a datetime column, and a date word
     in its name or at least two date-part columns. Words are whole tokens: "Updates" is not a date."""
     joined = tables.withColumn("role", base_role()).join(date_columns(columns), ["model_id", "table"], "left")
-    named = F.arrays_overlap(N.tokens(F.col("table")), F.array(*[F.lit(t) for t in N.DATE_NAME_TOKENS]))
+    named = F.arrays_overlap(N.tokens(F.col("table")), N.text_array(N.DATE_NAME_TOKENS))
     is_date = (F.col("role") != "fact") & F.col("date_column").isNotNull() & (named | (F.col("n_date_parts") >= 2))
     is_date = F.coalesce(is_date, F.lit(False))
     return joined.select(
@@ -156,8 +156,9 @@ def orient(rels: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
     both_facts = F.coalesce(judged & from_fact & to_fact, F.lit(False))
     bridged = F.coalesce(judged & ((F.col("from_role") == "bridge") | (F.col("to_role") == "bridge")), F.lit(False))
     swap = lambda a, b: F.when(flipped, F.col(b)).otherwise(F.col(a)).alias(a)
+    kept = [c for c in rels.columns if c not in ("from_table", "from_column", "to_table", "to_column")]
     return sided.select(
-        "model_id", "seq", swap("from_table", "to_table"), swap("from_column", "to_column"),
+        *kept, swap("from_table", "to_table"), swap("from_column", "to_column"),
         swap("to_table", "from_table"), swap("to_column", "from_column"),
         swap("from_role", "to_role"), swap("to_role", "from_role"),
         F.when(both_facts, "n:n").otherwise("n:1").alias("cardinality"),
@@ -221,10 +222,13 @@ def activate(rels: DataFrame, sweep_limit: int = SWEEP_LIMIT) -> DataFrame:
 # -------------------------------------------------------------------------- findings
 
 
-def flag_duplicates(rels: DataFrame, deduplicated: DataFrame) -> DataFrame:
-    """One finding per removed relationship."""
-    kept = deduplicated.select("model_id", "seq")
-    return finding(rels.join(kept, ["model_id", "seq"], "left_anti"), "relationship-duplicate", _pair_text("<->"))
+def removed_duplicates(rels: DataFrame, deduplicated: DataFrame) -> DataFrame:
+    """The relationships that ``deduplicate`` left out."""
+    return rels.join(deduplicated.select("model_id", "seq"), ["model_id", "seq"], "left_anti")
+
+
+def flag_duplicates(removed: DataFrame) -> DataFrame:
+    return finding(removed, "relationship-duplicate", _pair_text("<->"))
 
 
 def flag_self_joins(rels: DataFrame) -> DataFrame:
@@ -316,11 +320,11 @@ def review_breakdown(findings: DataFrame, limit: int = 8) -> DataFrame:
 def analyze(tables: DataFrame, columns: DataFrame, rels: DataFrame) -> Mapping[str, DataFrame]:
     """All rules in order: tables, columns, relationships, findings and summary of every model."""
     roles = materialize(classify(tables, columns, rels), "model-tables")
-    oriented = materialize(orient(rels, roles, columns), "model-oriented")
-    deduplicated = materialize(deduplicate(oriented), "model-deduplicated")
-    activated = materialize(activate(deduplicated), "model-relationships")
+    deduplicated = materialize(deduplicate(rels), "model-deduplicated")
+    activated = materialize(orient(activate(deduplicated), roles, columns), "model-relationships")
+    removed = orient(removed_duplicates(rels, deduplicated), roles, columns)
     findings = reduce(DataFrame.unionByName, [
-        flag_duplicates(oriented, deduplicated), flag_unbound(rels, roles), flag_self_joins(activated),
+        flag_duplicates(removed), flag_unbound(rels, roles), flag_self_joins(activated),
         flag_role_playing(activated), flag_loops(activated), flag_orphans(roles, activated),
         flag_facts_without_dimension(roles, activated), flag_model_shape(roles, activated),
         flag_snowflakes(activated), flag_many_to_many(activated)])

@@ -30,39 +30,39 @@ SLOTS = [
 _N_TABLES = 6  # the last slot is never a table, only named by relationships
 
 
+def _rows_sql(rows, names) -> str:
+    """Array of structs, as SQL text."""
+    return "array(" + ", ".join(
+        "named_struct(" + ", ".join(f"'{n}', {v!r}" for n, v in zip(names, row)) + ")" for row in rows) + ")"
+
+
 def _model_tables(spark, sf_dir) -> DataFrame:
-    slots = F.array(*[F.struct(F.lit(k).alias("slot"), F.lit(name).alias("table"))
-                      for k, (name, _) in enumerate(SLOTS[:_N_TABLES])])
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.inline(slots))
-    orders = orders.filter("(o_orderkey + slot) % 7 <> 0")
-    return orders.select(
-        F.col("o_orderkey").alias("model_id"), "table",
-        F.expr("case when (o_orderkey + slot) % 11 = 0 then 'fact' end").alias("role_hint"),
-        F.expr("case when (o_custkey + 2 * slot) % 5 = 0 then 1 + slot else 0 end").alias("n_measures"))
+    slots = _rows_sql([(k, name) for k, (name, _) in enumerate(SLOTS[:_N_TABLES])], ["slot", "table"])
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", f"inline({slots})")
+    return orders.filter("(o_orderkey + slot) % 7 <> 0").selectExpr(
+        "o_orderkey as model_id", "table", "case when (o_orderkey + slot) % 11 = 0 then 'fact' end as role_hint",
+        "case when (o_custkey + 2 * slot) % 5 = 0 then 1 + slot else 0 end as n_measures")
 
 
 def _model_columns(spark, sf_dir) -> DataFrame:
-    items = F.array(*[
-        F.struct(F.lit(k).alias("slot"), F.lit(name).alias("table"), F.lit(i).alias("ordinal"),
-                 F.lit(column).alias("column"), F.lit(type_).alias("type"), F.lit(usage).alias("usage"))
-        for k, (name, columns) in enumerate(SLOTS[:_N_TABLES]) for i, (column, type_, usage) in enumerate(columns)])
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("model_id"), F.inline(items))
+    items = _rows_sql([(k, name, i, *column) for k, (name, columns) in enumerate(SLOTS[:_N_TABLES])
+                       for i, column in enumerate(columns)], ["slot", "table", "ordinal", "column", "type", "usage"])
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey as model_id", f"inline({items})")
     return orders.filter("(model_id + slot) % 7 <> 0 and (model_id + 3 * ordinal + slot) % 13 <> 0").drop("slot")
 
 
 def _model_relationships(spark, sf_dir) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
-    named = F.array(*[F.struct(F.lit(name).alias("table"), F.array(*[F.lit(c[0]) for c in columns[:2]]).alias("ends"))
-                      for name, columns in SLOTS])
-    lines = lines.withColumns({"from_end": F.get(named, F.expr("cast(l_partkey % 6 as int)")),
-                               "to_end": F.get(named, F.expr("cast(l_suppkey % 7 as int)"))})
-    return lines.select(
-        F.col("l_orderkey").alias("model_id"),
-        F.expr("l_linenumber * 100000000000000000 + l_partkey * 100000000 + l_suppkey").alias("seq"),
-        F.col("from_end.table").alias("from_table"),
-        F.expr("get(from_end.ends, cast(l_linenumber % 2 as int))").alias("from_column"),
-        F.col("to_end.table").alias("to_table"),
-        F.expr("get(to_end.ends, cast((l_partkey div 6) % 2 as int))").alias("to_column"))
+    names = "array(" + ", ".join(repr(name) for name, _ in SLOTS) + ")"
+    keys = "array(" + ", ".join(f"array({c[0][0]!r}, {c[1][0]!r})" for _, c in SLOTS) + ")"
+    at = lambda array, index: f"get({array}, cast({index} as int))"
+    return lines.selectExpr(
+        "l_orderkey as model_id",
+        "l_linenumber * 100000000000000000 + l_partkey * 100000000 + l_suppkey as seq",
+        f"{at(names, 'l_partkey % 6')} as from_table",
+        f"{at(at(keys, 'l_partkey % 6'), 'l_linenumber % 2')} as from_column",
+        f"{at(names, 'l_suppkey % 7')} as to_table",
+        f"{at(at(keys, 'l_suppkey % 7'), '(l_partkey div 6) % 2')} as to_column")
 
 
 def _metadata(spark, sf_dir):
@@ -308,18 +308,22 @@ def mark_endpoints(spark, sf_dir):
 
 @query(_META + "select model_id, seq, from_table, from_column, to_table, to_column from kept")
 def dedup_pairs(spark, sf_dir):
-    return R.deduplicate(_oriented(spark, sf_dir)).select(
-        "model_id", "seq", "from_table", "from_column", "to_table", "to_column")
+    """The kept relationships, oriented. Which ones are kept does not depend on their direction."""
+    tables, columns, rels = _metadata(spark, sf_dir)
+    kept = R.orient(R.deduplicate(rels), R.classify(tables, columns, rels), columns)
+    return kept.select("model_id", "seq", "from_table", "from_column", "to_table", "to_column")
 
 
 @query(_META + _FINDINGS["duplicates"])
 def flag_duplicates(spark, sf_dir):
-    oriented = _oriented(spark, sf_dir)
-    return R.flag_duplicates(oriented, R.deduplicate(oriented))
+    tables, columns, rels = _metadata(spark, sf_dir)
+    removed = R.removed_duplicates(rels, R.deduplicate(rels))
+    return R.flag_duplicates(R.orient(removed, R.classify(tables, columns, rels), columns))
 
 
 def _activated(spark, sf_dir):
-    return R.activate(R.deduplicate(_oriented(spark, sf_dir)))
+    tables, columns, rels = _metadata(spark, sf_dir)
+    return R.orient(R.activate(R.deduplicate(rels)), R.classify(tables, columns, rels), columns)
 
 
 @query(_META + "select model_id, seq, from_table, to_table, status from activated")
@@ -329,7 +333,7 @@ def active_relationships(spark, sf_dir):
 
 @query(_META + _FINDINGS["self_join"])
 def flag_self_join(spark, sf_dir):
-    return R.flag_self_joins(R.deduplicate(_oriented(spark, sf_dir)))
+    return R.flag_self_joins(R.deduplicate(_model_relationships(spark, sf_dir)))
 
 
 @query(_META + _FINDINGS["role_playing"])
@@ -367,7 +371,8 @@ def flag_model_shape(spark, sf_dir):
 
 @query(_META + _FINDINGS["snowflake"])
 def flag_snowflake(spark, sf_dir):
-    return R.flag_snowflakes(R.deduplicate(_oriented(spark, sf_dir)))
+    tables, columns, rels = _metadata(spark, sf_dir)
+    return R.flag_snowflakes(R.orient(R.deduplicate(rels), R.classify(tables, columns, rels), columns))
 
 
 @query(_META + _FINDINGS["m2m"])
