@@ -21,8 +21,9 @@ def extract_corpus(artifacts: DataFrame) -> dict[str, DataFrame]:
     files = materialize(with_status(artifacts), "corpus-files")
     of_kind = lambda kind: files.filter((F.col("status") == "ok") & (F.col("kind") == kind)).select("path", "content")
     reports, models, modules = of_kind("report"), of_kind("model"), of_kind("module")
+    queries = materialize(E.report_queries(reports), "corpus-queries")
     extracted = {
-        "items": E.report_items(reports), "joins": E.report_joins(reports), "sources": E.report_sources(reports),
+        "items": E.report_items(queries), "joins": E.report_joins(queries), "sources": E.report_sources(queries),
         "visuals": E.report_visuals(reports),
         "model_columns": E.model_columns(models), "model_rels": E.model_relationships(models),
         "module_columns": E.module_columns(modules), "module_rels": E.module_relationships(modules),

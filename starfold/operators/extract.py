@@ -18,6 +18,7 @@ from starfold.functions.names import clean_label, segments, split_reference
 from starfold.functions.types import normalize_type, type_of_code
 from starfold.operators.rules import FACT_USAGES, KEY_USAGES
 from starfold.operators.visuals import SLOT_ROLES, SUMMARIZE_BY, VISUAL_KINDS
+from starfold.session import spread
 
 _REFERENCE = r"\[[^\[\]]+\](?:\.\[[^\[\]]+\])*"
 
@@ -45,7 +46,7 @@ def _numbered(array: Column, number: str, value: str) -> list[Column]:
 
 
 def _xml_rows(artifacts: DataFrame, tag: str, number: str, value: str) -> DataFrame:
-    rows = artifacts.select("path", *_numbered(elements(xml_text(F.col("content")), tag), number, value))
+    rows = spread(artifacts).select("path", *_numbered(elements(xml_text(F.col("content")), tag), number, value))
     return rows.withColumn(number, F.col(number) + 1)
 
 
@@ -86,15 +87,15 @@ def _lookup(mapping: dict[str, str], key: Column) -> Column:
 
 
 def report_queries(reports: DataFrame) -> DataFrame:
-    """Queries of reports, with the text of each."""
+    """Queries of reports, with the text of each: the input of the functions below."""
     rows = _xml_rows(reports, "query", "query_no", "xml")
     name = F.regexp_extract("xml", r"""^<query\s[^>]*?\bname\s*=\s*["']([^"']*)["']""", 1)
     return rows.withColumn("query", clean_label(name, "Query"))
 
 
-def report_items(reports: DataFrame) -> DataFrame:
+def report_items(queries: DataFrame) -> DataFrame:
     """Data items: name, aggregate, expression, inferred type and class of every item of every query."""
-    rows = report_queries(reports).select(
+    rows = queries.select(
         "path", "query_no", "query", *_numbered(elements(F.col("xml"), "dataItem"), "item_no", "xml"))
     # One spelling of the type attribute, as columns do not differ by case alone.
     xml = F.regexp_replace("xml", r"^(<dataItem(?![^>]*\sdatatype=)[^>]*?\s)dataType=", "$1datatype=")
@@ -155,12 +156,13 @@ def _is_many(cardinality: Column) -> Column:
     return (text != "") & ~upper.isin("0", "1")
 
 
-def report_joins(reports: DataFrame) -> DataFrame:
+def report_joins(queries: DataFrame) -> DataFrame:
     """Join filters of report queries, from the many side to the one side.
 
     A filter that is not one equality of two references is kept as it is, with ``mapped`` false.
     """
-    joins = report_queries(reports).select("path", "query_no", "query", F.explode(elements(F.col("xml"), "joinOperation")).alias("xml"))
+    operations = elements(F.col("xml"), "joinOperation")
+    joins = queries.select("path", "query_no", "query", F.explode(operations).alias("xml"))
     operands = F.transform(elements(F.col("xml"), "joinOperand"), lambda x: read_element(
         x, "_cardinality string, queryRef struct<_refQuery: string>"))
     rows = joins.withColumn("operands", operands).select(
@@ -185,7 +187,7 @@ def report_joins(reports: DataFrame) -> DataFrame:
         F.when(F.col("left_many") | F.col("right_many"), "n:1").otherwise("1:1").alias("cardinality"))
 
 
-def report_sources(reports: DataFrame) -> DataFrame:
+def report_sources(queries: DataFrame) -> DataFrame:
     """How each query is sourced: join, derived (from another query), package, or none; and its filters."""
     source = F.try_element_at(elements(F.col("xml"), "source"), F.lit(1))
     derived = F.regexp_extract(source, r"""<queryRef\s[^>]*?\brefQuery\s*=\s*["']([^"']*)["']""", 1)
@@ -194,7 +196,7 @@ def report_sources(reports: DataFrame) -> DataFrame:
     details = F.array_join(elements(F.col("xml"), "detailFilters"), "")
     filters = F.transform(elements(details, "detailFilter"), lambda x: _text(
         read_element(x, "filterExpression string").getField("filterExpression")))
-    return report_queries(reports).select(
+    return queries.select(
         "path", "query_no", "query", kind.alias("source"),
         F.when(kind == "derived", clean_label(derived)).alias("derived_from"),
         F.filter(filters, lambda f: f.isNotNull()).alias("detail_filters"))
@@ -281,7 +283,7 @@ def model_relationships(models: DataFrame) -> DataFrame:
 
 
 def _parsed(artifacts: DataFrame) -> DataFrame:
-    return artifacts.select("path", F.try_parse_json("content").alias("doc"))
+    return spread(artifacts).select("path", F.try_parse_json("content").alias("doc"))
 
 
 def module_columns(modules: DataFrame) -> DataFrame:

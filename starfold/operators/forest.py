@@ -21,7 +21,7 @@ SWEEP_LIMIT = 200_000
 
 
 def forest(pairs: DataFrame, sweep_limit: int = SWEEP_LIMIT) -> DataFrame:
-    """``pairs`` (model_id, a, b, seq), one row per pair of tables, as (model_id, seq, in_forest)."""
+    """``pairs`` (model_id, a, b, seq), one row per pair of tables, with a column ``in_forest``."""
     pairs = materialize(pairs.select("model_id", "a", "b", "seq"), "forest-pairs")
     large = pairs.groupBy("model_id").count().filter(F.col("count") > sweep_limit).select("model_id")
     large = materialize(large, "forest-large")
@@ -32,7 +32,7 @@ def forest(pairs: DataFrame, sweep_limit: int = SWEEP_LIMIT) -> DataFrame:
 
 
 def _sweep(pairs: DataFrame) -> DataFrame:
-    schema = pairs.select("model_id", "seq", F.lit(True).alias("in_forest")).schema
+    schema = pairs.withColumn("in_forest", F.lit(True)).schema
     return pairs.repartition("model_id").sortWithinPartitions("model_id", "seq").mapInPandas(_sweep_batches, schema)
 
 
@@ -55,7 +55,7 @@ def _sweep_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept.append(a != b)
             if a != b:
                 leader[a] = b
-        yield pd.DataFrame({"model_id": batch["model_id"], "seq": batch["seq"], "in_forest": kept})
+        yield batch.assign(in_forest=kept)
 
 
 def _contract(pairs: DataFrame) -> DataFrame:
@@ -71,11 +71,9 @@ def _contract(pairs: DataFrame) -> DataFrame:
         chosen.append(smallest.select("model_id", "seq"))
         roots = _roots(smallest.select("model_id", "part", F.col("other").alias("root")))
         edges = materialize(_relabel(_relabel(edges, roots, "a"), roots, "b").filter("a <> b"), "forest-edges")
-    if not chosen:
-        return pairs.select("model_id", "seq", F.lit(True).alias("in_forest"))
     found = reduce(DataFrame.unionByName, chosen).distinct().withColumn("found", F.lit(True))
     return pairs.join(found, ["model_id", "seq"], "left").select(
-        "model_id", "seq", F.col("found").isNotNull().alias("in_forest"))
+        "model_id", "a", "b", "seq", F.col("found").isNotNull().alias("in_forest"))
 
 
 def _relabel(edges: DataFrame, roots: DataFrame, end: str) -> DataFrame:

@@ -55,6 +55,9 @@ SEVERITY = {
 
 DIMENSIONAL = ["dimension", "date", "bridge"]
 
+# Added to the position of a datetime column without the word date; beyond the columns of any table.
+_UNNAMED = 1_000_000
+
 
 def finding(rows: DataFrame, code: str, source_ref: Column) -> DataFrame:
     return rows.select("model_id", F.lit(code).alias("code"), F.lit(SEVERITY[code]).alias("severity"),
@@ -80,28 +83,40 @@ def base_role() -> Column:
             .when(F.col("n_measures") > 0, "fact").otherwise("dimension"))
 
 
-def date_columns(columns: DataFrame) -> DataFrame:
-    """Per table: number of date-part columns, and the preferred one of its datetime columns."""
-    words = N.tokens(F.col("column"))
-    is_part = F.arrays_overlap(words, N.text_array(N.DATE_PART_TOKENS))
-    preference = F.struct((~F.array_contains(words, "date")).alias("unnamed"), "ordinal", F.col("column").alias("name"))
-    return columns.groupBy("model_id", "table").agg(
-        F.count_if(is_part).alias("n_date_parts"),
-        F.min(F.when(F.col("type") == "dateTime", preference)).getField("name").alias("date_column"))
+def column_stats(columns: DataFrame) -> DataFrame:
+    """Per table: date-part columns, keys, other columns, and the position of the preferred datetime column.
+
+    A datetime column with the word date in its name is preferred to one without, then the first.
+    All in numbers, so that the aggregation is hashed and needs no sort.
+    """
+    is_part = F.arrays_overlap("words", N.text_array(N.DATE_PART_TOKENS))
+    named = F.array_contains("words", "date")
+    position = F.when(F.col("type") == "dateTime", F.when(named, 0).otherwise(_UNNAMED) + F.col("ordinal"))
+    return seed_keys(columns).withColumn("words", N.tokens(F.col("column"))).groupBy("model_id", "table").agg(
+        F.count_if(is_part).alias("n_date_parts"), F.min(position).alias("date_position"),
+        F.count_if("is_key").alias("n_keys"), F.count_if(~F.col("is_key")).alias("n_others"))
 
 
-def date_tables(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """Tables with ``role``: a non-fact becomes a date table if it has a datetime column, and a date word
-    in its name or at least two date-part columns. Words are whole tokens: "Updates" is not a date."""
-    joined = tables.withColumn("role", base_role()).join(date_columns(columns), ["model_id", "table"], "left")
+def _roles_without_bridges(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    joined = tables.withColumn("role", base_role()).join(column_stats(columns), ["model_id", "table"], "left")
     named = F.arrays_overlap(N.tokens(F.col("table")), N.text_array(N.DATE_NAME_TOKENS))
-    is_date = (F.col("role") != "fact") & F.col("date_column").isNotNull() & (named | (F.col("n_date_parts") >= 2))
+    is_date = (F.col("role") != "fact") & F.col("date_position").isNotNull() & ((F.col("n_date_parts") >= 2) | named)
     is_date = F.coalesce(is_date, F.lit(False))
-    return joined.select(
-        "model_id", "table", "n_measures",
-        F.when(is_date, "date").otherwise(F.col("role")).alias("role"),
-        is_date.alias("is_date_table"),
-        F.when(is_date, F.col("date_column")).alias("date_column"))
+    ordinal = F.when(is_date, F.col("date_position") % _UNNAMED)
+    return joined.withColumns({"is_date_table": is_date, "date_ordinal": ordinal,
+                               "role": F.when(is_date, "date").otherwise(F.col("role"))})
+
+
+def date_tables(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """Date tables with their preferred date column.
+
+    A non-fact is a date table if it has a datetime column, and a date word in its name or at least two
+    date-part columns. Words are whole tokens: "Updates" is not a date.
+    """
+    dated = _roles_without_bridges(tables, columns).filter("is_date_table")
+    names = columns.filter("type = 'dateTime'").select(
+        "model_id", "table", F.col("ordinal").alias("date_ordinal"), F.col("column").alias("date_column"))
+    return dated.join(names, ["model_id", "table", "date_ordinal"]).select("model_id", "table", "role", "date_column")
 
 
 def relationship_counts(rels: DataFrame) -> DataFrame:
@@ -114,15 +129,11 @@ def relationship_counts(rels: DataFrame) -> DataFrame:
 def classify(tables: DataFrame, columns: DataFrame, rels: DataFrame) -> DataFrame:
     """Role of every table. A dimension of two or more keys and nothing else, with two or more
     relationships, is a bridge."""
-    keyed = seed_keys(columns).groupBy("model_id", "table").agg(
-        F.count_if("is_key").alias("n_keys"), F.count_if(~F.col("is_key")).alias("n_others"))
-    joined = (date_tables(tables, columns).join(keyed, ["model_id", "table"], "left")
-              .join(relationship_counts(rels), ["model_id", "table"], "left"))
-    is_bridge = ((F.col("role") == "dimension") & (F.col("n_keys") >= 2) & (F.col("n_others") == 0)
-                 & (F.coalesce("n_rels", F.lit(0)) >= 2))
-    role = F.when(is_bridge, "bridge").otherwise(F.col("role"))
-    return joined.select("model_id", "table", "n_measures", role.alias("role"), "is_date_table", "date_column",
-                         F.coalesce("n_rels", F.lit(0)).alias("n_rels"))
+    n_rels = F.coalesce("n_rels", F.lit(0))
+    is_bridge = (F.col("role") == "dimension") & (F.col("n_keys") >= 2) & (F.col("n_others") == 0) & (n_rels >= 2)
+    joined = _roles_without_bridges(tables, columns).join(relationship_counts(rels), ["model_id", "table"], "left")
+    return joined.select("model_id", "table", "n_measures", F.when(is_bridge, "bridge").otherwise(F.col("role")).alias("role"),
+                         "is_date_table", n_rels.alias("n_rels"))
 
 
 # ---------------------------------------------------------------------- orientation
@@ -209,10 +220,8 @@ def activate(rels: DataFrame, sweep_limit: int = SWEEP_LIMIT) -> DataFrame:
     ends = {"a": F.least("from_table", "to_table"), "b": F.greatest("from_table", "to_table")}
     between = rels.filter("from_table <> to_table").withColumns(ends)
     pairs = between.groupBy("model_id", "a", "b").agg(F.min("seq").alias("seq"))
-    decided = forest(pairs, sweep_limit)
-    status = pairs.withColumnRenamed("seq", "first_seq").join(
-        decided.withColumnRenamed("seq", "first_seq"), ["model_id", "first_seq"])
-    joined = rels.withColumns(ends).join(status, ["model_id", "a", "b"], "left")
+    decided = forest(pairs, sweep_limit).withColumnRenamed("seq", "first_seq")
+    joined = rels.withColumns(ends).join(decided, ["model_id", "a", "b"], "left")
     return joined.select(
         *rels.columns,
         F.when(F.col("from_table") == F.col("to_table"), "self-join").when(~F.col("in_forest"), "ambiguous-loop")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -68,16 +68,20 @@ class Measure:
 
 @dataclass(frozen=True)
 class Table:
-    """A named relation. Calculated columns are Spark SQL; hidden columns stay out of default lists."""
+    """A named relation. Calculated columns are Spark SQL; hidden columns stay out of default lists.
 
-    df: DataFrame
+    ``source`` is a DataFrame, or a function that opens it when a query first needs it.
+    """
+
+    source: DataFrame | Callable[[], DataFrame]
     calculated: Mapping[str, str] = field(default_factory=dict)
     hidden: Sequence[str] = ()
     summarize_by: Mapping[str, str] = field(default_factory=dict)
     is_fact: bool = False
 
     def rows(self) -> DataFrame:
-        return with_calculated(self.df, self.calculated)[0]
+        df = self.source if isinstance(self.source, DataFrame) else self.source()
+        return with_calculated(df, self.calculated)[0]
 
     def visible(self) -> DataFrame:
         return self.rows().drop(*self.hidden)

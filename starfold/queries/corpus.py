@@ -212,19 +212,23 @@ _ITEMS = f"""
                from customer)"""
 
 
+def _queries(spark, sf_dir):
+    return E.report_queries(_reports(spark, sf_dir))
+
+
 @query(f"select path, query, item_no, item, aggregate, expression from ({_ITEMS})")
 def extract_report_items(spark, sf_dir):
-    return E.report_items(_reports(spark, sf_dir)).select("path", "query", "item_no", "item", "aggregate", "expression")
+    return E.report_items(_queries(spark, sf_dir)).select("path", "query", "item_no", "item", "aggregate", "expression")
 
 
 @query(f"select path, query, item, item_class, source_column from ({_ITEMS})")
 def classify_items(spark, sf_dir):
-    return E.report_items(_reports(spark, sf_dir)).select("path", "query", "item", "item_class", "source_column")
+    return E.report_items(_queries(spark, sf_dir)).select("path", "query", "item", "item_class", "source_column")
 
 
 @query(f"select path, query, item, type from ({_ITEMS})")
 def infer_item_type(spark, sf_dir):
-    return E.report_items(_reports(spark, sf_dir)).select("path", "query", "item", "type")
+    return E.report_items(_queries(spark, sf_dir)).select("path", "query", "item", "type")
 
 
 @query("""
@@ -253,7 +257,7 @@ _JOINS = f"""
 
 @query(_JOINS)
 def extract_report_joins(spark, sf_dir):
-    return E.report_joins(_reports(spark, sf_dir))
+    return E.report_joins(_queries(spark, sf_dir))
 
 
 @query(f"""
@@ -261,7 +265,7 @@ def extract_report_joins(spark, sf_dir):
         values ('Orders', 'package', null, 1), ('Customers', 'derived', 'Orders', 0), ('Both', 'join', null, 0)
     ) q(query, source, derived_from, n_filters)""")
 def extract_report_sources(spark, sf_dir):
-    return E.report_sources(_reports(spark, sf_dir)).select(
+    return E.report_sources(_queries(spark, sf_dir)).select(
         "path", "query", "source", "derived_from", F.size("detail_filters").alias("n_filters"))
 
 

@@ -12,6 +12,7 @@ from starfold.functions import names as N
 from starfold.operators import profile, rules as R
 from starfold.queries import query
 from starfold.queries.retail import RELATIONSHIPS, table
+from starfold.session import spread
 
 # Table slots of a derived model: name, then (column, type, usage).
 SLOTS = [
@@ -47,7 +48,8 @@ def _model_tables(spark, sf_dir) -> DataFrame:
 def _model_columns(spark, sf_dir) -> DataFrame:
     items = _rows_sql([(k, name, i, *column) for k, (name, columns) in enumerate(SLOTS[:_N_TABLES])
                        for i, column in enumerate(columns)], ["slot", "table", "ordinal", "column", "type", "usage"])
-    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey as model_id", f"inline({items})")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
+    orders = orders.selectExpr("o_orderkey as model_id", f"inline({items})")
     return orders.filter("(model_id + slot) % 7 <> 0 and (model_id + 3 * ordinal + slot) % 13 <> 0").drop("slot")
 
 
@@ -265,8 +267,7 @@ def table_roles(spark, sf_dir):
 @query(_META + """
     select model_id, tab as "table", role1 as role, date_col as date_column from dated where role1 = 'date'""")
 def date_tables(spark, sf_dir):
-    tables = R.date_tables(_model_tables(spark, sf_dir), _model_columns(spark, sf_dir))
-    return tables.filter("is_date_table").select("model_id", "table", "role", "date_column")
+    return R.date_tables(_model_tables(spark, sf_dir), _model_columns(spark, sf_dir))
 
 
 @query(_META + """select model_id, tab as "table", n_rels, role from roles""")

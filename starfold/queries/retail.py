@@ -42,15 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def retail_model(spark: SparkSession, sf_dir: str) -> Model:
     names = ["lineitem", "orders", "part", "supplier", "customer", "nation", "region", "events"]
-    tables = {name: Table(table(spark, sf_dir, name), is_fact=name in ("lineitem", "orders", "events"))
-              for name in names}
+    opener = lambda name: lambda: table(spark, sf_dir, name)
+    tables = {name: Table(opener(name), is_fact=name in ("lineitem", "orders", "events")) for name in names}
     tables["lineitem"] = Table(
-        table(spark, sf_dir, "lineitem"), is_fact=True,
+        opener("lineitem"), is_fact=True,
         calculated={"net_price": REVENUE, "price": PRICE, "discount": "cast(l_discount as decimal(12,2))"},
         hidden=["l_orderkey", "l_partkey", "l_suppkey"],
         summarize_by={"l_discount": "average", "l_tax": "max", "l_linenumber": "none", "l_suppkey": "distinctCount"},
     )
-    tables["dim_date"] = Table(date_dimension(tables["orders"].df, "o_orderdate"))
+    tables["dim_date"] = Table(lambda: date_dimension(table(spark, sf_dir, "orders"), "o_orderdate"))
     return Model(tables, RELATIONSHIPS, MEASURES)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from starfold.session import spread
+
 # Suffixes of candidate files.
 SUFFIXES = ["xml", "json", "module", "dashboard", "exploration", "spec", "cpf"]
 
@@ -72,6 +74,6 @@ def with_status(artifacts: DataFrame) -> DataFrame:
              .when(is_json & F.try_parse_json("content").isNull(), "not valid JSON")
              .when(is_json & no_object, "the JSON is not an object")
              .when(~is_json & no_element, "not an XML document"))
-    kinds = artifacts.withColumn("kind", artifact_kind(F.col("path"), F.col("content")))
+    kinds = spread(artifacts).withColumn("kind", artifact_kind(F.col("path"), F.col("content")))
     return kinds.withColumn("error", error).withColumn(
         "status", F.when(F.col("error").isNull(), "ok").otherwise("failed"))
