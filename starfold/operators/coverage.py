@@ -17,21 +17,24 @@ _COUNTS = ["n_tables", "n_measures", "n_pages", "n_relationships", "n_findings"]
 
 
 def extract_corpus(artifacts: DataFrame) -> dict[str, DataFrame]:
-    """Metadata tables of all readable artifacts. Each is written once, as several results use it."""
-    files = materialize(with_status(artifacts), "corpus-files")
+    """Metadata tables of all readable artifacts. Each is written once, as several results use it.
+
+    The files are written by kind, so that each extraction reads the files of its own kind only.
+    """
+    files = materialize(with_status(artifacts), "corpus-files", partition_by=["kind", "status"])
     of_kind = lambda kind: files.filter((F.col("status") == "ok") & (F.col("kind") == kind)).select("path", "content")
     reports, models, modules = of_kind("report"), of_kind("model"), of_kind("module")
     queries = materialize(E.report_queries(reports), "corpus-queries")
+    widgets = materialize(E.dashboard_widgets(of_kind("dashboard")), "corpus-widgets")
     extracted = {
         "items": E.report_items(queries), "joins": E.report_joins(queries), "sources": E.report_sources(queries),
         "visuals": E.report_visuals(reports),
         "model_columns": E.model_columns(models), "model_rels": E.model_relationships(models),
         "module_columns": E.module_columns(modules), "module_rels": E.module_relationships(modules),
-        "widgets": E.dashboard_widgets(of_kind("dashboard")).select("path", "page_no", "page", "visual_no", "kind"),
-        "fields": E.dashboard_fields(of_kind("dashboard")),
+        "fields": E.dashboard_fields(widgets),
     }
     written = {name: materialize(df, f"corpus-{name}") for name, df in extracted.items()}
-    return {"files": files.select("path", "kind", "status", "error"), **written}
+    return {"files": files.select("path", "kind", "status", "error"), "widgets": widgets.drop("definition"), **written}
 
 
 def corpus_tables(c: Mapping[str, DataFrame]) -> DataFrame:

@@ -18,7 +18,6 @@ from starfold.functions.names import clean_label, segments, split_reference
 from starfold.functions.types import normalize_type, type_of_code
 from starfold.operators.rules import FACT_USAGES, KEY_USAGES
 from starfold.operators.visuals import SLOT_ROLES, SUMMARIZE_BY, VISUAL_KINDS
-from starfold.session import spread
 
 _REFERENCE = r"\[[^\[\]]+\](?:\.\[[^\[\]]+\])*"
 
@@ -46,7 +45,7 @@ def _numbered(array: Column, number: str, value: str) -> list[Column]:
 
 
 def _xml_rows(artifacts: DataFrame, tag: str, number: str, value: str) -> DataFrame:
-    rows = spread(artifacts).select("path", *_numbered(elements(xml_text(F.col("content")), tag), number, value))
+    rows = artifacts.select("path", *_numbered(elements(xml_text(F.col("content")), tag), number, value))
     return rows.withColumn(number, F.col(number) + 1)
 
 
@@ -283,7 +282,7 @@ def model_relationships(models: DataFrame) -> DataFrame:
 
 
 def _parsed(artifacts: DataFrame) -> DataFrame:
-    return spread(artifacts).select("path", F.try_parse_json("content").alias("doc"))
+    return artifacts.select("path", F.try_parse_json("content").alias("doc"))
 
 
 def module_columns(modules: DataFrame) -> DataFrame:
@@ -424,9 +423,9 @@ def dashboard_widgets(dashboards: DataFrame) -> DataFrame:
     return rows.withColumn("kind", F.when(F.col("widget").isNotNull(), F.when(decorative, "decorative").otherwise(kind)))
 
 
-def dashboard_fields(dashboards: DataFrame) -> DataFrame:
+def dashboard_fields(widgets: DataFrame) -> DataFrame:
     """Fields of every visual: table, column and role."""
-    shown = dashboard_widgets(dashboards).filter("kind <> 'decorative'")
+    shown = widgets.filter("kind <> 'decorative'")
     views = _first_of(F.col("definition"), ["data.dataViews", "data.datasets"], "array<variant>")
     of_view = F.flatten(F.transform(views, lambda v: F.coalesce(
         _get(v, "$.dataItems", "array<variant>"), _get(v, "$.modelItems", "array<variant>"), F.expr("array()"))))

@@ -14,7 +14,7 @@ from starfold.functions import expressions as X, names as N
 from starfold.functions.types import normalize_type
 from starfold.operators import coverage as C, extract as E, rules as R
 from starfold.queries import query
-from starfold.queries.retail import table
+from starfold.queries.retail import spread, table
 from starfold.session import materialize, shared_folder
 from starfold.sources import artifacts as A
 
@@ -46,7 +46,7 @@ def _modules(spark, sf_dir) -> DataFrame:
             'link', case when p_size % 3 = 0 then array({link("Product ID")}, {link("Site ID")})
                     else array({link("Product ID")}) end))))"""
     broken = """concat('{"querySubject": [', p_name)"""
-    return table(spark, sf_dir, "part").selectExpr(
+    return spread(table(spark, sf_dir, "part")).selectExpr(
         "concat('/corpus/modules/part-', p_partkey, '.module') as path",
         f"case when p_partkey % 100 = 99 then {broken} else {text} end as content")
 
@@ -70,7 +70,7 @@ _CONDITION = """case when s_suppkey % 5 = 0 then '[model].[Nation] = 1'
 def _models(spark, sf_dir) -> DataFrame:
     xml = F.replace(F.replace(F.lit(_MODEL_XML), F.lit("@NAME@"), F.col("s_name")), F.lit("@CONDITION@"), F.expr(_CONDITION))
     plain = F.regexp_replace(xml, "P:|:P", "")
-    return table(spark, sf_dir, "supplier").select(
+    return spread(table(spark, sf_dir, "supplier")).select(
         F.expr("concat('/corpus/models/supplier-', s_suppkey, '.xml')").alias("path"),
         F.when(F.col("s_suppkey") % 2 == 0, plain).otherwise(xml).alias("content"))
 
@@ -111,7 +111,7 @@ def _reports(spark, sf_dir) -> DataFrame:
     xml = F.lit(_REPORT_XML)
     for placeholder, value in _REPORT_VALUES.items():
         xml = F.replace(xml, F.lit(placeholder), F.expr(value))
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer")).select(
         F.expr("concat('/corpus/reports/customer-', c_custkey, '.xml')").alias("path"), xml.alias("content"))
 
 
@@ -136,7 +136,7 @@ def _dashboards(spark, sf_dir) -> DataFrame:
     nested = body(as_map, tabs)
     # Variant text keeps the pieces apart that have no common struct type.
     as_list = f"""concat('{{"widgets": [', to_json({chart}), ',', to_json({listing}), ',', to_json({note}), '], "title": "no layout"}}')"""
-    return table(spark, sf_dir, "customer").selectExpr(
+    return spread(table(spark, sf_dir, "customer")).selectExpr(
         "concat('/corpus/dashboards/customer-', c_custkey, '.json') as path",
         f"case c_custkey % 3 when 0 then {body(as_map, flat)} when 1 then {nested} else {as_list} end as content")
 
@@ -345,12 +345,12 @@ _FIELDS = """
 
 @query(_FIELDS)
 def extract_dashboard_fields(spark, sf_dir):
-    return E.dashboard_fields(_dashboards(spark, sf_dir))
+    return E.dashboard_fields(E.dashboard_widgets(_dashboards(spark, sf_dir)))
 
 
 @query(f"""select distinct path, "table", "column" from ({_FIELDS})""")
 def synth_tables(spark, sf_dir):
-    return E.synthesized_tables(E.dashboard_fields(_dashboards(spark, sf_dir)))
+    return E.synthesized_tables(E.dashboard_fields(E.dashboard_widgets(_dashboards(spark, sf_dir))))
 
 
 @query("""

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from starfold.functions import names as N
 from starfold.operators import profile, rules as R
 from starfold.queries import query
-from starfold.queries.retail import RELATIONSHIPS, table
-from starfold.session import spread
+from starfold.queries.retail import RELATIONSHIPS, spread, table
 
 # Table slots of a derived model: name, then (column, type, usage).
 SLOTS = [
