@@ -141,6 +141,30 @@ def first_active_edges(edges: Iterable[tuple[str, str]]) -> list[str]:
     return status
 
 
+@dataclass(frozen=True)
+class _Field:
+    """A column in a query: where it comes from, its output name, and its name while tables are joined."""
+
+    table: str
+    column: str
+    alias: str
+    name: str
+
+
+def _fields(items: Sequence) -> list[_Field]:
+    """Fields of "table.column" or ("table.column", output name)."""
+    fields = []
+    for i, item in enumerate(items):
+        text, alias = (item, None) if isinstance(item, str) else item
+        table, _, column = text.partition(".")
+        fields.append(_Field(table, column, alias or column, f"field_{i}"))
+    return fields
+
+
+def _outputs(fields: Sequence[_Field]) -> list[Column]:
+    return [F.col(f.name).alias(f.alias) for f in fields]
+
+
 class Model:
     """Tables, relationships in declared order, and measures."""
 
@@ -199,7 +223,7 @@ class Model:
         predicate; a filter on a dimension restricts the fact. Measures of several facts are aggregated
         to the shared grain first and joined there, so no fact row is ever multiplied.
         """
-        group = [self._group_field(item) for item in group]
+        group = _fields(group)
         measures = [self.measures[m] if isinstance(m, str) else m for m in measures]
         by_fact: dict[str, list[Measure]] = {}
         for m in measures:
@@ -208,17 +232,12 @@ class Model:
         for fact, own in by_fact.items():
             reachable = {t: p for t, p in (filters or {}).items() if t == fact or t not in by_fact}
             results.append(self._fact_query(fact, group, own, reachable, use))
-        names = [alias for _, _, alias in group]
+        names = [f.alias for f in group]
         joined = reduce(lambda left, right: full_join(left, right, names), results)
         return joined.select(*names, *[m.name for m in measures])
 
-    def _group_field(self, item) -> tuple[str, str, str]:
-        text, alias = (item, None) if isinstance(item, str) else item
-        table, _, column = text.partition(".")
-        return table, column, alias or column
-
     def _fact_query(self, fact, group, measures, filters, use) -> DataFrame:
-        children = self._children(fact, {t for t, _, _ in group} | set(filters), use)
+        children = self._children(fact, {f.table for f in group} | set(filters), use)
         parts = list(dict.fromkeys(part for m in measures for part in m.parts()))
         columns = {part: f"part_{i}" for i, part in enumerate(parts)}
         mergeable = all(function in _MERGE for function, _ in parts)
@@ -234,41 +253,66 @@ class Model:
             folded = True
             return df.groupBy(*by).agg(*aggregates)
 
-        df = self._join_along(fact, group, children, filters, fold if mergeable else None)
-        names = [alias for _, _, alias in group]
-        return fold(df, names).select(*names, *[F.expr(m.result_sql(columns)).alias(m.name) for m in measures])
+        if mergeable and children:
+            df = self._fold_along(fact, group, children, filters, fold)
+        else:
+            df = self._join_along(fact, group, children, filters)
+        return fold(df, [f.name for f in group]).select(
+            *_outputs(group), *[F.expr(m.result_sql(columns)).alias(m.name) for m in measures])
+
+    def _start(self, table, fields, children, filters) -> DataFrame:
+        """Rows of a table with its fields, and the keys of the edges that leave it."""
+        own = [F.col(f.column).alias(f.name) for f in fields if f.table == table]
+        return self._filtered(table, filters).select("*", *own, *self._foreign_keys(children.get(table, [])))
+
+    def _join_along(self, table, fields, children, filters) -> DataFrame:
+        """Rows of a table with the fields of the tables it reaches.
+
+        Each one side is flattened first, so that the rows are joined once per edge of their own.
+        """
+        df = self._start(table, fields, children, filters)
+        for edge in children.get(table, []):
+            below = self._below(edge, children)
+            names = [f.name for f in fields if f.table in below]
+            if names:
+                one_side = self._join_along(edge.to_table, fields, children, filters)
+                df = self._join_edge(df, edge, one_side, names, "inner" if below & set(filters) else "left")
+            else:
+                df = self._join_edge(df, edge, self._restricted(edge.to_table, children, filters), [], "left_semi")
+        return df
 
-    def _join_along(self, fact, fields, children, filters, fold=None) -> DataFrame:
-        """Rows of the fact with the fields of the tables it reaches.
+    def _fold_along(self, fact, fields, children, filters, fold) -> DataFrame:
+        """The same for mergeable measures, which are folded to the key when one edge is left to join.
 
-        With ``fold``, the fact is aggregated to its key as soon as one edge is left to join. A hot key
-        then shrinks to one row per task before anything is shuffled, and joins move keys, not fact rows.
+        A hot key then shrinks to one row per task before anything is shuffled, and joins move keys, not
+        fact rows. The next edge is joined and folded after that.
         """
-        df = self._filtered(fact, filters)
-        names = [alias for t, _, alias in fields if t == fact]
-        own = [F.col(c).alias(a) for t, c, a in fields if t == fact and a not in df.columns]
-        df = df.select("*", *own, *self._foreign_keys(children.get(fact, [])))
-        pending = deque(children.get(fact, []))
+        df = self._start(fact, fields, children, filters)
+        names = [f.name for f in fields if f.table == fact]
+        pending = deque(children[fact])
         while pending:
             edge = pending.popleft()
-            key_names = self._key_names(edge)
-            if fold and not pending:
-                df = fold(df, names + key_names)
+            if not pending:
+                df = fold(df, names + self._key_names(edge))
             below = self._below(edge, children)
-            keys = [F.col(one).alias(f"{name}_one") for name, (_, one) in zip(key_names, edge.keys)]
-            match = reduce(Column.__and__, [F.col(name) == F.col(f"{name}_one") for name in key_names])
-            if any(t in below for t, _, _ in fields):
-                wanted = [(c, a) for t, c, a in fields if t == edge.to_table]
-                carried = [F.col(c).alias(a) for c, a in wanted] + self._foreign_keys(children.get(edge.to_table, []))
-                one_side = self._filtered(edge.to_table, filters).select(*keys, *carried)
-                df = df.join(one_side, match, "inner" if below & set(filters) else "left")
-                names = names + [a for _, a in wanted]
-                pending.extend(children.get(edge.to_table, []))
+            if any(f.table in below for f in fields):
+                further = children.get(edge.to_table, [])
+                own = [f.name for f in fields if f.table == edge.to_table]
+                one_side = self._start(edge.to_table, fields, children, filters)
+                carried = own + [name for e in further for name in self._key_names(e)]
+                df = self._join_edge(df, edge, one_side, carried, "inner" if below & set(filters) else "left")
+                names = names + own
+                pending.extend(further)
             else:
-                one_side = self._restricted(edge.to_table, children, filters).select(*keys)
-                df = df.join(one_side, match, "left_semi")
+                df = self._join_edge(df, edge, self._restricted(edge.to_table, children, filters), [], "left_semi")
         return df
 
+    def _join_edge(self, df, edge, one_side, carried, how) -> DataFrame:
+        key_names = self._key_names(edge)
+        keys = [F.col(one).alias(f"{name}_one") for name, (_, one) in zip(key_names, edge.keys)]
+        match = reduce(Column.__and__, [F.col(name) == F.col(f"{name}_one") for name in key_names])
+        return df.join(one_side.select(*keys, *carried), match, how)
+
     def _filtered(self, table: str, filters: Mapping[str, str]) -> DataFrame:
         rows = self.tables[table].rows()
         return rows.filter(filters[table]) if table in filters else rows
@@ -298,9 +342,9 @@ class Model:
     def rows(self, fact: str, columns: Sequence, filters: Mapping[str, str] | None = None,
              use: Sequence[str] = ()) -> DataFrame:
         """Detail rows of a fact with columns of the tables it reaches, at the fact's grain."""
-        fields = [self._group_field(item) for item in columns]
-        children = self._children(fact, {t for t, _, _ in fields} | set(filters or {}), use)
-        return self._join_along(fact, fields, children, filters or {}).select(*[alias for _, _, alias in fields])
+        fields, filters = _fields(columns), filters or {}
+        children = self._children(fact, {f.table for f in fields} | set(filters), use)
+        return self._join_along(fact, fields, children, filters).select(*_outputs(fields))
 
     def members(self, table: str, columns: Sequence[str], fact_filter: tuple[str, str],
                 use: Sequence[str] = ()) -> DataFrame:
