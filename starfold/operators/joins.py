@@ -13,10 +13,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from starfold.plans.model import full_join, semi_filter
-from starfold.session import materialize
+from starfold.session import materialize, shuffle_partitions
 
 Keys = Sequence[tuple[str, str]]
 
+_MAX_BINS = 256
+_QUANTILE_ERROR = 0.001
+
 
 def _matches(left: DataFrame, right: DataFrame, keys: Keys) -> Column:
     return reduce(Column.__and__, [left[a] == right[b] for a, b in keys])
@@ -70,16 +73,18 @@ def through_bridge(rows: DataFrame, bridge: DataFrame, members: DataFrame, row_k
     return semi_filter(rows, semi_filter(bridge, members, member_keys), row_keys)
 
 
-def band_join(rows: DataFrame, bands: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
+def band_join(rows: DataFrame, bands: DataFrame, value: str, low: str, high: str) -> DataFrame:
     """Inner join on ``low <= value < high`` for numeric columns.
 
-    Both sides are cut into bins of ``width``, so the join is an equi-join on the bin with the range as
-    residual condition. A band is repeated once for each bin that it touches.
+    Both sides are cut into bins between estimated quantiles of the values, so the join is an equi-join on
+    the bin with the range as residual condition. Bins hold about as many rows each, and a band is repeated
+    once for each bin that it touches, however wide it is. The estimate only balances the bins.
     """
-    bin_of = lambda c: F.floor(c / F.lit(width)).cast("long")
-    binned = bands.filter(F.col(low) < F.col(high)).withColumn(
-        "band_bin", F.explode(F.sequence(bin_of(F.col(low)), bin_of(F.col(high)))))
-    keyed = rows.withColumn("row_bin", bin_of(F.col(value)))
+    n = min(shuffle_partitions(rows.sparkSession), _MAX_BINS)
+    bounds = sorted(set(rows.approxQuantile(value, [i / n for i in range(1, n)], _QUANTILE_ERROR)))
+    bin_of = lambda column: F.expr(" + ".join(["0"] + [f"cast(`{column}` >= {bound!r}D as int)" for bound in bounds]))
+    binned = bands.filter(F.col(low) < F.col(high)).withColumn("band_bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
+    keyed = rows.filter(F.col(value).isNotNull()).withColumn("row_bin", bin_of(value))
     match = (keyed["row_bin"] == binned["band_bin"]) & (keyed[value] >= binned[low]) & (keyed[value] < binned[high])
     return keyed.join(binned, match, "inner").drop("row_bin", "band_bin")
 

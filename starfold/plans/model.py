@@ -367,7 +367,8 @@ def semi_filter(df: DataFrame, other: DataFrame, keys: Sequence[tuple[str, str]]
 def full_join(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
     """Full join of two results with one row per group; null groups meet each other."""
     if not names:
-        return left.join(right, F.lit(True), "full")  # totals: one row on each side
+        totals = left.unionByName(right, allowMissingColumns=True)  # one row on each side
+        return totals.agg(*[F.first(c, ignorenulls=True).alias(c) for c in totals.columns])
     other = right.select(*[F.col(n).alias(f"other_{n}") for n in names], *[c for c in right.columns if c not in names])
     match = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"other_{n}")) for n in names])
     joined = left.join(other, match, "full")

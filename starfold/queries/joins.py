@@ -143,7 +143,7 @@ def join_theta(spark, sf_dir):
     bands = table(spark, sf_dir, "part").groupBy("p_brand").agg(
         F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
     joined = J.band_join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), bands,
-                         "c_acctbal", "low", "high", width=1000)
+                         "c_acctbal", "low", "high")
     return joined.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n_customers"),
                                          F.sum(F.col("c_acctbal").cast("decimal(12,2)")).cast("double").alias("balance"))
 

@@ -1,12 +1,10 @@
 """The demo star, paths through a model, and default aggregates."""
 
-import datetime
-
 import pytest
 from pyspark.sql import functions as F
 
 from starfold.operators.visuals import Visual, visual_frame
-from starfold.plans.model import Measure, Model, Relationship, Table, first_active_edges
+from starfold.plans.model import Measure, Model, Relationship, Table, first_active_edges, with_calculated
 from starfold.queries.retail import RELATIONSHIPS, retail_model
 
 SALES = """2024 1 1 West 125000 74000 250 500 6250
@@ -100,3 +98,21 @@ def test_the_fact_is_folded_before_it_is_joined(spark, sf_dir):
     plan = retail_model(spark, sf_dir).query(["part.p_brand"], ["quantity"])._jdf.queryExecution().optimizedPlan().toString()
     below_join = plan[plan.index("Join"):]
     assert "Aggregate [key_line_part_0" in below_join
+
+
+def test_totals_of_several_facts(spark, sf_dir):
+    model = retail_model(spark, sf_dir)
+    row = model.query((), ["n_lines", "n_events"]).first()
+    assert (row["n_lines"], row["n_events"]) == (model.tables["lineitem"].rows().count(), model.tables["events"].rows().count())
+
+
+def test_output_names_may_be_names_of_other_columns(demo):
+    rows = demo.query([("sales.Region", "Price")], ["Lines", "Avg Unit Price"]).collect()
+    assert {r["Price"]: r["Lines"] for r in rows}["West"] == 4
+
+
+def test_a_calculation_that_is_not_understood_keeps_its_column(demo):
+    df, findings = with_calculated(demo.tables["sales"].rows(),
+                                   {"Region": "nonsense(Region)", "Double": "Quantity * 2"})
+    assert [f["code"] for f in findings] == ["calculation-needs-review"]
+    assert df.select("Region", "Double").first()["Double"] > 0

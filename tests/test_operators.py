@@ -80,9 +80,9 @@ def test_one_to_one_refuses_duplicates(spark):
 
 
 def test_band_join(spark, rows):
-    bands = [(k, float(k) - 1.5, float(k) + 2) for k in range(-3, 12)] + [(50, 3.0, 3.0)]
+    bands = [(k, float(k) - 1.5, float(k) + 2) for k in range(-3, 12)] + [(50, 3.0, 3.0), (51, -1e300, 1e300)]
     values = spark.createDataFrame([r for r in rows if r[2] is not None], "id long, g string, v double")
-    joined = J.band_join(values, spark.createDataFrame(bands, "k long, low double, high double"), "v", "low", "high", 0.7)
+    joined = J.band_join(values, spark.createDataFrame(bands, "k long, low double, high double"), "v", "low", "high")
     expected = sorted((i, k) for i, _, v in rows if v is not None for k, low, high in bands if low <= v < high)
     assert sorted((r["id"], r["k"]) for r in joined.collect()) == expected
 
