@@ -410,9 +410,11 @@ def dashboard_widgets(dashboards: DataFrame) -> DataFrame:
     ids = F.transform("widgets", lambda e, i: F.struct(
         F.lit(1).alias("page_no"), F.lit("Page1").alias("page"), (i + 1).alias("visual_no"), e.getField("key").alias("widget")))
     places = F.when(F.size("places") > 0, F.col("places")).otherwise(ids)
-    rows = docs.select("path", "widgets", F.explode(places).alias("place"))
-    own = F.filter("widgets", lambda e: e.getField("key") == F.col("place.widget"))
-    rows = rows.select("path", "place.*", F.try_element_at(own, F.lit(-1)).getField("value").alias("definition"))
+    own = lambda p: F.filter("widgets", lambda e: e.getField("key") == p.getField("widget"))
+    placed = F.transform(places, lambda p: F.struct(
+        *[p.getField(name).alias(name) for name in ("page_no", "page", "visual_no", "widget")],
+        F.try_element_at(own(p), F.lit(-1)).getField("value").alias("definition")))
+    rows = docs.select("path", F.inline(placed))
     # Places that name no widget are dropped; empty pages stay.
     rows = rows.filter("widget is null or definition is not null")
     kinds = [F.lower(F.regexp_replace(_get(F.col("definition"), f"$.{name}", "string"), "[_\\- ]", ""))

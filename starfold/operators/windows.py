@@ -46,9 +46,9 @@ def running(df: DataFrame, order_by: Sequence[str], totals: Mapping[str, str] |
     """
     totals, counts = totals or {}, counts or {}
     by = [*partition_by, *order_by]
-    if not df.groupBy(*by).count().filter("count > 1").isEmpty():
-        raise ValueError(f"running measures need a unique order; {by} has ties")
     ranged = _in_ranges(df, partition_by, [F.col(c) for c in order_by])
+    if not ranged.groupBy(*by).count().filter("count > 1").isEmpty():
+        raise ValueError(f"running measures need a unique order; {by} has ties")
     sums = {f"before_{n}": F.sum(c) for n, c in totals.items()}
     sums |= {f"before_{n}": F.count(c) for n, c in counts.items()}
     rows = _with_offsets(ranged, _range_offsets(ranged, partition_by, sums), partition_by)

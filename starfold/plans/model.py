@@ -23,7 +23,7 @@ _DIVISOR = re.compile(rf"/\s*([A-Za-z_]\w*|[0-9.]+|{GROUP})")
 
 # Spark SQL of an aggregate over raw rows, and how partial results of it merge.
 _FIRST = {"sum": "sum({})", "count": "count({})", "min": "min({})", "max": "max({})",
-          "distinct": "count(distinct {})", "calculated": "{}"}
+          "distinct": "count(distinct {})", "stddev": "stddev_samp({})", "variance": "var_samp({})", "calculated": "{}"}
 _MERGE = {"sum": "sum({})", "count": "sum({})", "min": "min({})", "max": "max({})"}
 
 
@@ -31,8 +31,9 @@ _MERGE = {"sum": "sum({})", "count": "sum({})", "min": "min({})", "max": "max({}
 class Measure:
     """A named aggregate of one fact table.
 
-    ``aggregate`` is sum, average, min, max, count, countdistinct, rowcount, or calculated, where the
-    expression already is a full aggregate. Arithmetic of columns is aggregated per operand, so
+    ``aggregate`` is sum, average, min, max, count, countdistinct, rowcount, stddev, variance, or
+    calculated, where the expression already is a full aggregate, such as ``approx_count_distinct(x)``.
+    Medians and percentiles of large groups are in ``operators.windows``. Arithmetic of columns is aggregated per operand, so
     ``a / b`` is a ratio of sums; ``per_row`` aggregates the row value instead. Any other row
     expression is aggregated as a whole.
     """
@@ -43,6 +44,10 @@ class Measure:
     expression: str = "1"
     per_row: bool = False
 
+    def __post_init__(self):
+        if self.aggregate not in {"average", "rowcount", "countdistinct", *_FIRST}:
+            raise ValueError(f"measure {self.name}: no aggregate {self.aggregate}")
+
     def operands(self) -> list[str]:
         arithmetic = _ARITHMETIC.fullmatch(_IDENTIFIER.sub("", self.expression))
         names = list(dict.fromkeys(_IDENTIFIER.findall(self.expression)))

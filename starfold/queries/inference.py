@@ -236,14 +236,16 @@ def _part_names(spark, sf_dir):
 
 
 @query(f"""
-    select p_partkey, name, {_TOKENS.replace("'([A-Za-z])([0-9])', '\\1 \\2', 'g')",
-           "'([0-9])([a-z])', '\\1 \\2', 'g')").format('name')} as tokens,
-           case when len(tokens) > 1 and tokens[-1] in {_KEY_LIST} then tokens[:-2] else tokens end as key_base
-    from ({_NAMES_SQL})""")
+    select p_partkey, name, array_to_string(words, ' ') as tokens,
+           array_to_string(case when len(words) > 1 and words[-1] in {_KEY_LIST} then words[:-2] else words end, ' ') as key_base
+    from (select p_partkey, name, {_TOKENS.replace("'([A-Za-z])([0-9])', '\\1 \\2', 'g')",
+           "'([0-9])([a-z])', '\\1 \\2', 'g')").format('name')} as words
+    from ({_NAMES_SQL}))""")
 def name_tokens(spark, sf_dir):
     name = F.col("name")
-    return _part_names(spark, sf_dir).select("p_partkey", "name", N.tokens(name).alias("tokens"),
-                                             N.key_base(name).alias("key_base"))
+    joined = lambda words: F.array_join(words, " ")
+    return _part_names(spark, sf_dir).select("p_partkey", "name", joined(N.tokens(name)).alias("tokens"),
+                                             joined(N.key_base(name)).alias("key_base"))
 
 
 @query(_META + """

@@ -135,13 +135,13 @@ def measure_percentile(spark, sf_dir):
 
 @query(f"select p_brand, round(stddev_samp(l_quantity), 6) as spread {_BY_BRAND}")
 def measure_stddev(spark, sf_dir):
-    df = _by_brand(spark, sf_dir, Measure("spread", "lineitem", "calculated", "stddev_samp(l_quantity)"))
+    df = _by_brand(spark, sf_dir, Measure("spread", "lineitem", "stddev", "l_quantity"))
     return df.withColumn("spread", F.round("spread", 6))
 
 
 @query(f"select p_brand, round(var_samp(l_quantity), 6) as variance {_BY_BRAND}")
 def measure_variance(spark, sf_dir):
-    df = _by_brand(spark, sf_dir, Measure("variance", "lineitem", "calculated", "var_samp(l_quantity)"))
+    df = _by_brand(spark, sf_dir, Measure("variance", "lineitem", "variance", "l_quantity"))
     return df.withColumn("variance", F.round("variance", 6))
 
 
