@@ -8,7 +8,7 @@ only. JSON is read as variants, which tolerate missing and oddly typed fields.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -361,37 +361,43 @@ _PLACES = T.ArrayType(T.StructType([
     T.StructField("visual_no", T.IntegerType()), T.StructField("widget", T.StringType())]))
 
 
-def _widget_places(layout: dict) -> list[tuple]:
-    """Widgets of one layout, by page, in order. Top-level containers are pages; deeper ones just nest."""
-    items = layout.get("items")
-    top = [i for i in items if isinstance(i, dict)] if isinstance(items, list) else []
-    if not top:
-        return []
-    pages = top if any(isinstance(i.get("items"), list) for i in top) else [layout]
-    places = []
-    for number, page in enumerate(pages, 1):
-        label = next((str(page[k]) for k in ("name", "title", "label") if page.get(k)), f"Page{number}")
-        stack = [i for i in reversed(page["items"] if isinstance(page.get("items"), list) else []) if isinstance(i, dict)]
-        position = 0
-        while stack:
-            node = stack.pop()
-            nested = node.get("items")
-            if isinstance(nested, list) and nested:
-                stack.extend(i for i in reversed(nested) if isinstance(i, dict))
-            elif node.get("id"):
-                position += 1
-                places.append((number, " ".join(label.split()) or "Unnamed", position, str(node["id"])))
-        if position == 0:
-            places.append((number, " ".join(label.split()) or "Unnamed", None, None))
-    return places
-
-
-@F.pandas_udf(_PLACES)
-def _layout_places(layouts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Layouts nest to any depth, which no fixed schema can follow."""
-    for batch in layouts:
-        parsed = (json.loads(text) if text else None for text in batch)
-        yield pd.Series([_widget_places(layout) if isinstance(layout, dict) else [] for layout in parsed], dtype=object)
+def _layout_places() -> Callable:
+    """Places of the widgets of a layout. Layouts nest to any depth, which no fixed schema can follow.
+
+    Everything the workers run is defined in here, so that they need nothing but pandas.
+    """
+
+    def widget_places(layout: dict) -> list[tuple]:
+        """Widgets of one layout, by page, in order. Top-level containers are pages; deeper ones just nest."""
+        items = layout.get("items")
+        top = [i for i in items if isinstance(i, dict)] if isinstance(items, list) else []
+        if not top:
+            return []
+        pages = top if any(isinstance(i.get("items"), list) for i in top) else [layout]
+        places = []
+        for number, page in enumerate(pages, 1):
+            label = next((str(page[k]) for k in ("name", "title", "label") if page.get(k)), f"Page{number}")
+            stack = [i for i in reversed(page["items"] if isinstance(page.get("items"), list) else []) if isinstance(i, dict)]
+            position = 0
+            while stack:
+                node = stack.pop()
+                nested = node.get("items")
+                if isinstance(nested, list) and nested:
+                    stack.extend(i for i in reversed(nested) if isinstance(i, dict))
+                elif node.get("id"):
+                    position += 1
+                    places.append((number, " ".join(label.split()) or "Unnamed", position, str(node["id"])))
+            if position == 0:
+                places.append((number, " ".join(label.split()) or "Unnamed", None, None))
+        return places
+
+    @F.pandas_udf(_PLACES)
+    def layout_places(layouts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in layouts:
+            parsed = (json.loads(text) if text else None for text in batch)
+            yield pd.Series([widget_places(layout) if isinstance(layout, dict) else [] for layout in parsed], dtype=object)
+
+    return layout_places
 
 
 def dashboard_widgets(dashboards: DataFrame) -> DataFrame:
@@ -406,7 +412,7 @@ def dashboard_widgets(dashboards: DataFrame) -> DataFrame:
         F.coalesce(_get(w, "$.id", "string"), i.cast("string")).alias("key"), w.alias("value")))
     widgets = F.filter(F.coalesce(by_id, numbered), lambda e: F.schema_of_variant(e.getField("value")).startswith("OBJECT"))
     layout = F.to_json(_get(F.col("doc"), "$.layout", "variant"))
-    docs = docs.select("path", widgets.alias("widgets"), _layout_places(layout).alias("places"))
+    docs = docs.select("path", widgets.alias("widgets"), _layout_places()(layout).alias("places"))
     ids = F.transform("widgets", lambda e, i: F.struct(
         F.lit(1).alias("page_no"), F.lit("Page1").alias("page"), (i + 1).alias("visual_no"), e.getField("key").alias("widget")))
     places = F.when(F.size("places") > 0, F.col("places")).otherwise(ids)

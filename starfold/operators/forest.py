@@ -32,30 +32,31 @@ def forest(pairs: DataFrame, sweep_limit: int = SWEEP_LIMIT) -> DataFrame:
 
 
 def _sweep(pairs: DataFrame) -> DataFrame:
+    """Rows sorted by model and sequence, in one pass. Defined in here so that workers need only pandas."""
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by model and sequence; only the current model's tables are held."""
+        model, leader = None, {}
+
+        def find(table):
+            while leader.get(table, table) != table:
+                leader[table] = leader.get(leader[table], leader[table])
+                table = leader[table]
+            return table
+
+        for batch in batches:
+            kept = []
+            for model_id, a, b in zip(batch["model_id"], batch["a"], batch["b"]):
+                if model_id != model:
+                    model, leader = model_id, {}
+                a, b = find(a), find(b)
+                kept.append(a != b)
+                if a != b:
+                    leader[a] = b
+            yield batch.assign(in_forest=kept)
+
     schema = pairs.withColumn("in_forest", F.lit(True)).schema
-    return pairs.repartition("model_id").sortWithinPartitions("model_id", "seq").mapInPandas(_sweep_batches, schema)
-
-
-def _sweep_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by model and sequence; only the current model's tables are held."""
-    model, leader = None, {}
-
-    def find(table):
-        while leader.get(table, table) != table:
-            leader[table] = leader.get(leader[table], leader[table])
-            table = leader[table]
-        return table
-
-    for batch in batches:
-        kept = []
-        for model_id, a, b in zip(batch["model_id"], batch["a"], batch["b"]):
-            if model_id != model:
-                model, leader = model_id, {}
-            a, b = find(a), find(b)
-            kept.append(a != b)
-            if a != b:
-                leader[a] = b
-        yield batch.assign(in_forest=kept)
+    return pairs.repartition("model_id").sortWithinPartitions("model_id", "seq").mapInPandas(sweep, schema)
 
 
 def _contract(pairs: DataFrame) -> DataFrame:

@@ -22,7 +22,10 @@ class ParquetSource:
 
 @dataclass(frozen=True)
 class JdbcSource:
-    """Database behind a JDBC url. Give ``partition`` to read a table with many tasks."""
+    """Database behind a JDBC url. Give ``partition`` to read a table with many tasks.
+
+    Fixed values: the default server, database and schema.
+    """
 
     server: str = "localhost"
     database: str = "AdventureWorks"
