@@ -4,8 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
-
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from starfold.queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
