@@ -114,15 +114,16 @@ def encode(docs: DataFrame, definition: str, pattern: str, *, id_column: str = "
     ``pattern`` that of its pre-tokens; letters and numbers are those that tiktoken knows.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((definition, character_classes(tiktoken_joins(pattern))))  # a vocabulary and a fixed table
+    # A vocabulary and a fixed table. Each worker process keeps its copy, and its encoder in it, from task to task.
+    shared = spark.sparkContext.broadcast({"arguments": (definition, character_classes(tiktoken_joins(pattern)))})
     rows = docs.select(F.col(id_column), F.col(text_column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sizes = None, None
+        own = shared.value
+        if "encoder" not in own:
+            own["encoder"] = Encoder(*own["arguments"])
+        encoder, sizes = own["encoder"], byte_sizes(own["arguments"][0]) if offsets else None
         for batch in chunks(batches, "text"):
-            if encoder is None:
-                encoder = Encoder(*shared.value)
-                sizes = byte_sizes(shared.value[0]) if offsets else None
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids, ends = encoder.ids(texts)
             columns = {id_column: batch.column(0), "ids": ragged(ids, ends, pa.int32())}

@@ -118,13 +118,16 @@ def count_tokens(docs: DataFrame, definition: str, *, limit: int = 1024, id_colu
     rows come back as they are; an empty table gives an empty result; other columns are left out.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((definition, character_classes(tokenizers_joins(definition))))
+    # A vocabulary and a fixed table. Each worker process keeps its copy, and its counter in it, from task to task.
+    shared = spark.sparkContext.broadcast({"arguments": (definition, character_classes(tokenizers_joins(definition)))})
     rows = docs.select(F.col(id_column), F.col(text_column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = None
+        own = shared.value
+        if "counter" not in own:
+            own["counter"] = Counter(*own["arguments"])
+        counter = own["counter"]
         for batch in chunks(batches, "text"):
-            counter = counter or Counter(*shared.value)
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({
                 id_column: batch.column(0), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()),

@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ LETTER, NUMBER, OTHER, SPACE, END = range(5)
 # The characters with Unicode's White_Space property.
 _WHITE_SPACE = [(0x9, 0xD), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
                 (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
-_MEMO_LIMIT = 1_000_000
+_MEMO_LIMIT = 2_000_000
 
 
 def character_classes(joins: Callable[[str, list[str]], list[bool]] | None = None) -> np.ndarray:
@@ -126,7 +127,7 @@ class Splitter:
 
 
 class Memo:
-    """The symbols of each distinct pre-token, found once by ``encode`` for as many texts as a task reads.
+    """The symbols of each distinct pre-token, found once by ``encode`` for as many texts as a worker reads.
 
     It is emptied when it holds ``limit`` entries, so its memory is bounded; nothing depends on what it holds.
     """
@@ -136,36 +137,35 @@ class Memo:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.known, self.slot_of = np.empty(0, np.uint64), np.empty(0, np.int64)  # hashes in order, and their slots
         self.flat, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def look_up(self, found: PreTokens) -> np.ndarray:
         """The slot of each pre-token."""
-        if len(self.slots) > self.limit:
+        if len(self.known) > self.limit:
             self._clear()
         codes, distinct = pd.factorize(found.hashes)
-        wanted = distinct.tolist()
-        slots = self.slots
-        new = [i for i, h in enumerate(wanted) if h not in slots]
-        if new:
+        at = np.searchsorted(self.known, distinct)
+        here = np.flatnonzero(at < len(self.known))
+        fresh = np.ones(len(distinct), bool)
+        fresh[here] = self.known[at[here]] != distinct[here]
+        new = np.flatnonzero(fresh)
+        if len(new):
             where = np.empty(len(distinct), np.int64)
             where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            joined, at = found.joined, where[new]
-            lists = self.encode([joined[s:e] for s, e in zip(found.starts[at].tolist(), found.ends[at].tolist())])
+            joined, place = found.joined, where[new]
+            lists = self.encode([joined[s:e] for s, e in zip(found.starts[place].tolist(), found.ends[place].tolist())])
             counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            for i in new:
-                slots[wanted[i]] = len(slots)
+            flat = np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum()))
+            self.known = np.concatenate([self.known, distinct[new]])
+            self.slot_of = np.concatenate([self.slot_of, len(self.counts) + np.arange(len(new))])
+            order = np.argsort(self.known, kind="stable")
+            self.known, self.slot_of = self.known[order], self.slot_of[order]
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
             self.counts = np.concatenate([self.counts, counts])
-            self.flat = np.concatenate([self.flat, *(np.asarray(x, np.int32) for x in _grouped(lists))])
-        return np.fromiter((slots[h] for h in wanted), np.int64, len(wanted))[codes] if len(codes) else codes
+            self.flat = np.concatenate([self.flat, flat])
+            at = np.searchsorted(self.known, distinct)
+        return self.slot_of[at][codes] if len(codes) else np.empty(0, np.int64)
 
     def symbols(self, slots: np.ndarray) -> np.ndarray:
         return self.flat[gather(self.starts[slots], self.counts[slots])]
-
-
-def _grouped(lists):
-    flat = []
-    for x in lists:
-        flat.extend(x)
-    return [flat]

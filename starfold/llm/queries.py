@@ -66,3 +66,57 @@ def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starfold.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH v AS (
+  SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(coalesce(list_sum([coalesce(q.v[i], 0) * coalesce(c.v[i], 0)
+      FOR i IN range(1, greatest(len(q.v), len(c.v)) + 1)]), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors by integer inner product, for every vector whose id is divisible by 50."""
+    from starfold.llm.search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("""
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+                  sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(CASE WHEN payload_bytes >= 1000 THEN page_id END) OVER (PARTITION BY payload_digest) AS first_page
+      FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first_page THEN first_page END AS refers_to
+FROM m
+""")
+def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to ZIP packages of WARC records and read back by range."""
+    from starfold.llm.scratch import Scratch
+    from starfold.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"), Scratch(spark, "warc").path("packages"))
+
+
+@query()
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids packed into rows of 2,048, written, and read back: each segment's place and checksum."""
+    import public_tokenizers
+
+    from starfold.llm import bpe, packing
+    from starfold.llm.scratch import Scratch
+
+    definition = bpe.model_json(bpe.read_ranks(tokenizer_path("byte_bpe_50k.tiktoken")))
+    path = Scratch(spark, "packing").path("rows")
+    packing.write(packing.pack(table(spark, sf_dir, "documents"), definition, public_tokenizers.PATTERN), path)
+    found = packing.segments(packing.read(spark, path))
+    return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
