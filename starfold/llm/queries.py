@@ -60,6 +60,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return count_tokens(table(spark, sf_dir, "documents"), definition.read())
 
 
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic each document is. Labels are learned from the rows that are not held out."""
+    from starfold.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out("doc_id")))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "worst_score",
+                         "worst_start", "worst_end")
+
+
 @query()
 def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near-duplicates that each document belongs to."""
@@ -107,6 +119,23 @@ def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"), Scratch(spark, "warc").path("packages"))
 
 
+@query()
+def op8_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of each document by its text and by its page, and by both."""
+    from starfold.llm import quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.fit(docs, labels))
+
+
+@query()
+def op9_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that a document shares with another, changed words allowed."""
+    from starfold.llm.substring import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids packed into rows of 2,048, written, and read back: each segment's place and checksum."""

@@ -27,13 +27,14 @@ class Words:
     starts: np.ndarray  # bytes from the start of all texts
     ends: np.ndarray
     text_starts: np.ndarray
+    raw: np.ndarray  # the bytes of all texts, in lower case
 
     @property
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, and where each starts, and their end. Null counts as empty."""
     texts = pc.fill_null(texts, "")
     if not len(texts):
@@ -59,11 +60,16 @@ class WordSplitter:
     def __init__(self) -> None:
         self.range_hash = RangeHash()
 
+    @staticmethod
+    def values(raw: np.ndarray) -> np.ndarray:
+        """What the bytes count as in a range hash."""
+        return _VALUE[raw]
+
     def __call__(self, texts: pa.Array) -> Words:
-        raw, text_starts = _bytes(pc.utf8_lower(pc.fill_null(texts, "")))
+        raw, text_starts = text_bytes(pc.utf8_lower(pc.fill_null(texts, "")))
         starts, ends = word_places(raw, text_starts)
         hashes = self.range_hash(_VALUE[raw], starts, ends)
-        return Words(hashes, np.searchsorted(starts, text_starts), starts, ends, text_starts)
+        return Words(hashes, np.searchsorted(starts, text_starts), starts, ends, text_starts, raw)
 
 
 def places_in(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
