@@ -169,8 +169,8 @@ def decode(encoded: DataFrame, definition: str, *, id_column: str = "doc_id", id
         sizes = np.fromiter(map(len, table), np.int64, len(table))
         starts = np.cumsum(sizes) - sizes
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
                 lists = batch.column(len(names))
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
                 raw = flat[gather(starts[ids], sizes[ids])].tobytes()
