@@ -198,17 +198,36 @@ def _chained(table: np.ndarray) -> pa.RecordBatch:
     starts, others, sizes = q[at].tolist(), r[at].tolist(), size.tolist()
     for s, e in zip(pair.tolist(), pair_end.tolist()):
         segments = list(zip(starts[s:e], others[s:e], sizes[s:e]))
-        for linked in [[0]] if e - s == 1 else chain(segments):
-            first, last = segments[linked[0]], segments[linked[-1]]
-            if last[0] + last[2] - first[0] >= _CHAIN_WORDS:
-                found["key"].append(int(key[at[s]]))
-                found["other"].append(int(other[at[s]]))
-                for i, name in enumerate(("q", "r", "size")):
-                    found[name].append([segments[x][i] for x in linked])
+        linked = [[0]] if e - s == 1 else chain(segments)
+        linked = [x for x in linked if segments[x[-1]][0] + segments[x[-1]][2] - segments[x[0]][0] >= _CHAIN_WORDS]
+        for x in linked + _periodic(segments, linked):
+            found["key"].append(int(key[at[s]]))
+            found["other"].append(int(other[at[s]]))
+            for i, name in enumerate(("q", "r", "size")):
+                found[name].append([segments[y][i] for y in x])
     kinds = {"key": pa.int64(), "other": pa.int64()}
     return pa.RecordBatch.from_pydict({n: pa.array(v, kinds.get(n, pa.list_(pa.int32()))) for n, v in found.items()})
 
 
+def _periodic(segments: list[tuple[int, int, int]], linked: list[list[int]]) -> list[list[int]]:
+    """The first segment of each stretch that is covered without being chained, as one chain.
+
+    Where few words repeat over and over, all places match the same few of the other document, and none are in order.
+    Alignment extends the first of them as far as both documents go on.
+    """
+    found, covered, i = [], sorted(segments[x[0]][0] for x in linked), 0
+    while i < len(segments):
+        j, end = i, segments[i][0] + segments[i][2]
+        while j + 1 < len(segments) and segments[j + 1][0] <= end:
+            j += 1
+            end = max(end, segments[j][0] + segments[j][2])
+        at = bisect_right(covered, segments[i][0] - 1)
+        if end - segments[i][0] >= _CHAIN_WORDS and not (at < len(covered) and covered[at] < end):
+            found.append([i])
+        i = j + 1
+    return found
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence of two short sequences."""
     if not len(a) or not len(b):
