@@ -15,11 +15,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from starfold.llm.arrow import chunks, lengths
+from starfold.llm.arrow import bounded_batches, chunks, lengths
 from starfold.llm.hashing import RangeHash, mix
 from starfold.llm.words import WordSplitter, shingles, text_bytes
 
-LABELLED_ROWS, POOL_ROWS = 6_000, 4_000
+LABELLED_ROWS, POOL_ROWS = 5_000, 2_500
 ROUNDS, SURE = 4, 0.95
 TRIGRAMS, LANGUAGES, SOURCES = 1024, 16, 64
 _STEPS, _RATE, _DECAY = 200, 0.05, 1e-4
@@ -51,7 +51,7 @@ def _descend(features: np.ndarray, labels: np.ndarray, decay: float, steps: int)
     theta, bias = np.zeros(features.shape[1]), 0.0
     first, second = np.zeros(len(theta) + 1), np.zeros(len(theta) + 1)
     for step in range(1, steps + 1):
-        error = labels - _sigmoid(features @ theta + bias)
+        error = (labels - _sigmoid(features @ theta.astype(features.dtype) + bias)).astype(features.dtype)
         gradient = np.append(features.T @ error / len(labels) - decay * theta, error.mean())
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient ** 2
         move = _RATE * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8)
@@ -62,7 +62,7 @@ def _descend(features: np.ndarray, labels: np.ndarray, decay: float, steps: int)
 def learn(features: np.ndarray, labels: np.ndarray) -> View:
     mean, deviation = features.mean(axis=0), features.std(axis=0)
     scale = np.where(deviation > 1e-6, 1 / np.maximum(deviation, 1e-6), 0.0)
-    weights, bias = _descend((features - mean) * scale, labels, _DECAY, _STEPS)
+    weights, bias = _descend(((features - mean) * scale).astype(np.float32), labels, _DECAY, _STEPS)
     return View(mean, scale, weights, bias)
 
 
@@ -184,6 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROW
     Labels that contradict themselves count as what most rows say, and not at all where they are even. The features of
     the sample reach the driver: a fixed number for each of a fixed number of rows.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(id_column).alias("labelled"), F.col(label_column).cast("double").alias("y")).dropna()
     known = known.groupBy("labelled").agg(F.avg("y").alias("y")).filter("y <> 0.5")
     rows = _rows(docs, id_column, text_column).filter(F.col("id").isNotNull())
@@ -208,11 +209,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROW
     found = sample.toArrow().sort_by([("id", "ascending"), ("features", "ascending")])
     if not found.num_rows:
         return None
-    both = np.stack([np.frombuffer(f, np.float32) for f in found["features"].to_pylist()])
     width = found["text_width"][0].as_py()
-    order = np.random.default_rng(0).permutation(len(both))
-    return co_train(both[order, :width].astype(np.float64), both[order, width:].astype(np.float64),
-                    found["label"].to_numpy()[order])
+    order = np.random.default_rng(0).permutation(found.num_rows)
+    column = found["features"].combine_chunks()
+    both = np.frombuffer(column.buffers()[2], np.float32).reshape(found.num_rows, -1)[order]
+    return co_train(both[:, :width], both[:, width:], found["label"].to_numpy()[order])
 
 
 def score(docs: DataFrame, views: tuple[View, View] | None, *, threshold: float = 0.5, id_column: str = "doc_id",
@@ -224,6 +225,7 @@ def score(docs: DataFrame, views: tuple[View, View] | None, *, threshold: float
     empty, a missing language or source as null. Null ids and repeated rows come back as they are, and an empty table
     gives an empty result. Of the other columns, those in ``keep`` stay.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(views)  # a fixed number of weights
     rows = _rows(docs, id_column, text_column, *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
 
