@@ -33,6 +33,7 @@ COMMON = 0.1  # words in a larger share of all passages have no weight
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.5
 _SCALES = (3, 6, 12, 24, 48)
 _LINE = 1 << 32
+_BROADCAST_ROWS = 200_000
 
 
 @dataclass
@@ -397,3 +398,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, components: int = COMPONENTS
     for part in parts[1:]:
         found = found.unionByName(part)
     return found
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item. ``options`` are those of ``leaks``."""
+    scratch = Scratch(docs.sparkSession, "decontam-rows")
+    key = document_key(docs, options.get("id_column", "doc_id"), options.get("text_column", "text"))
+    found = scratch.write(leaks(docs, benchmark, **options).select(F.col("key").alias("leak_key")).distinct(), "keys")
+    if found.count() <= _BROADCAST_ROWS:  # else both sides are shuffled
+        found = F.broadcast(found)
+    return docs.join(found, key == F.col("leak_key"), "left_anti")

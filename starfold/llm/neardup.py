@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from starfold.llm.arrow import chunks, ragged
+from starfold.llm.arrow import bounded_batches, chunks, ragged
 from starfold.llm.graph import components
 from starfold.llm.hashing import RangeHash, mix
 from starfold.llm.scratch import Scratch
@@ -156,32 +156,24 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_column: str,
     return found.select("node", "text").dropDuplicates(["node"])
 
 
-def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, id_column: str = "doc_id",
-                    text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id and ``class_id``, the smallest id of its group of near-duplicates.
-
-    Groups are the connected parts of the graph of all verified candidate pairs. Documents of equal shingles are one
-    node. In each bucket all nodes are compared with the smallest; then, where members of a bucket are still in
-    different groups, members of different groups are compared, in large buckets by matrix products over blocks. So no
-    comparison is left out that could join two groups, and a bucket of copies costs as many as it has members.
-
-    Texts without words, null and empty ones among them, are alike where they are equal. Null ids stay null and do
-    not become a class id; a group of only null ids has a null class. Repeated rows come back repeated. An empty
-    table gives an empty result; other columns are left out.
-    """
-    scratch = Scratch(docs.sparkSession, "neardup")
+def _classified(docs: DataFrame, similarity: float, id_column: str, text_column: str) -> DataFrame:
+    """``id``, ``text_hash``, ``class_id``, and ``place`` of the class: whether its id is null, its id and hash."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    scratch = Scratch(spark, "neardup")
     marked = scratch.write(signatures(docs, id_column, text_column), "signatures")
+    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")
     nodes = scratch.write(
-        marked.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("place"), F.min("id").alias("least"),
-                                   F.first("bands").alias("bands"))
-        .select("node", "place.id", "place.text_hash", "least", "bands"), "nodes")
+        marked.groupBy("node").agg(F.min(place).alias("place"), F.min("id").alias("least"), F.first("bands").alias("bands")),
+        "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = scratch.write(members.join(buckets.select("bucket", "head"), "bucket"), "members")
     pairs = scratch.write(members.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
                           .distinct(), "pairs")
     wanted = members.select("node").distinct()
-    texts = scratch.write(_texts(docs, nodes, wanted, id_column, text_column), "texts")
+    texts = scratch.write(_texts(docs, nodes.select("node", "place.id", "place.text_hash"), wanted, id_column, text_column),
+                          "texts")
     links = scratch.write(_verify(pairs, texts, similarity), "links")
     roots = components(links, scratch)
     mixed = scratch.write(_mixed(members, roots), "mixed")
@@ -190,11 +182,51 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, id_colum
     if not more.isEmpty():
         roots = components(links.unionByName(more), scratch)
     scratch.drop(members, pairs, texts, links, mixed, more)
-    classes = nodes.select("node", "least").join(roots, "node", "left").select(
-        "node", "least", F.coalesce("root", "node").alias("root"))
-    least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = classes.join(least, "root").select("node", "class_id")
-    return marked.select("id", "node").join(classes, "node").select(F.col("id").alias(id_column), "class_id")
+    classes = nodes.select("node", "least", "place").join(roots, "node", "left").select(
+        "node", "least", "place", F.coalesce("root", "node").alias("root"))
+    least = classes.groupBy("root").agg(F.min("least").alias("class_id"), F.min("place").alias("place"))
+    classes = classes.select("node", "root").join(least, "root").select("node", "class_id", "place")
+    return marked.select("id", "text_hash", "node").join(classes, "node")
+
+
+def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, id_column: str = "doc_id",
+                    text_column: str = "text") -> DataFrame:
+    """One row per row of ``docs``: its id and ``class_id``, the smallest id of its group of near-duplicates.
+
+    Groups are the connected parts of the graph of all verified candidate pairs. Documents of equal shingles are one
+    node. In each bucket all nodes are compared with the smallest; then, where members of a bucket are still in
+    different groups, members of different groups are compared, in large buckets by matrix products over blocks. So no
+    comparison is left out that could join two groups, and a bucket of copies costs as many as it has members.
+
+    Texts without words, null and empty ones among them, are alike where they are equal. Null ids stay null and do
+    not become a class id; a group of only null ids has a null class. Repeated rows come back repeated. An empty
+    table gives an empty result; other columns are left out.
+    """
+    found = _classified(docs, similarity, id_column, text_column)
+    return found.select(F.col("id").alias(id_column), "class_id")
+
+
+def first_of_each(docs: DataFrame, *, similarity: float = SIMILARITY, id_column: str = "doc_id",
+                  text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the smallest id, null last. All columns stay.
+
+    Of rows that share id and text, one stays too.
+    """
+    scratch = Scratch(docs.sparkSession, "neardup-rows")
+    found = _classified(docs, similarity, id_column, text_column)
+    own = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")
+    rows = scratch.write(found.groupBy("id", "text_hash", (own == F.col("place")).alias("is_first")).agg(
+        F.count(F.lit(1)).alias("n")).select(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash"), "is_first", "n"),
+        "rows")
+    others, repeated = rows.filter(~F.coalesce("is_first", F.lit(False))), rows.filter("is_first and n > 1")
+    if others.count() <= _BROADCAST_ROWS:  # else both sides are shuffled
+        others = F.broadcast(others)
+    match = F.col(id_column).eqNullSafe(F.col("of_id")) & (F.xxhash64(F.col(text_column)) == F.col("of_hash"))
+    kept = docs.join(others, match, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, match, "left_semi").dropDuplicates([id_column, text_column])
+    return kept.join(repeated, match, "left_anti").unionByName(once)
 
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from starfold.llm.words import WordSplitter, shingles, text_bytes
 
 LABELLED_ROWS, POOL_ROWS = 5_000, 2_500
 ROUNDS, SURE = 4, 0.95
+THRESHOLD = 0.65
 TRIGRAMS, LANGUAGES, SOURCES = 1024, 16, 64
 _STEPS, _RATE, _DECAY = 200, 0.05, 1e-4
 
@@ -216,12 +217,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROW
     return co_train(both[:, :width], both[:, width:], found["label"].to_numpy()[order])
 
 
-def score(docs: DataFrame, views: tuple[View, View] | None, *, threshold: float = 0.5, id_column: str = "doc_id",
+def score(docs: DataFrame, views: tuple[View, View] | None, *, threshold: float = THRESHOLD, id_column: str = "doc_id",
           text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: its id, ``text_score`` and ``page_score`` of the two views, ``score`` of both (0 to 1,
     higher is better) and ``good`` (1 from ``threshold`` on).
 
-    Without views, as where labels are of one kind only, all scores are 0.5 and all documents good. A null text counts as
+    Without views, as where labels are of one kind only, all scores are 0.5 and all documents are good. A null text counts as
     empty, a missing language or source as null. Null ids and repeated rows come back as they are, and an empty table
     gives an empty result. Of the other columns, those in ``keep`` stay.
     """
@@ -244,5 +245,5 @@ def score(docs: DataFrame, views: tuple[View, View] | None, *, threshold: float
     more = "".join(f", kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     scored = rows.mapInArrow(run, f"id {kind}, text_score double, page_score double, score double{more}")
     return scored.select(F.col("id").alias(id_column), "text_score", "page_score", "score",
-                         (F.col("score") >= threshold).cast("int").alias("good"),
+                         (F.col("score") >= threshold if views else F.lit(True)).cast("int").alias("good"),
                          *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])

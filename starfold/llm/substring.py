@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from starfold.llm.arrow import chunks
+from starfold.llm.arrow import bounded_batches, chunks
 from starfold.llm.hashing import RangeHash, mix
 from starfold.llm.scratch import Scratch
 from starfold.llm.words import WordSplitter, places_in
@@ -32,8 +32,17 @@ _LAST = np.uint64((1 << 64) - 1)
 
 
 def document_key(docs: DataFrame, id_column: str, text_column: str) -> Column:
-    """64 bits of id and text: equal rows are one document, whatever their number; null ids need no care."""
-    return F.xxhash64(F.col(id_column).cast("string"), F.col(text_column))
+    """64 bits of id and text: equal rows are one document, whatever their number, and null ids need no care.
+
+    Whole numbers below 2**47 keep their order, with 16 bits of the text behind them, so of two documents the one with
+    the smaller id has the smaller key; all other ids come after, as hashes.
+    """
+    hashed = F.shiftrightunsigned(F.xxhash64(F.col(id_column).cast("string"), F.col(text_column)), 1)
+    if docs.schema[id_column].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        return hashed
+    number = F.col(id_column).cast("long")
+    ordered = F.shiftleft(number, 16).bitwiseOR(F.xxhash64(F.col(text_column)).bitwiseAND(F.lit(0xFFFF).cast("long")))
+    return F.when(number.between(0, (1 << 47) - 1), ordered.bitwiseOR(F.lit(-1 << 63))).otherwise(hashed)
 
 
 def winnow(grams: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
@@ -289,6 +298,7 @@ def passages(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, i
              id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Passages of ``key`` that ``other`` has too, by characters: ``start``, ``end``, ``other_start``, ``other_end``, and
     ``n_words`` and ``identity``. ``other`` is always the document with the smaller key."""
+    bounded_batches(docs.sparkSession)
     found = scratch.write(seeds(docs, id_column, text_column), "seeds")
     linked = scratch.write(chains(anchors(found)), "chains")
     scratch.drop(found)
