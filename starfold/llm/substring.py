@@ -24,7 +24,7 @@ from starfold.llm.words import WordSplitter, places_in
 K, WINDOW = 6, 12  # every run of 17 equal words shares a seed
 MIN_WORDS, IDENTITY = 50, 0.8
 _CHAIN_WORDS = 14
-_GAP_COST = 0.25
+_GAP_COST = 0.1
 _GAP_WORDS = 64
 _DROP = 12
 _BROADCAST_ROWS = 200_000
