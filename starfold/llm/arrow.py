@@ -7,8 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 CHUNK_BYTES = 1_000_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let the session send at most ``rows`` rows at once to Python. Texts are long, and a batch is held in full."""
+    if int(spark.conf.get(_BATCH_ROWS)) > rows:
+        spark.conf.set(_BATCH_ROWS, rows)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

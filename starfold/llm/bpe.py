@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from starfold.llm.arrow import chunks, gather, ragged
+from starfold.llm.arrow import bounded_batches, chunks, gather, ragged
 from starfold.llm.pretokens import Memo, Splitter, character_classes, tiktoken_joins
 
 
@@ -79,8 +80,11 @@ class Encoder:
         self.memo = Memo(self._encode)
 
     def _encode(self, pieces: list[str]) -> list[list[int]]:
-        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [e.ids for e in encoded]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
+        found = []
+        for at in range(0, len(pieces), 5000):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at:at + 5000], add_special_tokens=False)]
+        return found
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the end of each text in them."""
@@ -114,6 +118,7 @@ def encode(docs: DataFrame, definition: str, pattern: str, *, id_column: str = "
     ``pattern`` that of its pre-tokens; letters and numbers are those that tiktoken knows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     # A vocabulary and a fixed table. Each worker process keeps its copy, and its encoder in it, from task to task.
     shared = spark.sparkContext.broadcast({"arguments": (definition, character_classes(tiktoken_joins(pattern)))})
     rows = docs.select(F.col(id_column), F.col(text_column).alias("text"))
@@ -151,36 +156,69 @@ def byte_sizes(definition: str) -> np.ndarray:
     return np.fromiter(map(len, token_bytes(definition)), np.int64)
 
 
+class Decoder:
+    """The bytes of ids. Bytes are joined before anything reads them as text, so characters split over ids are whole."""
+
+    def __init__(self, table: list[bytes]) -> None:
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.sizes = np.fromiter(map(len, table), np.int64, len(table))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def __call__(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """One value for each list of ids. ``ends`` are the ends of the lists in ``ids``."""
+        sizes = self.sizes[ids]
+        raw = self.flat[gather(self.starts[ids], sizes)].tobytes()
+        edges = [0, *np.concatenate([[0], np.cumsum(sizes)])[ends].tolist()]
+        return [raw[a:b] for a, b in zip(edges, edges[1:])]
+
+
 def decode(encoded: DataFrame, definition: str, *, id_column: str = "doc_id", ids_column: str = "ids",
            keep: tuple[str, ...] = ()) -> DataFrame:
     """Add ``decoded`` binary, the bytes of all ids of a row. Null ids give null, no ids empty bytes.
 
-    Bytes are joined before anything reads them as text, so characters split over ids are whole again; an id
-    outside the vocabulary is an error. Of the other columns, those in ``keep`` stay.
+    Characters split over ids are whole again; an id outside the vocabulary is an error. Of the other columns, those in
+    ``keep`` stay.
     """
     spark = encoded.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(token_bytes(definition))
     names = [id_column, *keep]
     rows = encoded.select(*names, F.col(ids_column).alias("ids_to_decode"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        flat = np.frombuffer(b"".join(table), np.uint8)
-        sizes = np.fromiter(map(len, table), np.int64, len(table))
-        starts = np.cumsum(sizes) - sizes
+        decoder = Decoder(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
                 lists = batch.column(len(names))
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
-                raw = flat[gather(starts[ids], sizes[ids])].tobytes()
-                counts = np.asarray(lists.value_lengths().fill_null(0))
-                ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.cumsum(counts)]
-                edges = [0, *ends.tolist()]
+                ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))
                 valid = lists.is_valid().to_pylist()
-                decoded = [raw[a:b] if ok else None for a, b, ok in zip(edges, edges[1:], valid)]
+                decoded = [d if ok else None for d, ok in zip(decoder(ids, ends), valid)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(decoded, pa.binary())],
                                                  names=[*names, "decoded"])
 
     schema = ", ".join(f"`{n}` {encoded.schema[n].dataType.simpleString()}" for n in names)
     return rows.mapInArrow(run, f"{schema}, decoded binary")
+
+
+def round_trip(docs: DataFrame, definition: str, pattern: str, *, id_column: str = "doc_id", text_column: str = "text"
+               ) -> DataFrame:
+    """``encode`` and ``decode`` in one worker: the id, ``ids``, and ``decoded``, the bytes that the ids stand for."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    # As in ``encode``.
+    shared = spark.sparkContext.broadcast({"arguments": (definition, character_classes(tiktoken_joins(pattern)))})
+    rows = docs.select(F.col(id_column), F.col(text_column).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        if "encoder" not in own:
+            own["encoder"], own["decoder"] = Encoder(*own["arguments"]), Decoder(token_bytes(own["arguments"][0]))
+        for batch in chunks(batches, "text"):
+            ids, ends = own["encoder"].ids([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_pydict({id_column: batch.column(0), "ids": ragged(ids, ends, pa.int32()),
+                                              "decoded": pa.array(own["decoder"](ids, ends), pa.binary())})
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, decoded binary")

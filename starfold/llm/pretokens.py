@@ -21,7 +21,7 @@ LETTER, NUMBER, OTHER, SPACE, END = range(5)
 # The characters with Unicode's White_Space property.
 _WHITE_SPACE = [(0x9, 0xD), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
                 (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
-_MEMO_LIMIT = 1_000_000
+_MEMO_LIMIT = 500_000
 
 
 def character_classes(joins: Callable[[str, list[str]], list[bool]] | None = None) -> np.ndarray:

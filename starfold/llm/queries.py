@@ -38,11 +38,10 @@ def encoded_and_decoded(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.t
     from starfold.llm import bpe
 
     definition = bpe.model_json(bpe.read_ranks(tokenizer_path(vocabulary)))
-    encoded = bpe.encode(docs, definition, public_tokenizers.PATTERN)
-    told = encoded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn(
-        "ids_sha256", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256))
-    decoded = bpe.decode(told, definition, keep=("n_tokens", "ids_sha256"))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = bpe.round_trip(docs, definition, public_tokenizers.PATTERN)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query()
