@@ -14,8 +14,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from starfold.llm.arrow import chunks, ragged
+from starfold.llm.arrow import bounded_batches, chunks, ragged
 from starfold.llm.hashing import mix
+from starfold.llm.scratch import Scratch
 from starfold.llm.words import WordSplitter
 
 SAMPLE_ROWS = 12_000
@@ -78,14 +79,6 @@ def train(bucket: np.ndarray, sentence: np.ndarray, owner: np.ndarray, labels: n
     weights, bias = np.zeros(BUCKETS), -4.0
     if not n or not n_sentences:
         return weights, bias
-    of_document = owner[sentence]
-    # Screening: only features that are clearly more frequent in documents labelled 1 can carry their sentences' weight.
-    pairs = np.sort(pd.unique(bucket * n + of_document))
-    seen = np.bincount(pairs // n, minlength=BUCKETS)
-    marked = np.bincount(pairs // n, labels[pairs % n], BUCKETS)
-    share = np.clip(labels.mean(), 1e-6, 1 - 1e-6)
-    keep = ((seen >= 3) & (marked - seen * share >= _CLEAR * np.sqrt(seen * share * (1 - share))))[bucket]
-    bucket, sentence = bucket[keep], sentence[keep]
     used, column = np.unique(bucket, return_inverse=True)
     theta = np.zeros(len(used) + 1)
     theta[-1] = bias
@@ -130,31 +123,60 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, i
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, id_column: str = "doc_id",
         text_column: str = "text", label_column: str = "toxic") -> tuple[np.ndarray, float]:
-    """Weights and bias from at most about ``rows`` labelled documents. Only their word buckets reach the driver."""
-    sample = labelled_sample(docs, labels, label_column, rows, id_column, text_column).coalesce(8)
+    """Weights and bias from at most about ``rows`` labelled documents.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Features are screened first: only those that are clearly more frequent in documents labelled 1 can carry their
+    sentences' weight, and only they reach the driver. Without both labels nothing is learned, and all scores are low.
+    """
+    bounded_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.write(labelled_sample(docs, labels, label_column, rows, id_column, text_column), "sample")
+    n, ones = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < ones < n:
+        return np.zeros(BUCKETS), -8.0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, seen, marked = WordSplitter(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for batch in chunks(batches, "text"):
+            bucket, sentence, owner, _ = sentences(batch.column(1), split)
+            pairs = pd.unique(bucket * batch.num_rows + owner[sentence])
+            seen += np.bincount(pairs // batch.num_rows, minlength=BUCKETS)
+            ones = pairs[batch.column(2).to_numpy()[pairs % batch.num_rows] == 1]
+            marked += np.bincount(ones // batch.num_rows, minlength=BUCKETS)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "seen": seen[some], "marked": marked[some]})
+
+    share = ones / n
+    counted = sample.mapInArrow(count, "bucket int, seen long, marked long").groupBy("bucket").agg(
+        F.sum("seen").alias("seen"), F.sum("marked").alias("marked"))
+    clear = counted.filter((F.col("seen") >= 3) & (F.col("marked") - F.col("seen") * share >= _CLEAR * F.sqrt(
+        F.col("seen") * (share * (1 - share)))))
+    kept = np.zeros(BUCKETS, bool)
+    kept[clear.select("bucket").toArrow().column(0).to_numpy()] = True
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = WordSplitter()
         for batch in chunks(batches, "text"):
             n = batch.num_rows
             bucket, sentence, owner, _ = sentences(batch.column(1), split)
-            of_text = owner[sentence] if len(sentence) else np.empty(0, np.int64)
+            keep = kept[bucket]
+            bucket, sentence = bucket[keep], sentence[keep]
             first = np.searchsorted(owner, np.arange(n + 1))
+            of_text = owner[sentence]
             ends = np.searchsorted(of_text, np.arange(1, n + 1))
             yield pa.RecordBatch.from_pydict({
-                "label": batch.column(2), "buckets": ragged(bucket, ends, pa.int32()),
-                "sentences": ragged(sentence - first[of_text] if len(of_text) else sentence, ends, pa.int32()),
-                "n": pa.array(np.diff(first), pa.int32())})
-
-    found = sample.mapInArrow(run, "label int, buckets array<int>, sentences array<int>, n int").toArrow().combine_chunks()
-    if not found.num_rows:
-        return np.zeros(BUCKETS), -4.0
-    n = found["n"].to_numpy().astype(np.int64)
+                "id": batch.column(0).cast(pa.string()), "label": batch.column(2), "n": pa.array(np.diff(first), pa.int32()),
+                "buckets": ragged(bucket, ends, pa.int32()), "sentences": ragged(sentence - first[of_text], ends, pa.int32())})
+
+    found = sample.mapInArrow(features, "id string, label int, n int, buckets array<int>, sentences array<int>").toArrow()
+    found = found.sort_by([("id", "ascending"), ("n", "ascending")]).combine_chunks()  # sums do not depend on the tasks
+    scratch.drop(sample)
+    n_sentences = found["n"].to_numpy().astype(np.int64)
     lists = found["sentences"].combine_chunks()
-    sizes = lists.value_lengths().to_numpy()
-    sentence = lists.flatten().to_numpy().astype(np.int64) + np.repeat(np.cumsum(n) - n, sizes)
-    bucket = found["buckets"].combine_chunks().flatten().to_numpy().astype(np.int64)
-    return train(bucket, sentence, np.repeat(np.arange(len(n)), n), found["label"].to_numpy())
+    shift = np.repeat(np.cumsum(n_sentences) - n_sentences, lists.value_lengths().to_numpy())
+    return train(found["buckets"].combine_chunks().flatten().to_numpy().astype(np.int64),
+                 lists.flatten().to_numpy().astype(np.int64) + shift, np.repeat(np.arange(len(n_sentences)), n_sentences),
+                 found["label"].to_numpy())
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *, threshold: float = THRESHOLD, id_column: str = "doc_id",
@@ -165,6 +187,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, threshold: float
     Null and empty texts score 0. Null ids and repeated rows come back as they are; an empty table gives an empty
     result; other columns are left out. Whole texts are scored, of any length.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
     rows = docs.select(F.col(id_column), F.col(text_column).alias("text"))
 
