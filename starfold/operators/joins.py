@@ -7,17 +7,19 @@ sides are shuffled with skewed partitions split.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from starfold.operators.windows import in_ranges, range_offsets, with_offsets
 from starfold.plans.model import full_join, semi_filter
 from starfold.session import materialize, shuffle_partitions
 
 Keys = Sequence[tuple[str, str]]
 
-_MAX_BINS = 256
 _QUANTILE_ERROR = 0.001
 
 
@@ -76,49 +78,86 @@ def through_bridge(rows: DataFrame, bridge: DataFrame, members: DataFrame, row_k
 def band_join(rows: DataFrame, bands: DataFrame, value: str, low: str, high: str) -> DataFrame:
     """Inner join on ``low <= value < high`` for numeric columns.
 
-    Both sides are cut into bins between estimated quantiles of the values, so the join is an equi-join on
-    the bin with the range as residual condition. Bins hold about as many rows each, and a band is repeated
-    once for each bin that it touches, however wide it is. The estimate only balances the bins.
+    Both sides are cut into bins between estimated quantiles of the values, as many as there are shuffle partitions, so
+    the join is an equi-join on the bin with the range as residual condition. Bins hold about as many rows each, and a
+    band is repeated once for each bin that it touches, however wide it is. The estimate only balances the bins. To
+    aggregate by band, ``band_totals`` needs no pairs of rows and bands.
     """
-    n = min(shuffle_partitions(rows.sparkSession), _MAX_BINS)
+    n = shuffle_partitions(rows.sparkSession)
     bounds = sorted(set(rows.approxQuantile(value, [i / n for i in range(1, n)], _QUANTILE_ERROR)))
-    bin_of = lambda column: F.expr(" + ".join(["0"] + [f"cast(`{column}` >= {bound!r}D as int)" for bound in bounds]))
-    binned = bands.filter(F.col(low) < F.col(high)).withColumn("band_bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
+
+    @F.pandas_udf("int")
+    def bin_of(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, values.to_numpy(float), "right"))
+
+    binned = bands.filter(F.col(low) < F.col(high)).withColumns({"first_bin": bin_of(low), "last_bin": bin_of(high)})
+    binned = binned.withColumn("band_bin", F.explode(F.sequence("first_bin", "last_bin"))).drop("first_bin", "last_bin")
     keyed = rows.filter(F.col(value).isNotNull()).withColumn("row_bin", bin_of(value))
     match = (keyed["row_bin"] == binned["band_bin"]) & (keyed[value] >= binned[low]) & (keyed[value] < binned[high])
     return keyed.join(binned, match, "inner").drop("row_bin", "band_bin")
 
 
+def band_totals(rows: DataFrame, bands: DataFrame, value: str, low: str, high: str, totals: Mapping[str, str]) -> DataFrame:
+    """``bands`` with ``n_rows`` and totals of the rows with ``low <= value < high``.
+
+    The difference of two running totals over the distinct values, looked up at either end of a band. Ends and values lie
+    in one order, so a lookup is a running total too, and work grows with rows and bands, not with their pairs.
+    ``totals`` maps an output name to a column; a band that holds no row has 0 rows and null totals.
+    """
+    names = list(totals)
+    bands = materialize(bands.withColumn("band_no", F.monotonically_increasing_id()), "bands")
+    at_value = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("at")).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.sum(c).alias(n) for n, c in totals.items()])
+    empty = [F.lit(None).cast(at_value.schema[n].dataType).alias(n) for n in ["n_rows", *names]]
+    ends = bands.filter(F.col(low) < F.col(high)).select("band_no", F.explode(F.array(
+        F.struct(F.col(low).alias("at"), F.lit(-1).alias("sign")), F.struct(F.col(high).alias("at"), F.lit(1).alias("sign")))).alias("end"))
+    ends = ends.select("end.at", "band_no", "end.sign", *empty)
+    line = at_value.select("at", F.lit(None).cast("long").alias("band_no"), F.lit(None).cast("int").alias("sign"),
+                           "n_rows", *names).unionByName(ends)
+    # An end comes before the value that equals it: what lies below the end is counted.
+    order = [F.col("at"), F.col("band_no").isNull()]
+    ranged = in_ranges(line, [], [F.col("at")])
+    offsets = range_offsets(ranged, [], {f"before_{n}": F.sum(n) for n in ["n_rows", *names]})
+    placed = with_offsets(ranged, offsets, [])
+    w = Window.partitionBy("range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    below = [(F.coalesce(F.sum(n).over(w), F.lit(0)) + F.col(f"before_{n}")).alias(n) for n in ["n_rows", *names]]
+    found = placed.select("band_no", "sign", *below).filter("band_no is not null")
+    summed = found.groupBy("band_no").agg(*[F.sum(F.col("sign") * F.col(n)).alias(n) for n in ["n_rows", *names]])
+    joined = bands.join(summed, "band_no", "left").drop("band_no")
+    some = F.col("n_rows") > 0
+    return joined.withColumns({"n_rows": F.coalesce("n_rows", F.lit(0)), **{n: F.when(some, F.col(n)) for n in names}})
+
+
 def theta_join(left: DataFrame, right: DataFrame, keys: Keys, condition: str, how: str = "inner") -> DataFrame:
     """Equality on ``keys`` plus any further condition over both sides' columns."""
     return left.join(right, _matches(left, right, keys) & F.expr(condition), how)
 
 
-def hierarchy_paths(members: DataFrame, key: str, parent: str, separator: str = "|", max_depth: int = 100
-                    ) -> DataFrame:
-    """Path from the root, level and root of every member of a parent-child table.
+def hierarchy_paths(members: DataFrame, key: str, parent: str, separator: str = "|") -> DataFrame:
+    """Path from the root, level and root of every member of a parent-child table of any depth.
+
+    A member without a parent, with itself as parent, or with a parent that does not exist, is a root. Members on or
+    behind a cycle are kept, with nulls.
 
-    A member without a parent, with itself as parent, or with a parent that does not exist, is a root.
-    One join per level, each level written out. Members on or behind a cycle are kept, with nulls.
+    Pointers double: each round, a member takes over the way of the ancestor that it has come to, so a chain of n
+    members needs log(n) rounds. A round that finishes no member leaves only cycles.
     """
     edges = members.select(F.col(key).alias("node"), F.col(parent).alias("parent"))
     present = edges.select(F.col("node").alias("known"))
     edges = edges.withColumn("parent", F.when(F.col("parent") != F.col("node"), F.col("parent")))
-    edges = materialize(edges.join(present, F.col("parent") == F.col("known"), "left"), "hierarchy")
-    text = F.col("node").cast("string")
-    roots = edges.filter("known is null").select("node", text.alias("path"), F.lit(1).alias("level"),
-                                                 F.col("node").alias("root"))
-    children = edges.filter("known is not null").select("node", "parent")
-    levels = [materialize(roots, "hierarchy-level")]
-    while len(levels) <= max_depth:
-        above = levels[-1].select(F.col("node").alias("above"), "path", "level", "root")
-        step = children.join(above, F.col("parent") == F.col("above")).select(
-            "node", F.concat_ws(separator, "path", text).alias("path"), (F.col("level") + 1).alias("level"), "root")
-        step = materialize(step, "hierarchy-level")
-        if step.isEmpty():
+    is_root = F.col("known").isNull()
+    current = materialize(edges.join(present, F.col("parent") == F.col("known"), "left").select(
+        "node", "parent", F.when(~is_root, F.col("parent")).alias("up"), F.col("node").cast("string").alias("path"),
+        F.lit(1).alias("level"), F.when(is_root, F.col("node")).alias("root")), "hierarchy")
+    n_open = current.filter("root is null").count()
+    while n_open:
+        above = current.select(F.col("node").alias("above"), *[F.col(c).alias(f"above_{c}") for c in ("up", "path", "level", "root")])
+        moved = current.filter("root is null").join(above, F.col("up") == F.col("above")).select(
+            "node", "parent", F.col("above_up").alias("up"), F.concat_ws(separator, "above_path", "path").alias("path"),
+            (F.col("above_level") + F.col("level")).alias("level"), F.col("above_root").alias("root"))
+        current = materialize(current.filter("root is not null").unionByName(moved), "hierarchy")
+        before, n_open = n_open, current.filter("root is null").count()
+        if n_open == before:
             break
-        levels.append(step)
-    reached = reduce(DataFrame.unionByName, levels)
-    result = edges.select("node", "parent").join(reached.withColumnRenamed("node", "reached"),
-                                                 F.col("node") == F.col("reached"), "left")
-    return result.select("node", "parent", "path", "level", "root")
+    reached = lambda c: F.when(F.col("root").isNotNull(), F.col(c)).alias(c)
+    return current.select("node", "parent", reached("path"), reached("level"), "root")

@@ -9,38 +9,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from starfold.plans.model import Relationship
 
-# A column whose estimated distinct count is below this share of its rows cannot be unique: the
-# estimate's standard error is 2 %.
-_CANDIDATE_SHARE = 0.5
-_ESTIMATE_ERROR = 0.02
-
 
 def profile_keys(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
-    """Rows, nulls, uniqueness and key quality of the given columns of each table.
+    """Rows, nulls, uniqueness and key quality of the given columns of each table, all counted exactly.
 
-    One estimating pass per table covers all its columns. Only columns that might be unique are then
-    counted exactly.
+    One pass per table: its columns become (column, value) rows, which are counted per value and then per column. All
+    tables are parts of one plan. A column without values is not unique.
     """
     profiles = []
     for table, (df, columns) in tables.items():
-        measured = df.agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.count(c).alias(f"values_{i}") for i, c in enumerate(columns)],
-            *[F.approx_count_distinct(c, _ESTIMATE_ERROR).alias(f"distinct_{i}") for i, c in enumerate(columns)],
-        ).first()
-        for i, column in enumerate(columns):
-            n_values = measured[f"values_{i}"]
-            candidate = n_values > 0 and measured[f"distinct_{i}"] >= _CANDIDATE_SHARE * n_values
-            per_value = df.select(column).dropna().groupBy(column).agg(F.count(F.lit(1)).alias("n_rows"))
-            summary = per_value.agg((F.coalesce(F.max("n_rows"), F.lit(0)) == 1).alias("is_unique"))
-            if not candidate:
-                summary = df.sparkSession.range(1).select(F.lit(False).alias("is_unique"))
-            profiles.append(summary.select(
-                F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
-                F.lit(measured["n"]).cast("long").alias("n_rows"),
-                F.lit(measured["n"] - n_values).cast("long").alias("n_nulls"), "is_unique",
-                (F.col("is_unique") & F.lit(measured["n"] == n_values)).alias("is_key"),
-            ))
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+                                    for c in columns]))
+        per_value = df.select(cells.alias("cell")).groupBy("cell.column_name", "cell.value").agg(F.count(F.lit(1)).alias("n"))
+        found = per_value.groupBy("column_name").agg(
+            F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+            (F.coalesce(F.max(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)) == 1).alias("unique"))
+        names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name"))
+        profiles.append(names.join(found, "column_name", "left").select(
+            F.lit(table).alias("table_name"), "column_name", F.coalesce("n", F.lit(0)).alias("n_rows"),
+            F.coalesce("nulls", F.lit(0)).alias("n_nulls"), F.coalesce("unique", F.lit(False)).alias("is_unique"),
+            F.coalesce(F.col("unique") & (F.col("nulls") == 0), F.lit(False)).alias("is_key")))
     return reduce(DataFrame.unionByName, profiles)
 
 

@@ -55,9 +55,6 @@ SEVERITY = {
 
 DIMENSIONAL = ["dimension", "date", "bridge"]
 
-# Added to the position of a datetime column without the word date; beyond the columns of any table.
-_UNNAMED = 1_000_000
-
 
 def finding(rows: DataFrame, code: str, source_ref: Column) -> DataFrame:
     return rows.select("model_id", F.lit(code).alias("code"), F.lit(SEVERITY[code]).alias("severity"),
@@ -91,9 +88,10 @@ def column_stats(columns: DataFrame) -> DataFrame:
     """
     is_part = F.arrays_overlap("words", N.text_array(N.DATE_PART_TOKENS))
     named = F.array_contains("words", "date")
-    position = F.when(F.col("type") == "dateTime", F.when(named, 0).otherwise(_UNNAMED) + F.col("ordinal"))
+    dated = F.col("type") == "dateTime"
+    first = lambda condition: F.min(F.when(condition, F.col("ordinal")))
     return seed_keys(columns).withColumn("words", N.tokens(F.col("column"))).groupBy("model_id", "table").agg(
-        F.count_if(is_part).alias("n_date_parts"), F.min(position).alias("date_position"),
+        F.count_if(is_part).alias("n_date_parts"), F.coalesce(first(dated & named), first(dated)).alias("date_position"),
         F.count_if("is_key").alias("n_keys"), F.count_if(~F.col("is_key")).alias("n_others"))
 
 
@@ -103,7 +101,7 @@ def _roles_without_bridges(tables: DataFrame, columns: DataFrame) -> DataFrame:
     named = F.arrays_overlap(N.tokens(F.col("table")), N.text_array(N.DATE_NAME_TOKENS))
     is_date = (F.col("role") != "fact") & F.col("date_position").isNotNull() & ((F.col("n_date_parts") >= 2) | named)
     is_date = F.coalesce(is_date, F.lit(False))
-    ordinal = F.when(is_date, F.col("date_position") % _UNNAMED)
+    ordinal = F.when(is_date, F.col("date_position"))
     return joined.withColumns({"is_date_table": is_date, "date_ordinal": ordinal,
                                "role": F.when(is_date, "date").otherwise(F.col("role"))})
 

@@ -6,8 +6,9 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
-from starfold.plans.model import Measure, Model
+from starfold.plans.model import Measure, Model, full_join
 
 # Slot name -> role. Other slots hold values.
 SLOT_ROLES = {
@@ -34,8 +35,6 @@ SUMMARIZE_BY = {
     "calculated": "none", "automatic": "none", "none": "none",
 }
 
-_MAX_PIVOT_COLUMNS = 1000
-
 
 @dataclass(frozen=True)
 class Visual:
@@ -59,13 +58,40 @@ class Visual:
 
 
 def implicit_measure(model: Model, reference: str) -> Measure | None:
-    """The default aggregate of a column in a value role; None for columns that are not summarised."""
-    table, _, column = reference.partition(".")
-    default = "sum" if model.tables[table].is_fact else "none"
-    how = model.tables[table].summarize_by.get(column, default)
+    """The default aggregate of a column in a value role; None for columns that are not summarised.
+
+    By default, numbers of a fact are summed, unless they are a key of some relationship or hidden. Everything else is
+    shown as it is. ``summarize_by`` of the table goes first.
+    """
+    name, _, column = reference.partition(".")
+    table = model.tables[name]
+    how = table.summarize_by.get(column)
+    if how is None:
+        keys = {many for r in model.relationships if r.from_table == name for many, _ in r.keys}
+        keys |= {one for r in model.relationships if r.to_table == name for _, one in r.keys}
+        number = isinstance(table.rows().schema[column].dataType, NumericType)
+        how = "sum" if table.is_fact and number and column not in keys and column not in table.hidden else "none"
     if how == "none":
         return None
-    return Measure(column, table, {"distinctCount": "countdistinct"}.get(how, how), column)
+    return Measure(column, name, {"distinctCount": "countdistinct"}.get(how, how), column)
+
+
+def detail_table(model: Model, columns: Sequence[str], filters: Mapping[str, str], use: Sequence[str]) -> str:
+    """The table whose rows a list without measures shows: the one that reaches all others."""
+    named = list(dict.fromkeys([c.partition(".")[0] for c in columns] + list(filters)))
+    if not columns:
+        raise ValueError("a visual needs a column or a measure")
+
+    def reaches(start: str) -> bool:
+        try:
+            return all(model.path(start, t, use) is not None for t in named)
+        except ValueError:
+            return False
+
+    for start in [*named, *model.tables]:
+        if reaches(start):
+            return start
+    raise ValueError(f"no table reaches all of {named}")
 
 
 def _split(model: Model, fields: Sequence[str], in_values: bool) -> tuple[list[str], list]:
@@ -94,7 +120,7 @@ def visual_frame(model: Model, visual: Visual) -> DataFrame:
         group += columns
         measures += own
     if not measures:
-        return model.rows(group[0].partition(".")[0], group, visual.filters, visual.use)
+        return model.rows(detail_table(model, group, visual.filters, visual.use), group, visual.filters, visual.use)
     df = model.query(group, measures, visual.filters, visual.use)
     if visual.kind == "line":
         category = (roles.get("category") or roles.get("rows"))[0].partition(".")[2]
@@ -112,14 +138,28 @@ def _matrix(model: Model, visual: Visual, roles: Mapping[str, list[str]]) -> Dat
     pivot_on = across.partition(".")[2]
     values = list(visual.column_values)
     if not values:
-        found = df.select(pivot_on).distinct().orderBy(pivot_on).limit(_MAX_PIVOT_COLUMNS + 1).collect()
-        if len(found) > _MAX_PIVOT_COLUMNS:
-            raise ValueError(f"{across} has too many values to become columns; use it as a row")
-        values = [row[0] for row in found if row[0] is not None]
+        # One row for each column of the result, which a table has to name; null is a value like any other.
+        values = [row[0] for row in df.select(pivot_on).distinct().orderBy(F.col(pivot_on).asc_nulls_last()).collect()]
     names = [f.partition(".")[2] for f in rows + extra]
     measure_names = [m if isinstance(m, str) else m.name for m in measures]
     # The rows are aggregated already: each cell holds one value.
-    return df.groupBy(*names).pivot(pivot_on, values).agg(*[F.first(m).alias(m) for m in measure_names])
+    plain = [v for v in values if v is not None]
+    cells = df.groupBy(*names).pivot(pivot_on, plain).agg(*[F.first(m).alias(m) for m in measure_names]) if plain \
+        else df.select(*names).distinct()
+    if None not in values:
+        return cells
+    of_null = df.filter(F.col(pivot_on).isNull()).select(
+        *names, *[F.col(m).alias("null" if len(measure_names) == 1 else f"null_{m}") for m in measure_names])
+    return full_join(cells, of_null, names)
+
+
+def matrix_cells(model: Model, visual: Visual) -> DataFrame:
+    """A matrix in long form, one row for each cell: rows, column and measures. Has no limit on the columns."""
+    roles = visual.roles()
+    fields = [f for role in ("category", "rows", "series", "columns") for f in roles.get(role, [])]
+    group, measures = _split(model, fields, False)
+    extra, own = _split(model, roles.get("values", []), True)
+    return model.query(group + extra, measures + own, visual.filters, visual.use)
 
 
 def page_frames(model: Model, visuals: Mapping[str, Visual]) -> dict[str, DataFrame]:

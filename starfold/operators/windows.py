@@ -8,20 +8,21 @@ row adds the total of the ranges before its own. Only one range at a time is sor
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starfold.session import materialize, shuffle_partitions
 
 
-def _in_ranges(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
+def in_ranges(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
     """Add ``range_no``: rows of a lower range come first, and equal rows share a range."""
     n = shuffle_partitions(df.sparkSession)
     ranged = df.repartitionByRange(n, *[F.col(c) for c in partition_by], *order_by)
     return materialize(ranged.withColumn("range_no", F.spark_partition_id()), "ranges")
 
 
-def _range_offsets(ranged: DataFrame, partition_by: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
+def range_offsets(ranged: DataFrame, partition_by: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
     """Per partition and range, the totals of all earlier ranges of that partition."""
     sums = ranged.groupBy(*partition_by, "range_no").agg(*[c.alias(name) for name, c in totals.items()])
     # At most one row per range in each partition, so this window stays small.
@@ -30,11 +31,11 @@ def _range_offsets(ranged: DataFrame, partition_by: Sequence[str], totals: Mappi
                        *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in totals])
 
 
-def _with_offsets(ranged: DataFrame, offsets: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+def with_offsets(ranged: DataFrame, offsets: DataFrame, partition_by: Sequence[str], how: str = "left") -> DataFrame:
     match = F.col("range_no") == F.col("of_range_no")
     for c in partition_by:
         match = match & F.col(c).eqNullSafe(F.col(f"of_{c}"))
-    return ranged.join(offsets, match, "left").drop(*[f"of_{c}" for c in [*partition_by, "range_no"]])
+    return ranged.join(offsets, match, how).drop(*[f"of_{c}" for c in [*partition_by, "range_no"]])
 
 
 def running(df: DataFrame, order_by: Sequence[str], totals: Mapping[str, str] | None = None,
@@ -42,20 +43,25 @@ def running(df: DataFrame, order_by: Sequence[str], totals: Mapping[str, str] |
     """Running totals and counts up to and including each row.
 
     ``totals`` and ``counts`` map an output name to its column. The order has to be unique within a
-    partition, as the running values of tied rows would be arbitrary: ties are refused.
+    partition, as the running values of tied rows would be arbitrary: ties end the query. Equal rows share a range,
+    so the window that numbers them sees every tie.
     """
     totals, counts = totals or {}, counts or {}
     by = [*partition_by, *order_by]
-    ranged = _in_ranges(df, partition_by, [F.col(c) for c in order_by])
-    if not ranged.groupBy(*by).count().filter("count > 1").isEmpty():
-        raise ValueError(f"running measures need a unique order; {by} has ties")
+    ranged = in_ranges(df, partition_by, [F.col(c) for c in order_by])
     sums = {f"before_{n}": F.sum(c) for n, c in totals.items()}
     sums |= {f"before_{n}": F.count(c) for n, c in counts.items()}
-    rows = _with_offsets(ranged, _range_offsets(ranged, partition_by, sums), partition_by)
+    rows = with_offsets(ranged, range_offsets(ranged, partition_by, sums), partition_by)
     w = Window.partitionBy(*partition_by, "range_no").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     added = [(F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"before_{n}")).alias(n) for n, c in totals.items()]
     added += [(F.count(c).over(w) + F.col(f"before_{n}")).alias(n) for n, c in counts.items()]
-    return rows.select(*df.columns, *added)
+    place = F.struct(*[F.col(c) for c in order_by])
+    previous = F.lag(place).over(Window.partitionBy(*partition_by, "range_no").orderBy(*order_by))
+    refusal = F.raise_error(F.lit(f"running measures need a unique order; {by} has ties"))
+    first, *others = added
+    name = [*totals, *counts][0]
+    checked = F.when(previous.eqNullSafe(place), refusal).otherwise(first).alias(name)
+    return rows.select(*df.columns, checked, *others)
 
 
 def rank(df: DataFrame, value: str, name: str = "rank", descending: bool = True,
@@ -66,8 +72,8 @@ def rank(df: DataFrame, value: str, name: str = "rank", descending: bool = True,
     """
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     counted = df.groupBy(*partition_by, value).agg(F.count(F.lit(1)).alias("n_rows"))
-    ranged = _in_ranges(counted, partition_by, [order])
-    rows = _with_offsets(ranged, _range_offsets(ranged, partition_by, {"before": F.sum("n_rows")}), partition_by)
+    ranged = in_ranges(counted, partition_by, [order])
+    rows = with_offsets(ranged, range_offsets(ranged, partition_by, {"before": F.sum("n_rows")}), partition_by)
     w = Window.partitionBy(*partition_by, "range_no").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     position = F.coalesce(F.sum("n_rows").over(w), F.lit(0)) + F.col("before") + 1
     ranks = rows.select(*[F.col(c).alias(f"of_{c}") for c in [*partition_by, value]], position.alias(name))
@@ -84,15 +90,19 @@ def percentiles(df: DataFrame, value: str, fractions: Mapping[str, float], by: S
     task ever holds a whole group.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_rows"))
-    ranged = _in_ranges(counted, by, [F.col(value)])
+    ranged = in_ranges(counted, by, [F.col(value)])
     sums = ranged.groupBy(*by, "range_no").agg(F.sum("n_rows").alias("n_range"))
     earlier = Window.partitionBy(*by).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *[F.col(c).alias(f"of_{c}") for c in [*by, "range_no"]],
         F.coalesce(F.sum("n_range").over(earlier), F.lit(0)).alias("before"),
-        F.sum("n_range").over(Window.partitionBy(*by)).alias("n_group"),
+        F.sum("n_range").over(Window.partitionBy(*by)).alias("n_group"), "n_range",
     )
-    rows = _with_offsets(ranged, offsets, by)
+    # Only ranges that hold a wanted position are sorted, two for each fraction of a group at most.
+    positions = [f(F.lit(float(x)) * (F.col("n_group") - 1)) for x in fractions.values() for f in (F.floor, F.ceil)]
+    offsets = offsets.filter(reduce(Column.__or__, [
+        (F.col("before") <= p) & (p < F.col("before") + F.col("n_range")) for p in positions])).drop("n_range")
+    rows = with_offsets(ranged, offsets, by, "inner")
     w = Window.partitionBy(*by, "range_no").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     # A distinct value covers the row positions [first, last] of its group, counted from 0.
     rows = rows.withColumn("last", F.sum("n_rows").over(w) + F.col("before") - 1)

@@ -24,7 +24,7 @@ _DIVISOR = re.compile(rf"/\s*([A-Za-z_]\w*|[0-9.]+|{GROUP})")
 # Spark SQL of an aggregate over raw rows, and how partial results of it merge.
 _FIRST = {"sum": "sum({})", "count": "count({})", "min": "min({})", "max": "max({})",
           "distinct": "count(distinct {})", "stddev": "stddev_samp({})", "variance": "var_samp({})", "calculated": "{}"}
-_MERGE = {"sum": "sum({})", "count": "sum({})", "min": "min({})", "max": "max({})"}
+_MERGE = {"sum": "sum({})", "count": "coalesce(sum({}), 0)", "min": "min({})", "max": "max({})"}
 
 
 @dataclass(frozen=True)
@@ -226,17 +226,18 @@ class Model:
 
         ``group`` holds "table.column" or ("table.column", output name). ``filters`` maps a table to a
         predicate; a filter on a dimension restricts the fact. Measures of several facts are aggregated
-        to the shared grain first and joined there, so no fact row is ever multiplied.
+        to the shared grain first and joined there, so no fact row is ever multiplied. A filter that has no path from a
+        queried fact is refused.
         """
         group = _fields(group)
         measures = [self.measures[m] if isinstance(m, str) else m for m in measures]
         by_fact: dict[str, list[Measure]] = {}
         for m in measures:
             by_fact.setdefault(m.table, []).append(m)
-        results = []
-        for fact, own in by_fact.items():
-            reachable = {t: p for t, p in (filters or {}).items() if t == fact or t not in by_fact}
-            results.append(self._fact_query(fact, group, own, reachable, use))
+        if not by_fact:
+            raise ValueError("a query needs a measure; detail rows come from rows()")
+        # Every filter restricts every fact: one that does not reach a fact would leave its total unfiltered.
+        results = [self._fact_query(fact, group, own, filters or {}, use) for fact, own in by_fact.items()]
         names = [f.alias for f in group]
         joined = reduce(lambda left, right: full_join(left, right, names), results)
         return joined.select(*names, *[m.name for m in measures])

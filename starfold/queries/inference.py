@@ -424,17 +424,20 @@ def profile_keys(spark, sf_dir):
 _REFERENCES = [r for r in RELATIONSHIPS if r.to_table != "dim_date"]
 
 
+_DANGLING = "case when c_nationkey <> 3 then c_custkey else -1 - c_custkey end"
+
+
 def _reference_tables(spark, sf_dir):
-    """Some references dangle and some are null: customers of one nation are left out, one part's key is emptied."""
+    """Some references dangle and some are null: the keys of one nation's customers are changed, one part's is emptied."""
     names = {t for r in _REFERENCES for t in (r.from_table, r.to_table)}
     tables = {name: table(spark, sf_dir, name) for name in names}
-    tables["customer"] = tables["customer"].filter("c_nationkey <> 3")
+    tables["customer"] = tables["customer"].withColumn("c_custkey", F.expr(_DANGLING))
     tables["lineitem"] = tables["lineitem"].withColumn("l_partkey", F.expr("nullif(l_partkey, 7)"))
     return tables
 
 
 def _reference_sql(columns: str) -> str:
-    source = {"customer": "(select * from customer where c_nationkey <> 3)",
+    source = {"customer": f"(select * replace ({_DANGLING} as c_custkey) from customer)",
               "lineitem": "(select * replace (nullif(l_partkey, 7) as l_partkey) from lineitem)"}
     return " union all ".join(f"""
         select '{r.name}' as relationship, {columns.format(many=r.keys[0][0], one=r.keys[0][1],

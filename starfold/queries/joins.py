@@ -12,20 +12,24 @@ from starfold.queries.retail import SQL_REVENUE, as_double, retail_model, table
 
 @query("""
     select l_orderkey, l_linenumber, l_quantity, l_partkey, p_name, p_brand
-    from lineitem left join (select * from part where p_size <= 25) on l_partkey = p_partkey""")
+    from lineitem left join (select * replace (case when p_size <= 25 then p_partkey else -p_partkey end as p_partkey) from part)
+      on l_partkey = p_partkey""")
 def join_m2o(spark, sf_dir):
     """Fact rows without their dimension row are kept."""
     fact = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
-    dim = table(spark, sf_dir, "part").filter("p_size <= 25").select("p_partkey", "p_name", "p_brand")
+    # The keys of large parts are changed, so that they match nothing.
+    dim = table(spark, sf_dir, "part").select(
+        F.expr("case when p_size <= 25 then p_partkey else -p_partkey end").alias("p_partkey"), "p_name", "p_brand")
     return J.many_to_one(fact, dim, [("l_partkey", "p_partkey")]).drop("p_partkey")
 
 
 @query("""
     select c_custkey, c_name, o_custkey, n_orders
-    from (select * from customer where c_nationkey <> 3)
+    from (select * replace (case when c_nationkey <> 3 then c_custkey else -1 - c_custkey end as c_custkey) from customer)
     full join (select o_custkey, count(*) as n_orders from orders group by o_custkey) on c_custkey = o_custkey""")
 def join_1to1(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").filter("c_nationkey <> 3").select("c_custkey", "c_name")
+    customers = table(spark, sf_dir, "customer").select(
+        F.expr("case when c_nationkey <> 3 then c_custkey else -1 - c_custkey end").alias("c_custkey"), "c_name")
     totals = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"))
     return J.one_to_one(customers, totals, [("c_custkey", "o_custkey")])
 
@@ -86,6 +90,16 @@ def join_drill_across(spark, sf_dir):
     return as_double(df, "order_value", "event_value")
 
 
+@query(f"""
+    select cast((select sum({SQL_REVENUE}) from lineitem join orders on l_orderkey = o_orderkey where o_orderstatus = 'F')
+                as double) as revenue,
+           cast((select sum(cast(o_totalprice as decimal(12,2))) from orders where o_orderstatus = 'F') as double) as order_value""")
+def filter_across_facts(spark, sf_dir):
+    """A filter on one of two facts restricts the other too."""
+    df = retail_model(spark, sf_dir).query((), ["revenue", "order_value"], {"orders": "o_orderstatus = 'F'"})
+    return as_double(df, "revenue", "order_value")
+
+
 @query("""
     select p_brand, count(*) as n_parts
     from part where exists (select 1 from lineitem join supplier on l_suppkey = s_suppkey
@@ -142,10 +156,22 @@ def join_theta(spark, sf_dir):
     """Customers whose balance lies in the price band of a brand."""
     bands = table(spark, sf_dir, "part").groupBy("p_brand").agg(
         F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
-    joined = J.band_join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), bands,
-                         "c_acctbal", "low", "high")
-    return joined.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n_customers"),
-                                         F.sum(F.col("c_acctbal").cast("decimal(12,2)")).cast("double").alias("balance"))
+    rows = table(spark, sf_dir, "customer").select("c_acctbal", F.col("c_acctbal").cast("decimal(12,2)").alias("exact"))
+    found = J.band_totals(rows, bands, "c_acctbal", "low", "high", {"balance": "exact"}).filter("n_rows > 0")
+    return found.select("p_brand", F.col("n_rows").alias("n_customers"), F.col("balance").cast("double").alias("balance"))
+
+
+@query("""
+    select o_orderpriority, count(*) as n_pairs, count(distinct p_brand) as n_brands
+    from orders join (select p_brand, min(p_retailprice) * 100 as low, avg(p_retailprice) * 100 as high from part group by 1)
+      on o_totalprice >= low and o_totalprice < high group by 1""")
+def join_band(spark, sf_dir):
+    """Orders and the brands whose price band they lie in, pair by pair."""
+    bands = table(spark, sf_dir, "part").groupBy("p_brand").agg(
+        (F.min("p_retailprice") * 100).alias("low"), (F.avg("p_retailprice") * 100).alias("high"))
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice")
+    joined = J.band_join(orders, bands, "o_totalprice", "low", "high")
+    return joined.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("p_brand").alias("n_brands"))
 
 
 @query("""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from starfold.operators.visuals import Visual, page_frames, paginated_list as detail_list, visual_frame
+from starfold.operators.visuals import Visual, matrix_cells, page_frames, paginated_list as detail_list, visual_frame
 from starfold.queries import query
 from starfold.queries.retail import SQL_REVENUE, as_double, retail_model
 
@@ -20,16 +22,67 @@ def visual_table(spark, sf_dir):
     return as_double(visual_frame(retail_model(spark, sf_dir), visual), "revenue")
 
 
-_YEARS = list(range(1995, 2002))
+@query(f"""
+    select * from (pivot (select c_mktsegment, year(o_orderdate) as year, {SQL_REVENUE} as revenue {_SEGMENT_YEAR})
+                   on year using cast(sum(revenue) as double) group by c_mktsegment)""")
+def visual_matrix(spark, sf_dir):
+    """The years of the data become columns."""
+    visual = Visual("crosstab", {"rows": ["customer.c_mktsegment"], "columns": ["dim_date.year"], "values": ["revenue"]})
+    matrix = visual_frame(retail_model(spark, sf_dir), visual)
+    return as_double(matrix, *[c for c in matrix.columns if c != "c_mktsegment"])
 
 
-@query("select c_mktsegment, " + ", ".join(
-    f"cast(sum(case when year(o_orderdate) = {y} then {SQL_REVENUE} end) as double) as \"{y}\"" for y in _YEARS)
-    + f" {_SEGMENT_YEAR} group by 1")
-def visual_matrix(spark, sf_dir):
-    visual = Visual("crosstab", {"rows": ["customer.c_mktsegment"], "columns": ["dim_date.year"], "values": ["revenue"]},
-                    column_values=_YEARS)
-    return as_double(visual_frame(retail_model(spark, sf_dir), visual), *[str(y) for y in _YEARS])
+def _with_unlabelled(spark, sf_dir):
+    """The retail model with a label on lines that is null for one of its values."""
+    model = retail_model(spark, sf_dir)
+    lines = model.tables["lineitem"]
+    model.tables["lineitem"] = replace(lines, calculated={**lines.calculated, "flag": "nullif(l_returnflag, 'R')"})
+    return model
+
+
+@query(f"""
+    select l_linestatus, cast(sum({SQL_REVENUE}) filter (where l_returnflag = 'A') as double) as "A",
+           cast(sum({SQL_REVENUE}) filter (where l_returnflag = 'N') as double) as "N",
+           cast(sum({SQL_REVENUE}) filter (where l_returnflag = 'R') as double) as "null"
+    from lineitem group by 1""")
+def visual_matrix_null(spark, sf_dir):
+    """Null is a column like any other."""
+    visual = Visual("crosstab", {"rows": ["lineitem.l_linestatus"], "columns": ["lineitem.flag"], "values": ["revenue"]})
+    return as_double(visual_frame(_with_unlabelled(spark, sf_dir), visual), "A", "N", "null")
+
+
+@query(f"""
+    select l_linestatus, nullif(l_returnflag, 'R') as flag, cast(sum({SQL_REVENUE}) as double) as revenue
+    from lineitem group by 1, 2""")
+def visual_matrix_cells(spark, sf_dir):
+    """A matrix in long form."""
+    visual = Visual("crosstab", {"rows": ["lineitem.l_linestatus"], "columns": ["lineitem.flag"], "values": ["revenue"]})
+    return as_double(matrix_cells(_with_unlabelled(spark, sf_dir), visual), "revenue")
+
+
+@query("select c_name, o_orderkey from orders left join customer on o_custkey = c_custkey")
+def visual_list_any_order(spark, sf_dir):
+    """A list whose first column is of the dimension: rows are those of the table that reaches all others."""
+    return visual_frame(retail_model(spark, sf_dir), Visual("list", {"columns": ["customer.c_name", "orders.o_orderkey"]}))
+
+
+@query("""
+    select o_orderpriority, o_custkey, cast(sum(cast(o_totalprice as decimal(12,2))) as double) as o_totalprice
+    from orders group by 1, 2""")
+def visual_default_aggregates(spark, sf_dir):
+    """Of plain columns in values, numbers are summed, but neither keys nor text."""
+    model = retail_model(spark, sf_dir)
+    orders = model.tables["orders"]
+    model.tables["orders"] = replace(orders, source=orders.rows().withColumn("o_totalprice", F.expr("cast(o_totalprice as decimal(12,2))")))
+    visual = Visual("bar", {"values": ["orders.o_totalprice", "orders.o_custkey", "orders.o_orderpriority"]})
+    return as_double(visual_frame(model, visual), "o_totalprice")
+
+
+@query("select cast(null as double) as revenue, 0::bigint as n_lines, 0::bigint as n_orders")
+def visual_card_empty(spark, sf_dir):
+    """Nothing selected: counts are 0, sums null."""
+    visual = Visual("kpi", {"values": ["revenue", "n_lines", "n_orders"]}, filters={"customer": "c_custkey < 0"})
+    return as_double(visual_frame(retail_model(spark, sf_dir), visual), "revenue")
 
 
 @query(f"""

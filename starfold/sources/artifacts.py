@@ -13,8 +13,9 @@ KIND_BY_SUFFIX = {
     "cpf": "model", "fm": "model", "xml": "report", "spec": "report", "txt": "report",
 }
 
-# Fixed value: an XML definition is recognised by its first 8,192 characters.
-_XML_HEAD = 8192
+# What may stand before the root element of an XML document, and the start tag of the root.
+_XML_PROLOG = r"(?s)<!--.*?-->|<\?.*?\?>"
+_XML_ROOT = r"<([A-Za-z_][^>]*)"
 
 
 def suffix_of(path: Column) -> Column:
@@ -41,7 +42,10 @@ def scan_folder(spark: SparkSession, folder: str, recursive: bool = True) -> Dat
 
 
 def artifact_kind(path: Column, content: Column) -> Column:
-    """report, model, module, dashboard or unknown: from the content first, then from the suffix."""
+    """report, model, module, dashboard or unknown: from the content first, then from the suffix.
+
+    XML is known by its root element, whatever comments and declarations stand before it.
+    """
     text = F.regexp_replace(content, r"^\s+", "")
     first = F.substring(text, 1, 1)
     keys = F.transform(F.json_object_keys(text), F.lower)
@@ -52,9 +56,10 @@ def artifact_kind(path: Column, content: Column) -> Column:
                .when(has_key("querysubject", "relationship"), "module")
                .when(quoted("widgets") | quoted("layout"), "dashboard")
                .when(quoted("querysubject"), "module"))
-    head = F.lower(F.substring(text, 1, _XML_HEAD))
-    by_xml = F.when(head.contains("querysubject") | head.contains("/bmt/") | head.contains("<project"), "model"
-                    ).otherwise("report")
+    body = F.lower(F.regexp_replace(text, _XML_PROLOG, ""))
+    root = F.regexp_extract(body, _XML_ROOT, 1)
+    by_xml = F.when(root.rlike(r"^([a-z0-9_.\-]+:)?project\b") | root.contains("/bmt/") | body.contains("<querysubject"),
+                    "model").otherwise("report")
     by_suffix = F.lit("unknown")
     for suffix, kind in KIND_BY_SUFFIX.items():
         by_suffix = F.when(suffix_of(path) == suffix, kind).otherwise(by_suffix)

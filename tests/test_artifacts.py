@@ -142,3 +142,13 @@ def test_cardinality_words(spark):
     words = {"1:n": True, "n": True, "*": True, "1..n": True, "0..1": False, "1:1": False, "0:1": False, "1": False, "": False, None: False}
     df = spark.createDataFrame([(w,) for w in words], "w string")
     assert {r.w: r.m for r in df.select("w", E._is_many(F.col("w")).alias("m")).collect()} == words
+
+
+def test_kind_by_the_root_behind_long_comments(spark):
+    comment = "<!-- " + "report " * 3000 + "-->"
+    rows = [("a.xml", f'<?xml version="1.0"?>\n{comment}\n<project name="p"><namespace/></project>'),
+            ("b.xml", f"{comment}<report><name>querySubject</name></report>"), ("c.xml", f"{comment}<querySubject/>"),
+            ("d.xml", "<projection/>")]
+    found = spark.createDataFrame(rows, "path string, content string").select(
+        "path", A.artifact_kind(F.col("path"), F.col("content")).alias("kind")).collect()
+    assert dict(found) == {"a.xml": "model", "b.xml": "report", "c.xml": "model", "d.xml": "report"}

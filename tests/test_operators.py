@@ -41,8 +41,8 @@ def test_running_per_group(df, rows):
 
 
 def test_running_refuses_ties(df):
-    with pytest.raises(ValueError):
-        W.running(df, ["v"], counts={"n": "id"})
+    with pytest.raises(Exception, match="ties"):
+        W.running(df, ["v"], counts={"n": "id"}).collect()
 
 
 @pytest.mark.parametrize("by", [(), ("g",)])
@@ -112,3 +112,27 @@ def test_sources(spark):
     assert options["dbtable"] == "dbo.FactSales" and options["numPartitions"] == "8" and "db1" in options["url"]
     empty = EmptySource({"t": [("a", "decimal(10,3)"), ("b", "date"), ("c", "interval")]}).read(spark, "t")
     assert empty.dtypes == [("a", "decimal(10,3)"), ("b", "date"), ("c", "string")] and empty.isEmpty()
+
+
+def test_hierarchy_of_any_depth(spark):
+    rows = [(i, i - 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (1002, 1000)]
+    found = {r["node"]: r for r in J.hierarchy_paths(spark.createDataFrame(rows, "k long, p long"), "k", "p").collect()}
+    assert len(found) == 303 and found[299]["level"] == 300 and found[299]["root"] == 0
+    assert found[299]["path"] == "|".join(map(str, range(300)))
+    assert all(found[i]["path"] is None and found[i]["root"] is None for i in (1000, 1001, 1002))
+
+
+def test_bands_by_rows_and_by_totals(spark):
+    import random
+
+    rng = random.Random(0)
+    values = [(rng.choice([None, float(rng.randint(0, 50)), rng.random() * 50]), rng.randint(1, 9)) for _ in range(400)]
+    bands = [(i, lo, lo + rng.choice([-1.0, 0.0, 0.5, 7.0, 60.0])) for i, lo in enumerate(float(rng.randint(-5, 55)) for _ in range(60))]
+    bands.append((99, None, 3.0))
+    rows = spark.createDataFrame(values, "v double, n long")
+    ranges = spark.createDataFrame(bands, "b long, lo double, hi double")
+    want = {b: [n for v, n in values if v is not None and lo is not None and lo <= v < hi] for b, lo, hi in bands}
+    found = {r["b"]: (r["n_rows"], r["total"]) for r in J.band_totals(rows, ranges, "v", "lo", "hi", {"total": "n"}).collect()}
+    assert found == {b: (len(x), sum(x) if x else None) for b, x in want.items()}
+    joined = J.band_join(rows, ranges, "v", "lo", "hi").groupBy("b").count().collect()
+    assert {r["b"]: r["count"] for r in joined} == {b: len(x) for b, x in want.items() if x}
