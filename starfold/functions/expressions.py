@@ -1,123 +1,56 @@
-"""Report expressions as Spark SQL text, rewritten for a whole column of expressions at once.
+"""Report expressions as Spark SQL text, for a whole column of expressions at once.
 
-Case expressions, comparisons, and/or/not and ``||`` already are Spark SQL, so only references,
-if/then/else, extract, cast, a few function names and aggregates are rewritten.
+Case expressions, comparisons, and/or/not and ``||`` already are Spark SQL, so only references, if/then/else, extract,
+cast, a few function names, divisions and aggregates are rewritten. Each distinct expression of a batch is read once.
 """
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
-from starfold.functions.names import text_array
+from starfold.functions import parser
 
-# Aggregate names of report items, and the Spark function each stands for.
-AGGREGATES = {
-    "total": "sum", "sum": "sum", "average": "avg", "avg": "avg", "minimum": "min", "min": "min",
-    "maximum": "max", "max": "max", "count": "count", "countdistinct": "count distinct",
-}
+# The parser travels with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(parser)
 
-# Called names that are understood.
-KNOWN_CALLS = [
-    "substring", "character_length", "char_length", "length", "upper", "lower", "trim", "abs", "round", "ceiling",
-    "floor", "sqrt", "coalesce", "nullif", "extract", "if", "switch", "year", "month", "day", "today", "now", "true",
-    "false", "sum", "average", "min", "max", "count",
-]
+AGGREGATES, KNOWN_CALLS = parser.AGGREGATES, sorted(parser.KNOWN_CALLS)
 
-# Words that may stand before an opening parenthesis without being a call.
-_KEYWORDS = ["and", "or", "not", "in", "then", "else", "when", "case", "between", "like", "is"]
 
-_REFERENCE = r"(?:\[[^\[\]]+\]\.)*\[([^\[\]]+)\]"
-_SIMPLE_REFERENCE = r"^\s*\[[^\[\]]+\](?:\.\[[^\[\]]+\])*\s*$"
-_CAST_OF_REFERENCE = r"(?i)^\s*cast\s*\(\s*\[[^\[\]]+\](?:\.\[[^\[\]]+\])*\s*;\s*[A-Za-z0-9_]+\s*\)\s*$"
-_CALL = r"([A-Za-z_][A-Za-z0-9_\-]*)\s*\("
-_LITERAL = r"'[^']*'"
-_TICKED = r"`[^`]+`"
+def _reader(read):
+    @F.pandas_udf("reference_like boolean, understood boolean, unknown array<string>, spark_sql string")
+    def read_all(expressions: pd.Series, aggregates: pd.Series) -> pd.DataFrame:
+        known, rows = {}, []
+        for key in zip(expressions, aggregates):
+            if key not in known:
+                known[key] = read(*key)
+            rows.append(known[key])
+        return pd.DataFrame(rows, columns=["reference_like", "understood", "unknown", "spark_sql"])
 
-# A parenthesised group with up to four more levels inside.
-GROUP = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\))*\)"
-_IF = rf"(?i)\bif\s*({GROUP})\s*then\s*({GROUP})\s*else\s*({GROUP})"
-_IF_DEPTH = 4
+    return read_all
 
 
-def is_simple_reference(expression: Column) -> Column:
-    return expression.rlike(_SIMPLE_REFERENCE)
+def read(expression: Column, aggregate: Column | None = None) -> Column:
+    """A struct: reference_like, understood, unknown (called names), spark_sql."""
+    return _reader(parser.read)(expression, F.lit("") if aggregate is None else aggregate)
 
 
 def is_reference_like(expression: Column) -> Column:
     """Empty, a plain reference, or a cast of a plain reference."""
-    blank = expression.isNull() | (F.trim(expression) == "")
-    return blank | expression.rlike(_SIMPLE_REFERENCE) | expression.rlike(_CAST_OF_REFERENCE)
-
-
-def _without_literals(expression: Column) -> Column:
-    return F.regexp_replace(expression, _LITERAL, "''")
-
-
-def called_names(expression: Column) -> Column:
-    """Names that are called, lower case, without keywords, references and string literals."""
-    bare = F.regexp_replace(_without_literals(expression), r"\[[^\[\]]*\]", "[]")
-    names = F.transform(F.regexp_extract_all(bare, F.lit(_CALL), F.lit(1)), F.lower)
-    return F.array_except(names, text_array(_KEYWORDS))
+    return read(expression).getField("reference_like")
 
 
 def unknown_calls(expression: Column) -> Column:
-    return F.array_except(called_names(expression), text_array(KNOWN_CALLS))
+    """Names that are called and not known, lower case."""
+    return read(expression).getField("unknown")
 
 
 def is_understood(expression: Column) -> Column:
     """Every called name is known, and the text can be rewritten without guessing."""
-    code = F.regexp_replace(_without_literals(expression), r"\[[^\[\]]*\]", "")
-    balanced = F.regexp_count(code, F.lit(r"\(")) == F.regexp_count(code, F.lit(r"\)"))
-    # Literals and names must not hold characters that the rewriting gives a meaning to.
-    quoted = F.regexp_extract_all(expression, F.lit(rf"{_LITERAL}|\[[^\[\]]*\]"), F.lit(0))
-    plain = ~F.exists(quoted, lambda text: text.rlike(r"['\[].*[\[\]`/;()].*['\]]"))
-    # An if that is still there after rewriting was nested too deeply, or has no parentheses.
-    left_over_if = _rewrite_ifs(code).rlike(r"(?i)\bif\s*\((?:[^()]|\([^()]*\))*\)\s*then\b")
-    good = (F.size(unknown_calls(expression)) == 0) & balanced & plain & ~left_over_if
-    return F.coalesce(is_simple_reference(expression) | (good & (F.trim(expression) != "")), F.lit(False))
-
-
-def _rewrite_ifs(text: Column) -> Column:
-    for _ in range(_IF_DEPTH):
-        text = F.regexp_replace(text, _IF, "if($1, $2, $3)")
-    return text
-
-
-def _scalar_text(expression: Column) -> Column:
-    text = F.regexp_replace(F.trim(expression), _REFERENCE, "`$1`")
-    text = F.regexp_replace(text, r"(?i)\bextract\s*\(\s*(year|month|day)\s*,\s*", "$1(")
-    text = F.regexp_replace(text, r"\s*;\s*([A-Za-z0-9_]+(?:\([0-9, ]+\))?)\s*\)", " as $1)")
-    text = _rewrite_ifs(text)
-    text = F.regexp_replace(text, r"(?i)\bswitch\s*\(", "decode(")
-    text = F.regexp_replace(text, r"(?i)\btoday\s*\(\s*\)", "current_date()")
-    return F.regexp_replace(text, r"(?i)\baverage\s*\(", "avg(")
-
-
-def _guard_divisions(text: Column) -> Column:
-    """``a / b`` -> ``a / nullif(b, 0)`` for a call, group, column or number on the right."""
-    operand = rf"([A-Za-z_]*{GROUP}|{_TICKED}|[0-9.]+)"
-    return F.regexp_replace(text, rf"/\s*{operand}", "/ nullif($1, 0)")
-
-
-def _is_arithmetic(text: Column) -> Column:
-    rest = F.regexp_replace(F.regexp_replace(text, _TICKED, ""), r"\d+(\.\d+)?", "")
-    return rest.rlike(r"^[\s+\-*/().]*$") & text.contains("`")
+    return read(expression).getField("understood")
 
 
 def to_spark_sql(expression: Column, aggregate: Column) -> Column:
-    """Spark SQL text of an item, null where it is not understood.
-
-    Arithmetic of columns is aggregated per operand (a ratio of sums); any other row expression is
-    aggregated as a whole. An aggregate without a function of its own leaves the text as it is.
-    """
-    scalar = _scalar_text(expression)
-    operandwise, whole = scalar, scalar
-    name = F.lower(F.trim(F.coalesce(aggregate, F.lit(""))))
-    for source, function in AGGREGATES.items():
-        call = "count(distinct " if function == "count distinct" else f"{function}("
-        per_operand = F.regexp_replace(scalar, rf"({_TICKED})", f"{call}$1)")
-        operandwise = F.when(name == source, per_operand).otherwise(operandwise)
-        whole = F.when(name == source, F.concat(F.lit(call), _guard_divisions(scalar), F.lit(")"))).otherwise(whole)
-    text = F.when(_is_arithmetic(scalar), _guard_divisions(operandwise)).otherwise(whole)
-    text = F.when(name.isin(list(AGGREGATES)), text).otherwise(_guard_divisions(scalar))
-    return F.when(is_understood(expression), text)
+    """Spark SQL text of an item, null where it is not understood."""
+    return read(expression, aggregate).getField("spark_sql")

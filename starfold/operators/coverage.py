@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starfold.functions import expressions as X
 from starfold.operators import extract as E
@@ -67,8 +67,8 @@ def corpus_columns(c: Mapping[str, DataFrame]) -> DataFrame:
 def corpus_relationships(c: Mapping[str, DataFrame]) -> DataFrame:
     """First column pair of every relationship, in declared order."""
     ends = ["from_table", "from_column", "to_table", "to_column"]
-    joins = c["joins"].filter("mapped").select("path", F.struct("query", "join_no").alias("order"), *ends)
-    joins = joins.select("path", F.xxhash64("order").alias("seq"), *ends)
+    declared = Window.partitionBy("path").orderBy("query_no", "join_no")  # the joins of one file
+    joins = c["joins"].filter("mapped").select("path", F.row_number().over(declared).cast("long").alias("seq"), *ends)
     others = [c[name].filter("pair_no = 1 and from_table is not null").select("path", F.col("seq").cast("long").alias("seq"), *ends)
               for name in ("model_rels", "module_rels")]
     return reduce(DataFrame.unionByName, [joins, *others])
@@ -96,6 +96,7 @@ def corpus_findings(c: Mapping[str, DataFrame]) -> DataFrame:
         _finding(filters, "detail-filter", F.col("condition")),
         _finding(items.filter("item_class = 'unmapped'"), "calculation-needs-review", F.col("expression")),
         _finding(measures, "measure-needs-review", F.col("expression")),
+        _finding(items.filter("broken"), "element-needs-review", F.concat(F.col("query"), F.lit("."), F.col("item"))),
         _finding(c["joins"].filter("not mapped"), "join-needs-review", F.col("condition")),
         _finding(c["joins"].filter("mapped"), "join-relationship"),
         _finding(visuals.filter("kind is not null and query is null"), "visual-unbound"),

@@ -20,6 +20,8 @@ from starfold.operators.rules import FACT_USAGES, KEY_USAGES
 from starfold.operators.visuals import SLOT_ROLES, SUMMARIZE_BY, VISUAL_KINDS
 
 _REFERENCE = r"\[[^\[\]]+\](?:\.\[[^\[\]]+\])*"
+# What follows the name of a tag, up to its end. Quoted values may hold any character.
+_ATTRIBUTES = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+"""
 
 
 # ------------------------------------------------------------------------ reading
@@ -32,7 +34,14 @@ def xml_text(content: Column) -> Column:
 
 def elements(xml: Column, tag: str) -> Column:
     """Texts of all elements of a tag that does not nest in itself, in document order."""
-    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?=[\s/>])[^>]*?(?:/>|>.*?</{tag}\s*>)"), F.lit(0))
+    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?=[\s/>]){_ATTRIBUTES}(?:(?<=/)>|>.*?</{tag}\s*>)"), F.lit(0))
+
+
+def attribute(xml: Column, name: str, tag: str = r"[\w.\-]+") -> Column:
+    """An attribute of the first element of a tag, read as XML, so that entities are decoded; null where it has none."""
+    held = F.regexp_extract(xml, rf"(?s)<{tag}(?=[\s/>])({_ATTRIBUTES})>", 1)
+    element = F.concat(F.lit("<e "), F.regexp_replace(held, r"/\s*$", ""), F.lit("/>"))
+    return F.nullif(read_element(element, f"_{name} string").getField(f"_{name}"), F.lit(""))
 
 
 def read_element(xml: Column, schema: str) -> Column:
@@ -88,12 +97,14 @@ def _lookup(mapping: dict[str, str], key: Column) -> Column:
 def report_queries(reports: DataFrame) -> DataFrame:
     """Queries of reports, with the text of each: the input of the functions below."""
     rows = _xml_rows(reports, "query", "query_no", "xml")
-    name = F.regexp_extract("xml", r"""^<query\s[^>]*?\bname\s*=\s*["']([^"']*)["']""", 1)
-    return rows.withColumn("query", clean_label(name, "Query"))
+    return rows.withColumn("query", clean_label(F.coalesce(attribute(F.col("xml"), "name"), F.lit("")), "Query"))
 
 
 def report_items(queries: DataFrame) -> DataFrame:
-    """Data items: name, aggregate, expression, inferred type and class of every item of every query."""
+    """Data items: name, aggregate, expression, inferred type and class of every item of every query.
+
+    An item that is no well-formed XML is ``broken``; it keeps its place, and what of it can be read.
+    """
     rows = queries.select(
         "path", "query_no", "query", *_numbered(elements(F.col("xml"), "dataItem"), "item_no", "xml"))
     # One spelling of the type attribute, as columns do not differ by case alone.
@@ -110,42 +121,53 @@ def report_items(queries: DataFrame) -> DataFrame:
         _text(F.col("item.expression")).alias("expression"),
         F.coalesce(F.nullif(F.col("item._datatype"), F.lit("")), F.nullif(F.col("item._type"), F.lit(""))
                    ).alias("declared_type"),
-        F.try_element_at(codes, F.lit(1)).getField("_value").alias("type_code"))
+        F.try_element_at(codes, F.lit(1)).getField("_value").alias("type_code"),
+        F.col("item._corrupt").isNotNull().alias("broken"))
+    items = items.withColumn("read", X.read(F.col("expression")))
     return items.withColumns({"type": infer_item_type(), "item_class": item_class(),
-                              "source_column": source_column()}).drop("declared_type", "type_code")
+                              "source_column": source_column()}).drop("declared_type", "type_code", "read")
+
 
+# Called names that give whole numbers, and names that give floating numbers.
+COUNTING = ["running-count", "running_count", "running-total", "running_total", "count", "rowcount", "_rowcount"]
+FLOATING = ["average", "avg", "median", "stddev", "std-dev", "std_dev", "variance", "percentile", "ratio"]
 
-_CAST = rf"(?is)^\s*cast\s*\(\s*(.+?)\s*;\s*([A-Za-z0-9_]+)\s*\)\s*$"
-_COUNTING = r"(?i)\b(running[-_]count|running[-_]total|count|_?rowcount)\s*\("
-_FLOATING = r"(?i)\b(average|avg|median|stddev|std[-_]?dev|variance|percentile|ratio)\s*\("
+
+def _calls_any(expression: Column, names: list[str]) -> Column:
+    called = F.regexp_extract_all(F.lower(expression), F.lit(r"(?<![\w\-])([a-z_][\w\-]*)\s*\("), F.lit(1))
+    return F.arrays_overlap(called, F.array(*[F.lit(n) for n in names]))
+
+
+def _cast_target(expression: Column) -> Column:
+    """What a cast as a whole is a cast to: the name between its last semicolon and its end."""
+    text = F.trim(expression)
+    target = F.regexp_extract(F.substring_index(text, ";", -1), r"^\s*([A-Za-z0-9_]+)\s*\)$", 1)
+    return F.when(F.lower(text).rlike(r"^cast\s*\(") & text.contains(";"), F.nullif(target, F.lit("")))
 
 
 def infer_item_type() -> Column:
     """Declared type, else type code, else cast target, else what the function returns, else string."""
-    cast_type = F.nullif(F.regexp_extract("expression", _CAST, 2), F.lit(""))
+    cast_type = _cast_target(F.col("expression"))
     return F.coalesce(
         F.when(F.col("declared_type").isNotNull(), normalize_type(F.col("declared_type"))),
         type_of_code(F.col("type_code")),
         F.when(cast_type.isNotNull(), normalize_type(cast_type)),
-        F.when(F.col("expression").rlike(_COUNTING), "int64"),
-        F.when(F.col("expression").rlike(_FLOATING), "double"),
+        F.when(_calls_any(F.col("expression"), COUNTING), "int64"),
+        F.when(_calls_any(F.col("expression"), FLOATING), "double"),
         F.lit("string"))
 
 
 def item_class() -> Column:
     """measure, physical (a reference), calculated (understood), or unmapped."""
-    expression = F.col("expression")
-    return (F.when(F.col("aggregate") != "none", "measure")
-            .when(X.is_reference_like(expression), "physical")
-            .when(X.is_understood(expression), "calculated").otherwise("unmapped"))
+    return (F.when(F.col("aggregate") != "none", "measure").when(F.col("read.reference_like"), "physical")
+            .when(F.col("read.understood"), "calculated").otherwise("unmapped"))
 
 
 def source_column() -> Column:
     """Physical column behind a reference or a cast of one, else the item's own name."""
     expression = F.col("expression")
     last = F.try_element_at(segments(expression), F.lit(-1))
-    return F.when(F.coalesce(X.is_reference_like(expression), F.lit(False)) & last.isNotNull(), clean_label(last)
-                  ).otherwise(F.col("item"))
+    return F.when(F.col("read.reference_like") & last.isNotNull(), clean_label(last)).otherwise(F.col("item"))
 
 
 def _is_many(cardinality: Column) -> Column:
@@ -160,12 +182,13 @@ def report_joins(queries: DataFrame) -> DataFrame:
 
     A filter that is not one equality of two references is kept as it is, with ``mapped`` false.
     """
-    operations = elements(F.col("xml"), "joinOperation")
-    joins = queries.select("path", "query_no", "query", F.explode(operations).alias("xml"))
-    operands = F.transform(elements(F.col("xml"), "joinOperand"), lambda x: read_element(
+    # The filters of all operations of a query in one sequence, so that join_no is their declared order.
+    filters = F.flatten(F.transform(elements(F.col("xml"), "joinOperation"), lambda operation: F.transform(
+        elements(operation, "joinFilter"), lambda f: F.struct(operation.alias("xml"), f.alias("filter")))))
+    joins = queries.select("path", "query_no", "query", F.posexplode(filters).alias("join_no", "join"))
+    operands = F.transform(elements(F.col("join.xml"), "joinOperand"), lambda x: read_element(
         x, "_cardinality string, queryRef struct<_refQuery: string>"))
-    rows = joins.withColumn("operands", operands).select(
-        "path", "query_no", "query", "operands", *_numbered(elements(F.col("xml"), "joinFilter"), "join_no", "filter"))
+    rows = joins.select("path", "query_no", "query", operands.alias("operands"), "join_no", F.col("join.filter").alias("filter"))
     condition = _text(read_element(F.col("filter"), "filterExpression string").getField("filterExpression"))
     rows = rows.withColumn("condition", condition).filter("condition is not null")
     rows = rows.withColumn("mapped", F.col("condition").rlike(rf"^\s*{_REFERENCE}\s*=\s*{_REFERENCE}\s*$"))
@@ -180,7 +203,7 @@ def report_joins(queries: DataFrame) -> DataFrame:
     swapped = F.col("right_many") & ~F.col("left_many")
     pick = lambda name, a, b: F.when(swapped, F.col(f"{b}_{name}")).otherwise(F.col(f"{a}_{name}"))
     return rows.select(
-        "path", "query", (F.col("join_no") + 1).alias("join_no"), "condition", "mapped",
+        "path", "query_no", "query", (F.col("join_no") + 1).alias("join_no"), "condition", "mapped",
         pick("table", "left", "right").alias("from_table"), pick("column", "left", "right").alias("from_column"),
         pick("table", "right", "left").alias("to_table"), pick("column", "right", "left").alias("to_column"),
         F.when(F.col("left_many") | F.col("right_many"), "n:1").otherwise("1:1").alias("cardinality"))
@@ -189,7 +212,7 @@ def report_joins(queries: DataFrame) -> DataFrame:
 def report_sources(queries: DataFrame) -> DataFrame:
     """How each query is sourced: join, derived (from another query), package, or none; and its filters."""
     source = F.try_element_at(elements(F.col("xml"), "source"), F.lit(1))
-    derived = F.regexp_extract(source, r"""<queryRef\s[^>]*?\brefQuery\s*=\s*["']([^"']*)["']""", 1)
+    derived = attribute(source, "refQuery", "queryRef")
     kind = (F.when(source.rlike(r"<joinOperation[\s/>]"), "join").when(source.rlike(r"<queryRef[\s/>]"), "derived")
             .when(source.rlike(r"<model[\s/>]"), "package").otherwise("none"))
     details = F.array_join(elements(F.col("xml"), "detailFilters"), "")
@@ -212,15 +235,14 @@ def report_visuals(reports: DataFrame) -> DataFrame:
     A page without visuals has one row with a null kind.
     """
     pages = _xml_rows(reports, "page", "page_no", "xml")
-    name = F.nullif(F.regexp_extract("xml", r"""^<page\s[^>]*?\bname\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
+    name = attribute(F.col("xml"), "name", "page")
     tags = "|".join(LAYOUT_VISUALS)
-    visual = rf"(?s)<(?:{tags})(?=[\s/>])[^>]*?(?:/>|>(?:.*?(?=<(?:{tags})[\s/>])|.*))"
+    visual = rf"(?s)<(?:{tags})(?=[\s/>]){_ATTRIBUTES}(?:(?<=/)>|>(?:.*?(?=<(?:{tags})[\s/>])|.*))"
     pages = pages.select("path", "page_no", clean_label(F.coalesce(name, _numbered_name("Page", "page_no"))).alias("page"),
                          F.posexplode_outer(F.regexp_extract_all("xml", F.lit(visual), F.lit(0))).alias("visual_no", "xml"))
     shown = F.transform(elements(F.col("xml"), "listColumn"), lambda x: F.coalesce(*[
-        F.nullif(F.regexp_extract(x, rf"""<{tag}\s[^>]*?\brefDataItem\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
-        for tag in ("dataItemValue", "dataItemLabel")]))
-    query = F.nullif(F.regexp_extract("xml", r"""^<\w+\s[^>]*?\brefQuery\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
+        attribute(x, "refDataItem", tag) for tag in ("dataItemValue", "dataItemLabel")]))
+    query = attribute(F.col("xml"), "refQuery")
     return pages.select(
         "path", "page_no", "page", (F.col("visual_no") + 1).alias("visual_no"),
         _lookup(LAYOUT_VISUALS, F.regexp_extract("xml", r"^<(\w+)", 1)).alias("kind"),

@@ -47,6 +47,7 @@ SEVERITY = {
     "calculation-needs-review": "warning",
     "measure-needs-review": "warning",
     "visual-unbound": "warning",
+    "element-needs-review": "warning",
     "no-queries": "error",
     "no-query-subjects": "error",
     "no-pages": "warning",

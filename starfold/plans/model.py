@@ -15,11 +15,10 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
-from starfold.functions.expressions import GROUP
+from starfold.functions.parser import guarded
 
 _IDENTIFIER = re.compile(r"`[^`]+`|\b[A-Za-z_]\w*\b")
 _ARITHMETIC = re.compile(r"[\s\d.+\-*/()]*")
-_DIVISOR = re.compile(rf"/\s*([A-Za-z_]\w*|[0-9.]+|{GROUP})")
 
 # Spark SQL of an aggregate over raw rows, and how partial results of it merge.
 _FIRST = {"sum": "sum({})", "count": "count({})", "min": "min({})", "max": "max({})",
@@ -67,8 +66,7 @@ class Measure:
         operands = dict(zip(self.operands(), names))
         if self.expression in operands:
             return names[0]
-        guarded = _DIVISOR.sub(lambda m: f"/ nullif({m.group(1)}, 0)", self.expression)
-        return _IDENTIFIER.sub(lambda m: operands.get(m.group(0), m.group(0)), guarded)
+        return _IDENTIFIER.sub(lambda m: operands.get(m.group(0), m.group(0)), guarded(self.expression))
 
 
 @dataclass(frozen=True)

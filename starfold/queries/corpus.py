@@ -205,7 +205,7 @@ _ITEMS = f"""
                'calculated', 'Segment' from customer
         union all select c_custkey, 'Orders', 4, 'Row', 'none', {_CALC_SQL},
                ['int64', 'string', 'double', 'string'][c_custkey % 4 + 1],
-               ['unmapped', 'calculated', 'calculated', 'unmapped'][c_custkey % 4 + 1], 'Row' from customer
+               ['unmapped', 'calculated', 'calculated', 'calculated'][c_custkey % 4 + 1], 'Row' from customer
         union all select c_custkey, 'Orders', 5, 'Revenue', 'total', {_MEASURE_SQL}, 'string', 'measure',
                'Revenue' from customer
         union all select c_custkey, 'Customers', 1, 'Customer Code', 'none', null, 'string', 'physical', 'Customer Code'
@@ -257,7 +257,7 @@ _JOINS = f"""
 
 @query(_JOINS)
 def extract_report_joins(spark, sf_dir):
-    return E.report_joins(_queries(spark, sf_dir))
+    return E.report_joins(_queries(spark, sf_dir)).drop("query_no")
 
 
 @query(f"""
@@ -379,7 +379,16 @@ _CASES = [
     ("round([@] * ([Tax] + 1), 2)", "average", "avg(round(`@` * (`Tax` + 1), 2))"),
     ("[Sales].[@]", "countDistinct", "count(distinct `@`)"),
     ("substring([@], 1, 3) || ''-'' || lower([Name])", "none", "substring(`@`, 1, 3) || ''-'' || lower(`Name`)"),
+    ("cast([Sales].[@] ; decimal(9, 2)) / ([Tax] / [Rate])", "none",
+     "cast(`@` as decimal(9, 2)) / nullif((`Tax` / nullif(`Rate`, 0)), 0)"),
+    ("_add_years([Sales].[Day], 1 + [Years])", "none", "add_months(`Day`, 12 * (1 + `Years`))"),
+    ("_round(variance([@]), 1) + rowcount([@])", "calculated", "round(var_samp(`@`), 1) + count(*)"),
+    ("if (" + "(" * 12 + "[@]" + ")" * 12 + " > 1) then (1) else (if ([Tax] = 1) then (2) else (3))", "none",
+     "if((" + "(" * 12 + "`@`" + ")" * 12 + " > 1), (1), (if((`Tax` = 1), (2), (3))))"),
+    ("''[no] reference; (none'' || [@]", "none", "''[no] reference; (none'' || `@`"),
+    ("if ([@] > 1) then [Tax] else 0", "none", None),
 ]
+_UNKNOWN = {i: n for i, n in enumerate(["", "", "", "", "", "rank", "running-count"]) if n}
 
 
 def _case_sql(position: int, aliased: str) -> str:
@@ -394,9 +403,9 @@ def _expressions(spark, sf_dir):
         "p_partkey", f"replace({pick(0)}, '@', p_name) as expression", f"{pick(1)} as aggregate")
 
 
-@query("select p_partkey, spark_sql is not null as understood, case when p_partkey % 10 = 5 then 'rank' "
-       "when p_partkey % 10 = 6 then 'running-count' else '' end as unknown from (select p_partkey, "
-       + _case_sql(2, "spark_sql") + " from part)")
+@query("select p_partkey, spark_sql is not null as understood, case "
+       + " ".join(f"when p_partkey % {len(_CASES)} = {i} then '{n}'" for i, n in _UNKNOWN.items())
+       + " else '' end as unknown from (select p_partkey, " + _case_sql(2, "spark_sql") + " from part)")
 def expr_coverage(spark, sf_dir):
     expression = F.col("expression")
     return _expressions(spark, sf_dir).select("p_partkey", X.is_understood(expression).alias("understood"),
@@ -415,7 +424,7 @@ _CORPUS_FINDINGS = f"""
     select {_REPORT_PATH} as path, 'package-source' as code, 'warning' as severity, cast(null as varchar) as source_ref from customer
     union all select {_REPORT_PATH}, 'derived-query', 'info', 'Orders' from customer
     union all select {_REPORT_PATH}, 'detail-filter', 'warning', '[DB].[Orders].[Balance] < ' || c_nationkey from customer
-    union all select {_REPORT_PATH}, 'calculation-needs-review', 'warning', {_CALC_SQL} from customer where c_custkey % 4 in (0, 3)
+    union all select {_REPORT_PATH}, 'calculation-needs-review', 'warning', {_CALC_SQL} from customer where c_custkey % 4 = 0
     union all select {_REPORT_PATH}, 'measure-needs-review', 'warning', 'rank([DB].[Orders].[Revenue])' from customer
         where c_custkey % 3 = 2
     union all select path, case when mapped then 'join-relationship' else 'join-needs-review' end,
