@@ -1,90 +1,49 @@
 """Which relationships of each model stay active: the first path between any two tables.
 
-Taking edges in declared order and dropping each one that closes a loop leaves the spanning forest with
-the smallest sequence numbers. Models are independent. Models of ordinary size are swept in one sorted
-pass; a model with very many edges is contracted by rounds of joins instead, so that it needs no single
-task either.
+Taking edges in declared order and dropping each one that closes a loop leaves the spanning forest with the smallest
+sequence numbers. The forest is grown in rounds of joins for all models at once: each component takes its first edge to
+another component, and joined components merge. Components at least halve in each round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from starfold.session import materialize
 
-# Models with more edges than this are contracted by joins.
-SWEEP_LIMIT = 200_000
 
+def forest(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (model_id, a, b, seq), one row per pair of tables, with a column ``in_forest``.
 
-def forest(pairs: DataFrame, sweep_limit: int = SWEEP_LIMIT) -> DataFrame:
-    """``pairs`` (model_id, a, b, seq), one row per pair of tables, with a column ``in_forest``."""
-    pairs = materialize(pairs.select("model_id", "a", "b", "seq"), "forest-pairs")
-    large = pairs.groupBy("model_id").count().filter(F.col("count") > sweep_limit).select("model_id")
-    large = materialize(large, "forest-large")
-    if large.isEmpty():
-        return _sweep(pairs)
-    swept = _sweep(pairs.join(large, "model_id", "left_anti"))
-    return swept.unionByName(_contract(pairs.join(large, "model_id", "left_semi")))
-
-
-def _sweep(pairs: DataFrame) -> DataFrame:
-    """Rows sorted by model and sequence, in one pass. Defined in here so that workers need only pandas."""
-
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by model and sequence; only the current model's tables are held."""
-        model, leader = None, {}
-
-        def find(table):
-            while leader.get(table, table) != table:
-                leader[table] = leader.get(leader[table], leader[table])
-                table = leader[table]
-            return table
-
-        for batch in batches:
-            kept = []
-            for model_id, a, b in zip(batch["model_id"], batch["a"], batch["b"]):
-                if model_id != model:
-                    model, leader = model_id, {}
-                a, b = find(a), find(b)
-                kept.append(a != b)
-                if a != b:
-                    leader[a] = b
-            yield batch.assign(in_forest=kept)
-
-    schema = pairs.withColumn("in_forest", F.lit(True)).schema
-    return pairs.repartition("model_id").sortWithinPartitions("model_id", "seq").mapInPandas(sweep, schema)
-
-
-def _contract(pairs: DataFrame) -> DataFrame:
-    """Each component takes its smallest outgoing edge; joined components merge; repeat."""
-    edges = pairs
-    chosen = []
+    Pairs that share a sequence number are taken in order of their tables.
+    """
+    edge = F.struct("seq", F.col("a").alias("first"), F.col("b").alias("second"))
+    pairs = materialize(pairs.select("model_id", "a", "b", edge.alias("edge")), "forest-pairs")
+    edges, chosen = pairs, [pairs.select("model_id", "edge").limit(0)]
     while not edges.isEmpty():
-        ends = edges.select("model_id", F.col("a").alias("part"), F.col("b").alias("other"), "seq").unionByName(
-            edges.select("model_id", F.col("b").alias("part"), F.col("a").alias("other"), "seq"))
+        ends = edges.select("model_id", F.col("a").alias("part"), F.col("b").alias("other"), "edge").unionByName(
+            edges.select("model_id", F.col("b").alias("part"), F.col("a").alias("other"), "edge"))
         smallest = materialize(
-            ends.groupBy("model_id", "part").agg(F.min(F.struct("seq", "other")).alias("edge"))
-            .select("model_id", "part", "edge.other", "edge.seq"), "forest-smallest")
-        chosen.append(smallest.select("model_id", "seq"))
+            ends.groupBy("model_id", "part").agg(F.min(F.struct("edge", "other")).alias("taken"))
+            .select("model_id", "part", "taken.other", "taken.edge"), "forest-smallest")
+        chosen.append(smallest.select("model_id", "edge"))
         roots = _roots(smallest.select("model_id", "part", F.col("other").alias("root")))
         edges = materialize(_relabel(_relabel(edges, roots, "a"), roots, "b").filter("a <> b"), "forest-edges")
     found = reduce(DataFrame.unionByName, chosen).distinct().withColumn("found", F.lit(True))
-    return pairs.join(found, ["model_id", "seq"], "left").select(
-        "model_id", "a", "b", "seq", F.col("found").isNotNull().alias("in_forest"))
+    return pairs.join(found, ["model_id", "edge"], "left").select(
+        "model_id", "a", "b", F.col("edge.seq").alias("seq"), F.col("found").isNotNull().alias("in_forest"))
 
 
 def _relabel(edges: DataFrame, roots: DataFrame, end: str) -> DataFrame:
     names = roots.withColumnsRenamed({"part": end, "root": "new_root"})
     joined = edges.join(names, ["model_id", end], "left")
-    return joined.withColumn(end, F.coalesce("new_root", end)).select("model_id", "a", "b", "seq")
+    return joined.withColumn(end, F.coalesce("new_root", end)).select("model_id", "a", "b", "edge")
 
 
 def _roots(pointers: DataFrame) -> DataFrame:
-    """Follow part -> root pointers to their end. Sequence numbers differ, so the only cycles are pairs."""
+    """Follow part -> root pointers to their end, doubling. Edges are in a total order, so the only cycles are pairs."""
     back = pointers.select("model_id", F.col("part").alias("root"), F.col("root").alias("back"))
     broken = pointers.join(back, ["model_id", "root"], "left").select(
         "model_id", "part",

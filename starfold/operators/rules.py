@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from starfold.functions import names as N
-from starfold.operators.forest import SWEEP_LIMIT, forest
+from starfold.operators.forest import forest
 from starfold.session import materialize
 
 # Usages of columns.
@@ -98,7 +98,7 @@ def column_stats(columns: DataFrame) -> DataFrame:
 
 def _roles_without_bridges(tables: DataFrame, columns: DataFrame) -> DataFrame:
     joined = tables.withColumn("role", base_role()).join(
-        column_stats(columns).hint("merge"), ["model_id", "table"], "left")
+        column_stats(columns), ["model_id", "table"], "left")
     named = F.arrays_overlap(N.tokens(F.col("table")), N.text_array(N.DATE_NAME_TOKENS))
     is_date = (F.col("role") != "fact") & F.col("date_position").isNotNull() & ((F.col("n_date_parts") >= 2) | named)
     is_date = F.coalesce(is_date, F.lit(False))
@@ -132,7 +132,7 @@ def classify(tables: DataFrame, columns: DataFrame, rels: DataFrame) -> DataFram
     n_rels = F.coalesce("n_rels", F.lit(0))
     is_bridge = (F.col("role") == "dimension") & (F.col("n_keys") >= 2) & (F.col("n_others") == 0) & (n_rels >= 2)
     joined = _roles_without_bridges(tables, columns).join(
-        relationship_counts(rels).hint("merge"), ["model_id", "table"], "left")
+        relationship_counts(rels), ["model_id", "table"], "left")
     return joined.select("model_id", "table", "n_measures", F.when(is_bridge, "bridge").otherwise(F.col("role")).alias("role"),
                          "is_date_table", n_rels.alias("n_rels"))
 
@@ -145,8 +145,6 @@ def _with_side(rels: DataFrame, side: str, tables: DataFrame, keys: DataFrame) -
     roles = tables.select("model_id", F.col("table").alias(f"{side}_table"), F.col("role").alias(f"{side}_role"))
     names = keys.select("model_id", F.col("table").alias(f"{side}_table"), F.col("column").alias(f"{side}_column"),
                         F.lit(True).alias(f"{side}_named"))
-    # These sides grow with the number of models, and compressed files make them look small.
-    roles, names = roles.hint("merge"), names.hint("merge")
     joined = rels.join(roles, ["model_id", f"{side}_table"], "left").join(
         names, ["model_id", f"{side}_table", f"{side}_column"], "left")
     foreign_words = F.array_except(N.key_base(F.col(f"{side}_column")), N.tokens(F.col(f"{side}_table")))
@@ -214,7 +212,7 @@ def deduplicate(rels: DataFrame) -> DataFrame:
     return pairs.groupBy("model_id", "end_1", "end_2").agg(first.alias("first")).select("model_id", "first.*")
 
 
-def activate(rels: DataFrame, sweep_limit: int = SWEEP_LIMIT) -> DataFrame:
+def activate(rels: DataFrame) -> DataFrame:
     """Add ``status``: active, self-join, role-playing or ambiguous-loop.
 
     The first relationship of a pair of tables stands for the pair. Pairs off the forest close a loop;
@@ -223,8 +221,8 @@ def activate(rels: DataFrame, sweep_limit: int = SWEEP_LIMIT) -> DataFrame:
     ends = {"a": F.least("from_table", "to_table"), "b": F.greatest("from_table", "to_table")}
     between = rels.filter("from_table <> to_table").withColumns(ends)
     pairs = between.groupBy("model_id", "a", "b").agg(F.min("seq").alias("seq"))
-    decided = forest(pairs, sweep_limit).withColumnRenamed("seq", "first_seq")
-    joined = rels.withColumns(ends).join(decided.hint("merge"), ["model_id", "a", "b"], "left")
+    decided = forest(pairs).withColumnRenamed("seq", "first_seq")
+    joined = rels.withColumns(ends).join(decided, ["model_id", "a", "b"], "left")
     return joined.select(
         *rels.columns,
         F.when(F.col("from_table") == F.col("to_table"), "self-join").when(~F.col("in_forest"), "ambiguous-loop")

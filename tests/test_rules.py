@@ -115,15 +115,19 @@ def _expected(rows):
     return result
 
 
-@pytest.mark.parametrize("limit", [0, 20, 1000])
-def test_sweep_and_contraction_agree(spark, limit):
-    """Contraction by joins for models over the limit, one sorted pass for the rest, and a mix of both."""
+def test_forest_against_edges_in_order(spark):
     rows = _random_pairs(7, 6, 14, 25) + [(99, "hub", f"t{i}", i) for i in range(40)] + [
         (98, f"t{i:02}", f"t{i + 1:02}", 50 - i) for i in range(30)]
-    found = forest(spark.createDataFrame(rows, "model_id long, a string, b string, seq long"), sweep_limit=limit)
+    found = forest(spark.createDataFrame(rows, "model_id long, a string, b string, seq long"))
     assert {(r["model_id"], r["seq"]): r["in_forest"] for r in found.collect()} == _expected(rows)
 
 
+def test_forest_of_edges_that_share_a_number(spark):
+    rows = [(1, "a", "b", 1), (1, "b", "c", 1), (1, "a", "c", 1), (1, "c", "d", 2), (1, "a", "d", 2)]
+    found = forest(spark.createDataFrame(rows, "model_id long, a string, b string, seq long"))
+    assert {(r["a"], r["b"]) for r in found.filter("in_forest").collect()} == {("a", "b"), ("a", "c"), ("a", "d")}
+
+
 def test_breakdown_puts_errors_first(spark):
     rows = [("m", "no-queries", "error", None)] + [("m", "detail-filter", "warning", None)] * 3 + [("m", "derived-query", "info", None)] * 5
     df = R.review_breakdown(spark.createDataFrame(rows, "model_id string, code string, severity string, source_ref string"), limit=2)
