@@ -155,7 +155,7 @@ def pack(docs: DataFrame, definition: str, pattern: str, *, length: int = LENGTH
 
 def write(packed: DataFrame, path: str) -> None:
     """Write packed rows as Parquet, one row a record."""
-    packed.write.option("compression", "zstd").parquet(path)
+    packed.write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
