@@ -101,12 +101,16 @@ def seeds(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return rows.mapInArrow(run, "seed long, key long, pos int")
 
 
-def anchors(found: DataFrame) -> DataFrame:
-    """Matches (key, pos, other, other_pos) of each occurrence of a shared seed with its place in the smallest document."""
+def anchors(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Matches (key, pos, other, other_pos) of each occurrence of a shared seed with its place in the smallest document.
+
+    The places are written first, so that both sides of the join are shuffled for it, and Spark can split a hot seed.
+    """
     first = F.when(F.col("pos") >= 0, F.col("key"))
     heads = found.groupBy("seed").agg(F.min("key").alias("other"), F.max("key").alias("last"),
                                       F.min_by("pos", first).alias("other_pos")).filter("other <> last")
-    joined = found.join(heads.select("seed", "other", "other_pos"), "seed").filter("key <> other")
+    heads = scratch.write(heads.select("seed", "other", "other_pos"), "heads")
+    joined = found.join(heads, "seed").filter("key <> other")
     pos = F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos"))
     return joined.select("key", "other", pos.alias("pos"), "other_pos")
 
@@ -300,7 +304,7 @@ def passages(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, i
     ``n_words`` and ``identity``. ``other`` is always the document with the smaller key."""
     bounded_batches(docs.sparkSession)
     found = scratch.write(seeds(docs, id_column, text_column), "seeds")
-    linked = scratch.write(chains(anchors(found)), "chains")
+    linked = scratch.write(chains(anchors(found, scratch)), "chains")
     scratch.drop(found)
     wanted = linked.select(F.explode(F.array("key", "other")).alias("key")).distinct()
     texts = scratch.write(_texts(docs, wanted, id_column, text_column), "texts")
