@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from starfold.llm.arrow import bounded_batches, chunks, gather
 from starfold.llm.scratch import Scratch
-from starfold.llm.substring import document_key
+from starfold.llm.substring import common_subsequence, document_key
 from starfold.llm.words import WordSplitter
 
 ITEMS_AT_ONCE = 10_000
@@ -210,19 +210,6 @@ def _units(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
-def common_subsequence(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence; a word of bits holds a whole row of the table."""
-    where: dict[int, int] = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for y in b:
-        hit = row & where.get(y, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
 def _check(item: Item, pos: np.ndarray, word: np.ndarray) -> tuple[float, float, int]:
     """Share of the item's words, and of its answer's, that are in order at the best place, and that place."""
     n = len(item.words)

@@ -3,7 +3,8 @@
 Seeds are k-mers of words, picked by winnowing. Each occurrence of a seed is joined with one occurrence, that in the
 document of the smallest key, so a seed of very many documents gives as many matches as it has occurrences. The matches
 of two documents are chained in order, with gap costs, through a Fenwick tree; chains are aligned word by word over the
-texts, which finds passages that were changed here and there, and their exact ends.
+texts, which finds passages that were changed here and there, and their exact ends; a chain that runs over several
+passages is split where they end.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ K, WINDOW = 6, 12  # every run of 17 equal words shares a seed
 MIN_WORDS, IDENTITY = 50, 0.8
 _CHAIN_WORDS = 14
 _GAP_COST = 0.1
-_GAP_WORDS = 64
 _DROP = 12
 _BROADCAST_ROWS = 200_000
 _LAST = np.uint64((1 << 64) - 1)
@@ -241,31 +241,39 @@ def _periodic(segments: list[tuple[int, int, int]], linked: list[list[int]]) ->
     return found
 
 
+def common_subsequence(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence; a word of bits holds a whole row of the table."""
+    where: dict[int, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & where.get(y, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two short sequences."""
+    """Length of the longest common subsequence of the words of a gap."""
     if not len(a) or not len(b):
         return 0
     if len(a) == len(b) and (same := int((a == b).sum())) >= len(a) - 1:
         return same
-    if max(len(a), len(b)) > _GAP_WORDS:
-        return 0
-    row = [0] * (len(b) + 1)
-    b = b.tolist()
-    for x in a.tolist():
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
-
-
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """How far two sequences agree from their start, but for single words, and in how many words."""
-    n = min(len(a), len(b))
-    same = a[:n] == b[:n]
-    score = np.cumsum(np.where(same, 1, -3))
-    if not n:
-        return 0, 0
-    drop = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > _DROP)
+    return common_subsequence(a.tolist(), b.tolist())
+
+
+def _extend(a: np.ndarray, b: np.ndarray, cost: float) -> tuple[int, int]:
+    """How far two sequences agree from their start, but for single words, and in how many words. A changed word costs
+    as many equal ones as keep the identity."""
+    n, size = min(len(a), len(b)), 256
+    while True:
+        same = a[:min(n, size)] == b[:min(n, size)]
+        score = np.cumsum(np.where(same, 1, -cost))
+        drop = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > _DROP)
+        if len(drop) or size >= n:
+            break
+        size *= 4
     stop = int(drop[0]) if len(drop) else n
     if stop == 0 or score[:stop].max() <= 0:
         return 0, 0
@@ -273,21 +281,56 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, int(same[:best].sum())
 
 
-def align(a: np.ndarray, b: np.ndarray, q: list[int], r: list[int], size: list[int]) -> tuple[int, int, int, int, float]:
-    """Start and end in words on either side of a chain's passage, extended to its ends, and the share of equal words."""
-    left, equal = _extend(a[:q[0]][::-1], b[:r[0]][::-1])
-    at, to, matched = q[0], r[0], equal
+def _stretches(score: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal stretches of steps whose scores are not below 0 in sum, in order; they may overlap."""
+    total = np.concatenate([[0.0], np.cumsum(score)])
+    lowest = np.minimum.accumulate(total)
+    starts = np.flatnonzero(np.concatenate([[True], total[1:] < lowest[:-1] - 1e-9]))
+    highest = np.maximum.accumulate(total[::-1])  # from the end
+    ends = len(total) - 1 - np.searchsorted(highest, total[starts] - 1e-9)
+    found = []
+    for start, end in zip(starts.tolist(), ends.tolist()):
+        if end > start and not (found and found[-1][1] >= end):
+            found.append((start, end))
+    return found
+
+
+def align(a: np.ndarray, b: np.ndarray, q: list[int], r: list[int], size: list[int], identity: float = IDENTITY
+          ) -> list[tuple[int, int, int, int, float]]:
+    """Start and end in words on either side, and the share of equal words, of all maximal stretches of a chain in which
+    that share is ``identity`` or more, extended to their ends."""
+    # Steps of the alignment: each word of a segment, and each gap between two.
+    here, there, equal = [], [], []
+    at, to = q[0], r[0]
     for x, y, n in zip(q, r, size):
         skip = max(at - x, to - y, 0)
         if skip >= n:
             continue
         x, y, n = x + skip, y + skip, n - skip
-        matched += _common(a[at:x], b[to:y]) + int((a[x:x + n] == b[y:y + n]).sum())
+        if x > at or y > to:
+            here.append([x - at])
+            there.append([y - to])
+            equal.append([_common(a[at:x], b[to:y])])
+        here.append(np.ones(n, np.int64))
+        there.append(np.ones(n, np.int64))
+        equal.append(a[x:x + n] == b[y:y + n])
         at, to = x + n, y + n
-    right, equal = _extend(a[at:], b[to:])
-    start, other_start, end, other_end = q[0] - left, r[0] - left, at + right, to + right
-    longest = max(end - start, other_end - other_start, 1)
-    return start, end, other_start, other_end, (matched + equal) / longest
+    here, there, equal = (np.concatenate(x).astype(np.int64) for x in (here, there, equal))
+    place, other = (np.concatenate([[first], first + np.cumsum(x)]) for first, x in ((q[0], here), (r[0], there)))
+    cost = identity / max(1 - identity, 1e-6)
+    whole = (here == 1) & (there == 1) & (equal == 1)
+    found = []
+    for s, e in _stretches(equal - identity * np.maximum(here, there)):
+        ends = np.flatnonzero(whole[s:e])
+        if not len(ends):
+            continue
+        s, e = s + int(ends[0]), s + int(ends[-1]) + 1
+        left, before = _extend(a[:place[s]][::-1], b[:other[s]][::-1], cost)
+        right, after = _extend(a[place[e]:], b[other[e]:], cost)
+        start, end, other_start, other_end = place[s] - left, place[e] + right, other[s] - left, other[e] + right
+        share = (before + int(equal[s:e].sum()) + after) / max(end - start, other_end - other_start, 1)
+        found.append((int(start), int(end), int(other_start), int(other_end), float(share)))
+    return found
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -322,8 +365,8 @@ def passages(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, i
             found = []
             for i, linked in enumerate(batch.column(2).to_pylist()):
                 a, b = (s.hashes[s.first[i]:s.first[i + 1]] for s in sides)
-                aligned = {align(a, b, c["q"], c["r"], c["size"]) for c in linked}
-                aligned = sorted(x for x in aligned if x[1] - x[0] >= min_words and x[4] >= identity)
+                aligned = {x for c in linked for x in align(a, b, c["q"], c["r"], c["size"], identity)}
+                aligned = sorted(x for x in aligned if x[1] - x[0] >= min_words and x[4] >= identity - 1e-9)
                 if aligned:
                     (one, two) = (_characters(t[i].as_py()) for t in texts)
                     found += [(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), one(s, 0), one(e - 1, 1),

@@ -145,6 +145,27 @@ def test_passages_that_were_planted(spark, prose):
     assert passage[:40].upper() not in cleaned[3] and prose(12, 30) in cleaned[3]
 
 
+@pytest.mark.parametrize("size, gap", [(60, 100), (100, 250), (200, 500), (60, 30)])
+def test_two_passages_with_other_words_between(spark, prose, size, gap):
+    one, two = prose(30, size), prose(31, size)
+    rows = [(i, f"{prose(40 + i, 30)} {one} {prose(50 + i, gap)} {two} {prose(60 + i, 30)}") for i in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring.repeated_passages(docs).collect()
+    assert all((r.doc_id, r.other_id) == (2, 1) and r.n_words >= size and r.identity >= 0.8 for r in found)
+    cleaned = {r.doc_id: r.text for r in substring.without_repeats(docs).collect()}
+    assert cleaned[1] == rows[0][1] and one not in cleaned[2] and two not in cleaned[2]
+    assert gap < 100 or len(found) == 2 and prose(52, gap)[50:-50] in cleaned[2]
+
+
+def test_stretches_against_all_pairs():
+    rng = random.Random(6)
+    for _ in range(300):
+        score = [rng.choice([1, 1, -4, -9]) for _ in range(rng.randint(1, 25))]
+        good = [(i, j) for i in range(len(score)) for j in range(i + 1, len(score) + 1) if sum(score[i:j]) >= 0]
+        want = [x for x in good if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in good)]
+        assert substring._stretches(np.array(score, float)) == want
+
+
 def test_passages_of_odd_rows(spark, odd_documents):
     assert substring.without_repeats(odd_documents).count() == odd_documents.count()
     assert substring.repeated_passages(odd_documents.limit(0)).count() == 0
