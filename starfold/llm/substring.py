@@ -5,6 +5,10 @@ document of the smallest key, so a seed of very many documents gives as many mat
 of two documents are chained in order, with gap costs, through a Fenwick tree; chains are aligned word by word over the
 texts, which finds passages that were changed here and there, and their exact ends; a chain that runs over several
 passages is split where they end.
+
+A passage whose seeds all have their first places elsewhere, as it is made of lines that other documents hold, would not
+be found so. A second pass takes all runs of ``min_words`` words from what is shared but not yet listed: the smallest
+document that has such a run holds a passage.
 """
 
 from __future__ import annotations
@@ -102,7 +106,8 @@ def seeds(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def anchors(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Matches (key, pos, other, other_pos) of each occurrence of a shared seed with its place in the smallest document.
+    """Matches (key, pos, other, other_pos) of each occurrence of a shared seed with its place in the smallest document,
+    which may be its own.
 
     The places are written first, so that both sides of the join are shuffled for it, and Spark can split a hot seed.
     """
@@ -110,7 +115,7 @@ def anchors(found: DataFrame, scratch: Scratch) -> DataFrame:
     heads = found.groupBy("seed").agg(F.min("key").alias("other"), F.max("key").alias("last"),
                                       F.min_by("pos", first).alias("other_pos")).filter("other <> last")
     heads = scratch.write(heads.select("seed", "other", "other_pos"), "heads")
-    joined = found.join(heads, "seed").filter("key <> other")
+    joined = found.join(heads, "seed")
     pos = F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos"))
     return joined.select("key", "other", pos.alias("pos"), "other_pos")
 
@@ -172,39 +177,62 @@ def chain(segments: list[tuple[int, int, int]], k: int = K, cost: float = _GAP_C
     return chains
 
 
-def chains(matches: DataFrame) -> DataFrame:
-    """Chains of each pair of documents: ``key``, ``other``, and the starts and lengths of their segments.
+def chains(matches: DataFrame, k: int = K) -> DataFrame:
+    """Chains of each pair of documents: ``key``, ``other``, and the starts and lengths of their segments. Where ``other``
+    is null, ``q`` and ``r`` are starts and ends of the stretches of ``key`` that are covered by shared seeds.
 
-    Matches arrive in order, and only the pair at hand is held, so memory follows the longest document.
+    Matches arrive in order, and only the document at hand is held, so memory follows the longest document.
     """
-    rows = matches.repartition("key", "other").sortWithinPartitions("key", "other", "pos", "other_pos")
+    rows = matches.repartition("key").sortWithinPartitions("key", "other", "pos", "other_pos")
+
+    def both(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield _stretched(table)
+        pairs = table[:, table[0] != table[1]]
+        if pairs.shape[1]:
+            yield _chained(pairs, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = []
         for batch in batches:
             table = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
-            table = table if held is None else np.concatenate([held, table], axis=1)
-            last = np.flatnonzero((table[0] != table[0, -1]) | (table[1] != table[1, -1])) if table.shape[1] else []
+            last = np.flatnonzero(table[0] != table[0, -1]) if table.shape[1] else []
+            if held and table.shape[1] and not len(last) and held[-1][0, -1] == table[0, 0]:
+                held.append(table)
+                continue
             cut = int(last[-1]) + 1 if len(last) else 0
-            held = table[:, cut:]
-            if cut:
-                yield _chained(table[:, :cut])
-        if held is not None and held.shape[1]:
-            yield _chained(held)
+            done = np.concatenate([*held, table[:, :cut]], axis=1)
+            held = [table[:, cut:]] if table.shape[1] else [done]
+            if table.shape[1] and done.shape[1]:
+                yield from both(done)
+        if held and held[-1].shape[1]:
+            yield from both(np.concatenate(held, axis=1))
 
     return rows.mapInArrow(run, "key long, other long, q array<int>, r array<int>, size array<int>")
 
 
-def _chained(table: np.ndarray) -> pa.RecordBatch:
+def _stretched(table: np.ndarray) -> pa.RecordBatch:
+    """Where a passage may lie: a passage shares one seed of each window, so its ends are within a window of seeds."""
+    order = np.lexsort((table[2], table[0]))
+    key, q = table[0][order], table[2][order]
+    at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (q[1:] - q[:-1] > WINDOW)]))
+    start, end = np.maximum(q[at] - WINDOW + 1, 0), q[np.append(at[1:], len(q)) - 1] + K + WINDOW - 1
+    first = np.flatnonzero(np.diff(key[at], prepend=key[0] - 1))
+    lists = lambda values: pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(values, pa.int32()))
+    return pa.RecordBatch.from_pydict({
+        "key": pa.array(key[at][first]), "other": pa.nulls(len(first), pa.int64()), "q": lists(start), "r": lists(end),
+        "size": pa.nulls(len(first), pa.list_(pa.int32()))})
+
+
+def _chained(table: np.ndarray, k: int) -> pa.RecordBatch:
     key, other, q, r = table
     new_pair = np.ones(len(key), bool)
     new_pair[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1])
     new = new_pair.copy()
     # Matches on one diagonal, close to one another, are one segment.
-    new[1:] |= (q[1:] - r[1:] != q[:-1] - r[:-1]) | (q[1:] - q[:-1] > WINDOW + K)
+    new[1:] |= (q[1:] - r[1:] != q[:-1] - r[:-1]) | (q[1:] - q[:-1] > max(WINDOW + K, k))
     at = np.flatnonzero(new)
     end = np.append(at[1:], len(key)) - 1
-    size = q[end] - q[at] + K
+    size = q[end] - q[at] + k
     pair = np.flatnonzero(new_pair[at])
     pair_end = np.append(pair[1:], len(at))
     found = {"key": [], "other": [], "q": [], "r": [], "size": []}
@@ -344,11 +372,76 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str)
 def passages(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, identity: float = IDENTITY,
              id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Passages of ``key`` that ``other`` has too, by characters: ``start``, ``end``, ``other_start``, ``other_end``, and
-    ``n_words`` and ``identity``. ``other`` is always the document with the smaller key."""
+    ``first_word``, ``n_words`` and ``identity``. ``other`` is always the document with the smaller key."""
     bounded_batches(docs.sparkSession)
     found = scratch.write(seeds(docs, id_column, text_column), "seeds")
     linked = scratch.write(chains(anchors(found, scratch)), "chains")
     scratch.drop(found)
+    spans = _aligned(docs, linked.filter("other is not null"), scratch, min_words, identity, id_column, text_column)
+    found = scratch.write(_runs(docs, linked.filter("other is null"), spans, min_words, id_column, text_column), "runs")
+    scratch.drop(linked)
+    linked = scratch.write(chains(anchors(found, scratch), min_words).filter("other is not null"), "run-chains")
+    scratch.drop(found)
+    more = _aligned(docs, linked, scratch, min_words, identity, id_column, text_column)
+    scratch.drop(linked)
+    old = spans.select("key", F.col("start").alias("from"), F.col("end").alias("to"))
+    more = more.join(old, (more["key"] == old["key"]) & (F.col("from") <= F.col("start")) & (F.col("end") <= F.col("to")),
+                     "left_anti")
+    return spans.unionByName(more)
+
+
+def _runs(docs: DataFrame, stretches: DataFrame, spans: DataFrame, min_words: int, id_column: str, text_column: str
+          ) -> DataFrame:
+    """All runs of ``min_words`` words within the stretches, but those in passages that are listed word for word, as
+    ``seeds``. Those that are listed are in a smaller document too, so the smallest that has a run is always here."""
+    listed = spans.filter("identity = 1").groupBy("key").agg(
+        F.collect_set(F.struct("first_word", "n_words")).alias("listed"))
+    rows = stretches.select("key", "q", "r").filter(F.exists(F.zip_with("q", "r", lambda q, r: r - q), lambda n: n >= min_words))
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, starts, ends = [], [], []
+            for key, q, r, listed in zip(*(c.to_pylist() for c in batch.columns)):
+                open_ = np.zeros(max(r) + 2, np.int8)  # of each word, whether a run may start there
+                for s, e in zip(q, r):
+                    open_[s + 1:max(e - min_words + 2, 0)] = 1
+                for x in listed or ():
+                    open_[x["first_word"] + 1:x["first_word"] + x["n_words"] - min_words + 2] = 0
+                edge = np.diff(open_, append=np.int8(0))
+                if edge.any():
+                    keys.append(key)
+                    starts.append(np.flatnonzero(edge == 1))
+                    ends.append(np.flatnonzero(edge == -1))
+            if keys:
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "first": pa.array(starts, pa.list_(pa.int32())),
+                                                  "last": pa.array(ends, pa.list_(pa.int32()))})
+
+    rows = rows.join(listed, "key", "left").mapInArrow(left, "key long, first array<int>, last array<int>")
+    texts = docs.select(document_key(docs, id_column, text_column).alias("key"), F.col(text_column).alias("text"))
+    rows = texts.join(rows, "key").select("key", "text", "first", "last")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, range_hash = WordSplitter(), RangeHash()
+        for batch in chunks(batches, "text"):
+            words = split(batch.column(1))
+            sizes = np.diff(words.first)
+            pos = [np.concatenate([np.arange(s, min(e, n - min_words + 1)) for s, e in zip(first, last)])
+                   for first, last, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), sizes.tolist())]
+            owner = np.repeat(np.arange(len(pos)), [len(p) for p in pos])
+            pos = np.concatenate([*pos, np.empty(0)]).astype(np.int64)
+            starts = words.first[owner] + pos
+            grams = range_hash(words.hashes, starts, starts + min_words)
+            again = pd.Series(mix(grams + mix(owner.astype(np.uint64)))).duplicated().to_numpy()
+            yield pa.RecordBatch.from_pydict({
+                "seed": pa.array(grams.view(np.int64)), "key": pa.array(batch.column(0).to_numpy()[owner]),
+                "pos": pa.array(np.where(again, -1 - pos, pos), pa.int32())})
+
+    return rows.mapInArrow(run, "seed long, key long, pos int")
+
+
+def _aligned(docs: DataFrame, linked: DataFrame, scratch: Scratch, min_words: int, identity: float, id_column: str,
+             text_column: str) -> DataFrame:
+    """The passages that chains lead to."""
     wanted = linked.select(F.explode(F.array("key", "other")).alias("key")).distinct()
     texts = scratch.write(_texts(docs, wanted, id_column, text_column), "texts")
     pairs = linked.groupBy("key", "other").agg(F.collect_list(F.struct("q", "r", "size")).alias("chains"))
@@ -357,8 +450,8 @@ def passages(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = WordSplitter()
-        names = ("key", "other", "start", "end", "other_start", "other_end", "n_words", "identity")
-        kinds = (*(pa.int64(),) * 2, *(pa.int32(),) * 5, pa.float64())
+        names = ("key", "other", "start", "end", "other_start", "other_end", "first_word", "n_words", "identity")
+        kinds = (*(pa.int64(),) * 2, *(pa.int32(),) * 6, pa.float64())
         for batch in chunks(batches, "text_a"):
             sides = [split(batch.column(i)) for i in (3, 4)]
             texts = [batch.column(i) for i in (3, 4)]
@@ -370,14 +463,14 @@ def passages(docs: DataFrame, scratch: Scratch, *, min_words: int = MIN_WORDS, i
                 if aligned:
                     (one, two) = (_characters(t[i].as_py()) for t in texts)
                     found += [(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), one(s, 0), one(e - 1, 1),
-                               two(os, 0), two(oe - 1, 1), e - s, share) for s, e, os, oe, share in aligned]
+                               two(os, 0), two(oe - 1, 1), s, e - s, share) for s, e, os, oe, share in aligned]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*found), kinds)], names=list(names))
 
     rows = rows.select("key", "other", "chains", "text_a", "text_b")
     spans = scratch.write(rows.mapInArrow(run, "key long, other long, start int, end int, other_start int, other_end int, "
-                                               "n_words int, identity double"), "spans")
-    scratch.drop(linked, texts)
+                                               "first_word int, n_words int, identity double"), "spans")
+    scratch.drop(texts)
     return spans
 
 

@@ -157,6 +157,22 @@ def test_two_passages_with_other_words_between(spark, prose, size, gap):
     assert gap < 100 or len(found) == 2 and prose(52, gap)[50:-50] in cleaned[2]
 
 
+@pytest.mark.parametrize("lines", [2, 3])
+def test_passages_made_of_lines_that_others_have(spark, prose, lines):
+    line = [" ".join(prose(70 + i, 60 // lines).replace(".", "").split()) for i in range(lines)]
+    whole = " ".join(line)
+    rows = [(i + 1, f"{prose(80 + i, 40)} {x} {prose(90 + i, 40)}") for i, x in enumerate(line)]
+    rows += [(i, f"{prose(100 + i, 40)} {whole} {prose(200 + i, 40)}") for i in (50, 90, 91)]
+    # The borders of the lines are elsewhere too, so that no seed leads from one of the passages to another.
+    cut = whole.split(" ")
+    rows += [(10 + i, f"{prose(300 + i, 40)} {' '.join(cut[i:i + 36])} {prose(400 + i, 40)}") for i in (6, 12, 18)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [r for r in substring.repeated_passages(docs).collect()]
+    assert {(r.doc_id, r.other_id) for r in found} == {(90, 50), (91, 50)}
+    text = dict(rows)
+    assert all(whole in text[r.doc_id][r.start:r.end] and r.n_words >= 60 for r in found)
+
+
 def test_stretches_against_all_pairs():
     rng = random.Random(6)
     for _ in range(300):
