@@ -5,6 +5,9 @@
    G come the leading right singular vectors of A (Nystroem).
 3. Windows of every document, of several lengths, are compared with the benchmark's items in that latent space.
 4. Candidates are checked word by word: longest common subsequence, and whether the end of the item, its answer, is there.
+
+Items that a document holds word for word are also searched as they are, by their rarest pair of words, so that they are
+found however frequent their words are.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ PASSAGE_WORDS = 64
 COMPONENTS, OVERSAMPLING = 64, 8
 COLUMNS = 1 << 15
 COSINE, EXACT_COSINE = 0.45, 0.3
-COMMON = 0.1  # words in a larger share of all passages have no weight
+LEAST_IDF = 0.1  # of words that are in nearly all passages
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.5
 _SCALES = (3, 6, 12, 24, 48)
 _LINE = 1 << 32
@@ -169,8 +172,7 @@ def _sketch(postings: DataFrame, idf: np.ndarray, test: np.ndarray) -> np.ndarra
         test = test.astype(np.float32)
         for batch in _slices(batches):
             owner, pos, word = _joined(batch)
-            keep = idf[word] > 0
-            passage, word, count, n = _passages(owner[keep], pos[keep], word[keep], len(idf))
+            passage, word, count, n = _passages(owner, pos, word, len(idf))
             if not n:
                 continue
             weight = _weights(word, count, passage, idf, n).astype(np.float32)[:, None]
@@ -227,6 +229,11 @@ def _check(item: Item, pos: np.ndarray, word: np.ndarray) -> tuple[float, float,
     return share, answer, int(at)
 
 
+def _pair(one: np.ndarray, two: np.ndarray, n_words: int) -> int:
+    """A number of two words beside one another, below 0 for a single word."""
+    return int(one[0]) * n_words + int(two[0]) if len(two) else int(one[0]) - n_words
+
+
 class Finder:
     """Finds the items of a block in documents' postings. One for each task."""
 
@@ -238,6 +245,13 @@ class Finder:
         sizes = np.array([len(words) for _, words in self.pieces])
         self.scales = np.array(_SCALES)[np.maximum(np.searchsorted(_SCALES, sizes, "right") - 1, 0)]
         self.step = max(int(self.scales.min()) // 2, 1)
+        # Each item's rarest pair of words that follow one another, or its word if it has but one.
+        rarest = [int((idf[x.words[:-1]] + idf[x.words[1:]]).argmax()) if len(x.words) > 1 else 0 for x in block.items]
+        anchors = np.array([_pair(x.words[i:i + 1], x.words[i + 1:i + 2], len(idf)) for i, x in zip(rarest, block.items)])
+        self.order = np.argsort(anchors, kind="stable")
+        self.anchors, self.rarest = anchors[self.order], np.array(rarest)[self.order]
+        self.answers = [common_subsequence(x.answer.tolist(), x.words.tolist()) / max(len(x.answer), 1) if len(x.answer)
+                        else 1.0 for x in block.items]
 
     def __call__(self, owner: np.ndarray, pos: np.ndarray, word: np.ndarray) -> list[tuple[int, int, int, float, float]]:
         """Document, item, place, share and answer's share of each find."""
@@ -261,7 +275,39 @@ class Finder:
             share, answer, at = _check(item, pos[a:b], word[a:b])
             if share >= SURE or share >= LIKELY and answer >= ANSWER:
                 rows.append((document, item.number, max(at, 0), share, answer))
-        return rows
+        return rows + self._verbatim(line, word)
+
+    def _verbatim(self, line: np.ndarray, word: np.ndarray) -> list[tuple[int, int, int, float, float]]:
+        """The first place of each item that a document holds word for word."""
+        n = len(self.idf)
+        places = [np.arange(len(word))]
+        codes = [word.astype(np.int64) - n]  # of single words
+        beside = np.flatnonzero(np.diff(line) == 1)
+        places.append(beside)
+        codes.append(word[beside].astype(np.int64) * n + word[beside + 1])
+        found = {}
+        for place, code in zip(places, codes):
+            low, high = np.searchsorted(self.anchors, code), np.searchsorted(self.anchors, code, "right")
+            some = np.flatnonzero(high > low)
+            sizes = (high - low)[some]
+            at = gather(low[some], sizes)
+            starts, numbers = np.repeat(place[some], sizes) - self.rarest[at], self.order[at]
+            by_item = np.argsort(numbers, kind="stable")
+            edges = np.flatnonzero(np.diff(numbers[by_item], prepend=-1, append=-1))
+            for s, e in zip(edges, edges[1:]):
+                number = int(numbers[by_item[s]])
+                item, first = self.block.items[number], np.sort(starts[by_item[s:e]])
+                size = len(item.words)
+                first = first[(first >= 0) & (first + size <= len(word))]
+                first = first[line[first + size - 1] - line[first] == size - 1]
+                for i, x in enumerate(item.words.tolist()):
+                    if not len(first):
+                        break
+                    first = first[word[first + i] == x]
+                documents, index = np.unique(line[first] // _LINE, return_index=True)
+                for document, i in zip(documents.tolist(), index.tolist()):
+                    found[document, number] = (document, item.number, int(line[first[i]] % _LINE), 1.0, self.answers[number])
+        return list(found.values())
 
     def _candidates(self, line: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Start of the window, item and length of window, where latent and then exact cosine are high enough."""
@@ -363,9 +409,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, components: int = COMPONENTS
         postings = scratch.write(_postings(docs, block, id_column, text_column), "postings")
         n_words = len(block.vocabulary)
         frequency, n = _document_frequencies(postings, n_words)
-        idf = np.where(frequency > COMMON * n, 0, np.log((n + 1) / (frequency + 0.5)).clip(0))
-        if not idf.any():  # a corpus of a few passages
-            idf = np.log((n + 1) / (frequency + 0.5)).clip(1e-3)
+        idf = np.log((n + 1) / (frequency + 0.5)).clip(LEAST_IDF)
         test = np.random.default_rng(0).standard_normal((min(n_words, COLUMNS), components + OVERSAMPLING))
         space = latent_space(_sketch(postings, idf, test), test, components)
         found = scratch.write(_search(postings, block, idf, space, cosine), "found")

@@ -245,6 +245,23 @@ def test_leaks_that_were_planted(spark, prose, benchmark, at_once):
         assert kept == {r[0] for r in rows} - {d for d, _ in want}
 
 
+def test_leaks_of_frequent_words(spark, prose):
+    hidden = prose(5000, 25)  # a third of all rows hold it, so its words are frequent
+    items = [(i, prose(1000 + i, 20 + i)) for i in range(20)] + [(200, hidden), (201, "ke ba lo mi nu"), (202, "Zu ke?")]
+    rows = [(i, prose(i, 120)) for i in range(60)]
+    rows += [(100 + i, f"{prose(600 + i, 20)} {hidden} {prose(700 + i, 20)}") for i in range(40)]
+    rows += [(150 + i, f"{prose(800 + i, 20)} {edited(hidden, i, 2)} {prose(900 + i, 20)}") for i in range(5)]
+    rows += [(160, f"{prose(1, 60)} ke ba lo mi nu {prose(2, 60)}")]
+    words = {i: " " + " ".join(re.findall("[a-z0-9]+", t.lower())) + " " for i, t in rows}
+    plain = {i: " " + " ".join(re.findall("[a-z0-9]+", t.lower())) + " " for i, t in items}
+    want = {(d, i) for d, t in words.items() for i, x in plain.items() if x in t}
+    assert {(100 + i, 200) for i in range(40)} | {(160, 201)} <= want and any(i == 202 for _, i in want)
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert want | {(150 + i, 200) for i in range(5)} <= found
+    assert {i for d, i in found if i < 200} == {i for d, i in want if i < 200}
+
+
 def test_leaks_of_empty_tables(spark, benchmark, odd_documents):
     assert decontam.leaks(odd_documents.limit(0), benchmark).count() == 0
     assert decontam.leaks(odd_documents, benchmark.limit(0)).count() == 0
