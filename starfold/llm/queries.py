@@ -157,3 +157,57 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packing.write(packing.pack(table(spark, sf_dir, "documents"), definition, public_tokenizers.PATTERN), path)
     found = packing.segments(packing.read(spark, path))
     return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query()
+def op12_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors by inner product that the index finds, for every vector whose id is divisible by 20."""
+    from starfold.llm.permutation import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (
+  SELECT w.doc_id, part,
+    (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END)
+    + (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS failed
+  FROM w),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+p AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, failed),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (
+  SELECT c1.x || c2.x || c3.x || c4.x || c5.x AS filter_order, [c1.b, c2.b, c3.b, c4.b, c5.b] AS bits
+  FROM c c1, c c2, c c3, c c4, c c5
+  WHERE list_sum([c1.b, c2.b, c3.b, c4.b, c5.b]) = 31 AND len(list_distinct([c1.b, c2.b, c3.b, c4.b, c5.b])) = 5),
+s AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit,
+    CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before
+  FROM o, range(1, 6) r(step)),
+r AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN failed & (bit | before) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN failed & bit <> 0 AND failed & before = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failed & bit <> 0 AND failed & before <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN failed & bit <> 0 AND failed & before = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN failed & bit <> 0 AND failed & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM p, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
+""")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters does at each step of all their orders, for each language."""
+    from starfold.llm.filters import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
