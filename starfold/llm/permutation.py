@@ -143,7 +143,7 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, id_column: str
     sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("is_query"),
                         F.xxhash64("vector").alias("hash"), "vector", F.lit(None).cast("array<long>").alias("ids"), "id",
                         "times")
-    dealt = held.select(*columns).unionByName(sent.select(*columns)).repartition(shards, "shard")
+    dealt = held.select(*columns).unionByName(sent.select(*columns)).repartition(4 * shards, "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, index, parts = None, None, []

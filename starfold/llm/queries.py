@@ -159,6 +159,54 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query(r"""
+WITH t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS place,
+    count(*) OVER (PARTITION BY conv_id) AS n
+  FROM (SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS n_bytes,
+          sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+        FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (
+  SELECT DISTINCT conv_id, n, conv_id - conv_id % 5 AS base,
+    xor(4294967295, list_reduce(list_concat([4294967295], [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+      lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, bit: xor(v >> 1, 3988292384 * (v & 1))))) % 9 AS h
+  FROM t),
+r AS (
+  SELECT c.conv_id, least(c.h, coalesce(b.n, 0)) + t.place - c.h + 1 AS depth, t.digest, t.n_bytes
+  FROM c LEFT JOIN c b ON b.conv_id = c.base JOIN t ON t.conv_id = c.conv_id AND t.place >= c.h
+  UNION ALL
+  SELECT c.conv_id, t.place + 1, t.digest, t.n_bytes FROM c JOIN t ON t.conv_id = c.base AND t.place < c.h),
+s AS (
+  SELECT conv_id, coalesce(list(digest ORDER BY depth) FILTER (WHERE depth IS NOT NULL), []) AS d,
+    coalesce(list(n_bytes ORDER BY depth) FILTER (WHERE depth IS NOT NULL), []) AS b
+  FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+p AS (
+  SELECT conv_id, depth, sha256(array_to_string(d[1:depth], ' ')) AS node, sha256(array_to_string(d[1:depth - 1], ' ')) AS parent,
+    d[depth] AS turn_digest, CASE WHEN depth = 0 THEN 0 ELSE b[depth] END AS n_bytes, len(d) AS n
+  FROM (SELECT *, unnest(range(0, len(d) + 1)) AS depth FROM s)),
+m AS (
+  SELECT depth, node, min(CASE WHEN depth > 0 THEN parent END) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+    min(n_bytes) AS n_bytes, min(CASE WHEN depth > 0 THEN turn_digest END) AS turn_digest,
+    sha256(coalesce(string_agg(CASE WHEN depth = n THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM p GROUP BY depth, node),
+k AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM m WHERE depth > 0 GROUP BY depth, parent),
+u AS (
+  SELECT depth, node, count(*) FILTER (WHERE childless) AS n_leaves, sum((n_convs - 1) * n_bytes) AS saved_tokens
+  FROM (SELECT DISTINCT a.depth, a.node, x.depth AS x_depth, x.node AS x_node, x.n_convs, x.n_bytes, k.node IS NULL AS childless
+        FROM p a JOIN p e ON e.conv_id = a.conv_id AND e.depth >= a.depth
+        JOIN m x ON x.depth = e.depth AND x.node = e.node LEFT JOIN k ON k.depth = x.depth AND k.node = x.node)
+  GROUP BY depth, node)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, o.conv_id AS parent_conv_id, m.n_convs, coalesce(k.n_children, 0) AS n_children,
+  u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256, m.turn_digest
+FROM m JOIN u USING (depth, node) LEFT JOIN k USING (depth, node) LEFT JOIN m o ON o.depth = m.depth - 1 AND o.node = m.parent
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with what sharing it saves."""
+    from starfold.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query()
 def op12_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors by inner product that the index finds, for every vector whose id is divisible by 20."""
