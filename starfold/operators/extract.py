@@ -19,7 +19,7 @@ from starfold.functions.types import normalize_type, type_of_code
 from starfold.operators.rules import FACT_USAGES, KEY_USAGES
 from starfold.operators.visuals import SLOT_ROLES, SUMMARIZE_BY, VISUAL_KINDS
 
-_REFERENCE = r"\[[^\[\]]+\](?:\.\[[^\[\]]+\])*"
+
 # What follows the name of a tag, up to its end. Quoted values may hold any character.
 _ATTRIBUTES = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+"""
 
@@ -191,7 +191,7 @@ def report_joins(queries: DataFrame) -> DataFrame:
     rows = joins.select("path", "query_no", "query", operands.alias("operands"), "join_no", F.col("join.filter").alias("filter"))
     condition = _text(read_element(F.col("filter"), "filterExpression string").getField("filterExpression"))
     rows = rows.withColumn("condition", condition).filter("condition is not null")
-    rows = rows.withColumn("mapped", F.col("condition").rlike(rf"^\s*{_REFERENCE}\s*=\s*{_REFERENCE}\s*$"))
+    rows = rows.withColumn("mapped", F.col("condition").rlike(rf"^\s*+{X.REFERENCE}\s*+=\s*+{X.REFERENCE}\s*+$"))
     sides = F.split("condition", "=")
     for i, side in enumerate(("left", "right")):
         parts = segments(F.get(sides, F.lit(i)))

@@ -7,7 +7,7 @@ tables that the query names, along the active many-to-one edges that lead to the
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -23,7 +23,7 @@ _ARITHMETIC = re.compile(r"[\s\d.+\-*/()]*")
 # Spark SQL of an aggregate over raw rows, and how partial results of it merge.
 _FIRST = {"sum": "sum({})", "count": "count({})", "min": "min({})", "max": "max({})",
           "distinct": "count(distinct {})", "stddev": "stddev_samp({})", "variance": "var_samp({})", "calculated": "{}"}
-_MERGE = {"sum": "sum({})", "count": "coalesce(sum({}), 0)", "min": "min({})", "max": "max({})"}
+MERGE = {"sum": "sum({})", "count": "coalesce(sum({}), 0)", "min": "min({})", "max": "max({})"}
 
 
 @dataclass(frozen=True)
@@ -154,16 +154,34 @@ class _Field:
     name: str
 
 
-def _fields(items: Sequence) -> list[_Field]:
-    """Fields of "table.column" or ("table.column", output name)."""
-    fields = []
-    for i, item in enumerate(items):
+def fields_of(items: Sequence) -> list[_Field]:
+    """Fields of "table.column", "table@role.column" or ("table.column", output name).
+
+    A role is the name of the relationship that leads to the table or to one below it. Columns that share a name get that
+    of their role, or else of their table, before it.
+    """
+    parsed = []
+    for item in items:
         text, alias = (item, None) if isinstance(item, str) else item
         table, _, column = text.partition(".")
-        fields.append(_Field(table, column, alias or column, f"field_{i}"))
+        parsed.append((table, column, alias))
+    plain = Counter(alias or column for _, column, alias in parsed)
+    fields = []
+    for i, (table, column, alias) in enumerate(parsed):
+        if alias is None:
+            alias = column if plain[column] == 1 else f"{table.rpartition('@')[2]}_{column}"
+        fields.append(_Field(table, column, alias, f"field_{i}"))
+    twice = [a for a, n in Counter(f.alias for f in fields).items() if n > 1]
+    if twice:
+        raise ValueError(f"two columns would be named {twice[0]}: name them in the query")
     return fields
 
 
+def output_names(items: Sequence) -> list[str]:
+    """The columns that fields have in a result."""
+    return [f.alias for f in fields_of(items)]
+
+
 def _outputs(fields: Sequence[_Field]) -> list[Column]:
     return [F.col(f.name).alias(f.alias) for f in fields]
 
@@ -193,7 +211,20 @@ class Model:
         return chosen + [r for r in self.relationships if r.active and r not in chosen and r.to_table not in replaced]
 
     def path(self, start: str, target: str, use: Sequence[str] = ()) -> list[Relationship]:
-        """Many-to-one edges from ``start`` to ``target``."""
+        """Many-to-one edges from ``start`` to ``target``.
+
+        The way to ``table@role`` leads over the relationship of that name, active or not, and from there on over tables
+        of that role, so a table may occur once for each role beside itself.
+        """
+        table, _, role = target.partition("@")
+        if role:
+            edge = next((r for r in self.relationships if r.name == role), None)
+            if edge is None:
+                raise ValueError(f"no such relationship: {role}")
+            as_role = lambda e, source: Relationship(f"{e.name}_as_{role}", source, f"{e.to_table}@{role}", e.keys)
+            below = self.path(edge.to_table, table, [u for u in use if u != role])
+            return [*self.path(start, edge.from_table, [u for u in use if u != role]), as_role(edge, edge.from_table),
+                    *[as_role(e, f"{e.from_table}@{role}") for e in below]]
         edges = self.edges(use)
         reached: dict[str, list[Relationship]] = {start: []}
         queue = deque([start])
@@ -219,15 +250,19 @@ class Model:
     # ----------------------------------------------------------- queries
 
     def query(self, group: Sequence = (), measures: Sequence[str | Measure] = (),
-              filters: Mapping[str, str] | None = None, use: Sequence[str] = ()) -> DataFrame:
+              filters: Mapping[str, str] | None = None, use: Sequence[str] = (),
+              sets: Sequence[Sequence[int]] | None = None) -> DataFrame:
         """Measures by group columns.
 
-        ``group`` holds "table.column" or ("table.column", output name). ``filters`` maps a table to a
-        predicate; a filter on a dimension restricts the fact. Measures of several facts are aggregated
-        to the shared grain first and joined there, so no fact row is ever multiplied. A filter that has no path from a
-        queried fact is refused.
+        ``group`` holds "table.column", "table@role.column" or ("table.column", output name). ``filters`` maps a table, or
+        a table in a role, to a predicate; a filter on a dimension restricts the fact. Measures of several facts are
+        aggregated to the shared grain first and joined there, so no fact row is ever multiplied. A filter that has no path
+        from a queried fact is refused.
+
+        With ``sets``, measures are taken at several grains at once, each given by positions in ``group``; a last column
+        ``grouping_level`` has a bit for each column that is summed away, the last one lowest.
         """
-        group = _fields(group)
+        group = fields_of(group)
         measures = [self.measures[m] if isinstance(m, str) else m for m in measures]
         by_fact: dict[str, list[Measure]] = {}
         for m in measures:
@@ -235,34 +270,65 @@ class Model:
         if not by_fact:
             raise ValueError("a query needs a measure; detail rows come from rows()")
         # Every filter restricts every fact: one that does not reach a fact would leave its total unfiltered.
-        results = [self._fact_query(fact, group, own, filters or {}, use) for fact, own in by_fact.items()]
-        names = [f.alias for f in group]
+        results = [self.finish(self.partials(fact, group, own, filters or {}, use, sets), group, own, sets)
+                   for fact, own in by_fact.items()]
+        names = [f.alias for f in group] + (["grouping_level"] if sets is not None else [])
         joined = reduce(lambda left, right: full_join(left, right, names), results)
-        return joined.select(*names, *[m.name for m in measures])
+        return joined.select(*names[:len(group)], *[m.name for m in measures], *names[len(group):])
+
+    @staticmethod
+    def part_columns(measures: Sequence[Measure]) -> dict[tuple[str, str], str]:
+        """The columns that partial results of measures are held in."""
+        parts = dict.fromkeys(part for m in measures for part in m.parts())
+        return {part: f"part_{i}" for i, part in enumerate(parts)}
 
-    def _fact_query(self, fact, group, measures, filters, use) -> DataFrame:
+    @staticmethod
+    def mergeable(measures: Sequence[Measure]) -> bool:
+        """Whether results at a finer grain can be merged to coarser ones."""
+        return all(function in MERGE for m in measures for function, _ in m.parts())
+
+    def partials(self, fact, group, measures, filters, use, sets=None) -> DataFrame:
+        """Partial results of measures of one fact by group fields."""
         children = self._children(fact, {f.table for f in group} | set(filters), use)
-        parts = list(dict.fromkeys(part for m in measures for part in m.parts()))
-        columns = {part: f"part_{i}" for i, part in enumerate(parts)}
-        mergeable = all(function in _MERGE for function, _ in parts)
+        columns = self.part_columns(measures)
+        # A distinct count folds to pairs of key and value, so its value is one of the keys until the end.
+        values = {x: f"value_{i}" for i, x in enumerate(dict.fromkeys(x for function, x in columns if function == "distinct"))}
+        foldable = all(function in MERGE or function == "distinct" for function, _ in columns)
         folded = False
 
-        def fold(df: DataFrame, by: Sequence[str]) -> DataFrame:
+        def fold(df: DataFrame, by: Sequence[str], last: bool = False) -> DataFrame:
             nonlocal folded
-            shapes = _MERGE if folded else _FIRST
-            aggregates = [
-                F.expr(shapes[function].format(columns[function, x] if folded else x)).alias(columns[function, x])
-                for function, x in parts
-            ]
-            folded = True
-            return df.groupBy(*by).agg(*aggregates)
-
-        if mergeable and children:
+            aggregates = []
+            for (function, x), name in columns.items():
+                if function == "distinct":
+                    if last:
+                        aggregates.append(F.expr(f"count(distinct {values[x] if folded else x})").alias(name))
+                else:
+                    aggregates.append(F.expr((MERGE if folded else _FIRST)[function].format(name if folded else x)).alias(name))
+            if not last:
+                by = [*by, *values.values()] if folded else [*by, *[F.expr(x).alias(name) for x, name in values.items()]]
+                folded = True
+                return df.groupBy(*by).agg(*aggregates) if aggregates else df.select(*by).distinct()
+            if sets is None:
+                return df.groupBy(*by).agg(*aggregates)
+            wanted = [[F.col(by[i]) for i in s] for s in sets]
+            return df.groupingSets(wanted, *[F.col(c) for c in by]).agg(*aggregates, F.grouping_id().cast("int").alias("grouping_level"))
+
+        if foldable and children:
             df = self._fold_along(fact, group, children, filters, fold)
         else:
             df = self._join_along(fact, group, children, filters)
-        return fold(df, [f.name for f in group]).select(
-            *_outputs(group), *[F.expr(m.result_sql(columns)).alias(m.name) for m in measures])
+        return fold(df, [f.name for f in group], last=True)
+
+    def finish(self, partials: DataFrame, group, measures, sets=None) -> DataFrame:
+        """Measures from their partial results, under their own names."""
+        columns = self.part_columns(measures)
+        level = [] if sets is None else ["grouping_level"]
+        return partials.select(*_outputs(group), *[F.expr(m.result_sql(columns)).alias(m.name) for m in measures], *level)
+
+    def _source(self, node: str) -> Table:
+        """The table of a node, which may stand for it in a role."""
+        return self.tables[node.partition("@")[0]]
 
     def _start(self, table, fields, children, filters) -> DataFrame:
         """Rows of a table with its fields, and the keys of the edges that leave it."""
@@ -318,7 +384,7 @@ class Model:
         return df.join(one_side.select(*keys, *carried), match, how)
 
     def _filtered(self, table: str, filters: Mapping[str, str]) -> DataFrame:
-        rows = self.tables[table].rows()
+        rows = self._source(table).rows()
         return rows.filter(filters[table]) if table in filters else rows
 
     def _restricted(self, table, children, filters) -> DataFrame:
@@ -346,7 +412,7 @@ class Model:
     def rows(self, fact: str, columns: Sequence, filters: Mapping[str, str] | None = None,
              use: Sequence[str] = ()) -> DataFrame:
         """Detail rows of a fact with columns of the tables it reaches, at the fact's grain."""
-        fields, filters = _fields(columns), filters or {}
+        fields, filters = fields_of(columns), filters or {}
         children = self._children(fact, {f.table for f in fields} | set(filters), use)
         return self._join_along(fact, fields, children, filters).select(*_outputs(fields))
 
@@ -356,7 +422,7 @@ class Model:
         fact, predicate = fact_filter
         keys = self.tables[fact].rows().filter(predicate)
         for edge in self.path(fact, table, use):
-            one_side = self.tables[edge.to_table].rows()
+            one_side = self._source(edge.to_table).rows()
             keys = semi_filter(one_side, keys, [(to, many) for many, to in edge.keys])
         return keys.select(*columns)
 

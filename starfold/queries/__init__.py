@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load_all() -> None:
-    from starfold.queries import corpus, functions, inference, joins, measures, projections, visuals  # noqa: F401
+    from starfold.queries import corpus, definitions, functions, inference, joins, measures, projections, visuals  # noqa: F401

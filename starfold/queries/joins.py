@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from starfold.operators import joins as J
 from starfold.operators.profile import date_dimension
+from starfold.plans.model import Measure
 from starfold.queries import query
 from starfold.queries.retail import SQL_REVENUE, as_double, retail_model, table
 
@@ -194,3 +195,27 @@ def join_path(spark, sf_dir):
     """Five hops, found along the active relationships; supplier and part are never touched."""
     df = retail_model(spark, sf_dir).query(["region.r_name", "dim_date.year"], ["revenue"])
     return as_double(df, "revenue")
+
+
+@query("""
+    select year(o_orderdate) as o_year, year(l_shipdate) as s_year, count(*) as n_lines, sum(l_quantity) as quantity
+    from lineitem left join orders on l_orderkey = o_orderkey
+    where year(l_shipdate) <> 1995 and l_shipdate between (select min(o_orderdate) from orders) and (select max(o_orderdate) from orders)
+    group by 1, 2""")
+def role_years(spark, sf_dir):
+    """One dimension in two roles in one query: the year of the order by the year of shipping."""
+    return retail_model(spark, sf_dir).query(
+        [("dim_date@order_date.year", "o_year"), ("dim_date@ship_date.year", "s_year")], ["n_lines", "quantity"],
+        {"dim_date@ship_date": "year <> 1995"})
+
+
+@query("""
+    select b.n_name as customer_nation_n_name, s.n_name as supplier_nation_n_name, r.r_name, count(distinct l_partkey) as n_parts
+    from lineitem left join orders on l_orderkey = o_orderkey left join customer on o_custkey = c_custkey
+    left join nation b on c_nationkey = b.n_nationkey left join supplier on l_suppkey = s_suppkey
+    left join nation s on s_nationkey = s.n_nationkey left join region r on s.n_regionkey = r.r_regionkey group by 1, 2, 3""")
+def role_nations(spark, sf_dir):
+    """A dimension in two roles, one of them with the table above it; equal names get their role before them."""
+    return retail_model(spark, sf_dir).query(
+        ["nation@customer_nation.n_name", "nation@supplier_nation.n_name", "region@supplier_nation.r_name"],
+        [Measure("n_parts", "lineitem", "countdistinct", "l_partkey")])

@@ -22,9 +22,12 @@ def visual_table(spark, sf_dir):
     return as_double(visual_frame(retail_model(spark, sf_dir), visual), "revenue")
 
 
+_YEARS = range(1995, 2002)  # all that the tables hold
+
+
 @query(f"""
-    select * from (pivot (select c_mktsegment, year(o_orderdate) as year, {SQL_REVENUE} as revenue {_SEGMENT_YEAR})
-                   on year using cast(sum(revenue) as double) group by c_mktsegment)""")
+    select c_mktsegment, {', '.join(f'cast(sum({SQL_REVENUE}) filter (where year(o_orderdate) = {y}) as double) as "{y}"' for y in _YEARS)}
+    {_SEGMENT_YEAR} group by 1""")
 def visual_matrix(spark, sf_dir):
     """The years of the data become columns."""
     visual = Visual("crosstab", {"rows": ["customer.c_mktsegment"], "columns": ["dim_date.year"], "values": ["revenue"]})
@@ -32,6 +35,37 @@ def visual_matrix(spark, sf_dir):
     return as_double(matrix, *[c for c in matrix.columns if c != "c_mktsegment"])
 
 
+_STATES = {f"{a} | {b}": (a, b) for a in "ANR" for b in "FO"} | {f"{a} | total": (a, None) for a in "ANR"} | {"total": (None, None)}
+
+
+def _state_sql(flag, status) -> str:
+    told = [f"{c} = '{v}'" for c, v in (("l_returnflag", flag), ("l_linestatus", status)) if v]
+    return f"(where {' and '.join(told) or 'true'})"
+
+
+@query("select r_name, n_name, (grouping(r_name) + grouping(n_name))::int as row_level, " + ", ".join(
+    f'round(avg(l_quantity) filter {_state_sql(*s)}, 6) as "{n}_avg_quantity", nullif(count(distinct l_orderkey) filter {_state_sql(*s)}, 0) as "{n}_n_orders"'
+    for n, s in _STATES.items()) + """
+    from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+    group by grouping sets ((r_name, n_name), (r_name), ())""")
+def visual_matrix_levels(spark, sf_dir):
+    """Two fields in rows and two in columns, with subtotals of measures that cannot be added up."""
+    visual = Visual("crosstab", {"rows": ["region.r_name", "nation.n_name"], "columns": ["lineitem.l_returnflag", "lineitem.l_linestatus"],
+                                 "values": ["avg_quantity", "n_orders"]}, use=["supplier_nation"], totals=True)
+    matrix = visual_frame(retail_model(spark, sf_dir), visual)
+    return matrix.withColumns({f"{n}_avg_quantity": F.round(F.col(f"`{n}_avg_quantity`"), 6) for n in _STATES})
+
+
+@query(f"""
+    select r_name, grouping(r_name)::int as row_level, cast(sum({SQL_REVENUE}) as double) as revenue
+    from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+    group by grouping sets ((r_name), ())""")
+def visual_matrix_rows(spark, sf_dir):
+    """A matrix without fields in columns."""
+    visual = Visual("crosstab", {"rows": ["region.r_name"], "values": ["revenue"]}, use=["supplier_nation"], totals=True)
+    return as_double(visual_frame(retail_model(spark, sf_dir), visual), "revenue")
+
+
 def _with_unlabelled(spark, sf_dir):
     """The retail model with a label on lines that is null for one of its values."""
     model = retail_model(spark, sf_dir)
@@ -159,3 +193,25 @@ def dashboard_page(spark, sf_dir):
         rows = df.select(F.lit(name).alias("visual"), label.alias("label"), F.col(df.columns[-1]).cast("double").alias("value"))
         stacked = rows if stacked is None else stacked.unionByName(rows)
     return stacked
+
+
+@query(f"""
+    select 'by_brand_and_flag' as visual, p_brand || l_returnflag as label, cast(sum({SQL_REVENUE}) as double) as value
+    from lineitem join part on l_partkey = p_partkey group by p_brand, l_returnflag
+    union all select 'by_brand', p_brand, round(avg(l_quantity), 6) from lineitem join part on l_partkey = p_partkey group by p_brand
+    union all select 'by_flag', l_returnflag, count(*) from lineitem group by l_returnflag
+    union all select 'all', '', cast(sum({SQL_REVENUE}) as double) from lineitem
+    union all select 'orders', '', count(distinct l_orderkey) from lineitem""")
+def dashboard_shared(spark, sf_dir):
+    """Five visuals of one fact; the four that can be merged share one scan of it."""
+    frames = page_frames(retail_model(spark, sf_dir), {
+        "by_brand_and_flag": Visual("column", {"categories": ["part.p_brand"], "series": ["lineitem.l_returnflag"], "values": ["revenue"]}),
+        "by_brand": Visual("pie", {"categories": ["part.p_brand"], "values": ["avg_quantity"]}),
+        "by_flag": Visual("table", {"rows": ["lineitem.l_returnflag"], "values": ["n_lines"]}),
+        "all": Visual("kpi", {"values": ["revenue"]}), "orders": Visual("kpi", {"values": ["n_orders"]})})
+    stacked = None
+    for name, df in frames.items():
+        label = F.concat_ws("", *df.columns[:-1]) if len(df.columns) > 1 else F.lit("")
+        rows = df.select(F.lit(name).alias("visual"), label.alias("label"), F.round(F.col(df.columns[-1]).cast("double"), 6).alias("value"))
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    return stacked
