@@ -12,6 +12,7 @@ from starfold.operators import extract as E
 from starfold.operators.rules import SEVERITY
 from starfold.session import materialize
 from starfold.sources.artifacts import with_status
+from starfold.sources.tables import refresh_snapshot
 
 _COUNTS = ["n_tables", "n_measures", "n_pages", "n_relationships", "n_findings"]
 
@@ -141,12 +142,14 @@ def totals(rows: DataFrame) -> DataFrame:
 
 
 def write_coverage(rows: DataFrame, findings: DataFrame, folder: str) -> str:
-    """Write the coverage rows and, if there are any, the findings; return a short text about the totals."""
+    """Write the coverage rows and the findings as snapshots; return a short text about the totals.
+
+    Without findings, a list without rows is written, so that an older list does not stay behind.
+    """
     spark = rows.sparkSession
-    rows.write.mode("overwrite").json(f"{folder}/coverage")
-    if not findings.isEmpty():
-        findings.write.mode("overwrite").parquet(f"{folder}/findings")
-    total = totals(spark.read.schema(rows.schema).json(f"{folder}/coverage")).first()
+    written = refresh_snapshot(rows, f"{folder}/coverage", "json")
+    refresh_snapshot(findings, f"{folder}/findings")
+    total = totals(written).first()
     lines = ["# Coverage", "", f"Read {total.n_ok} of {total.n_ok + total.n_failed} files; {total.n_failed} failed.", "",
              f"- Tables: {total.n_tables}", f"- Measures: {total.n_measures}", f"- Pages: {total.n_pages}",
              f"- Relationships: {total.n_relationships}", f"- Items to review: {total.n_findings}", ""]

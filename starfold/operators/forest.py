@@ -1,24 +1,76 @@
 """Which relationships of each model stay active: the first path between any two tables.
 
 Taking edges in declared order and dropping each one that closes a loop leaves the spanning forest with the smallest
-sequence numbers. The forest is grown in rounds of joins for all models at once: each component takes its first edge to
-another component, and joined components merge. Components at least halve in each round.
+sequence numbers. An edge that closes a loop among some of a model's edges closes one among all, so each task first drops
+those in the pieces that it reads. A model that lies in one piece is done by that. What is left of larger ones grows
+together in rounds of joins, for all models at once: each component takes its first edge to another component, and joined
+components merge. Components at least halve in each round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from starfold.session import materialize
 
+PIECE = 200_000  # edges of one model that a task holds at once
 
-def forest(pairs: DataFrame) -> DataFrame:
+
+def forest(pairs: DataFrame, piece: int = PIECE) -> DataFrame:
     """``pairs`` (model_id, a, b, seq), one row per pair of tables, with a column ``in_forest``.
 
     Pairs that share a sequence number are taken in order of their tables.
     """
+    pairs = pairs.select("model_id", "a", "b", "seq")
+    large = pairs.groupBy(F.col("model_id").alias("of_model")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > piece)
+    # A large model is dealt to several tasks.
+    share = F.coalesce(F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("n") / piece)), F.lit(0))
+    dealt = pairs.join(large, pairs["model_id"].eqNullSafe(large["of_model"]), "left").select("model_id", share.alias("piece"), "seq", "a", "b",
+                                                                                              F.col("n").isNotNull().alias("is_part"))
+    dealt = dealt.repartition("model_id", "piece").sortWithinPartitions("model_id", "piece", "seq", "a", "b")
+    kept = materialize(dealt.mapInArrow(_without_loops(piece), dealt.drop("piece", "is_part").schema.simpleString()[7:-1].replace(":", " ")
+                                        + ", kept boolean, is_part boolean"), "forest-pieces")
+    open_pairs = kept.filter("is_part and kept")
+    if open_pairs.isEmpty():
+        return kept.select("model_id", "a", "b", "seq", F.col("kept").alias("in_forest"))
+    decided = kept.filter("not (is_part and kept)").select("model_id", "a", "b", "seq", F.col("kept").alias("in_forest"))
+    return decided.unionByName(_in_rounds(open_pairs))
+
+
+def _without_loops(piece: int):
+    """A function that marks, in the sorted edges that a task reads, those that close no loop in their piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader: dict = {}
+        model = object()
+
+        def find(table):
+            while leader.get(table, table) != table:
+                leader[table] = leader.get(leader[table], leader[table])
+                table = leader[table]
+            return table
+
+        for batch in batches:
+            models, pieces, _, left, right, parts = (batch.column(i).to_pylist() for i in range(6))
+            kept = []
+            for m, p, a, b in zip(models, pieces, left, right):
+                if (m, p) != model:
+                    model, leader = (m, p), {}
+                x, y = find(a), find(b)
+                kept.append(x != y)
+                if x != y:
+                    leader[x] = y
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(kept, pa.bool_()),
+                                              pa.array(parts, pa.bool_())], names=["model_id", "seq", "a", "b", "kept", "is_part"])
+
+    return run
+
+
+def _in_rounds(pairs: DataFrame) -> DataFrame:
     edge = F.struct("seq", F.col("a").alias("first"), F.col("b").alias("second"))
     pairs = materialize(pairs.select("model_id", "a", "b", edge.alias("edge")), "forest-pairs")
     edges, chosen = pairs, [pairs.select("model_id", "edge").limit(0)]

@@ -10,8 +10,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starfold.operators.windows import in_ranges, range_offsets, with_offsets
@@ -24,6 +22,8 @@ _QUANTILE_ERROR = 0.001
 
 
 def _matches(left: DataFrame, right: DataFrame, keys: Keys) -> Column:
+    if not keys:
+        raise ValueError("an equality is needed; inequality_join does without")
     return reduce(Column.__and__, [left[a] == right[b] for a, b in keys])
 
 
@@ -75,6 +75,69 @@ def through_bridge(rows: DataFrame, bridge: DataFrame, members: DataFrame, row_k
     return semi_filter(rows, semi_filter(bridge, members, member_keys), row_keys)
 
 
+def _bounds(df: DataFrame, value: str, n: int) -> list[float]:
+    """Borders of ``n`` bins of about as many values each. The estimate only balances the bins."""
+    return sorted(set(df.approxQuantile(value, [i / n for i in range(1, n)], _QUANTILE_ERROR))) if n > 1 else []
+
+
+def _bin(value: Column, bounds: Sequence[float]) -> Column:
+    """The number of borders at or below a value, found by halving: a tree of comparisons as deep as log2 of their number."""
+    def halves(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value < F.lit(bounds[middle]), halves(low, middle)).otherwise(halves(middle + 1, high))
+
+    return F.when(value.isNotNull(), halves(0, len(bounds)))
+
+
+# The comparisons of an inequality join, each with the same one seen from the other side.
+_TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def inequality_join(left: DataFrame, right: DataFrame, conditions: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Inner join on one or two inequalities of numeric columns, and no equality: (left column, comparison, right column).
+
+    Left values are cut into bins, a grid of about as many cells as there are shuffle partitions. A right row meets the
+    cells that its comparisons can reach; a cell that lies in reach as a whole matches without a look, so comparisons are
+    only lost in the cells on the border. The join itself is an equality of cells, which Spark sorts and can split.
+    """
+    if not 1 <= len(conditions) <= 2 or any(c not in _TURNED for _, c, _ in conditions):
+        raise ValueError("one or two of <, <=, >, >= are needed")
+    n = shuffle_partitions(left.sparkSession)
+    n = max(int(n ** 0.5), 1) if len(conditions) == 2 else n
+    match, checks = F.lit(True), F.lit(True)
+    for i, (a, comparison, b) in enumerate(conditions):
+        bounds = _bounds(left.filter(F.col(a).isNotNull()), a, n)
+        left = left.filter(F.col(a).isNotNull()).withColumn(f"left_bin_{i}", _bin(F.col(a), bounds))
+        own = _bin(F.col(b), bounds)
+        reach = F.sequence(F.lit(0), own) if comparison in ("<", "<=") else F.sequence(own, F.lit(len(bounds)))
+        right = right.filter(F.col(b).isNotNull()).withColumn(f"own_bin_{i}", own).withColumn(f"right_bin_{i}", F.explode(reach))
+        match = match & (F.col(f"left_bin_{i}") == F.col(f"right_bin_{i}"))
+        checks = checks & ((F.col(f"own_bin_{i}") != F.col(f"right_bin_{i}")) | F.expr(f"`{a}` {comparison} `{b}`"))
+    extra = [f"{name}_{i}" for i in range(len(conditions)) for name in ("left_bin", "right_bin", "own_bin")]
+    return left.join(right, match & checks).drop(*extra)
+
+
+def interval_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str]) -> DataFrame:
+    """Inner join of half-open intervals that overlap: each of ``left_ends`` and ``right_ends`` is (low, high).
+
+    The line is cut at estimated quantiles of the lower ends; an interval stands in each piece that it touches, and a pair
+    is given in the piece where the later of the two begins, so once. Empty intervals and those with a null end overlap
+    nothing.
+    """
+    (a, b), (c, d) = left_ends, right_ends
+    left, right = left.filter(F.col(a) < F.col(b)), right.filter(F.col(c) < F.col(d))
+    starts = left.select(F.col(a).cast("double").alias("low")).unionByName(right.select(F.col(c).cast("double").alias("low")))
+    bounds = _bounds(starts, "low", shuffle_partitions(left.sparkSession))
+    place = lambda df, low, high, side: df.withColumn(f"{side}_first", _bin(F.col(low), bounds)).withColumn(
+        f"{side}_piece", F.explode(F.sequence(F.col(f"{side}_first"), _bin(F.col(high), bounds))))
+    match = (F.col("left_piece") == F.col("right_piece")) & (F.col("left_piece") == F.greatest("left_first", "right_first"))
+    overlap = (F.col(a) < F.col(d)) & (F.col(c) < F.col(b))
+    return place(left, a, b, "left").join(place(right, c, d, "right"), match & overlap).drop(
+        "left_first", "left_piece", "right_first", "right_piece")
+
+
 def band_join(rows: DataFrame, bands: DataFrame, value: str, low: str, high: str) -> DataFrame:
     """Inner join on ``low <= value < high`` for numeric columns.
 
@@ -83,13 +146,8 @@ def band_join(rows: DataFrame, bands: DataFrame, value: str, low: str, high: str
     band is repeated once for each bin that it touches, however wide it is. The estimate only balances the bins. To
     aggregate by band, ``band_totals`` needs no pairs of rows and bands.
     """
-    n = shuffle_partitions(rows.sparkSession)
-    bounds = sorted(set(rows.approxQuantile(value, [i / n for i in range(1, n)], _QUANTILE_ERROR)))
-
-    @F.pandas_udf("int")
-    def bin_of(values: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, values.to_numpy(float), "right"))
-
+    bounds = _bounds(rows, value, shuffle_partitions(rows.sparkSession))
+    bin_of = lambda c: _bin(F.col(c), bounds)
     binned = bands.filter(F.col(low) < F.col(high)).withColumns({"first_bin": bin_of(low), "last_bin": bin_of(high)})
     binned = binned.withColumn("band_bin", F.explode(F.sequence("first_bin", "last_bin"))).drop("first_bin", "last_bin")
     keyed = rows.filter(F.col(value).isNotNull()).withColumn("row_bin", bin_of(value))
@@ -133,31 +191,66 @@ def theta_join(left: DataFrame, right: DataFrame, keys: Keys, condition: str, ho
     return left.join(right, _matches(left, right, keys) & F.expr(condition), how)
 
 
+def _edges(members: DataFrame, key: str, parent: str, *more: Column) -> DataFrame:
+    """Members as node, parent and ``up``, the parent if it is another member; refuses repeated members."""
+    edges = materialize(members.select(F.col(key).alias("node"), F.col(parent).alias("parent"), *more), "members")
+    if not duplicate_keys(edges.filter("node is not null"), ["node"]).isEmpty():
+        raise ValueError(f"not a hierarchy: {key} has repeated members")
+    present = edges.filter("node is not null").select(F.col("node").alias("known"))
+    # A member without a key is nobody's parent, and a root.
+    edges = edges.withColumn("parent", F.when(F.coalesce(F.col("parent") != F.col("node"), F.lit(False)), F.col("parent")))
+    return edges.join(present, F.col("parent") == F.col("known"), "left").withColumnRenamed("known", "up")
+
+
 def hierarchy_paths(members: DataFrame, key: str, parent: str, separator: str = "|") -> DataFrame:
     """Path from the root, level and root of every member of a parent-child table of any depth.
 
-    A member without a parent, with itself as parent, or with a parent that does not exist, is a root. Members on or
-    behind a cycle are kept, with nulls.
+    A member without a parent, with itself as parent, or with a parent that does not exist, is a root, and so is one
+    without a key. Members on or behind a cycle are kept, with nulls. Repeated members are refused.
 
     Pointers double: each round, a member takes over the way of the ancestor that it has come to, so a chain of n
     members needs log(n) rounds. A round that finishes no member leaves only cycles.
     """
-    edges = members.select(F.col(key).alias("node"), F.col(parent).alias("parent"))
-    present = edges.select(F.col("node").alias("known"))
-    edges = edges.withColumn("parent", F.when(F.col("parent") != F.col("node"), F.col("parent")))
-    is_root = F.col("known").isNull()
-    current = materialize(edges.join(present, F.col("parent") == F.col("known"), "left").select(
-        "node", "parent", F.when(~is_root, F.col("parent")).alias("up"), F.col("node").cast("string").alias("path"),
-        F.lit(1).alias("level"), F.when(is_root, F.col("node")).alias("root")), "hierarchy")
-    n_open = current.filter("root is null").count()
+    is_root = F.col("up").isNull()
+    current = materialize(_edges(members, key, parent).select(
+        "node", "parent", "up", F.col("node").cast("string").alias("path"), F.lit(1).alias("level"),
+        F.when(is_root, F.col("node")).alias("root"), is_root.alias("reached")), "hierarchy")
+    n_open = current.filter("not reached").count()
     while n_open:
-        above = current.select(F.col("node").alias("above"), *[F.col(c).alias(f"above_{c}") for c in ("up", "path", "level", "root")])
-        moved = current.filter("root is null").join(above, F.col("up") == F.col("above")).select(
+        above = current.filter("node is not null").select(
+            F.col("node").alias("above"), *[F.col(c).alias(f"above_{c}") for c in ("up", "path", "level", "root", "reached")])
+        moved = current.filter("not reached").join(above, F.col("up") == F.col("above")).select(
             "node", "parent", F.col("above_up").alias("up"), F.concat_ws(separator, "above_path", "path").alias("path"),
-            (F.col("above_level") + F.col("level")).alias("level"), F.col("above_root").alias("root"))
-        current = materialize(current.filter("root is not null").unionByName(moved), "hierarchy")
-        before, n_open = n_open, current.filter("root is null").count()
+            (F.col("above_level") + F.col("level")).alias("level"), F.col("above_root").alias("root"), F.col("above_reached").alias("reached"))
+        current = materialize(current.filter("reached").unionByName(moved), "hierarchy")
+        before, n_open = n_open, current.filter("not reached").count()
         if n_open == before:
             break
-    reached = lambda c: F.when(F.col("root").isNotNull(), F.col(c)).alias(c)
+    reached = lambda c: F.when(F.col("reached"), F.col(c)).alias(c)
     return current.select("node", "parent", reached("path"), reached("level"), "root")
+
+
+def hierarchy_totals(members: DataFrame, key: str, parent: str, totals: Mapping[str, str]) -> DataFrame:
+    """For every member, how many members its subtree has, itself included, and totals over it; any depth.
+
+    ``totals`` maps an output name to a column of ``members``; nulls count as nothing. Roots, members without a key and cycles
+    are as in ``hierarchy_paths``. Each round doubles the depth that totals reach: what lies less than 2d below a member is
+    what lies less than d below it, and below each of those that stand d below it. A hot parent is summed in every task first.
+    """
+    names = ["n_members", *totals]
+    own = [F.col(c).alias(n) for n, c in totals.items()]
+    current = materialize(_edges(members, key, parent, *own).select(
+        "node", "parent", "up", F.lit(1).cast("long").alias("n_members"), *totals), "totals")
+    n_open = current.filter("up is not null").count()
+    while n_open:
+        lifted = current.filter("up is not null").groupBy(F.col("up").alias("to")).agg(*[F.sum(n).alias(f"below_{n}") for n in names])
+        above = current.filter("node is not null").select(F.col("node").alias("above"), F.col("up").alias("further"))
+        # In ordinary SQL sums, null and a number is the number.
+        add = lambda n: F.coalesce(F.col(n) + F.col(f"below_{n}"), F.col(n), F.col(f"below_{n}")).alias(n)
+        current = materialize(current.join(lifted, F.col("node") == F.col("to"), "left").join(above, F.col("up") == F.col("above"), "left").select(
+            "node", "parent", F.col("further").alias("up"), *[add(n) for n in names]), "totals")
+        before, n_open = n_open, current.filter("up is not null").count()
+        if n_open == before:
+            break
+    reached = lambda c: F.when(F.col("up").isNull(), F.col(c)).alias(c)
+    return current.select("node", "parent", *[reached(n) for n in names])

@@ -32,37 +32,45 @@ def profile_keys(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataF
     return reduce(DataFrame.unionByName, profiles)
 
 
-def _per_key(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
-    keys = [F.col(c).alias(f"key_{i}") for i, c in enumerate(columns)]
-    return df.select(*keys).groupBy(*[f"key_{i}" for i in range(len(columns))]).agg(F.count(F.lit(1)).alias(name))
+def _common_type(one: DataFrame, a: str, other: DataFrame, b: str) -> str:
+    """The type that Spark compares two columns in."""
+    text = lambda df, c: f"cast(null as {df.schema[c].dataType.simpleString()})"
+    return one.sparkSession.sql(f"select coalesce({text(one, a)}, {text(other, b)}) as c").schema["c"].dataType.simpleString()
 
 
 def profile_references(tables: Mapping[str, DataFrame], relationships: Sequence[Relationship]) -> DataFrame:
     """Per relationship: rows, null keys, rows and keys without a match, and the cardinality found.
 
-    Both sides are counted per key before they meet, so a hot key costs one row.
+    Each table is read once: a row gives its key of every relationship it has an end in. Keys are counted per relationship
+    and side before they meet, so a hot key costs one row a task. Keys are compared as text of their common type.
     """
-    profiles = []
-    for r in relationships:
-        many = _per_key(tables[r.from_table], [a for a, _ in r.keys], "n_many")
-        one = _per_key(tables[r.to_table], [b for _, b in r.keys], "n_one")
-        names = [f"key_{i}" for i in range(len(r.keys))]
-        has_key = reduce(lambda x, y: x & y, [F.col(n).isNotNull() for n in names])
-        both = many.withColumn("has_key", has_key).join(one.filter(has_key), names, "full")
-        n_many, n_one = F.coalesce("n_many", F.lit(0)), F.coalesce("n_one", F.lit(0))
-        missing = F.col("has_key") & (n_one == 0)
-        one_unique = F.max(n_one) <= 1
-        many_unique = F.max(F.when(F.col("has_key"), n_many).otherwise(0)) <= 1
-        profiles.append(both.agg(
-            F.lit(r.name).alias("relationship"),
-            F.sum(n_many).alias("n_rows"),
-            F.sum(F.when(~F.col("has_key"), n_many).otherwise(0)).alias("n_null_keys"),
-            F.sum(F.when(missing, n_many).otherwise(0)).alias("n_unmatched_rows"),
-            F.count_if(missing).alias("n_unmatched_keys"),
-            F.when(many_unique & one_unique, "1:1").when(one_unique, "n:1").when(many_unique, "1:n")
-            .otherwise("n:n").alias("cardinality"),
-        ))
-    return reduce(DataFrame.unionByName, profiles)
+    cells: dict[str, list] = {}
+    for number, r in enumerate(relationships):
+        many, one = tables[r.from_table], tables[r.to_table]
+        kinds = [_common_type(many, a, one, b) for a, b in r.keys]
+        for side, table, columns in (("many", r.from_table, [a for a, _ in r.keys]), ("one", r.to_table, [b for _, b in r.keys])):
+            # Zero has one text only.
+            values = [F.col(c).cast(t) + F.lit(0.0).cast(t) if t in ("double", "float") else F.col(c).cast(t) for c, t in zip(columns, kinds)]
+            cells.setdefault(table, []).append(F.struct(
+                F.lit(number).alias("number"), F.lit(side == "many").alias("is_many"), F.array(*[v.cast("string") for v in values]).alias("key")))
+    # Each row of a table counts for each of its ends.
+    ends = [tables[name].select(F.explode(F.array(*own)).alias("end")).groupBy("end.number", "end.key").agg(
+        F.count_if("end.is_many").alias("n_many"), F.count_if(~F.col("end.is_many")).alias("n_one")) for name, own in cells.items()]
+    both = reduce(DataFrame.unionByName, ends).groupBy("number", "key").agg(F.sum("n_many").alias("n_many"), F.sum("n_one").alias("n_one"))
+    has_key = F.forall("key", lambda x: x.isNotNull())
+    missing = has_key & (F.col("n_one") == 0)
+    one_unique = F.coalesce(F.max(F.when(has_key, F.col("n_one"))), F.lit(0)) <= 1
+    many_unique = F.coalesce(F.max(F.when(has_key, F.col("n_many"))), F.lit(0)) <= 1
+    found = both.groupBy("number").agg(
+        F.sum("n_many").alias("n_rows"), F.coalesce(F.sum(F.when(~has_key, F.col("n_many"))), F.lit(0)).alias("n_null_keys"),
+        F.coalesce(F.sum(F.when(missing, F.col("n_many"))), F.lit(0)).alias("n_unmatched_rows"), F.count_if(missing & (F.col("n_many") > 0)).alias("n_unmatched_keys"),
+        F.when(many_unique & one_unique, "1:1").when(one_unique, "n:1").when(many_unique, "1:n").otherwise("n:n").alias("cardinality"))
+    zero = F.lit(0).cast("long")
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame([(i, r.name) for i, r in enumerate(relationships)], "number int, relationship string")
+    return names.join(found, "number", "left").select(
+        "relationship", *[F.coalesce(c, zero).alias(c) for c in ("n_rows", "n_null_keys", "n_unmatched_rows", "n_unmatched_keys")],
+        F.coalesce("cardinality", F.lit("1:1")).alias("cardinality"))
 
 
 def date_dimension(dates: DataFrame, column: str) -> DataFrame:

@@ -140,26 +140,35 @@ def classify(tables: DataFrame, columns: DataFrame, rels: DataFrame) -> DataFram
 # ---------------------------------------------------------------------- orientation
 
 
-def _with_side(rels: DataFrame, side: str, tables: DataFrame, keys: DataFrame) -> DataFrame:
-    """Add the role of one side's table, and whether its column is probably the primary key."""
-    roles = tables.select("model_id", F.col("table").alias(f"{side}_table"), F.col("role").alias(f"{side}_role"))
-    names = keys.select("model_id", F.col("table").alias(f"{side}_table"), F.col("column").alias(f"{side}_column"),
-                        F.lit(True).alias(f"{side}_named"))
-    joined = rels.join(roles, ["model_id", f"{side}_table"], "left").join(
-        names, ["model_id", f"{side}_table", f"{side}_column"], "left")
-    foreign_words = F.array_except(N.key_base(F.col(f"{side}_column")), N.tokens(F.col(f"{side}_table")))
-    is_primary = F.coalesce(f"{side}_named", F.lit(False)) & (F.size(foreign_words) == 0)
-    return joined.withColumn(f"{side}_primary", is_primary).drop(f"{side}_named")
+def _with_sides(rels: DataFrame, tables: DataFrame, keys: DataFrame) -> DataFrame:
+    """Add the role of either side's table, and whether its column is probably the primary key.
+
+    Both ends meet the tables in one join, and the two rows of a relationship are put together again.
+    """
+    named = keys.groupBy("model_id", "table").agg(F.collect_set("column").alias("key_columns"))
+    known = tables.select("model_id", "table", "role").join(named, ["model_id", "table"], "left").select(
+        F.col("model_id").alias("of_model"), F.col("table").alias("of_table"), "role", "key_columns")
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}_table").alias("table"), F.col(f"{side}_column").alias("column"))
+                      for side in ("from", "to")])
+    ends = rels.select(*rels.columns, F.explode(sides).alias("end"))
+    joined = ends.join(known, (F.col("model_id") == F.col("of_model")) & (F.col("end.table") == F.col("of_table")), "left")
+    foreign_words = F.array_except(N.key_base(F.col("end.column")), N.tokens(F.col("end.table")))
+    primary = F.coalesce(F.array_contains("key_columns", F.col("end.column")), F.lit(False)) & (F.size(foreign_words) == 0)
+    of = lambda side, value: F.max(F.when(F.col("end.side") == side, value))
+    return joined.withColumn("primary", primary).groupBy(*rels.columns).agg(
+        of("from", F.col("role")).alias("from_role"), of("from", F.col("primary")).alias("from_primary"),
+        of("to", F.col("role")).alias("to_role"), of("to", F.col("primary")).alias("to_primary"))
 
 
 def orient(rels: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
     """Relationships from the many side to the one side, with cardinality and filter direction.
 
     A fact is the many side of a non-fact. Otherwise the side with the probable primary key is the one
-    side. Self-joins and relationships of missing tables stay as declared.
+    side. Self-joins and relationships of missing tables stay as declared. A relationship with ``declared`` 1:1 keeps that
+    if ``found``, the cardinality of the data, is 1:1 too.
     """
     keys = seed_keys(columns).filter("is_key").select("model_id", "table", "column").distinct()
-    sided = _with_side(_with_side(rels, "from", tables, keys), "to", tables, keys)
+    sided = _with_sides(rels, tables, keys)
     known = F.col("from_role").isNotNull() & F.col("to_role").isNotNull()
     judged = known & (F.col("from_table") != F.col("to_table"))
     from_fact, to_fact = F.col("from_role") == "fact", F.col("to_role") == "fact"
@@ -167,14 +176,16 @@ def orient(rels: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
         F.col("from_primary") & ~F.col("to_primary")), F.lit(False))
     both_facts = F.coalesce(judged & from_fact & to_fact, F.lit(False))
     bridged = F.coalesce(judged & ((F.col("from_role") == "bridge") | (F.col("to_role") == "bridge")), F.lit(False))
+    declared = {"declared", "found"} <= set(rels.columns)
+    confirmed = F.coalesce((F.col("declared") == "1:1") & (F.col("found") == "1:1"), F.lit(False)) if declared else F.lit(False)
     swap = lambda a, b: F.when(flipped, F.col(b)).otherwise(F.col(a)).alias(a)
     kept = [c for c in rels.columns if c not in ("from_table", "from_column", "to_table", "to_column")]
     return sided.select(
         *kept, swap("from_table", "to_table"), swap("from_column", "to_column"),
         swap("to_table", "from_table"), swap("to_column", "from_column"),
         swap("from_role", "to_role"), swap("to_role", "from_role"),
-        F.when(both_facts, "n:n").otherwise("n:1").alias("cardinality"),
-        F.when(both_facts | bridged, "both").otherwise("single").alias("cross_filter"))
+        F.when(confirmed, "1:1").when(both_facts, "n:n").otherwise("n:1").alias("cardinality"),
+        F.when(both_facts | bridged | confirmed, "both").otherwise("single").alias("cross_filter"))
 
 
 def mark_endpoints(columns: DataFrame, oriented: DataFrame) -> DataFrame:

@@ -83,36 +83,59 @@ def rank(df: DataFrame, value: str, name: str = "rank", descending: bool = True,
     return df.join(ranks, match, "left").select(*df.columns, name)
 
 
+_SKETCH = 10_000  # a sketch of this accuracy is off by one rank in so many at most
+_WHOLE = 10 * _SKETCH  # groups of fewer values are not worth a sketch
+
+
 def percentiles(df: DataFrame, value: str, fractions: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact interpolated percentiles per group, one column per named fraction. Nulls are left out.
 
-    Values are counted first, then ranged; the group's row positions are found from range totals, so no
-    task ever holds a whole group.
+    A mergeable sketch brackets each position. One more pass counts the values between the brackets, and keeps only those
+    inside, so a small share of a large group is sorted, and that in ranges over all tasks. If a sketch should ever miss a
+    position, its counts show it, and the groups are ranged whole.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_rows"))
-    ranged = in_ranges(counted, by, [F.col(value)])
-    sums = ranged.groupBy(*by, "range_no").agg(F.sum("n_rows").alias("n_range"))
-    earlier = Window.partitionBy(*by).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *[F.col(c).alias(f"of_{c}") for c in [*by, "range_no"]],
-        F.coalesce(F.sum("n_range").over(earlier), F.lit(0)).alias("before"),
-        F.sum("n_range").over(Window.partitionBy(*by)).alias("n_group"), "n_range",
-    )
-    # Only ranges that hold a wanted position are sorted, two for each fraction of a group at most.
-    positions = [f(F.lit(float(x)) * (F.col("n_group") - 1)) for x in fractions.values() for f in (F.floor, F.ceil)]
-    offsets = offsets.filter(reduce(Column.__or__, [
-        (F.col("before") <= p) & (p < F.col("before") + F.col("n_range")) for p in positions])).drop("n_range")
-    rows = with_offsets(ranged, offsets, by, "inner")
-    w = Window.partitionBy(*by, "range_no").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    # A distinct value covers the row positions [first, last] of its group, counted from 0.
-    rows = rows.withColumn("last", F.sum("n_rows").over(w) + F.col("before") - 1)
-    rows = rows.withColumn("first", F.col("last") - F.col("n_rows") + 1)
-    results = []
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("at"))
+    probes = [x for f in fractions.values() for x in (max(f - 3 / _SKETCH, 0.0), min(f + 3 / _SKETCH, 1.0))]
+    sketch = rows.groupBy(*[F.col(c).alias(f"of_{c}") for c in by]).agg(
+        F.count(F.lit(1)).alias("n_group"), F.min("at").alias("least"), F.max("at").alias("most"),
+        F.percentile_approx("at", probes, _SKETCH).alias("probes"))
+    brackets = materialize(sketch.select(
+        *[f"of_{c}" for c in by], "n_group",
+        *[F.when(F.col("n_group") < _WHOLE, F.col("least")).otherwise(F.get("probes", F.lit(2 * i))).alias(f"low_{i}") for i in range(len(fractions))],
+        *[F.when(F.col("n_group") < _WHOLE, F.col("most")).otherwise(F.get("probes", F.lit(2 * i + 1))).alias(f"high_{i}") for i in range(len(fractions))]),
+        "brackets")
+    found = materialize(_selected(rows, brackets, fractions, by), "percentiles")
+    if not found.filter("missed").isEmpty():
+        whole = brackets.select(*[f"of_{c}" for c in by], "n_group", *[F.lit(None).cast(brackets.schema[f"{end}_{i}"].dataType).alias(f"{end}_{i}")
+                                                                      for end in ("low", "high") for i in range(len(fractions))])
+        found = _selected(rows, whole, fractions, by)
+    return found.drop("missed")
+
+
+def _selected(rows: DataFrame, brackets: DataFrame, fractions: Mapping[str, float], by: Sequence[str]) -> DataFrame:
+    """Percentiles from the values inside the brackets, a null bracket having no end, and ``missed`` where one is not there."""
+    match = F.lit(True)  # without groups, one row of brackets meets all
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    joined = rows.join(brackets, match)
+    # How many brackets have begun, and have ended: both only grow with the value, and differ inside of one.
+    begun = sum((F.coalesce(F.col("at") >= F.col(f"low_{i}"), F.lit(True)).cast("int") for i in range(len(fractions))), F.lit(0))
+    ended = sum((F.coalesce(F.col("at") > F.col(f"high_{i}"), F.lit(False)).cast("int") for i in range(len(fractions))), F.lit(0))
+    counted = joined.withColumns({"place": begun + ended, "at": F.when(begun > ended, F.col("at"))}).groupBy(
+        *by, "n_group", "place", "at").agg(F.count(F.lit(1)).alias("n_rows"))
+    ranged = in_ranges(counted, by, [F.col("place"), F.col("at")])
+    held = with_offsets(ranged, range_offsets(ranged, by, {"before": F.sum("n_rows")}), by)
+    w = Window.partitionBy(*by, "range_no").orderBy("place", "at").rowsBetween(Window.unboundedPreceding, 0)
+    # A value covers the row positions [first, last] of its group, counted from 0.
+    held = held.withColumn("last", F.sum("n_rows").over(w) + F.col("before") - 1)
+    held = held.withColumn("first", F.col("last") - F.col("n_rows") + 1)
+    results, missed = [], F.lit(False)
     for name, fraction in fractions.items():
         position = F.lit(float(fraction)) * (F.col("n_group") - 1)
         holds = lambda p: (F.col("first") <= p) & (p <= F.col("last"))
-        low = F.max(F.when(holds(F.floor(position)), F.col(value)))
-        high = F.max(F.when(holds(F.ceil(position)), F.col(value)))
+        low = F.max(F.when(holds(F.floor(position)), F.col("at")))
+        high = F.max(F.when(holds(F.ceil(position)), F.col("at")))
         share = F.max(position - F.floor(position))
         results.append((low + (high - low) * share).alias(name))
-    return rows.groupBy(*by).agg(*results)
+        missed = missed | low.isNull() | high.isNull()
+    return held.groupBy(*by).agg(*results, missed.alias("missed"))

@@ -461,6 +461,24 @@ def cardinality_from_data(spark, sf_dir):
     return found.select("relationship", "cardinality")
 
 
+@query("""
+    select o_custkey as model_id, 1 as seq, 'orders' as from_table, 'latest' as to_table,
+           case when count(*) = count(distinct o_orderdate) then '1:1' else 'n:1' end as cardinality,
+           case when count(*) = count(distinct o_orderdate) then 'both' else 'single' end as cross_filter
+    from orders group by 1""")
+def declared_one_to_one(spark, sf_dir):
+    """Each customer is a model that declares 1:1; it stays where the order dates of that customer confirm it."""
+    found = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("model_id")).agg(
+        F.when(F.count(F.lit(1)) == F.countDistinct("o_orderdate"), "1:1").otherwise("n:1").alias("found"))
+    rels = found.select("model_id", F.lit(1).alias("seq"), F.lit("orders").alias("from_table"), F.lit("order date").alias("from_column"),
+                        F.lit("latest").alias("to_table"), F.lit("latest key").alias("to_column"), F.lit("1:1").alias("declared"), "found")
+    tables = found.select("model_id", F.explode(F.array(F.lit("orders"), F.lit("latest"))).alias("table")).withColumn(
+        "role", F.when(F.col("table") == "orders", "fact").otherwise("dimension"))
+    columns = found.select("model_id", F.lit("latest").alias("table"), F.lit(1).alias("ordinal"), F.lit("latest key").alias("column"),
+                           F.lit("int64").alias("type"), F.lit("").alias("usage"))
+    return R.orient(rels, tables, columns).select("model_id", "seq", "from_table", "to_table", "cardinality", "cross_filter")
+
+
 @query("""
     select cast(d as date) as date, year(d) as year, quarter(d) as quarter, month(d) as month, day(d) as day,
            monthname(d) as month_name, year(d) * 100 + month(d) as year_month

@@ -219,3 +219,45 @@ def role_nations(spark, sf_dir):
     return retail_model(spark, sf_dir).query(
         ["nation@customer_nation.n_name", "nation@supplier_nation.n_name", "region@supplier_nation.r_name"],
         [Measure("n_parts", "lineitem", "countdistinct", "l_partkey")])
+
+
+_TREE = """
+    with recursive tree(node, top) as (
+        select c_custkey, c_custkey from customer
+        union all select c_custkey, top from customer join tree on c_custkey // 10 = node where c_custkey // 10 <> c_custkey)
+"""
+
+
+@query(_TREE + """
+    select top as node, any_value(case when top // 10 <> top and exists (select 1 from customer where c_custkey = top // 10) then top // 10
+        when top // 10 <> top then top // 10 end) as parent, count(*) as n_members, sum(c_acctbal::decimal(12,2))::double as balance
+    from tree join customer on c_custkey = node group by top""")
+def hierarchy_rollup(spark, sf_dir):
+    """A measure summed over every customer and all below, in a parent-child hierarchy."""
+    customers = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.expr("c_custkey div 10").alias("parent_key"), F.col("c_acctbal").cast("decimal(12,2)").alias("own"))
+    return as_double(J.hierarchy_totals(customers, "c_custkey", "parent_key", {"balance": "own"}), "balance")
+
+
+@query("""
+    select s_nationkey, count(*) as n_pairs, count(distinct p_partkey) as n_parts, sum(p_size)::bigint as sizes
+    from supplier join part on s_acctbal / 5 > p_retailprice and s_suppkey <= p_partkey group by 1""")
+def join_inequality(spark, sf_dir):
+    """Two inequalities and no equality: suppliers and the parts that they could pay for five of, of no smaller number."""
+    suppliers = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_acctbal") / 5).alias("budget"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    joined = J.inequality_join(suppliers, parts, [("budget", ">", "p_retailprice"), ("s_suppkey", "<=", "p_partkey")])
+    return joined.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("p_partkey").alias("n_parts"),
+                                             F.sum("p_size").alias("sizes"))
+
+
+@query("""
+    with b as (select p_brand, min(p_retailprice) as low, avg(p_retailprice) as high from part group by 1),
+    n as (select c_nationkey, min(c_acctbal) + 900 as low, min(c_acctbal) + 900 + count(*) as high from customer group by 1)
+    select p_brand, c_nationkey from b join n on b.low < n.high and n.low < b.high""")
+def join_intervals(spark, sf_dir):
+    """Price bands of brands and balance bands of nations that overlap."""
+    brands = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_retailprice").alias("low"), F.avg("p_retailprice").alias("high"))
+    least = F.min("c_acctbal") + 900
+    nations = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(least.alias("n_low"), (least + F.count(F.lit(1))).alias("n_high"))
+    return J.interval_join(brands, nations, ("low", "high"), ("n_low", "n_high")).select("p_brand", "c_nationkey")

@@ -31,7 +31,7 @@ def scan_folder(spark: SparkSession, folder: str, recursive: bool = True) -> Dat
     """Candidate files of a folder as (path, content), one row per file.
 
     The suffix is part of the file listing, so other files are never opened. Names that start with a dot
-    or an underscore are skipped. Bytes that are not UTF-8 are replaced.
+    or an underscore are skipped, as Spark's listing does; ``skipped_files`` names them. Bytes that are not UTF-8 are replaced.
     """
     any_case = lambda word: "".join(f"[{c.lower()}{c.upper()}]" for c in word)
     files = (spark.read.format("binaryFile")
@@ -41,6 +41,24 @@ def scan_folder(spark: SparkSession, folder: str, recursive: bool = True) -> Dat
     return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
+def skipped_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """Candidate files that ``scan_folder`` does not read, as findings: their names or folders are hidden.
+
+    The store lists names, a page at a time; only hidden candidates are kept. Unfinished writes are no files yet.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = store.makeQualified(place).toString()
+    files, found = store.listFiles(place, recursive), []
+    while files.hasNext():
+        path = files.next().getPath().toString()
+        names = path[len(base):].strip("/").split("/")
+        hidden = any(n.startswith(".") or n.startswith("_") and "=" not in n for n in names)
+        if hidden and "." in names[-1] and names[-1].rpartition(".")[2].lower() in SUFFIXES and "_temporary" not in names:
+            found.append((path, "file-skipped", "warning", names[-1]))
+    return spark.createDataFrame(sorted(found), "path string, code string, severity string, source_ref string")
+
+
 def artifact_kind(path: Column, content: Column) -> Column:
     """report, model, module, dashboard or unknown: from the content first, then from the suffix.
 

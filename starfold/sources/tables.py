@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -70,10 +71,49 @@ def project_list(df: DataFrame, shown: Sequence[str]) -> DataFrame:
     return df.select(*known) if known else df
 
 
-def refresh_snapshot(df: DataFrame, path: str) -> DataFrame:
-    """Replace the snapshot at ``path`` and read it back."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def _file_system(spark: SparkSession, path: str):
+    """The store of a path, and the path in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the committed versions of a snapshot, oldest first."""
+    store, folder = _file_system(spark, f"{path}/_versions")
+    return sorted(f.getPath().getName() for f in store.listStatus(folder)) if store.exists(folder) else []
+
+
+def refresh_snapshot(df: DataFrame, path: str, source_format: str = "parquet", keep: int = 2) -> DataFrame:
+    """Replace the snapshot at ``path`` and read it back.
+
+    Rows are written to a folder of their own; an entry of the next number in ``_versions`` then makes them the snapshot.
+    Readers see the old table or the new one: a failed write leaves no entry, and of two refreshes at once the second to
+    end is refused. The ``keep`` newest versions stay, so plans over the one before still run.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    known = _versions(spark, path)
+    number = int(known[-1].partition("-")[0]) + 1 if known else 1
+    name = f"{number:010d}-{uuid.uuid4().hex}"
+    df.write.format(source_format).save(f"{path}/{name}")
+    store, entry = _file_system(spark, f"{path}/_versions/{name}")
+    # The number is taken by a file of that name alone, which only one writer can make.
+    taken = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_numbers/{number:010d}")
+    if not store.createNewFile(taken):
+        raise ValueError(f"another refresh of {path} came first")
+    store.create(entry, False).close()
+    for old in _versions(spark, path)[:-keep]:
+        for part in (f"{path}/_versions/{old}", f"{path}/{old}"):
+            store.delete(spark._jvm.org.apache.hadoop.fs.Path(part), True)
+    return read_snapshot(spark, path, source_format, df.schema)
+
+
+def read_snapshot(spark: SparkSession, path: str, source_format: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+    """The newest committed version of a snapshot."""
+    known = _versions(spark, path.rstrip("/"))
+    if not known:
+        raise FileNotFoundError(f"no snapshot at {path}")
+    reader = spark.read.format(source_format)
+    return (reader.schema(schema) if schema is not None else reader).load(f"{path.rstrip('/')}/{known[-1]}")
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
