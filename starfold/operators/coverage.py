@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from starfold.functions import expressions as X
 from starfold.operators import extract as E
 from starfold.operators.rules import SEVERITY
-from starfold.session import materialize
+from starfold.session import materialize, materialize_all
 from starfold.sources.artifacts import with_status
 from starfold.sources.tables import refresh_snapshot
 
@@ -20,13 +20,14 @@ _COUNTS = ["n_tables", "n_measures", "n_pages", "n_relationships", "n_findings"]
 def extract_corpus(artifacts: DataFrame) -> dict[str, DataFrame]:
     """Metadata tables of all readable artifacts. Each is written once, as several results use it.
 
-    The files are written by kind, so that each extraction reads the files of its own kind only.
+    The files are written by kind, so that each extraction reads the files of its own kind only. Then the queries and the
+    widgets are cut out, and at last everything in them, each time all kinds at once.
     """
     files = materialize(with_status(artifacts), "corpus-files", partition_by=["kind", "status"])
     of_kind = lambda kind: files.filter((F.col("status") == "ok") & (F.col("kind") == kind)).select("path", "content")
     reports, models, modules = of_kind("report"), of_kind("model"), of_kind("module")
-    queries = materialize(E.report_queries(reports), "corpus-queries")
-    widgets = materialize(E.dashboard_widgets(of_kind("dashboard")), "corpus-widgets")
+    cut = materialize_all({"queries": E.report_queries(reports), "widgets": E.dashboard_widgets(of_kind("dashboard"))}, "corpus")
+    queries, widgets = cut["queries"], cut["widgets"]
     extracted = {
         "items": E.report_items(queries), "joins": E.report_joins(queries), "sources": E.report_sources(queries),
         "visuals": E.report_visuals(reports),
@@ -34,7 +35,7 @@ def extract_corpus(artifacts: DataFrame) -> dict[str, DataFrame]:
         "module_columns": E.module_columns(modules), "module_rels": E.module_relationships(modules),
         "fields": E.dashboard_fields(widgets),
     }
-    written = {name: materialize(df, f"corpus-{name}") for name, df in extracted.items()}
+    written = materialize_all(extracted, "corpus")
     return {"files": files.select("path", "kind", "status", "error"), "widgets": widgets.drop("definition"), **written}
 
 

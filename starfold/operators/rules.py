@@ -69,10 +69,19 @@ def _pair_text(arrow: str) -> Column:
 # ------------------------------------------------------------------- keys and roles
 
 
+def with_words(columns: DataFrame) -> DataFrame:
+    """Add ``words``, the tokens of each column name. Names repeat from model to model, so each is cut once."""
+    if "words" in columns.columns:
+        return columns
+    names = materialize(columns.select(F.col("column").alias("of_name")).distinct().withColumn("words", N.tokens(F.col("of_name"))), "names")
+    return columns.join(names, columns["column"].eqNullSafe(names["of_name"]), "left").drop("of_name")
+
+
 def seed_keys(columns: DataFrame, suffix_match: bool = False) -> DataFrame:
     """Add ``is_key``: declared as identifier, or named like a key."""
     declared = F.lower(F.trim(F.coalesce("usage", F.lit("")))).isin(KEY_USAGES)
-    return columns.withColumn("is_key", declared | N.looks_like_key(F.col("column"), F.col("type"), suffix_match))
+    words = F.col("words") if "words" in columns.columns else None
+    return columns.withColumn("is_key", declared | N.looks_like_key(F.col("column"), F.col("type"), suffix_match, words))
 
 
 def base_role() -> Column:
@@ -91,7 +100,7 @@ def column_stats(columns: DataFrame) -> DataFrame:
     named = F.array_contains("words", "date")
     dated = F.col("type") == "dateTime"
     first = lambda condition: F.min(F.when(condition, F.col("ordinal")))
-    return seed_keys(columns).withColumn("words", N.tokens(F.col("column"))).groupBy("model_id", "table").agg(
+    return seed_keys(with_words(columns)).groupBy("model_id", "table").agg(
         F.count_if(is_part).alias("n_date_parts"), F.coalesce(first(dated & named), first(dated)).alias("date_position"),
         F.count_if("is_key").alias("n_keys"), F.count_if(~F.col("is_key")).alias("n_others"))
 
@@ -167,7 +176,7 @@ def orient(rels: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
     side. Self-joins and relationships of missing tables stay as declared. A relationship with ``declared`` 1:1 keeps that
     if ``found``, the cardinality of the data, is 1:1 too.
     """
-    keys = seed_keys(columns).filter("is_key").select("model_id", "table", "column").distinct()
+    keys = seed_keys(with_words(columns)).filter("is_key").select("model_id", "table", "column")
     sided = _with_sides(rels, tables, keys)
     known = F.col("from_role").isNotNull() & F.col("to_role").isNotNull()
     judged = known & (F.col("from_table") != F.col("to_table"))
@@ -230,6 +239,7 @@ def activate(rels: DataFrame) -> DataFrame:
     further relationships of a pair on it play another role.
     """
     ends = {"a": F.least("from_table", "to_table"), "b": F.greatest("from_table", "to_table")}
+    rels = materialize(rels, "declared-relationships")  # read twice below
     between = rels.filter("from_table <> to_table").withColumns(ends)
     pairs = between.groupBy("model_id", "a", "b").agg(F.min("seq").alias("seq"))
     decided = forest(pairs).withColumnRenamed("seq", "first_seq")
@@ -340,6 +350,7 @@ def review_breakdown(findings: DataFrame, limit: int = 8) -> DataFrame:
 
 def analyze(tables: DataFrame, columns: DataFrame, rels: DataFrame) -> Mapping[str, DataFrame]:
     """All rules in order: tables, columns, relationships, findings and summary of every model."""
+    columns = with_words(columns)
     roles = materialize(classify(tables, columns, rels), "model-tables")
     deduplicated = materialize(deduplicate(rels), "model-deduplicated")
     activated = materialize(orient(activate(deduplicated), roles, columns), "model-relationships")

@@ -10,7 +10,7 @@ from starfold.operators import extract as E
 from starfold.plans.definitions import read_definition, report_of
 from starfold.queries import query
 from starfold.queries.retail import retail_model, table
-from starfold.session import materialize
+from starfold.session import materialize_all
 
 # One report for each region; its name fills the placeholder.
 _REPORT = """<report xmlns="http://www.example.com/schemas/report/16.2/"><queries>
@@ -51,7 +51,7 @@ def _opened(spark, sf_dir):
     queries = E.report_queries(files)
     corpus = {"items": E.report_items(queries), "joins": E.report_joins(queries), "sources": E.report_sources(queries),
               "visuals": E.report_visuals(files)}
-    corpus = {name: materialize(df, f"report-{name}") for name, df in corpus.items()}
+    corpus = materialize_all(corpus, "report")
     package = retail_model(spark, sf_dir)
     return {r.path: report_of(read_definition(corpus, r.path), package) for r in files.select("path").orderBy("path").collect()}
 

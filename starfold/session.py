@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -57,5 +59,13 @@ def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(frames: Mapping[str, DataFrame], label: str) -> dict[str, DataFrame]:
+    """``materialize`` each of several frames that don't depend on each other, all at once, so that none waits for the last
+    tasks of another."""
+    run = inheritable_thread_target(lambda name: materialize(frames[name], f"{label}-{name}"))
+    with ThreadPoolExecutor(max(len(frames), 1)) as pool:
+        return dict(zip(frames, pool.map(run, frames)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
