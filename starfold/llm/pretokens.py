@@ -67,6 +67,7 @@ def tokenizers_joins(definition: str) -> Callable[[str, list[str]], list[bool]]:
 @dataclass
 class PreTokens:
     joined: str  # all texts, one separator after each
+    points: np.ndarray  # its code points
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray  # number of the first pre-token of each text, and the number of all
@@ -104,7 +105,7 @@ class Splitter:
         starts, ends = edges[:-1][keep], edges[1:][keep]
         first = np.searchsorted(starts, np.concatenate([[0], text_ends + 1]))
         hashes = self.range_hash(mix(points.astype(np.uint64) + np.uint64(1)), starts, ends)
-        return PreTokens(joined, starts, ends, first, hashes)
+        return PreTokens(joined, points, starts, ends, first, hashes)
 
     @staticmethod
     def _contractions(points, run, run_end, kind, border, bare) -> None:
@@ -129,7 +130,9 @@ class Splitter:
 class Memo:
     """The symbols of each distinct pre-token, found once by ``encode`` for as many texts as a worker reads.
 
-    It is emptied when it holds ``limit`` entries, so its memory is bounded; nothing depends on what it holds.
+    Pre-tokens are looked up by hash, and each is then compared with the text that the hash stands for; those that only
+    share it are kept by their text. It is emptied when it holds ``limit`` entries, so its memory is bounded; nothing
+    depends on what it holds.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], limit: int = _MEMO_LIMIT) -> None:
@@ -139,12 +142,30 @@ class Memo:
     def _clear(self) -> None:
         self.known, self.slot_of = np.empty(0, np.uint64), np.empty(0, np.int64)  # hashes in order, and their slots
         self.flat, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.texts, self.text_starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.by_text: dict[str, int] = {}
+
+    def _add(self, found: PreTokens, place: np.ndarray) -> np.ndarray:
+        """New slots for the pre-tokens at ``place``."""
+        joined, starts, ends = found.joined, found.starts[place], found.ends[place]
+        lists = self.encode([joined[s:e] for s, e in zip(starts.tolist(), ends.tolist())])
+        counts, sizes = np.fromiter(map(len, lists), np.int64, len(lists)), ends - starts
+        slots = len(self.counts) + np.arange(len(place))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum()))])
+        self.text_starts = np.concatenate([self.text_starts, len(self.texts) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.texts = np.concatenate([self.texts, found.points[gather(starts, sizes)]])
+        return slots
 
     def look_up(self, found: PreTokens) -> np.ndarray:
         """The slot of each pre-token."""
         if len(self.known) > self.limit:
             self._clear()
         codes, distinct = pd.factorize(found.hashes)
+        if not len(codes):
+            return np.empty(0, np.int64)
         at = np.searchsorted(self.known, distinct)
         here = np.flatnonzero(at < len(self.known))
         fresh = np.ones(len(distinct), bool)
@@ -153,19 +174,29 @@ class Memo:
         if len(new):
             where = np.empty(len(distinct), np.int64)
             where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            joined, place = found.joined, where[new]
-            lists = self.encode([joined[s:e] for s, e in zip(found.starts[place].tolist(), found.ends[place].tolist())])
-            counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum()))
+            slots = self._add(found, where[new])
             self.known = np.concatenate([self.known, distinct[new]])
-            self.slot_of = np.concatenate([self.slot_of, len(self.counts) + np.arange(len(new))])
+            self.slot_of = np.concatenate([self.slot_of, slots])
             order = np.argsort(self.known, kind="stable")
             self.known, self.slot_of = self.known[order], self.slot_of[order]
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.flat = np.concatenate([self.flat, flat])
             at = np.searchsorted(self.known, distinct)
-        return self.slot_of[at][codes] if len(codes) else np.empty(0, np.int64)
+        slots = self.slot_of[at][codes]
+        for i in self._unlike(found, slots).tolist():
+            text = found.joined[found.starts[i]:found.ends[i]]
+            if text not in self.by_text:
+                self.by_text[text] = int(self._add(found, np.array([i]))[0])
+            slots[i] = self.by_text[text]
+        return slots
+
+    def _unlike(self, found: PreTokens, slots: np.ndarray) -> np.ndarray:
+        """Pre-tokens whose text is not that of their slot."""
+        sizes = found.ends - found.starts
+        like = sizes == self.sizes[slots]
+        some = np.flatnonzero(like)
+        sizes = sizes[some]
+        other = found.points[gather(found.starts[some], sizes)] != self.texts[gather(self.text_starts[slots[some]], sizes)]
+        like[some[np.repeat(np.arange(len(some)), sizes)[other]]] = False
+        return np.flatnonzero(~like)
 
     def symbols(self, slots: np.ndarray) -> np.ndarray:
         return self.flat[gather(self.starts[slots], self.counts[slots])]

@@ -42,6 +42,29 @@ def test_ids_are_those_of_tiktoken(definition, library):
     assert [ids[a:b].tolist() for a, b in zip(starts, ends)] == [library.encode_ordinary(t) for t in texts()]
 
 
+def thue_morse(letters, n):
+    """A word and its mirror image: any sum of powers modulo 2 ** 64 is the same for both."""
+    word, swap = letters[0], str.maketrans(letters, letters[::-1])
+    while len(word) < n:
+        word += word.translate(swap)
+    return [word, word.translate(swap)]
+
+
+@pytest.mark.parametrize("letters", ["in", "th", "er"])
+def test_texts_of_one_hash_are_told_apart(definition, library, letters):
+    from tokenizers import Tokenizer
+
+    pair = thue_morse(letters, 2048)
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        other = file.read()
+    counter, tokenizer = counts.Counter(other, pretokens.character_classes(pretokens.tokenizers_joins(other))), Tokenizer.from_str(other)
+    encoder = bpe.Encoder(definition, pretokens.character_classes(pretokens.tiktoken_joins(P.PATTERN)))
+    for given in (pair, pair[::-1], [f"a {pair[0]} b {pair[1]}", pair[1]]):  # in one chunk, and against what is known
+        ids, ends = encoder.ids(given)
+        assert [i.tolist() for i in np.split(ids, ends[:-1])] == [library.encode_ordinary(t) for t in given]
+        assert counter(given).tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in given]
+
+
 def test_memo_that_overflows_changes_nothing(definition, library):
     encoder = bpe.Encoder(definition, pretokens.character_classes())
     encoder.memo.limit = 5
