@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starfold.llm.arrow import bounded_batches, chunks
-from starfold.llm.bpe import Encoder
+from starfold.llm.bpe import Encoder, token_bytes
 from starfold.llm.pretokens import character_classes, tiktoken_joins
 
 LENGTH, POOL_TOKENS = 2_048, 4_000_000
@@ -113,7 +113,8 @@ def pack(docs: DataFrame, definition: str, pattern: str, *, length: int = LENGTH
          pool_tokens: int = POOL_TOKENS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Packed rows of ``length`` ids each.
 
-    ``tokens`` holds the ids as little-endian integers of ``width`` bytes, the end filled with ``pad``; ``n_tokens`` are
+    ``tokens`` holds the ids as little-endian integers of ``width`` bytes, two where all ids of ``definition`` and ``pad`` fit
+    in them, else four, the end filled with ``pad``; ``n_tokens`` are
     real. Segment i goes from ``cu_seqlens[i]`` to ``cu_seqlens[i + 1]``, positions count from 0 again at each of
     ``resets``, and it holds the ids of ``doc_ids[i]`` from ``doc_starts[i]`` on. A row is known by part, pool and row.
 
@@ -123,7 +124,9 @@ def pack(docs: DataFrame, definition: str, pattern: str, *, length: int = LENGTH
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    kind = "<u2" if pad < 1 << 16 else "<u4"
+    if not 0 <= pad < 1 << 31:
+        raise ValueError(f"no id: {pad}")
+    kind = "<u2" if max(pad, len(token_bytes(definition)) - 1) < 1 << 16 else "<u4"
     # A vocabulary and a fixed table. Each worker process keeps its copy, and its encoder in it, from task to task.
     shared = spark.sparkContext.broadcast({"arguments": (definition, character_classes(tiktoken_joins(pattern)))})
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
