@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHUNK_BYTES = 1_000_000
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -19,6 +21,18 @@ def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(_BATCH_ROWS, rows)
 
 
+def ship(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object of a class of this package to executors that have no copy of it; ``received`` gives it back.
+
+    Spark pickles a broadcast by the names of its classes, so they are sent along in bytes of their own.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shipped: Broadcast) -> object:
+    return pickle.loads(shipped.value)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one piece hold about ``limit`` bytes; a longer text is a piece of its own.
 
@@ -53,3 +67,13 @@ def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of every range, one range after the other."""
     before = np.cumsum(counts) - counts
     return np.arange(int(counts.sum()), dtype=np.int64) + np.repeat(starts.astype(np.int64) - before, counts)
+
+
+def at_most(rows: DataFrame, limit: int) -> DataFrame:
+    """``rows`` (``id``, ``text`` and more) as they are, or where they are over twice ``limit``, about ``limit`` of those that
+    differ, drawn by a hash of the text: the bound of a sample that was drawn by ids, if an id has very many rows."""
+    n = rows.select("id").count()
+    if n <= 2 * limit:
+        return rows
+    share = F.pmod(F.xxhash64("text", "id", F.lit("sample")), F.lit(1_000_003)) < limit / n * 1_000_003
+    return rows.filter(share).dropDuplicates(["id", "text"])

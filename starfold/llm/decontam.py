@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from starfold.llm.arrow import bounded_batches, chunks, gather
+from starfold.llm.arrow import bounded_batches, chunks, gather, received, ship
 from starfold.llm.scratch import Scratch
 from starfold.llm.substring import common_subsequence, document_key
 from starfold.llm.words import WordSplitter
@@ -368,11 +368,11 @@ def _cuts(first: np.ndarray, n: int, size: int = 4096) -> Iterator[tuple[int, in
 
 
 def _search(postings: DataFrame, block: Block, idf: np.ndarray, space: np.ndarray, cosine: float) -> DataFrame:
-    shared = postings.sparkSession.sparkContext.broadcast((block, idf, space))
+    shared = ship(postings.sparkSession, (block, idf, space))
     kind = postings.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(*shared.value, cosine)
+        finder = Finder(*received(shared), cosine)
         for batch in _slices(batches):
             rows = finder(*_joined(batch))
             if rows:

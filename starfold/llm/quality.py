@@ -15,8 +15,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from starfold.llm.arrow import bounded_batches, chunks, lengths
+from starfold.llm.arrow import at_most, bounded_batches, chunks, lengths, received, ship
 from starfold.llm.hashing import RangeHash, mix
+from starfold.llm.scratch import Scratch
 from starfold.llm.words import WordSplitter, shingles, text_bytes
 
 LABELLED_ROWS, POOL_ROWS = 5_000, 2_500
@@ -180,7 +181,8 @@ def _rows(docs: DataFrame, id_column: str, text_column: str, *more: Column) -> D
 
 def fit(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS,
         id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> tuple[View, View] | None:
-    """Both views, from at most about ``labelled_rows`` labelled documents and ``pool_rows`` others, drawn by a hash of the id.
+    """Both views, from at most about ``labelled_rows`` labelled documents and twice ``pool_rows`` others, drawn by a hash of the
+    id, and of the text where documents share ids.
 
     Labels that contradict themselves count as what most rows say, and not at all where they are even. The features of
     the sample reach the driver: a fixed number for each of a fixed number of rows.
@@ -206,8 +208,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROW
                 "text_width": pa.array([text.shape[1]] * len(both), pa.int32()),
                 "features": pa.array([row.tobytes() for row in both], pa.binary())})
 
-    sample = told.unionByName(pool).coalesce(8).mapInArrow(run, "id string, label int, text_width int, features binary")
+    # Written first: all tasks of the scan draw, and few tasks go through what was drawn.
+    scratch = Scratch(docs.sparkSession, "quality")
+    drawn = scratch.write(told.unionByName(pool), "sample")
+    bounded = at_most(drawn.filter("label >= 0"), labelled_rows).unionByName(at_most(drawn.filter("label < 0"), 2 * pool_rows))
+    sample = bounded.coalesce(8).mapInArrow(run, "id string, label int, text_width int, features binary")
     found = sample.toArrow().sort_by([("id", "ascending"), ("features", "ascending")])
+    scratch.drop(drawn)
     if not found.num_rows:
         return None
     width = found["text_width"][0].as_py()
@@ -227,11 +234,11 @@ def score(docs: DataFrame, views: tuple[View, View] | None, *, threshold: float
     gives an empty result. Of the other columns, those in ``keep`` stay.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(views)  # a fixed number of weights
+    shared = ship(docs.sparkSession, views)  # a fixed number of weights
     rows = _rows(docs, id_column, text_column, *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, models = Features(), shared.value
+        features, models = Features(), received(shared)
         for batch in chunks(batches, "text"):
             odds = [np.zeros(batch.num_rows)] * 2
             if models:

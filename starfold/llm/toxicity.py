@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from starfold.llm.arrow import bounded_batches, chunks, ragged
+from starfold.llm.arrow import at_most, bounded_batches, chunks, ragged
 from starfold.llm.hashing import mix
 from starfold.llm.scratch import Scratch
 from starfold.llm.words import WordSplitter
@@ -106,7 +106,8 @@ def held_out(id_column: str) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_column: str, text_column: str
                     ) -> DataFrame:
-    """At most about ``rows`` labelled documents, ``text`` and ``label``, drawn by a hash of the id.
+    """At most about ``rows`` labelled documents, ``text`` and ``label``, drawn by a hash of the id, and
+    of the text where documents share ids.
 
     A label that contradicts itself counts as what most rows say, and none where they are even. Documents that share an
     id share its label.
@@ -117,8 +118,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, i
     share = min(1.0, rows / max(n, 1))
     draw = (F.pmod(F.xxhash64("labelled"), F.lit(1_000_003)) < share * 1_000_003)
     chosen = known.filter(draw).select("labelled", (F.col("y") > 0.5).cast("int").alias("label"))
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(
+    drawn = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(
         F.broadcast(chosen), F.col("id") == F.col("labelled")).select("id", "text", "label")
+    return at_most(drawn, rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, id_column: str = "doc_id",
