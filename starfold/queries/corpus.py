@@ -29,23 +29,23 @@ def _modules(spark, sf_dir) -> DataFrame:
         return (f"named_struct('queryItem', named_struct('label', {label}, 'datatype', '{datatype}', 'usage', '{usage}', "
                 f"'regularAggregate', {aggregate}, 'expression', {expression}))")
 
-    link = lambda column: f"""named_struct('leftRef', '[Sales].[{column}]', 'rightRef', array(p_brand, '{column}'))"""
+    link = lambda column: f"""named_struct('leftRef', '[Lines].[{column}]', 'rightRef', array(p_brand, '{column}'))"""
     aggregate = f"element_at(array({', '.join(map(repr, _AGGREGATES))}), cast(p_size % 5 + 1 as int))"
-    ratio = "case when p_size % 10 = 0 then '[Sales].[Revenue] / [Sales].[Quantity]' end"
+    ratio = "case when p_size % 10 = 0 then '[Lines].[Paid] / [Lines].[Pieces]' end"
     text = f"""to_json(named_struct(
         'label', concat('Module ', p_partkey),
         'querySubject', array(
-            named_struct('label', 'Sales', 'item', array(
-                {item("'Sales ID'", "INTEGER", "identifier")},
+            named_struct('label', 'Lines', 'item', array(
+                {item("'Line ID'", "INTEGER", "identifier")},
                 {item("concat('  ', replace(p_name, ' ', '   '))", "DECIMAL(18,2)", "fact", aggregate, ratio)})),
             named_struct('label', p_brand, 'item', array(
-                {item("'Product ID'", "bigint", "key")}, {item("p_type", "NVARCHAR(50)", "attribute")}))),
+                {item("'Part ID'", "bigint", "key")}, {item("p_type", "NVARCHAR(50)", "attribute")}))),
         'relationship', array(named_struct(
-            'label', 'Sales to Product',
-            'left', named_struct('ref', '[Sales]', 'maxcard', case when p_size % 2 = 0 then 'many' else 'one' end),
+            'label', 'Lines to parts',
+            'left', named_struct('ref', '[Lines]', 'maxcard', case when p_size % 2 = 0 then 'many' else 'one' end),
             'right', named_struct('ref', case when p_size % 4 = 0 then array('Elsewhere') else array(p_brand) end),
-            'link', case when p_size % 3 = 0 then array({link("Product ID")}, {link("Site ID")})
-                    else array({link("Product ID")}) end))))"""
+            'link', case when p_size % 3 = 0 then array({link("Part ID")}, {link("Site ID")})
+                    else array({link("Part ID")}) end))))"""
     broken = """concat('{"querySubject": [', p_name)"""
     return spread(table(spark, sf_dir, "part")).selectExpr(
         "concat('/corpus/modules/part-', p_partkey, '.module') as path",
@@ -128,7 +128,7 @@ def _reports(spark, sf_dir) -> DataFrame:
 def _dashboards(spark, sf_dir) -> DataFrame:
     items = lambda *refs: "array(" + ", ".join(f"named_struct('id', 'd{i}', 'itemId', {r})" for i, r in enumerate(refs)) + ")"
     chart = f"""named_struct('id', 'w1', 'type', 'live', 'name', 'Clustered_Column', 'data', named_struct('dataViews', array(
-        named_struct('dataItems', {items("concat('[Sales].[', c_mktsegment, ']')", "'Sales.Revenue'", "'Cost'")}))),
+        named_struct('dataItems', {items("concat('[Lines].[', c_mktsegment, ']')", "'Lines.Paid'", "'Outlay'")}))),
         'slotmapping', named_struct('slots', array(named_struct('name', 'Categories', 'dataItems', array('d0')),
                                                    named_struct('name', 'y', 'dataItems', array('d1')))))"""
     listing = f"""named_struct('id', 'w2', 'type', 'live', 'name', 'list', 'data', named_struct('dataViews', array(
@@ -320,14 +320,14 @@ _MODULE_PATH = "'/corpus/modules/part-' || p_partkey || '.module'"
 
 
 @query(f"""
-    select {_MODULE_PATH} as path, table_no, case table_no when 1 then 'Sales' else p_brand end as "table", ordinal,
+    select {_MODULE_PATH} as path, table_no, case table_no when 1 then 'Lines' else p_brand end as "table", ordinal,
            case when table_no = 1 and ordinal = 2 then p_name when table_no = 2 and ordinal = 2 then p_type else col end as "column",
            type, usage, is_key, is_fact,
            case when is_key then 'none' when is_fact then ['sum', 'average', 'distinctCount', 'none', 'sum'][p_size % 5 + 1] end
            as summarize_by,
-           case when is_fact and p_size % 10 = 0 then '[Sales].[Revenue] / [Sales].[Quantity]' end as expression
-    from part, (values (1, 1, 'Sales ID', 'int64', 'identifier', true, false), (1, 2, '', 'decimal', 'fact', false, true),
-                       (2, 1, 'Product ID', 'int64', 'key', true, false), (2, 2, '', 'string', 'attribute', false, false))
+           case when is_fact and p_size % 10 = 0 then '[Lines].[Paid] / [Lines].[Pieces]' end as expression
+    from part, (values (1, 1, 'Line ID', 'int64', 'identifier', true, false), (1, 2, '', 'decimal', 'fact', false, true),
+                       (2, 1, 'Part ID', 'int64', 'key', true, false), (2, 2, '', 'string', 'attribute', false, false))
          items(table_no, ordinal, col, type, usage, is_key, is_fact)
     where p_partkey % 100 <> 99""")
 def extract_module_columns(spark, sf_dir):
@@ -335,11 +335,11 @@ def extract_module_columns(spark, sf_dir):
 
 
 @query(f"""
-    select {_MODULE_PATH} as path, 1 as seq, 'Sales to Product' as name, pair_no,
-           case when p_size % 2 = 0 then 'Sales' else far end as from_table, col as from_column,
-           case when p_size % 2 = 0 then far else 'Sales' end as to_table, col as to_column
+    select {_MODULE_PATH} as path, 1 as seq, 'Lines to parts' as name, pair_no,
+           case when p_size % 2 = 0 then 'Lines' else far end as from_table, col as from_column,
+           case when p_size % 2 = 0 then far else 'Lines' end as to_table, col as to_column
     from (select *, case when p_size % 4 = 0 then 'Elsewhere' else p_brand end as far from part where p_partkey % 100 <> 99),
-         (values (1, 'Product ID'), (2, 'Site ID')) links(pair_no, col)
+         (values (1, 'Part ID'), (2, 'Site ID')) links(pair_no, col)
     where pair_no = 1 or p_size % 3 = 0""")
 def extract_module_rels(spark, sf_dir):
     return E.module_relationships(_modules(spark, sf_dir))
@@ -353,8 +353,8 @@ _FIELDS = """
            case when c_custkey % 3 = 1 or kind = 'column' then 1 else 2 end as visual_no,
            kind, field_no, tab as "table",
            case when tab = 'Customer' then 'Nation ' || c_nationkey when col = '' then c_mktsegment else col end as "column", role
-    from customer, (values ('column', 1, 'Sales', '', 'category'), ('column', 2, 'Sales', 'Revenue', 'values'),
-                           ('column', 3, 'Data', 'Cost', 'values'), ('table', 1, 'Customer', '', 'rows'))
+    from customer, (values ('column', 1, 'Lines', '', 'category'), ('column', 2, 'Lines', 'Paid', 'values'),
+                           ('column', 3, 'Data', 'Outlay', 'values'), ('table', 1, 'Customer', '', 'rows'))
          fields(kind, field_no, tab, col, role)"""
 
 
@@ -384,19 +384,19 @@ def split_refs(spark, sf_dir):
 
 # Expression, aggregate, Spark SQL text (None where it is not understood). @ stands for a column name.
 _CASES = [
-    ("[DB].[Sales].[@]", "total", "sum(`@`)"),
-    ("[DB].[Sales].[@] / [DB].[Sales].[Quantity]", "total", "sum(`@`) / nullif(sum(`Quantity`), 0)"),
-    ("if ([Sales].[@] > 10) then (upper([Sales].[@])) else (''none'')", "none", "if((`@` > 10), (upper(`@`)), (''none''))"),
+    ("[DB].[Lines].[@]", "total", "sum(`@`)"),
+    ("[DB].[Lines].[@] / [DB].[Lines].[Pieces]", "total", "sum(`@`) / nullif(sum(`Pieces`), 0)"),
+    ("if ([Lines].[@] > 10) then (upper([Lines].[@])) else (''none'')", "none", "if((`@` > 10), (upper(`@`)), (''none''))"),
     ("case when [@] = 1 then 2 end", "none", "case when `@` = 1 then 2 end"),
-    ("extract(Year, [Sales].[@])", "none", "Year(`@`)"),
-    ("rank([Sales].[@])", "calculated", None),
-    ("running-count([Sales].[@])", "none", None),
+    ("extract(Year, [Lines].[@])", "none", "Year(`@`)"),
+    ("rank([Lines].[@])", "calculated", None),
+    ("running-count([Lines].[@])", "none", None),
     ("round([@] * ([Tax] + 1), 2)", "average", "avg(round(`@` * (`Tax` + 1), 2))"),
-    ("[Sales].[@]", "countDistinct", "count(distinct `@`)"),
+    ("[Lines].[@]", "countDistinct", "count(distinct `@`)"),
     ("substring([@], 1, 3) || ''-'' || lower([Name])", "none", "substring(`@`, 1, 3) || ''-'' || lower(`Name`)"),
-    ("cast([Sales].[@] ; decimal(9, 2)) / ([Tax] / [Rate])", "none",
+    ("cast([Lines].[@] ; decimal(9, 2)) / ([Tax] / [Rate])", "none",
      "cast(`@` as decimal(9, 2)) / nullif((`Tax` / nullif(`Rate`, 0)), 0)"),
-    ("_add_years([Sales].[Day], 1 + [Years])", "none", "add_months(`Day`, 12 * (1 + `Years`))"),
+    ("_add_years([Lines].[Day], 1 + [Years])", "none", "add_months(`Day`, 12 * (1 + `Years`))"),
     ("_round(variance([@]), 1) + rowcount([@])", "calculated", "round(var_samp(`@`), 1) + count(*)"),
     ("if (" + "(" * 12 + "[@]" + ")" * 12 + " > 1) then (1) else (if ([Tax] = 1) then (2) else (3))", "none",
      "if((" + "(" * 12 + "`@`" + ")" * 12 + " > 1), (1), (if((`Tax` = 1), (2), (3))))"),
@@ -467,11 +467,11 @@ _CORPUS_FINDINGS = f"""
     union all select {_MODEL_PATH}, 'relationship-needs-review', 'warning', 'relationship To nation' from supplier where s_suppkey % 5 = 0
     union all select {_MODEL_PATH}, 'relationship-composite-key', 'warning', 'relationship To nation' from supplier
         where s_suppkey % 5 <> 0 and s_suppkey % 3 = 0
-    union all select {_MODULE_PATH}, 'calculation-needs-review', 'info', '[Sales].[Revenue] / [Sales].[Quantity]' from part
+    union all select {_MODULE_PATH}, 'calculation-needs-review', 'info', '[Lines].[Paid] / [Lines].[Pieces]' from part
         where p_size % 10 = 0 and p_partkey % 100 <> 99
-    union all select {_MODULE_PATH}, 'relationship-unbound', 'warning', 'relationship Sales to Product' from part
+    union all select {_MODULE_PATH}, 'relationship-unbound', 'warning', 'relationship Lines to parts' from part
         where p_size % 4 = 0 and p_partkey % 100 <> 99
-    union all select {_MODULE_PATH}, 'relationship-composite-key', 'warning', 'relationship Sales to Product' from part
+    union all select {_MODULE_PATH}, 'relationship-composite-key', 'warning', 'relationship Lines to parts' from part
         where p_size % 3 = 0 and p_partkey % 100 <> 99"""
 
 

@@ -26,27 +26,27 @@ def _ids(*names):
 
 
 MODELS = {
-    "star": ({"FactSales": (1, _ids("SalesID", "ProductID", "OrderDateKey", "ShipDateKey")),
-              "DimProduct": (0, _ids("ProductID", "CategoryID") + [("ProductName", "string")]),
-              "DimCategory": (0, _ids("CategoryID") + [("CategoryName", "string")]),
-              "DimDate": (0, _ids("DateKey") + [("Date", "dateTime"), ("Year", "int64")])},
-             [("FactSales", "ProductID", "DimProduct", "ProductID"), ("DimProduct", "CategoryID", "DimCategory", "CategoryID"),
-              ("FactSales", "OrderDateKey", "DimDate", "DateKey"), ("FactSales", "ShipDateKey", "DimDate", "DateKey")]),
-    "flip": ({"DimProduct": (0, _ids("ProductID")), "FactSales": (1, _ids("ProductID"))},
-             [("DimProduct", "ProductID", "FactSales", "ProductID")]),
-    "self": ({"Employee": (1, _ids("EmployeeID", "ManagerID"))}, [("Employee", "ManagerID", "Employee", "EmployeeID")]),
-    "facts": ({"Budget": (1, _ids("ProjectID")), "Actual": (1, _ids("ProjectID"))}, [("Budget", "ProjectID", "Actual", "ProjectID")]),
-    "orphan": ({"Sales": (1, _ids("ProductID")), "DimProduct": (0, _ids("ProductID")), "DimOrphan": (0, _ids("OrphanID"))},
-               [("Sales", "ProductID", "DimProduct", "ProductID")]),
+    "star": ({"Landings": (1, _ids("LandingID", "SpeciesID", "CaughtDateKey", "SoldDateKey")),
+              "Species": (0, _ids("SpeciesID", "FamilyID") + [("Latin", "string")]),
+              "Family": (0, _ids("FamilyID") + [("FamilyName", "string")]),
+              "CatchDate": (0, _ids("DateKey") + [("Date", "dateTime"), ("Year", "int64")])},
+             [("Landings", "SpeciesID", "Species", "SpeciesID"), ("Species", "FamilyID", "Family", "FamilyID"),
+              ("Landings", "CaughtDateKey", "CatchDate", "DateKey"), ("Landings", "SoldDateKey", "CatchDate", "DateKey")]),
+    "flip": ({"Species": (0, _ids("SpeciesID")), "Landings": (1, _ids("SpeciesID"))},
+             [("Species", "SpeciesID", "Landings", "SpeciesID")]),
+    "self": ({"Vessel": (1, _ids("VesselID", "MotherID"))}, [("Vessel", "MotherID", "Vessel", "VesselID")]),
+    "facts": ({"Quota": (1, _ids("WaterID")), "Caught": (1, _ids("WaterID"))}, [("Quota", "WaterID", "Caught", "WaterID")]),
+    "orphan": ({"Catches": (1, _ids("SpeciesID")), "Species": (0, _ids("SpeciesID")), "Buoys": (0, _ids("BuoyID"))},
+               [("Catches", "SpeciesID", "Species", "SpeciesID")]),
     "loop": ({"A": (1, _ids("BID", "CID")), "B": (0, _ids("BID", "CID")), "C": (0, _ids("CID", "AID"))},
              [("A", "BID", "B", "BID"), ("B", "CID", "C", "CID"), ("C", "AID", "A", "AID")]),
-    "twice": ({"Sales": (1, _ids("ProductID")), "DimProduct": (0, _ids("ProductID"))},
-              [("Sales", "ProductID", "DimProduct", "ProductID"), ("DimProduct", "ProductID", "Sales", "ProductID")]),
+    "twice": ({"Catches": (1, _ids("SpeciesID")), "Species": (0, _ids("SpeciesID"))},
+              [("Catches", "SpeciesID", "Species", "SpeciesID"), ("Species", "SpeciesID", "Catches", "SpeciesID")]),
     "bridge": ({"Loans": (1, _ids("LoanID")), "LoanOwner": (0, _ids("LoanID", "OwnerID")), "Owner": (0, _ids("OwnerID") + [("Name", "string")])},
                [("Loans", "LoanID", "LoanOwner", "LoanID"), ("LoanOwner", "OwnerID", "Owner", "OwnerID")]),
-    "updates": ({"Sales": (1, _ids("UpdateID")), "Updates": (0, _ids("UpdateID") + [("Changed", "dateTime")])},
-                [("Sales", "UpdateID", "Updates", "UpdateID")]),
-    "unbound": ({"Sales": (1, _ids("ProductID"))}, [("Sales", "ProductID", "Gone", "ProductID")]),
+    "updates": ({"Catches": (1, _ids("UpdateID")), "Updates": (0, _ids("UpdateID") + [("Changed", "dateTime")])},
+                [("Catches", "UpdateID", "Updates", "UpdateID")]),
+    "unbound": ({"Catches": (1, _ids("SpeciesID"))}, [("Catches", "SpeciesID", "Gone", "SpeciesID")]),
 }
 
 
@@ -62,8 +62,8 @@ def _codes(analyzed, model):
 
 def test_roles(analyzed):
     roles = {(r["model_id"], r["table"]): r["role"] for r in analyzed["tables"]}
-    assert roles["star", "FactSales"] == "fact" and roles["star", "DimDate"] == "date"
-    assert roles["star", "DimProduct"] == "dimension" and roles["bridge", "LoanOwner"] == "bridge"
+    assert roles["star", "Landings"] == "fact" and roles["star", "CatchDate"] == "date"
+    assert roles["star", "Species"] == "dimension" and roles["bridge", "LoanOwner"] == "bridge"
     assert roles["updates", "Updates"] == "dimension"
 
 
@@ -80,7 +80,7 @@ def test_findings(analyzed):
 
 def test_orientation_and_direction(analyzed):
     rels = {(r["model_id"], r["seq"]): r for r in analyzed["relationships"]}
-    assert rels["flip", 0]["from_table"] == "FactSales" and rels["flip", 0]["cardinality"] == "n:1"
+    assert rels["flip", 0]["from_table"] == "Landings" and rels["flip", 0]["cardinality"] == "n:1"
     assert rels["facts", 0]["cardinality"] == "n:n" and rels["facts", 0]["cross_filter"] == "both"
     assert rels["bridge", 1]["cross_filter"] == "both"
     assert [rels["star", i]["status"] for i in range(4)] == ["active", "active", "active", "role-playing"]
@@ -88,9 +88,9 @@ def test_orientation_and_direction(analyzed):
 
 def test_endpoint_marks(analyzed):
     marks = {(c["model_id"], c["table"], c["column"]): c for c in analyzed["columns"]}
-    assert marks["star", "FactSales", "ProductID"]["is_hidden"] and marks["star", "FactSales", "ProductID"]["is_foreign_key"]
-    assert not marks["star", "DimProduct", "CategoryID"]["is_hidden"]
-    assert marks["star", "DimDate", "DateKey"]["is_key"]
+    assert marks["star", "Landings", "SpeciesID"]["is_hidden"] and marks["star", "Landings", "SpeciesID"]["is_foreign_key"]
+    assert not marks["star", "Species", "FamilyID"]["is_hidden"]
+    assert marks["star", "CatchDate", "DateKey"]["is_key"]
 
 
 def _random_pairs(seed, n_models, n_nodes, n_edges):
