@@ -62,8 +62,11 @@ def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
 def materialize_all(frames: Mapping[str, DataFrame], label: str) -> dict[str, DataFrame]:
     """``materialize`` each of several frames that don't depend on each other, all at once, so that none waits for the last
     tasks of another."""
-    run = inheritable_thread_target(lambda name: materialize(frames[name], f"{label}-{name}"))
-    with ThreadPoolExecutor(max(len(frames), 1)) as pool:
+    if not frames:
+        return {}
+    spark = next(iter(frames.values())).sparkSession
+    run = inheritable_thread_target(spark)(lambda name: materialize(frames[name], f"{label}-{name}"))
+    with ThreadPoolExecutor(len(frames)) as pool:
         return dict(zip(frames, pool.map(run, frames)))
 
 
