@@ -253,11 +253,11 @@ def join_inequality(spark, sf_dir):
 
 @query("""
     with b as (select p_brand, min(p_retailprice) as low, avg(p_retailprice) as high from part group by 1),
-    n as (select c_nationkey, min(c_acctbal) + 900 as low, min(c_acctbal) + 900 + count(*) as high from customer group by 1)
+    n as (select c_nationkey, avg(c_acctbal) / 4 as low, avg(c_acctbal) / 4 + count(*) as high from customer group by 1)
     select p_brand, c_nationkey from b join n on b.low < n.high and n.low < b.high""")
 def join_intervals(spark, sf_dir):
     """Price bands of brands and balance bands of nations that overlap."""
     brands = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_retailprice").alias("low"), F.avg("p_retailprice").alias("high"))
-    least = F.min("c_acctbal") + 900
+    least = F.avg("c_acctbal") / 4
     nations = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(least.alias("n_low"), (least + F.count(F.lit(1))).alias("n_high"))
     return J.interval_join(brands, nations, ("low", "high"), ("n_low", "n_high")).select("p_brand", "c_nationkey")
