@@ -80,17 +80,17 @@ def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (
-  SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.row, q.vec_id AS query_id, c.vec_id AS vec_id,
     CAST(coalesce(list_sum([coalesce(q.v[i], 0) * coalesce(c.v[i], 0)
       FOR i IN range(1, greatest(len(q.v), len(c.v)) + 1)]), 0) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """)
 def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,93 +1,97 @@
 """Exact top-k search by MaxScore, in shards.
 
-A query's terms are the vector's dimensions, and a dimension's posting holds the value of every vector of the shard.
-In each run of vectors the dimensions are split by their score bounds: essential ones are traversed for all
-vectors; the others are probed only for vectors that could still enter the query's best, given what the rest can add
-at most. Shards are merged at the end.
+A query's terms are the dimensions in which it is not zero. A dimension's posting holds the rows of the shard whose value
+there is not zero, and the bound of a term is the most that it can add to a score. In each run of rows a query splits
+its terms by what it has found so far: those of the smallest bounds, which together cannot reach its k-th best score, are
+not essential. Only postings of the essential ones are traversed; of the rows met there, those that could still enter the
+best are probed in the others, largest bound first, while they stay competitive. Shards are merged at the end.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SHARD_ROWS, QUERY_ROWS = 65_536, 8_192
-_FIRST_RUN, _RUN = 64, 1_024
+from starfold.llm.scratch import Scratch
+
+SHARD_ROWS, SHARD_CELLS = 65_536, 1 << 22
+_FIRST_RUN, _RUN = 64, 4_096
+_PROBED = 4  # terms probed before rows that are no longer competitive are left out
 _EXACT = 2.0 ** 52  # sums of products below this are exact as doubles
-_NONE = np.iinfo(np.int64).min
-
-
-class Best:
-    """The best ``k`` of each query so far: score, smaller id first among equal scores."""
-
-    def __init__(self, n: int, k: int) -> None:
-        self.k = k
-        self.scores, self.ids = np.full((n, k), _NONE, np.int64), np.full((n, k), np.iinfo(np.int64).max, np.int64)
-
-    @property
-    def threshold(self) -> np.ndarray:
-        return self.scores[:, -1]
-
-    def add(self, query: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        touched = np.unique(query)
-        held = np.repeat(touched, self.k)
-        query = np.concatenate([held, query])
-        scores = np.concatenate([self.scores[touched].ravel(), scores])
-        ids = np.concatenate([self.ids[touched].ravel(), ids])
-        order = np.lexsort((ids, ~scores, query))  # ~x falls as x rises, without overflow
-        query, scores, ids = query[order], scores[order], ids[order]
-        start = np.searchsorted(query, touched)
-        at = start[:, None] + np.arange(self.k)
-        self.scores[touched], self.ids[touched] = scores[at], ids[at]
-
-
-def max_score(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Best:
-    """Best ``k`` vectors of one shard for each query. ``vectors`` are in order of ``ids``, so ties need no look back."""
-    best = Best(len(queries), k)
-    largest = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(vectors.shape[1], 1)
-    kind = np.float64 if largest < _EXACT else np.int64
-    vectors, queries = vectors.astype(kind), queries.astype(kind)
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    at, size = 0, _FIRST_RUN
-    while at < len(vectors):
-        part, part_ids = vectors[at:at + size], ids[at:at + size]
-        at, size = at + size, min(2 * size, _RUN)
-        high, low = part.max(axis=0), part.min(axis=0)
-        # What a dimension can add to a score, over what it adds at least, decides what is essential.
-        order = np.argsort(-(np.abs(queries).sum(axis=0) * (high - low)), kind="stable")
-        steps = np.array_split(order, 4)
-        total = part[:, steps[0]] @ queries[:, steps[0]].T
-        threshold = best.threshold
-        for i, step in enumerate(steps[1:] + [order[:0]]):
-            rest = np.concatenate(steps[i + 1:]) if i + 1 < len(steps) else order[:0]
-            bound = up[:, rest] @ high[rest] + down[:, rest] @ low[rest]
-            full = threshold != _NONE
-            competitive = (total + bound > threshold) | ~full
-            if not len(rest):
-                break
-            if competitive.mean() > 0.05:  # many are: the dimensions become essential for this run
-                total = total + part[:, step] @ queries[:, step].T
-                continue
-            row, query = np.nonzero(competitive)
-            for j in range(i + 1, len(steps)):
-                probe, left = steps[j], np.concatenate([*steps[j + 1:], order[:0]])
-                value = total[row, query] + np.einsum("ij,ij->i", part[row][:, probe], queries[query][:, probe])
-                total[row, query] = value
-                more = up[:, left] @ high[left] + down[:, left] @ low[left]
-                keep = (value + more[query] > threshold[query]) | ~full[query]
-                row, query = row[keep], query[keep]
-            competitive = np.zeros_like(competitive)
-            competitive[row, query] = True
-            break
-        row, query = np.nonzero(competitive)
-        other = part_ids[row] != query_ids[query]
-        row, query = row[other], query[other]
-        if len(row):
-            best.add(query, total[row, query].astype(np.int64), part_ids[row])
-    return best
+
+
+class Shard:
+    """Postings of one shard, in runs of rows in order of their ids, so ties need no look back."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.vectors = ids[order], vectors[order]
+        n, self.width = self.vectors.shape
+        self.largest = float(np.abs(self.vectors).max(initial=0))
+        cuts, size = [0], _FIRST_RUN
+        while cuts[-1] < n:
+            cuts.append(min(cuts[-1] + size, n))
+            size = min(2 * size, _RUN)
+        self.runs = list(zip(cuts, cuts[1:]))
+        # What a value can be at most and at least in a run; a row that is not in a posting has zero there.
+        self.high = [np.maximum(self.vectors[a:b].max(axis=0), 0) for a, b in self.runs]
+        self.low = [np.minimum(self.vectors[a:b].min(axis=0), 0) for a, b in self.runs]
+        self.postings = []
+        for values in np.ascontiguousarray(self.vectors.T):
+            rows = np.flatnonzero(values)
+            if 2 * len(rows) >= n:  # most rows have a value, so the posting is the column itself
+                self.postings.append((None, values, None))
+            else:
+                self.postings.append((rows, values[rows], np.searchsorted(rows, cuts)))
+
+    def traverse(self, run: int, term: int, weight: int, scores: np.ndarray) -> None:
+        """Add what the posting of ``term`` gives to the scores of a run's rows."""
+        start, end = self.runs[run]
+        rows, values, places = self.postings[term]
+        if rows is None:
+            scores += weight * values[start:end]
+        else:
+            at = slice(places[run], places[run + 1])
+            scores[rows[at] - start] += weight * values[at]
+
+    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the best ``k`` rows, best first, smaller ids first among equal scores."""
+        exact = self.largest * float(np.abs(query).max(initial=0)) * max(self.width, 1) < _EXACT
+        query = query.astype(np.float64 if exact else np.int64)
+        terms = np.flatnonzero(query)
+        weights = query[terms]
+        best, best_ids = np.empty(0, query.dtype), np.empty(0, np.int64)
+        for run, (start, end) in enumerate(self.runs):
+            bounds = np.maximum(weights * self.high[run][terms], weights * self.low[run][terms])
+            order = np.argsort(bounds, kind="stable")
+            reach = np.concatenate([[0], np.cumsum(bounds[order])])  # of the first terms together
+            # Below zero, rows that share no term with the query compete too.
+            open_to_all = len(best) < k or best[-1] < 0
+            threshold = None if len(best) < k else best[-1]
+            spare = 0 if open_to_all else int(np.searchsorted(reach, threshold, side="right")) - 1
+            scores = np.zeros(end - start, query.dtype)
+            for i in order[spare:]:
+                self.traverse(run, terms[i], weights[i], scores)
+            if threshold is None:
+                rows = np.arange(len(scores))
+            else:
+                rows = np.flatnonzero(scores + reach[spare] > threshold)
+            scores = scores[rows]
+            while spare and len(rows):
+                probe = order[max(spare - _PROBED, 0):spare]
+                scores = scores + self.vectors[start + rows[:, None], terms[probe]] @ weights[probe]
+                spare -= len(probe)
+                keep = scores + reach[spare] > threshold
+                rows, scores = rows[keep], scores[keep]
+            if len(rows):
+                best, best_ids = np.concatenate([best, scores]), np.concatenate([best_ids, self.ids[start + rows]])
+                first = np.lexsort((best_ids, -best))[:k]
+                best, best_ids = best[first], best_ids[first]
+        return best.astype(np.int64), best_ids
 
 
 def quantised(vector: Column) -> Column:
@@ -101,8 +105,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: F.coalesce(finite(x.cast("double")), F.lit(False)))
 
 
-def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
     sizes = np.asarray(lists.value_lengths())
     found = np.zeros((len(sizes), width), np.int64)
     found[np.repeat(np.arange(len(sizes)), sizes),
@@ -111,47 +114,74 @@ def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, queries: Column, *, k: int = 5, id_column: str = "vec_id",
-          vector_column: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+          vector_column: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``query_id``, ``rank`` from 1, ``vec_id`` and ``score`` of the ``k`` best vectors of each query.
 
-    Queries are the rows where ``queries`` holds, candidates all rows of another id. The score is the integer inner
-    product of the quantised vectors; ties go to the smaller id. Every shard of rows meets every block of queries in a
-    task of its own, of at most about ``shard_rows`` and ``query_rows`` rows, and keeps ``k`` rows a query.
+    Queries are the rows where ``queries`` holds, candidates all rows but the query's own. The score is the integer inner
+    product of the quantised vectors; ties go to the smaller id. A task holds a shard of about ``shard_rows`` rows, fewer
+    if they are wide; the queries stream past it, and it keeps ``k + 1`` rows of each, one for the query's own.
 
-    Vectors that are null or hold a null, infinite or undefined component take no part, nor do rows with a null id.
-    Equal rows count once; of rows that share an id, each takes part, but not for its own id. Where vectors differ in
-    length, missing components count as zero. An empty table, or one without queries, gives an empty result; fewer
-    than ``k`` candidates give fewer rows.
+    Vectors that are null or hold a null, infinite or undefined component take no part, nor do rows with a null id. A
+    repeated row is a candidate, and a query, as often as it occurs: its copies find each other. So do other rows of the
+    query's id. Where vectors differ in length, missing components count as zero. An empty table, or one without
+    queries, gives an empty result; fewer than ``k`` candidates give fewer rows.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("raw"),
                           queries.alias("asks")).filter(F.col("id").isNotNull() & usable(F.col("raw")))
-    rows = rows.select("id", quantised(F.col("raw")).alias("vector"), "asks")
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asked"),
-                      F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("width")).first()
-    width = counts["width"]
-    shards = max(math.ceil(counts["n"] / shard_rows), min(vectors.sparkSession.sparkContext.defaultParallelism, 64), 1)
-    blocks = max(math.ceil(counts["asked"] / query_rows), 1)
-    number = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.select("id", "vector").withColumn("shard", number(shards)).withColumn("block", every(blocks))
-    asked = rows.filter("asks").select("id", "vector").withColumn("block", number(blocks)).withColumn("shard", every(shards))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, query_ids = left["id"].to_numpy(), right["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        data, asks = _matrix(left["vector"], width)[order], _matrix(right["vector"], width)
-        ids = ids[order]
-        same = (ids[1:] == ids[:-1]) & (data[1:] == data[:-1]).all(axis=1) if len(ids) else np.empty(0, bool)
-        if same.any():  # repeated rows; those of one id that are not neighbours are few
-            _, once = np.unique(np.column_stack([ids, data]), axis=0, return_index=True)
-            once.sort()
-            ids, data = ids[once], data[once]
-        best = max_score(data, ids, asks, query_ids, k)
-        row, at = np.nonzero(best.scores != _NONE)
-        return pa.table({"query_id": query_ids[row], "vec_id": best.ids[row, at], "score": best.scores[row, at]})
-
-    found = data.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(
-        run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order).cast("int"))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # Repeated rows become one before they meet, and a query's number is written, so that it stays the same.
+    entries = rows.groupBy("id", quantised(F.col("raw")).alias("vector")).agg(
+        F.count(F.lit(1)).alias("copies"), F.count_if("asks").alias("times"))
+    entries = Scratch(spark, "maxscore").write(entries.withColumn("number", F.monotonically_increasing_id()), "entries")
+    size = entries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("width")).first()
+    width = size["width"]
+    shards = max(math.ceil(size["n"] / min(shard_rows, max(SHARD_CELLS // max(width, 1), 1))),
+                 min(spark.sparkContext.defaultParallelism, 64), 1)
+
+    columns = ["shard", "is_query", "id", "vector", "copies", "number"]
+    held = entries.withColumn("shard", F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int")).withColumn(
+        "is_query", F.lit(0)).withColumn("copies", F.least("copies", F.lit(k + 1).cast("long")))
+    sent = entries.filter("times > 0").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn(
+        "is_query", F.lit(1)).withColumn("copies", F.col("times"))
+    dealt = held.select(*columns).unionByName(sent.select(*columns)).repartition(4 * shards, "shard")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, index, parts = None, None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
+            for start, stop in zip(cuts, cuts[1:]):
+                piece = batch.slice(start, stop - start)
+                own, is_query = divmod(int(kinds[start]), 2)
+                if own != shard:
+                    shard, index, parts = own, None, []
+                ids, matrix = piece.column(2).to_numpy(), _matrix(piece.column(3), width)
+                if not is_query:
+                    copies = piece.column(4).to_numpy()
+                    parts.append((np.repeat(matrix, copies, axis=0), np.repeat(ids, copies)))
+                    continue
+                if parts:
+                    index, parts = Shard(np.concatenate([m for m, _ in parts]), np.concatenate([i for _, i in parts])), []
+                if index is None:
+                    continue  # no row fell into this shard
+                found = [index.search(query, k + 1) for query in matrix]
+                which = np.repeat(np.arange(len(found)), [len(ids) for _, ids in found])
+                yield pa.RecordBatch.from_pydict({
+                    "number": piece.column(5).take(pa.array(which)), "query_id": pa.array(ids[which]),
+                    "times": piece.column(4).take(pa.array(which)), "own_score": pa.array((matrix * matrix).sum(axis=1)[which]),
+                    "vec_id": pa.array(np.concatenate([ids for _, ids in found])),
+                    "score": pa.array(np.concatenate([scores for scores, _ in found]))})
+
+    found = dealt.sortWithinPartitions("shard", "is_query").mapInArrow(
+        run, "number long, query_id long, times long, own_score long, vec_id long, score long")
+    query = Window.partitionBy("number")
+    placed = found.withColumn("place", F.row_number().over(query.orderBy(F.desc("score"), "vec_id")))
+    # Rows of one id and score are alike in the result, so the first of them stands for the query's own.
+    is_own = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own_score"))
+    placed = placed.filter(F.col("place") <= k + 1).withColumn("own", F.min(F.when(is_own, F.col("place"))).over(query))
+    others = placed.filter(~F.col("place").eqNullSafe(F.col("own")))
+    ranked = others.withColumn("rank", (F.col("place") - (F.col("place") > F.coalesce("own", F.lit(k + 1))).cast("int")))
+    ranked = ranked.filter(F.col("rank") <= k).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return ranked.select("query_id", "rank", "vec_id", "score")

@@ -28,22 +28,40 @@ def test_search_against_brute_force(spark):
     rng = random.Random(0)
     rows = [(i, [rng.gauss(0, 0.1) for _ in range(8)]) for i in range(300)]
     rows += [(300 + i, [0.1] * 8) for i in range(40)]  # ties
-    rows += [(5, rows[5][1]), (7, [0.5] * 8), (400, [0.1, 0.2]), (401, None), (402, [None] * 8), (403, [math.nan] * 8),
+    rows += [(5, rows[5][1]), (100, rows[100][1]), (100, rows[100][1]), (150, [0.3] * 8), (7, [0.5] * 8), (400, [0.1, 0.2]), (401, None), (402, [None] * 8), (403, [math.nan] * 8),
              (404, [math.inf] + [0.0] * 7), (None, [0.9] * 8), (50, [])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     import numpy as np
     from pyspark.sql import functions as F
-    clean = {(i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in rows
-             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    clean = [(i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in rows
+             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in sorted({i for i, _ in clean if i % 50 == 0}):
-        scored = sorted({(-sum(a * b for a, b in zip(v, w)), j) for i, v in clean if i == q for j, w in clean if j != q})
-        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(scored[:5])]
-    found = search.top_k(vectors, F.col("vec_id") % 50 == 0, shard_rows=60, query_rows=3)
+    for own, (q, v) in enumerate(clean):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for at, (j, w) in enumerate(clean) if at != own)
+            want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(scored[:5])]
+    found = search.top_k(vectors, F.col("vec_id") % 50 == 0, shard_rows=60)
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
     assert search.top_k(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_essential_terms_of_sparse_postings():
+    """Values of both signs, most of them zero, and scores that stay at or below zero, at any number of rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, share, sign in [(0, 0.1, 0), (3, 0.5, 0), (700, 0.05, 0), (700, 0.3, -1), (9_000, 0.1, 1), (9_000, 0.9, 0)]:
+        vectors = rng.integers(-90, 90, (n, 24)) * (rng.random((n, 24)) < share)
+        vectors = -np.abs(vectors) if sign < 0 else np.abs(vectors) if sign > 0 else vectors
+        vectors[:, 5] *= 10 ** 6 if share == 0.3 else 1
+        ids = rng.permutation(n // 2 + 1)[rng.integers(0, n // 2 + 1, n)]
+        shard = search.Shard(vectors, ids)
+        for query in [*np.abs(vectors[7:8]), rng.integers(-90, 90, 24), np.zeros(24, int), rng.integers(0, 90, 24) * 10 ** 8]:
+            scores, found = shard.search(query, 6)
+            want = sorted((-int(s), int(i)) for s, i in zip(vectors @ query, ids))[:6]
+            assert [(-s, i) for s, i in zip(scores.tolist(), found.tolist())] == want
+
+
 def test_archives_are_valid_zip_files(spark, tmp_path):
     long = "x" * 1500 + "é"
     rows = [(1, "http://a", long), (2, "http://b", long), (3, None, long), (4, "http://c/\n d", "short"), (5, "u", "short"),
