@@ -1,12 +1,17 @@
 """Web archives in ZIP packages: written by Spark's text writer, read back by ranges.
 
 A package is a ZIP file with two stored members: ``archive/data.warc.gz``, one gzip member per WARC record, and
-``indexes/index.cdxj``, one line per record with its place. As members are stored, a record is read from the package
-by its offset, without extraction: end record, central directory (ZIP64 throughout), index, then ranges.
+``indexes/index.cdxj``, one line per record (key, timestamp, JSON) with its place. As members are stored, a record is read
+from the package by its offset, without extraction: end record, central directory (ZIP64 throughout), index, then ranges.
+
+Packages of other writers are read too: any number of stored ``archive/*.warc`` or ``.warc.gz`` members, and any
+``indexes/*.cdx``, ``.cdxj`` or ``.gz`` of either. An archive that no index names is scanned for its records.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import gzip
 import hashlib
 import json
@@ -23,7 +28,10 @@ _BROADCAST_ROWS = 200_000
 _PIECE = 1 << 18
 _RANGE = 1 << 20
 _BREAK = b"\n"
-_RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_MIME = {"response": "text/html", "revisit": "warc/revisit"}
+_RECORDS = {"path": pa.string(), "record_id": pa.string(), "record_type": pa.string(), "url": pa.string(), "date": pa.string(),
+            "payload_bytes": pa.int64(), "payload_digest": pa.string(), "intact": pa.bool_(), "refers_to_id": pa.string(),
+            "payload": pa.binary()}
 
 
 # ---- WARC records
@@ -32,9 +40,8 @@ def record(kind: str, page: int | None, url: str | None, payload: bytes, size: i
     """One WARC record. A revisit has no payload of its own, but the size and digest of the one it repeats."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     body = http + (payload if kind == "response" else b"")
-    clean = "".join(c if c > " " and c != "\x7f" else "%%%02X" % ord(c) for c in url or "")
     fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
-              ("WARC-Target-URI", clean), ("WARC-Payload-Digest", f"sha1:{digest}"),
+              ("WARC-Target-URI", _clean(url)), ("WARC-Payload-Digest", f"sha1:{digest}"),
               ("Content-Type", "application/http; msgtype=response")]
     if kind == "revisit":
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
@@ -44,25 +51,60 @@ def record(kind: str, page: int | None, url: str | None, payload: bytes, size: i
     return head.encode() + body + b"\r\n\r\n"
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields of a record, in lower case, and its payload (the HTTP body)."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/"):
+def _clean(url: str | None) -> str:
+    return "".join(c if c > " " and c != "\x7f" else "%%%02X" % ord(c) for c in url or "")
+
+
+def surt(url: str) -> str:
+    """The key of an address in an index: its host from the last label to the first, then its path."""
+    host, slash, path = url.partition("://")[2].partition("/")
+    return f"{','.join(reversed(host.lower().split('.')))}){slash}{path}" if host else url or "-"
+
+
+def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields, in lower case, and payload of each record in ``raw``: the body of an HTTP message, else the block."""
+    at = 0
+    while at < len(raw):
+        if raw[at:at + 2] == b"\r\n":  # what ends the record before
+            at += 2
+            continue
+        fields, start = _head(raw, at)
+        at = start + int(fields["content-length"])
+        if at > len(raw):
+            raise ValueError("a WARC record is cut off")
+        block = raw[start:at]
+        if fields.get("content-type", "").startswith("application/http"):
+            http, _, block = block.partition(b"\r\n\r\n")
+            for line in http.decode("latin-1").split("\r\n")[1:]:
+                name, _, value = line.partition(":")
+                if name.lower() == "content-length":
+                    fields["http-content-length"] = value.strip()
+        yield fields, block
+
+
+def _head(raw: bytes, at: int) -> tuple[dict[str, str], int]:
+    """Header fields of the record at ``at``, and where its block starts."""
+    end = raw.find(b"\r\n\r\n", at)
+    if raw[at:at + 5] != b"WARC/" or end < 0:
         raise ValueError("not a WARC record")
-    fields = {n.lower(): v.strip() for n, _, v in (line.partition(":") for line in lines[1:])}
-    block = rest[:int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    for line in http.decode("latin-1").split("\r\n")[1:]:
-        name, _, value = line.partition(":")
-        if name.lower() == "content-length":
-            fields["http-content-length"] = value.strip()
-    return fields, payload
-
-
-def _page(text: str) -> int | None:
-    value = text.strip("<>").rpartition(":")[2]
-    return None if value == "None" else int(value)
+    lines = raw[at:end].decode("utf-8", "replace").split("\r\n")
+    return {n.lower(): v.strip() for n, _, v in (line.partition(":") for line in lines[1:])}, end + 4
+
+
+def declared_digest(value: str | None) -> tuple[str, str] | None:
+    """Algorithm and lower-case hex of a digest in a header, which may be in base 32; null if it is neither."""
+    kind, _, digest = (value or "").partition(":")
+    kind = kind.lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    size = 2 * hashlib.new(kind).digest_size
+    if len(digest) == size and all(c in "0123456789abcdef" for c in digest.lower()):
+        return kind, digest.lower()
+    try:
+        found = base64.b32decode(digest.upper() + "=" * (-len(digest) % 8)).hex()
+    except binascii.Error:
+        return None
+    return (kind, found) if len(found) == size else None
 
 
 # ---- ZIP packages
@@ -96,11 +138,12 @@ class Package:
         data = self.at
         for line, raw in records:
             packed = gzip.compress(raw, 1, mtime=0)
-            self.lines.append(json.dumps(line | {"offset": self.at - data, "length": len(packed)}))
+            place = {"filename": DATA.rpartition("/")[2], "offset": str(self.at - data), "length": str(len(packed))}
+            self.lines.append(f"{surt(line.get('url') or '')} 19700101000000 {json.dumps(line | place)}")
             yield self._data(packed)
         yield self._close()
         yield self._open(INDEX)
-        yield self._data("".join(line + "\n" for line in self.lines).encode())
+        yield self._data("".join(line + "\n" for line in sorted(self.lines)).encode("utf-8", "surrogatepass"))
         yield self._close()
         start = self.at
         for name, offset, crc, size in self.members:
@@ -209,7 +252,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = REVISIT_BYTES)
                 for page, url, payload, size, digest, refers, revisit in zip(
                         *(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)):
                     kind = "revisit" if revisit else "response"
-                    yield {"page": page, "type": kind}, record(kind, page, url, payload, size, digest, refers)
+                    raw = record(kind, page, url, payload, size, digest, refers)
+                    yield {"url": _clean(url), "digest": f"sha1:{digest}", "mime": _MIME[kind]}, raw
 
         for line in lines(Package().pieces(records())):
             yield pa.RecordBatch.from_pydict({"line": pa.array([line], pa.binary())})
@@ -218,8 +262,53 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = REVISIT_BYTES)
         "lineSep", _BREAK.decode()).text(path)
 
 
+def _indexed(read, members: dict[str, tuple[int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """Offset and length of the records that the indexes name, for each archive."""
+    found: dict[str, set] = {}
+    for name, (start, size) in members.items():
+        plain = name.removesuffix(".gz")
+        if not name.startswith("indexes/") or not plain.endswith((".cdx", ".cdxj")):
+            continue
+        raw = read(start, size)
+        raw = raw if plain == name else gzip.decompress(raw)
+        for line in raw.decode("utf-8", "surrogatepass").splitlines():
+            at = line.find("{")
+            if at < 0:  # a header, or the older form with columns
+                continue
+            entry = json.loads(line[at:])
+            if {"filename", "offset", "length"} <= entry.keys():
+                found.setdefault(f"archive/{entry['filename']}", set()).add((int(entry["offset"]), int(entry["length"])))
+    return {name: sorted(places) for name, places in found.items()}
+
+
+def _scan(read, size: int, packed: bool) -> Iterator[tuple[int, int]]:
+    """Offset and length of each gzip member, or each plain record, of an archive, read piece by piece."""
+    at = 0
+    while at < size:
+        place = at
+        if packed:
+            member = zlib.decompressobj(31)
+            while not member.eof:
+                piece = read(at, min(_PIECE, size - at))
+                if not piece:
+                    raise ValueError("an archive ends within a gzip member")
+                member.decompress(piece)
+                at += len(piece) - len(member.unused_data)
+        else:
+            piece = read(at, min(_PIECE, size - at))
+            blank = len(piece) - len(piece.lstrip(b"\r\n"))
+            if blank == len(piece):
+                at += blank
+                continue
+            place = at + blank
+            fields, start = _head(read(place, min(_PIECE, size - place)), 0)
+            at = place + start + int(fields["content-length"])
+        yield place, at - place
+
+
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """``path``, ``offset`` and ``length`` of ranges of neighbouring records, about a megabyte each, and their lengths."""
+    """``path``, ``packed`` (whether in gzip members), ``offset`` and ``lengths`` of ranges of neighbouring records, of about
+    a megabyte each."""
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,52 +317,81 @@ def index(spark: SparkSession, path: str) -> DataFrame:
                 with _open(place) as file:
                     read = lambda offset, n: file.read_at(n, offset)
                     members = directory(read, length)
-                    start = members[DATA][0]
-                    found, sizes, begin = [], [], 0
-                    for line in read(*members[INDEX]).decode().splitlines():
-                        entry = json.loads(line)
-                        if sizes and entry["offset"] + entry["length"] - begin > _RANGE:
-                            found.append((place, start + begin, sizes))
-                            sizes, begin = [], entry["offset"]
-                        sizes.append(entry["length"])
-                    if sizes:
-                        found.append((place, start + begin, sizes))
+                    indexed, found = _indexed(read, members), []
+                    for name, (start, size) in sorted(members.items()):
+                        packed = name.endswith(".warc.gz")
+                        if not name.startswith("archive/") or not (packed or name.endswith(".warc")):
+                            continue
+                        within = lambda offset, n: read(start + offset, n)
+                        begin, end, sizes = 0, 0, []
+                        for offset, n in indexed.get(name) or _scan(within, size, packed):
+                            if sizes and (offset != end or offset + n - begin > _RANGE):
+                                found.append((place, packed, start + begin, sizes))
+                                sizes = []
+                            begin, end = offset if not sizes else begin, offset + n
+                            sizes.append(n)
+                        if sizes:
+                            found.append((place, packed, start + begin, sizes))
                 if found:
                     yield pa.RecordBatch.from_pydict({
-                        "path": [f[0] for f in found], "offset": pa.array([f[1] for f in found], pa.int64()),
-                        "lengths": pa.array([f[2] for f in found], pa.list_(pa.int64()))})
+                        "path": [f[0] for f in found], "packed": [f[1] for f in found],
+                        "offset": pa.array([f[2] for f in found], pa.int64()),
+                        "lengths": pa.array([f[3] for f in found], pa.list_(pa.int64()))})
 
-    return files.mapInArrow(run, "path string, offset long, lengths array<long>")
+    return files.mapInArrow(run, "path string, packed boolean, offset long, lengths array<long>")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``url`` and ``payload`` of each
-    record of the packages below ``path``, read by range. A response whose payload does not have the digest that its
-    record names is an error. A revisit has the size and digest of the payload that it repeats, and a null payload.
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """All records of the packages below ``path``, read by range: ``path`` of the package, ``record_id``, ``record_type``, ``url``,
+    ``date``, ``payload_bytes``, ``payload_digest`` (hex SHA-1), ``intact``, ``refers_to_id`` and ``payload``.
+
+    ``intact`` tells whether the payload has the digest that the record names, and is null where it names none that is
+    known. A revisit has the size and digest that it gives for the payload it repeats, null where it gives none, and a null
+    payload. Fields that a record lacks are null. A gzip member is held in full, a plain record too. A file that is no ZIP
+    package, or an archive that is cut off, ends the job.
     """
     ranges = index(spark, path).repartition(max(2 * spark.sparkContext.defaultParallelism, 8))
 
+    def row(place: str, fields: dict[str, str], payload: bytes) -> tuple:
+        declared, revisit = declared_digest(fields.get("warc-payload-digest")), fields.get("warc-type") == "revisit"
+        if revisit:
+            size = fields.get("http-content-length")
+            size, intact = int(size) if size and size.isdigit() else None, None
+            digest = declared[1] if declared and declared[0] == "sha1" else None
+        else:
+            size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+            intact = hashlib.new(declared[0], payload).hexdigest() == declared[1] if declared else None
+        return (place, fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"),
+                fields.get("warc-date"), size, digest, intact, fields.get("warc-refers-to"), None if revisit else payload)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for place, offset, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+            for place, packed, offset, sizes in zip(*(c.to_pylist() for c in batch.columns)):
                 with _open(place) as file:
                     raw, found, at = file.read_at(sum(sizes), offset), [], 0
                 for size in sizes:
-                    fields, payload = parse(gzip.decompress(raw[at:at + size]))
+                    part = raw[at:at + size]
                     at += size
-                    digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                    revisit = fields["warc-type"] == "revisit"
-                    if not revisit and hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError(f"{place}: payload of {fields['warc-record-id']} does not match its digest")
-                    found.append((_page(fields["warc-record-id"]),
-                                  int(fields["http-content-length"]) if revisit else len(payload), digest,
-                                  fields["warc-type"], _page(fields["warc-refers-to"]) if revisit else None,
-                                  fields.get("warc-target-uri"), None if revisit else payload))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
-                names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*found), kinds)], names=names)
-
-    return ranges.mapInArrow(run, f"{_RECORDS}, url string, payload binary")
+                    found += [row(place, *x) for x in parse(gzip.decompress(part) if packed else part)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*found), _RECORDS.values())],
+                                                     names=list(_RECORDS))
+
+    return ranges.mapInArrow(run, "path string, record_id string, record_type string, url string, date string, "
+                                  "payload_bytes long, payload_digest string, intact boolean, refers_to_id string, payload binary")
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``url`` and ``payload`` of each
+    record that ``write_archives`` wrote below ``path``. A response whose payload does not have the digest that its record
+    names is an error. A revisit has the size and digest of the payload that it repeats, and a null payload.
+    """
+    page = lambda column: F.regexp_extract(column, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    rows = read_records(spark, path).withColumn("payload_digest", F.when(
+        F.coalesce("intact", F.col("record_type") == "revisit"), F.col("payload_digest")).otherwise(F.raise_error(
+            F.concat(F.lit("the payload does not match its digest: "), F.coalesce("record_id", F.lit("?"))))))
+    return rows.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       page("refers_to_id").alias("refers_to"), "url", "payload")
 
 
 def round_trip(pages: DataFrame, path: str) -> DataFrame:

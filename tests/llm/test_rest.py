@@ -1,7 +1,10 @@
 """Search, archives, classifiers and the pipeline."""
 
+import base64
+import gzip
 import hashlib
 import io
+import json
 import math
 import os
 import random
@@ -84,6 +87,52 @@ def test_archives_are_valid_zip_files(spark, tmp_path):
     assert warc.round_trip(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def _record(kind, uid, body, *, http=True, digest=None, **more):
+    block = (b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(body) if http else b"") + (b"" if kind == "revisit" else body)
+    fields = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{uid}>", "Content-Length": str(len(block)),
+              **({"Content-Type": "application/http; msgtype=response"} if http else {}),
+              **({"WARC-Payload-Digest": digest} if digest else {}), **{k.replace("_", "-"): v for k, v in more.items()}}
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_packages_of_other_writers(spark, tmp_path):
+    """Several archives, packed or not, indexed or scanned, with kinds of records and digests that we do not write."""
+    base32 = lambda raw: base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    one, two, big = b"<p>one</p>", "zwei ü".encode(), b"\r\n\r\nWARC/1.1" * 40_000
+    records = [_record("warcinfo", "i", b"software: x", http=False), _record("response", "a", one, digest=f"sha1:{base32(one)}",
+               WARC_Target_URI="http://a/", WARC_Date="2020-01-01T00:00:00Z"),
+               _record("response", "b", two, digest=f"sha256:{hashlib.sha256(two).hexdigest()}"),
+               _record("response", "c", big, digest="sha1:" + "0" * 40), _record("response", "d", b"", digest="odd"),
+               _record("revisit", "e", one, digest=f"sha1:{base32(one)}", WARC_Refers_To="<urn:uuid:a>"),
+               _record("resource", "f", one, http=False)]
+    packed = [gzip.compress(r) for r in records]
+    starts = [sum(map(len, packed[:i])) for i in range(len(packed))]
+    line = lambda i: "a)/ 20200101000000 " + json.dumps({"offset": starts[i], "length": str(len(packed[i])), "filename": "x.warc.gz"})
+    (tmp_path / "in").mkdir()
+    with zipfile.ZipFile(tmp_path / "in" / "other.zip", "w", zipfile.ZIP_STORED) as package:
+        package.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+        package.writestr("archive/x.warc.gz", b"".join(packed))
+        package.writestr("indexes/index.cdx.gz", gzip.compress(("!meta\n" + line(5) + "\n" + line(1) + "\n" + line(2)).encode()))
+        package.writestr("archive/scanned.warc.gz", b"".join(packed[:4]) + gzip.compress(b"".join(records[4:])))
+        package.writestr("archive/plain.warc", b"\r\n" + b"".join(records))
+        package.writestr("pages/pages.jsonl", "")
+    with zipfile.ZipFile(tmp_path / "in" / "empty.zip", "w"):
+        pass
+    sha1 = lambda raw: hashlib.sha1(raw).hexdigest()
+    want = {"i": ("warcinfo", 11, sha1(b"software: x"), None, None, b"software: x"), "a": ("response", 10, sha1(one), True, None, one),
+            "b": ("response", len(two), sha1(two), True, None, two), "c": ("response", len(big), sha1(big), False, None, big),
+            "d": ("response", 0, sha1(b""), None, None, b""), "e": ("revisit", 10, sha1(one), None, "<urn:uuid:a>", None),
+            "f": ("resource", 10, sha1(one), None, None, one)}
+    rows = warc.read_records(spark, str(tmp_path / "in")).collect()
+    got = [(r.record_id[10:-1], (r.record_type, r.payload_bytes, r.payload_digest, r.intact, r.refers_to_id,
+                                 None if r.payload is None else bytes(r.payload))) for r in rows]
+    key = lambda x: x[0]
+    assert sorted(got, key=key) == sorted([(i, want[i]) for i in [*"iabcdef", *"iabcdef", "e", "a", "b"]], key=key)
+    assert {(r.url, r.date) for r in rows if r.record_id == "<urn:uuid:a>"} == {("http://a/", "2020-01-01T00:00:00Z")}
+    with pytest.raises(Exception, match="does not match its digest"):
+        warc.read_archives(spark, str(tmp_path / "in")).collect()
+
+
 def test_directory_without_zip64():
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w", zipfile.ZIP_STORED) as package:
