@@ -25,27 +25,49 @@ def forest(pairs: DataFrame, piece: int = PIECE) -> DataFrame:
 
     Pairs that share a sequence number are taken in order of their tables.
     """
-    pairs = pairs.select("model_id", "a", "b", "seq")
-    large = pairs.groupBy(F.col("model_id").alias("of_model")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > piece)
-    # A large model is dealt to several tasks.
-    share = F.coalesce(F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("n") / piece)), F.lit(0))
-    dealt = pairs.join(large, pairs["model_id"].eqNullSafe(large["of_model"]), "left").select("model_id", share.alias("piece"), "seq", "a", "b",
-                                                                                              F.col("n").isNotNull().alias("is_part"))
-    dealt = dealt.repartition("model_id", "piece").sortWithinPartitions("model_id", "piece", "seq", "a", "b")
-    kept = materialize(dealt.mapInArrow(_without_loops(piece), dealt.drop("piece", "is_part").schema.simpleString()[7:-1].replace(":", " ")
-                                        + ", kept boolean, is_part boolean"), "forest-pieces")
-    open_pairs = kept.filter("is_part and kept")
-    if open_pairs.isEmpty():
-        return kept.select("model_id", "a", "b", "seq", F.col("kept").alias("in_forest"))
-    decided = kept.filter("not (is_part and kept)").select("model_id", "a", "b", "seq", F.col("kept").alias("in_forest"))
-    return decided.unionByName(_in_rounds(open_pairs))
+    found = marked(pairs.select("model_id", "a", "b", "seq"), piece)
+    return found.select("model_id", "a", "b", "seq", "in_forest")
+
 
+def marked(edges: DataFrame, piece: int = PIECE) -> DataFrame:
+    """``edges`` (model_id, a, b, seq and more) with ``first_seq``, the first number of their pair of tables, and ``in_forest``,
+    whether the pair is in the forest. Both are null where an end is null or both are the same.
 
-def _without_loops(piece: int):
-    """A function that marks, in the sorted edges that a task reads, those that close no loop in their piece."""
+    All edges of a pair are in one piece, in order, so a piece knows the pair's first one without a grouping.
+    """
+    sizes = edges.groupBy(F.col("model_id").alias("of_model")).agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(sizes.filter(F.col("n") > piece), "forest-large")  # few, if any: its size is known
+    # A large model is dealt to several tasks.
+    share = F.coalesce(F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("n") / piece)), F.lit(0))
+    dealt = edges.join(large, edges["model_id"].eqNullSafe(large["of_model"]), "left").select(
+        *edges.columns, share.alias("piece"), F.col("n").isNotNull().alias("is_part"))
+    order = ["model_id", "piece", F.asc_nulls_last("seq"), "a", "b"]
+    dealt = dealt.repartition("model_id", "piece").sortWithinPartitions(*order)
+    kinds = edges.select("*", F.col("seq").alias("first_seq"), F.lit(None).cast("boolean").alias("in_forest"),
+                         F.lit(None).cast("boolean").alias("is_part")).schema
+    kept = materialize(dealt.mapInArrow(_without_loops(edges.columns), kinds), "forest-pieces")
+    open_edges = kept.filter("is_part and in_forest")
+    if open_edges.isEmpty():
+        return kept.drop("is_part")
+    decided = kept.filter("not (is_part and coalesce(in_forest, false))").drop("is_part")
+    # A null model is one too: within a struct, nulls are equal in joins.
+    model = F.struct("model_id").alias("model_id")
+    rounds = _in_rounds(open_edges.select(model, "a", "b", F.col("first_seq").alias("seq")).distinct()).select(
+        F.col("model_id.model_id").alias("of_model"), F.col("a").alias("of_a"), F.col("b").alias("of_b"), F.col("in_forest").alias("found"))
+    joined = open_edges.join(rounds, F.col("model_id").eqNullSafe(F.col("of_model")) & (F.col("a") == F.col("of_a"))
+                             & (F.col("b") == F.col("of_b")), "left").withColumn("in_forest", F.col("found"))
+    return decided.unionByName(joined.select(decided.columns))
+
+
+def _without_loops(columns: list[str]):
+    """A function that marks, in the sorted edges that a task reads, those that close no loop in their piece, and their
+    pair's first number."""
+    at = {name: columns.index(name) for name in ("model_id", "seq", "a", "b")}
+    n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader: dict = {}
+        pairs: dict = {}
         model = object()
 
         def find(table):
@@ -55,17 +77,23 @@ def _without_loops(piece: int):
             return table
 
         for batch in batches:
-            models, pieces, _, left, right, parts = (batch.column(i).to_pylist() for i in range(6))
-            kept = []
-            for m, p, a, b in zip(models, pieces, left, right):
+            models, pieces, numbers, left, right = (batch.column(i).to_pylist() for i in (at["model_id"], n, at["seq"], at["a"], at["b"]))
+            first, kept = [], []
+            for m, p, seq, a, b in zip(models, pieces, numbers, left, right):
                 if (m, p) != model:
-                    model, leader = (m, p), {}
-                x, y = find(a), find(b)
-                kept.append(x != y)
-                if x != y:
-                    leader[x] = y
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(kept, pa.bool_()),
-                                              pa.array(parts, pa.bool_())], names=["model_id", "seq", "a", "b", "kept", "is_part"])
+                    model, leader, pairs = (m, p), {}, {}
+                if a is None or b is None or a == b:
+                    known = None, None
+                elif (known := pairs.get((a, b))) is None:
+                    x, y = find(a), find(b)
+                    known = pairs[a, b] = seq, x != y
+                    if x != y:
+                        leader[x] = y
+                first.append(known[0])
+                kept.append(known[1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:n], pa.array(first, batch.column(at["seq"]).type), pa.array(kept, pa.bool_()), batch.column(n + 1)],
+                names=[*columns, "first_seq", "in_forest", "is_part"])
 
     return run
 

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from starfold.functions import names as N
-from starfold.operators.forest import forest
+from starfold.operators.forest import marked
 from starfold.session import materialize
 
 # Usages of columns.
@@ -128,6 +128,9 @@ def date_tables(tables: DataFrame, columns: DataFrame) -> DataFrame:
     return dated.join(names, ["model_id", "table", "date_ordinal"]).select("model_id", "table", "role", "date_column")
 
 
+ROLES = ("fact", "dimension", "date", "bridge")  # all that ``classify`` gives
+
+
 def relationship_counts(rels: DataFrame) -> DataFrame:
     """Relationships per table; a self-join counts once."""
     ends = F.array_distinct(F.array("from_table", "to_table"))
@@ -152,10 +155,13 @@ def classify(tables: DataFrame, columns: DataFrame, rels: DataFrame) -> DataFram
 def _with_sides(rels: DataFrame, tables: DataFrame, keys: DataFrame) -> DataFrame:
     """Add the role of either side's table, and whether its column is probably the primary key.
 
-    Both ends meet the tables in one join, and the two rows of a relationship are put together again.
+    Both ends meet the tables in one join, and the two rows of a relationship are put together again. Roles are numbers
+    there, so that the aggregation is hashed and needs no sort.
     """
+    roles = F.array(*[F.lit(r) for r in ROLES])
     named = keys.groupBy("model_id", "table").agg(F.collect_set("column").alias("key_columns"))
-    known = tables.select("model_id", "table", "role").join(named, ["model_id", "table"], "left").select(
+    known = tables.select("model_id", "table", F.array_position(roles, F.col("role")).cast("int").alias("role")).join(
+        named, ["model_id", "table"], "left").select(
         F.col("model_id").alias("of_model"), F.col("table").alias("of_table"), "role", "key_columns")
     sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}_table").alias("table"), F.col(f"{side}_column").alias("column"))
                       for side in ("from", "to")])
@@ -164,9 +170,10 @@ def _with_sides(rels: DataFrame, tables: DataFrame, keys: DataFrame) -> DataFram
     foreign_words = F.array_except(N.key_base(F.col("end.column")), N.tokens(F.col("end.table")))
     primary = F.coalesce(F.array_contains("key_columns", F.col("end.column")), F.lit(False)) & (F.size(foreign_words) == 0)
     of = lambda side, value: F.max(F.when(F.col("end.side") == side, value))
-    return joined.withColumn("primary", primary).groupBy(*rels.columns).agg(
+    sided = joined.withColumn("primary", primary).groupBy(*rels.columns).agg(
         of("from", F.col("role")).alias("from_role"), of("from", F.col("primary")).alias("from_primary"),
         of("to", F.col("role")).alias("to_role"), of("to", F.col("primary")).alias("to_primary"))
+    return sided.withColumns({c: F.get(roles, F.col(c) - 1) for c in ("from_role", "to_role")})
 
 
 def orient(rels: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
@@ -238,13 +245,10 @@ def activate(rels: DataFrame) -> DataFrame:
     The first relationship of a pair of tables stands for the pair. Pairs off the forest close a loop;
     further relationships of a pair on it play another role.
     """
-    ends = {"a": F.least("from_table", "to_table"), "b": F.greatest("from_table", "to_table")}
-    rels = materialize(rels, "declared-relationships")  # read twice below
-    between = rels.filter("from_table <> to_table").withColumns(ends)
-    pairs = between.groupBy("model_id", "a", "b").agg(F.min("seq").alias("seq"))
-    decided = forest(pairs).withColumnRenamed("seq", "first_seq")
-    joined = rels.withColumns(ends).join(decided, ["model_id", "a", "b"], "left")
-    return joined.select(
+    rels = materialize(rels, "declared-relationships")  # counted, then dealt
+    known = F.col("from_table").isNotNull() & F.col("to_table").isNotNull()
+    ends = {"a": F.when(known, F.least("from_table", "to_table")), "b": F.when(known, F.greatest("from_table", "to_table"))}
+    return marked(rels.withColumns(ends)).select(
         *rels.columns,
         F.when(F.col("from_table") == F.col("to_table"), "self-join").when(~F.col("in_forest"), "ambiguous-loop")
         .when(F.col("seq") > F.col("first_seq"), "role-playing").otherwise("active").alias("status"))

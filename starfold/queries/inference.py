@@ -67,7 +67,7 @@ def _model_relationships(spark, sf_dir) -> DataFrame:
 
 
 def _metadata(spark, sf_dir):
-    return _model_tables(spark, sf_dir), _model_columns(spark, sf_dir), _model_relationships(spark, sf_dir)
+    return _model_tables(spark, sf_dir), R.with_words(_model_columns(spark, sf_dir)), _model_relationships(spark, sf_dir)
 
 
 # --------------------------------------------------------------- the same in SQL

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starfold.operators import joins as J, profile as P, rules as R, windows as W
-from starfold.operators.forest import forest
+from starfold.operators.forest import forest, marked
 from starfold.plans.model import Relationship
 from starfold.sources import artifacts as A, tables as S
 
@@ -20,6 +20,33 @@ def test_forest_in_pieces(spark):
         r[4] for r in whole if r[0] == "z")
 
 
+def test_statuses_in_pieces(spark):
+    """Further relationships of a pair, null ends, self-joins and shared numbers: the same whatever a task holds at once."""
+    rng = random.Random(4)
+    rows = [(m, rng.randrange(40), *rng.choices(["a", "b", "c", "d", "e", "f", None], k=2)) for m in (1, 2, None) for _ in range(60)]
+    rels = spark.createDataFrame(rows, "model_id long, seq long, a string, b string")
+    edges = rels.withColumn("x", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.least("a", "b"))).withColumn(
+        "y", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.greatest("a", "b"))).select(
+        "model_id", F.col("x").alias("a"), F.col("y").alias("b"), "seq")
+    key = lambda r: tuple((v is None, v) for v in r)
+    whole, cut = (sorted(map(tuple, marked(edges, piece).collect()), key=key) for piece in (1000, 9))
+    assert len(whole) == len(rows) and whole == cut
+    for model in (1, 2, None):
+        mine = [r for r in whole if r[0] == model]
+        first, leader = {}, {}
+
+        def find(x):
+            while leader.get(x, x) != x:
+                x = leader[x]
+            return x
+
+        for _, a, b, seq, *_ in sorted((r for r in mine if r[1] is not None and r[1] != r[2]), key=lambda r: (r[3], r[1], r[2])):
+            if (a, b) not in first:
+                first[a, b] = seq, find(a) != find(b)
+                leader[find(a)] = find(b)
+        assert all((r[4], r[5]) == first.get((r[1], r[2]), (None, None)) for r in mine)
+
+
 def test_percentiles_with_brackets(spark, monkeypatch):
     rng = random.Random(4)
     rows = [("hot", float(rng.choice([1, 1, 2, 5, 9]) if i % 3 else rng.randint(0, 5000))) for i in range(3000)] + [("small", float(i)) for i in range(7)] + [("none", None), (None, 4.0)]
