@@ -180,7 +180,8 @@ def _classified(docs: DataFrame, similarity: float, id_column: str, text_column:
     more = scratch.write(_verify(_across(mixed, pairs), texts, similarity)
                          .unionByName(_in_blocks(mixed, texts, similarity)), "links")
     if not more.isEmpty():
-        roots = components(links.unionByName(more), scratch)
+        # The groups so far stand for the links that made them.
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
     scratch.drop(members, pairs, texts, links, mixed, more)
     classes = nodes.select("node", "least", "place").join(roots, "node", "left").select(
         "node", "least", "place", F.coalesce("root", "node").alias("root"))

@@ -185,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROW
     id, and of the text where documents share ids.
 
     Labels that contradict themselves count as what most rows say, and not at all where they are even. The features of
-    the sample reach the driver: a fixed number for each of a fixed number of rows.
+    the sample meet in one task, which learns: a fixed number for each of a fixed number of rows. Only the weights reach
+    the driver.
     """
     bounded_batches(docs.sparkSession)
     known = labels.select(F.col(id_column).alias("labelled"), F.col(label_column).cast("double").alias("y")).dropna()
@@ -213,15 +214,38 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = LABELLED_ROW
     drawn = scratch.write(told.unionByName(pool), "sample")
     bounded = at_most(drawn.filter("label >= 0"), labelled_rows).unionByName(at_most(drawn.filter("label < 0"), 2 * pool_rows))
     sample = bounded.coalesce(8).mapInArrow(run, "id string, label int, text_width int, features binary")
-    found = sample.toArrow().sort_by([("id", "ascending"), ("features", "ascending")])
+    learned = sample.repartition(1).mapInArrow(_learn, _VIEW).toArrow().to_pylist()
     scratch.drop(drawn)
-    if not found.num_rows:
+    if not learned:
         return None
+    text, page = sorted(learned, key=lambda view: view["place"])
+    return _view(text), _view(page)
+
+
+_VIEW = "place int, mean array<double>, scale array<double>, weights array<double>, bias double, slope double, shift double"
+
+
+def _view(row: dict) -> View:
+    return View(*(np.array(row[name]) for name in ("mean", "scale", "weights")), row["bias"], row["slope"], row["shift"])
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both views as rows, from the whole sample; no row where labels are of one kind only."""
+    sample = list(batches)
+    if not sum(batch.num_rows for batch in sample):
+        return
+    found = pa.Table.from_batches(sample).sort_by([("id", "ascending"), ("features", "ascending")])
+    del sample
     width = found["text_width"][0].as_py()
     order = np.random.default_rng(0).permutation(found.num_rows)
     column = found["features"].combine_chunks()
     both = np.frombuffer(column.buffers()[2], np.float32).reshape(found.num_rows, -1)[order]
-    return co_train(both[:, :width], both[:, width:], found["label"].to_numpy()[order])
+    views = co_train(both[:, :width], both[:, width:], found["label"].to_numpy()[order])
+    for place, view in enumerate(views or ()):
+        yield pa.RecordBatch.from_pydict({
+            "place": pa.array([place], pa.int32()),
+            **{name: pa.array([getattr(view, name).tolist()], pa.list_(pa.float64())) for name in ("mean", "scale", "weights")},
+            **{name: pa.array([float(getattr(view, name))], pa.float64()) for name in ("bias", "slope", "shift")}})
 
 
 def score(docs: DataFrame, views: tuple[View, View] | None, *, threshold: float = THRESHOLD, id_column: str = "doc_id",

@@ -125,6 +125,23 @@ def test_components(spark):
     assert all(got.get(x, x) == find(x) for x in list(leader))
 
 
+@pytest.mark.parametrize("piece", [0, 10_000])
+def test_components_of_one_piece_take_no_rounds(spark, piece):
+    rng = random.Random(5)
+    name = lambda x: f"{x * 7919 % 1000:03d}".encode()
+    pairs = [(x, x + 1) for x in range(60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)]
+    leader = {x: x for pair in pairs for x in pair}
+    for _ in leader:
+        for a, b in pairs:
+            leader[a] = leader[b] = min(leader[a], leader[b], key=name)
+    scratch = Scratch(spark, "components")
+    edges = spark.createDataFrame([(bytearray(name(a)), bytearray(name(b))) for a, b in pairs], "a binary, b binary")
+    got = {bytes(r.node): bytes(r.root) for r in graph.components(edges, scratch, **({} if piece else {"piece": 0})).collect()}
+    assert got == {name(x): name(root) for x, root in leader.items() if x != root}
+    assert scratch.n == 2 if piece else scratch.n > 2
+    assert not graph.components(edges.limit(0), Scratch(spark, "components")).collect()
+
+
 def test_passages_that_were_planted(spark, prose):
     passage, twisted = prose(1, 70), prose(2, 80)
     words = twisted.split(" ")

@@ -198,6 +198,17 @@ def test_quality_by_both_views(spark, labelled, odd_documents):
     assert quality.score(docs, None).filter("good = 0").count() == 0
 
 
+def test_only_weights_of_the_classifier_reach_the_driver(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    to_driver = []
+    kind = type(docs)
+    whole = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: to_driver.append(whole(self)) or to_driver[-1])
+    views = quality.fit(docs, labels)
+    assert len(views[0].weights) > quality.TRIGRAMS > len(views[1].weights) and to_driver
+    assert sum(table.nbytes for table in to_driver) < 100_000
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
