@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from starfold.llm.arrow import at_most, bounded_batches, chunks, lengths, received, ship
@@ -64,7 +65,7 @@ def _descend(features: np.ndarray, labels: np.ndarray, decay: float, steps: int)
 def learn(features: np.ndarray, labels: np.ndarray) -> View:
     mean, deviation = features.mean(axis=0), features.std(axis=0)
     scale = np.where(deviation > 1e-6, 1 / np.maximum(deviation, 1e-6), 0.0)
-    weights, bias = _descend(((features - mean) * scale).astype(np.float32), labels, _DECAY, _STEPS)
+    weights, bias = _descend(((features - mean) * scale).astype(np.float32, copy=False), labels, _DECAY, _STEPS)
     return View(mean, scale, weights, bias)
 
 
@@ -234,13 +235,16 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sample = list(batches)
     if not sum(batch.num_rows for batch in sample):
         return
-    found = pa.Table.from_batches(sample).sort_by([("id", "ascending"), ("features", "ascending")])
-    del sample
-    width = found["text_width"][0].as_py()
-    order = np.random.default_rng(0).permutation(found.num_rows)
+    found = pa.Table.from_batches(sample)
+    order = pc.sort_indices(found, [("id", "ascending"), ("features", "ascending")]).to_numpy()
+    order = order[np.random.default_rng(0).permutation(found.num_rows)]
+    width, labels = found["text_width"][0].as_py(), found["label"].to_numpy()[order]
     column = found["features"].combine_chunks()
-    both = np.frombuffer(column.buffers()[2], np.float32).reshape(found.num_rows, -1)[order]
-    views = co_train(both[:, :width], both[:, width:], found["label"].to_numpy()[order])
+    del sample, found
+    size = len(column[0].as_py()) // 4
+    both = np.frombuffer(column.buffers()[2], np.float32, len(column) * size).reshape(-1, size)[order]
+    del column
+    views = co_train(both[:, :width], both[:, width:], labels)
     for place, view in enumerate(views or ()):
         yield pa.RecordBatch.from_pydict({
             "place": pa.array([place], pa.int32()),
