@@ -11,14 +11,14 @@ Findings are rows (model_id, code, severity, source_ref).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from starfold.functions import names as N
 from starfold.operators.forest import marked
-from starfold.session import materialize
+from starfold.session import discard, materialize
 
 # Usages of columns.
 KEY_USAGES = ["identifier", "_identifier", "key"]
@@ -70,11 +70,16 @@ def _pair_text(arrow: str) -> Column:
 
 
 def with_words(columns: DataFrame) -> DataFrame:
-    """Add ``words``, the tokens of each column name. Names repeat from model to model, so each is cut once."""
-    if "words" in columns.columns:
+    """Add ``words``, the tokens of each column name, and ``own_name``, whether all of them but a key suffix are words of its
+    table's name. Names repeat from model to model, so each is cut once."""
+    if {"words", "own_name"} <= set(columns.columns):
         return columns
-    names = materialize(columns.select(F.col("column").alias("of_name")).distinct().withColumn("words", N.tokens(F.col("of_name"))), "names")
-    return columns.join(names, columns["column"].eqNullSafe(names["of_name"]), "left").drop("of_name")
+    foreign = F.array_except(N.key_base(F.col("of_name")), N.tokens(F.col("of_table")))
+    names = columns.select(F.col("table").alias("of_table"), F.col("column").alias("of_name")).distinct()
+    names = materialize(names.withColumns({"words": N.tokens(F.col("of_name")), "own_name": F.size(foreign) == 0}), "names")
+    columns = columns.drop("words")
+    same = columns["table"].eqNullSafe(names["of_table"]) & columns["column"].eqNullSafe(names["of_name"])
+    return columns.join(names, same, "left").drop("of_table", "of_name")
 
 
 def seed_keys(columns: DataFrame, suffix_match: bool = False) -> DataFrame:
@@ -152,39 +157,43 @@ def classify(tables: DataFrame, columns: DataFrame, rels: DataFrame) -> DataFram
 # ---------------------------------------------------------------------- orientation
 
 
-def _with_sides(rels: DataFrame, tables: DataFrame, keys: DataFrame) -> DataFrame:
+def known_tables(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """Role of every table, as a number, and the columns that are probably its primary key: those keys whose names hold no
+    word that its own name lacks. Written, as both ends of relationships are looked up in it."""
+    position = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role")).cast("int")
+    keys = seed_keys(with_words(columns)).filter("is_key and own_name")
+    primary = keys.groupBy("model_id", "table").agg(F.collect_set("column").alias("primary_columns"))
+    known = tables.groupBy("model_id", "table").agg(F.max(position).alias("role"))
+    return materialize(known.join(primary, ["model_id", "table"], "left"), "known-tables")
+
+
+def _with_sides(rels: DataFrame, known: DataFrame) -> DataFrame:
     """Add the role of either side's table, and whether its column is probably the primary key.
 
-    Both ends meet the tables in one join, and the two rows of a relationship are put together again. Roles are numbers
-    there, so that the aggregation is hashed and needs no sort.
+    One end after the other, with the first one written: the relationships are shuffled once for each, and what the
+    first shuffle holds is gone before the second begins.
     """
     roles = F.array(*[F.lit(r) for r in ROLES])
-    named = keys.groupBy("model_id", "table").agg(F.collect_set("column").alias("key_columns"))
-    known = tables.select("model_id", "table", F.array_position(roles, F.col("role")).cast("int").alias("role")).join(
-        named, ["model_id", "table"], "left").select(
-        F.col("model_id").alias("of_model"), F.col("table").alias("of_table"), "role", "key_columns")
-    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}_table").alias("table"), F.col(f"{side}_column").alias("column"))
-                      for side in ("from", "to")])
-    ends = rels.select(*rels.columns, F.explode(sides).alias("end"))
-    joined = ends.join(known, (F.col("model_id") == F.col("of_model")) & (F.col("end.table") == F.col("of_table")), "left")
-    foreign_words = F.array_except(N.key_base(F.col("end.column")), N.tokens(F.col("end.table")))
-    primary = F.coalesce(F.array_contains("key_columns", F.col("end.column")), F.lit(False)) & (F.size(foreign_words) == 0)
-    of = lambda side, value: F.max(F.when(F.col("end.side") == side, value))
-    sided = joined.withColumn("primary", primary).groupBy(*rels.columns).agg(
-        of("from", F.col("role")).alias("from_role"), of("from", F.col("primary")).alias("from_primary"),
-        of("to", F.col("role")).alias("to_role"), of("to", F.col("primary")).alias("to_primary"))
-    return sided.withColumns({c: F.get(roles, F.col(c) - 1) for c in ("from_role", "to_role")})
-
-
-def orient(rels: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
+    for side in ("from", "to"):
+        ends = known.select(F.col("model_id").alias("of_model"), F.col("table").alias("of_table"),
+                            F.col("role").alias(f"{side}_role"), "primary_columns")
+        found = rels.join(ends, (F.col("model_id") == F.col("of_model")) & (F.col(f"{side}_table") == F.col("of_table")), "left")
+        primary = F.coalesce(F.array_contains("primary_columns", F.col(f"{side}_column")), F.lit(False))
+        rels = found.select(*rels.columns, F.get(roles, F.col(f"{side}_role") - 1).alias(f"{side}_role"), primary.alias(f"{side}_primary"))
+        rels = materialize(rels, "from-side") if side == "from" else rels
+    return rels
+
+
+def orient(rels: DataFrame, tables: DataFrame, columns: DataFrame, repeats: bool = True) -> DataFrame:
     """Relationships from the many side to the one side, with cardinality and filter direction.
 
     A fact is the many side of a non-fact. Otherwise the side with the probable primary key is the one
     side. Self-joins and relationships of missing tables stay as declared. A relationship with ``declared`` 1:1 keeps that
-    if ``found``, the cardinality of the data, is 1:1 too.
+    if ``found``, the cardinality of the data, is 1:1 too. Rows that come twice are given once; without ``repeats`` there are none.
+    ``tables`` may be those of ``known_tables``, which are then looked up as they are.
     """
-    keys = seed_keys(with_words(columns)).filter("is_key").select("model_id", "table", "column")
-    sided = _with_sides(rels, tables, keys)
+    tables = tables if "primary_columns" in tables.columns else known_tables(tables, columns)
+    sided = _with_sides(rels.distinct() if repeats else rels, tables)
     known = F.col("from_role").isNotNull() & F.col("to_role").isNotNull()
     judged = known & (F.col("from_table") != F.col("to_table"))
     from_fact, to_fact = F.col("from_role") == "fact", F.col("to_role") == "fact"
@@ -231,12 +240,25 @@ def mark_endpoints(columns: DataFrame, oriented: DataFrame) -> DataFrame:
 
 
 def deduplicate(rels: DataFrame) -> DataFrame:
-    """One row per undirected column pair: the first declared."""
+    """One row per undirected column pair: the first declared.
+
+    A row is its two ends and which of them comes first, so names are shuffled once; without further columns, all that is
+    aggregated is of fixed width, so that the aggregation is hashed and needs no sort.
+    """
     left, right = (F.struct(F.col(f"{side}_table").alias("table"), F.col(f"{side}_column").alias("column"))
                    for side in ("from", "to"))
-    first = F.min_by(F.struct(*[c for c in rels.columns if c != "model_id"]), "seq")
-    pairs = rels.withColumns({"end_1": F.least(left, right), "end_2": F.greatest(left, right)})
-    return pairs.groupBy("model_id", "end_1", "end_2").agg(first.alias("first")).select("model_id", "first.*")
+    base = ("model_id", "seq", "from_table", "from_column", "to_table", "to_column")
+    more = [c for c in rels.columns if c not in base]
+    swapped = (left > right).alias("swapped")
+    pairs = rels.select("model_id", "seq", *more, F.least(left, right).alias("end_1"), F.greatest(left, right).alias("end_2"), swapped)
+    firsts = pairs.groupBy("model_id", "end_1", "end_2").agg(
+        F.min("seq").alias("seq"), F.min_by(F.struct("swapped", *more) if more else F.col("swapped"), "seq").alias("first"))
+    turned = F.col("first.swapped") if more else F.col("first")
+    end = lambda if_turned, otherwise, name: F.when(turned, F.col(f"{if_turned}.{name}")).when(~turned, F.col(f"{otherwise}.{name}"))
+    values = {"seq": F.col("seq"), **{c: F.col(f"first.{c}") for c in more},
+              **{f"from_{n}": end("end_2", "end_1", n) for n in ("table", "column")},
+              **{f"to_{n}": end("end_1", "end_2", n) for n in ("table", "column")}}
+    return firsts.select("model_id", *[values[c].alias(c) for c in rels.columns if c != "model_id"])
 
 
 def activate(rels: DataFrame) -> DataFrame:
@@ -248,7 +270,9 @@ def activate(rels: DataFrame) -> DataFrame:
     rels = materialize(rels, "declared-relationships")  # counted, then dealt
     known = F.col("from_table").isNotNull() & F.col("to_table").isNotNull()
     ends = {"a": F.when(known, F.least("from_table", "to_table")), "b": F.when(known, F.greatest("from_table", "to_table"))}
-    return marked(rels.withColumns(ends)).select(
+    found = marked(rels.withColumns(ends))
+    discard(rels)  # what is marked is written
+    return found.select(
         *rels.columns,
         F.when(F.col("from_table") == F.col("to_table"), "self-join").when(~F.col("in_forest"), "ambiguous-loop")
         .when(F.col("seq") > F.col("first_seq"), "role-playing").otherwise("active").alias("status"))
@@ -352,17 +376,44 @@ def review_breakdown(findings: DataFrame, limit: int = 8) -> DataFrame:
     return counted.orderBy(rank, F.desc("n_findings"), "code").limit(limit)
 
 
+class _Results(Mapping):
+    """Results by name, each made when it is first asked for."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]) -> None:
+        self.makers, self.made = dict(makers), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
 def analyze(tables: DataFrame, columns: DataFrame, rels: DataFrame) -> Mapping[str, DataFrame]:
-    """All rules in order: tables, columns, relationships, findings and summary of every model."""
+    """All rules in order: tables, columns, relationships, findings and summary of every model.
+
+    The findings that need joins are written one after the other, so that their shuffles don't add up and no plan holds all
+    of them; they are made when they are asked for.
+    """
     columns = with_words(columns)
     roles = materialize(classify(tables, columns, rels), "model-tables")
+    known = known_tables(roles, columns)
     deduplicated = materialize(deduplicate(rels), "model-deduplicated")
-    activated = materialize(orient(activate(deduplicated), roles, columns), "model-relationships")
-    removed = orient(removed_duplicates(rels, deduplicated), roles, columns)
-    findings = reduce(DataFrame.unionByName, [
-        flag_duplicates(removed), flag_unbound(rels, roles), flag_self_joins(activated),
-        flag_role_playing(activated), flag_loops(activated), flag_orphans(roles, activated),
-        flag_facts_without_dimension(roles, activated), flag_model_shape(roles, activated),
-        flag_snowflakes(activated), flag_many_to_many(activated)])
-    return {"tables": roles, "columns": mark_endpoints(columns, activated), "relationships": activated,
-            "findings": findings, "summary": model_summary(roles, activated)}
+    activated = materialize(orient(activate(deduplicated), known, columns, repeats=False), "model-relationships")
+
+    def findings() -> DataFrame:
+        removed = materialize(removed_duplicates(rels, deduplicated), "removed-duplicates")
+        joined = {"duplicates": lambda: flag_duplicates(orient(removed, known, columns)), "unbound": lambda: flag_unbound(rels, roles),
+                  "orphans": lambda: flag_orphans(roles, activated),
+                  "facts": lambda: flag_facts_without_dimension(roles, activated), "shapes": lambda: flag_model_shape(roles, activated)}
+        written = [materialize(rows(), f"findings-{name}") for name, rows in joined.items()]
+        return reduce(DataFrame.unionByName, [*written, *[flag(activated) for flag in (
+            flag_self_joins, flag_role_playing, flag_loops, flag_snowflakes, flag_many_to_many)]])
+
+    return _Results({"tables": lambda: roles, "columns": lambda: mark_endpoints(columns, activated), "relationships": lambda: activated,
+                     "findings": findings, "summary": lambda: model_summary(roles, activated)})

@@ -11,6 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -52,11 +53,27 @@ def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage, pins values that two branches of one plan must agree on, and survives lost
-    executors. Unlike a checkpoint, the written table can be pruned by column and has a known size.
+    executors. Unlike a checkpoint, the written table can be pruned by column and has a known size. What the write has
+    shuffled is released at its end, not when the driver happens to collect its garbage.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_RELEASE_SHUFFLES, None)
+    spark.conf.set(_RELEASE_SHUFFLES, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(_RELEASE_SHUFFLES, before) if before is not None else spark.conf.unset(_RELEASE_SHUFFLES)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has written and that nothing reads any more."""
+    for df in tables:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize_all(frames: Mapping[str, DataFrame], label: str) -> dict[str, DataFrame]:
