@@ -1,7 +1,8 @@
 """The semantic model: tables, measures and relationships, and the DataFrames of its queries.
 
 Everything here is small metadata on the driver. A query only builds a lazy DataFrame: it joins the
-tables that the query names, along the active many-to-one edges that lead to them from the fact.
+tables that the query names, along the active many-to-one edges that lead to them from the fact. Distinct counts at
+several grains at once are the exception: what is folded for them is written first.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from starfold.functions.parser import guarded
+from starfold.session import materialize, shuffle_partitions
 
 _IDENTIFIER = re.compile(r"`[^`]+`|\b[A-Za-z_]\w*\b")
 _ARITHMETIC = re.compile(r"[\s\d.+\-*/()]*")
@@ -24,6 +26,7 @@ _ARITHMETIC = re.compile(r"[\s\d.+\-*/()]*")
 _FIRST = {"sum": "sum({})", "count": "count({})", "min": "min({})", "max": "max({})",
           "distinct": "count(distinct {})", "stddev": "stddev_samp({})", "variance": "var_samp({})", "calculated": "{}"}
 MERGE = {"sum": "sum({})", "count": "coalesce(sum({}), 0)", "min": "min({})", "max": "max({})"}
+_DEALT = 4  # tasks for each shuffle partition where a row is counted at several grains
 
 
 @dataclass(frozen=True)
@@ -318,7 +321,11 @@ class Model:
             df = self._fold_along(fact, group, children, filters, fold)
         else:
             df = self._join_along(fact, group, children, filters)
-        return fold(df, [f.name for f in group], last=True)
+        names = [f.name for f in group]
+        if sets is not None and values and foldable and names:
+            widened = folded
+            return _at_grains(df if folded else fold(df, names), names, sets, columns, values, widened)
+        return fold(df, names, last=True)
 
     def finish(self, partials: DataFrame, group, measures, sets=None) -> DataFrame:
         """Measures from their partial results, under their own names."""
@@ -427,6 +434,40 @@ class Model:
         return keys.select(*columns)
 
 
+def _at_grains(df: DataFrame, by: Sequence[str], sets: Sequence[Sequence[int]], columns: Mapping[tuple[str, str], str],
+               values: Mapping[str, str], widened: bool) -> DataFrame:
+    """Rows that are folded to groups and values, at several grains at once, with distinct counts.
+
+    All but the distinct counts is merged from the finest groups; sums get the type of one aggregation, or if ``widened``
+    of two. Rows are dealt by value, so that a task has all groups of its values and finds by itself which are new: groups
+    are numbers there, and no value is shuffled once for each grain.
+    """
+    df = materialize(df, "folded")
+    parts = [(name, F.expr(MERGE[function].format(name))) for (function, _), name in columns.items() if function != "distinct"]
+    merged = [(part if widened else part.cast(df.schema[name].dataType)).alias(name) for name, part in parts]
+    finest = df.groupBy(*by).agg(*merged) if merged else df.select(*by).distinct()
+    cells = materialize(finest.withColumn("cell", F.monotonically_increasing_id()), "cells")
+    bits = [1 << (len(by) - 1 - i) for i in range(len(by))]
+    levels = F.array(*[F.lit(sum(bit for i, bit in enumerate(bits) if i not in s)) for s in sets])
+    masked = [F.when(F.col("grouping_level").bitwiseAND(bit) == 0, F.col(name)).alias(name) for name, bit in zip(by, bits)]
+    held = [c for c in cells.columns if c not in by]
+    spread = cells.select("*", F.explode(levels).alias("grouping_level")).select(*held, "grouping_level", *masked)
+    again = [part.cast(cells.schema[name].dataType).alias(name) for name, part in parts]
+    groups = spread.groupBy("grouping_level", *by).agg(*again) if again else spread.select("grouping_level", *by).distinct()
+    groups = materialize(groups.withColumn("group_no", F.monotonically_increasing_id()), "groups")
+    same = lambda a, b, names: reduce(Column.__and__, [a[n].eqNullSafe(b[n]) for n in names])
+    members = materialize(spread.join(groups, same(spread, groups, ["grouping_level", *by])).select("cell", "group_no"), "members")
+    result = groups
+    n = _DEALT * shuffle_partitions(df.sparkSession)
+    for (function, x), name in columns.items():
+        if function == "distinct":
+            rows = df.filter(F.col(values[x]).isNotNull()).join(cells.select("cell", *by), same(df, cells, by)).select("cell", F.col(values[x]).alias("value"))
+            pairs = rows.repartition(n, "value").join(members, "cell").select("group_no", "value").distinct()
+            counted = pairs.groupBy("group_no").agg(F.count(F.lit(1)).alias(name))
+            result = result.join(counted, "group_no", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return result.select(*by, *columns.values(), "grouping_level")
+
+
 def semi_filter(df: DataFrame, other: DataFrame, keys: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows of ``df`` that have a match; never multiplies rows. ``keys`` are (df, other) pairs."""
     renamed = other.select(*[F.col(o).alias(f"match_{i}") for i, (_, o) in enumerate(keys)])
