@@ -19,6 +19,8 @@ from starfold.session import materialize, shuffle_partitions
 Keys = Sequence[tuple[str, str]]
 
 _QUANTILE_ERROR = 0.001
+_FEW_ROWS = 200_000  # rows of a side of an inequality join that every task gets
+_PAIRS = 1 << 25  # pairs that such a task looks at, so that what it groups stays small
 
 
 def _matches(left: DataFrame, right: DataFrame, keys: Keys) -> Column:
@@ -101,22 +103,41 @@ def inequality_join(left: DataFrame, right: DataFrame, conditions: Sequence[tupl
     Left values are cut into bins, a grid of about as many cells as there are shuffle partitions. A right row meets the
     cells that its comparisons can reach; a cell that lies in reach as a whole matches without a look, so comparisons are
     only lost in the cells on the border. The join itself is an equality of cells, which Spark sorts and can split.
+
+    The work is in the pairs, which the bytes of the two sides don't tell: tasks are not put together by size. If a side has
+    few rows, counted first, every task gets all of them, and the other side is dealt evenly: all pairs of a row come from
+    one task, one after the other.
     """
     if not 1 <= len(conditions) <= 2 or any(c not in _TURNED for _, c, _ in conditions):
         raise ValueError("one or two of <, <=, >, >= are needed")
-    n = shuffle_partitions(left.sparkSession)
-    n = max(int(n ** 0.5), 1) if len(conditions) == 2 else n
+    columns = [*left.columns, *right.columns]
+    for a, _, b in conditions:
+        left, right = left.filter(F.col(a).isNotNull()), right.filter(F.col(b).isNotNull())
+    n_left, n_right = left.count(), right.count()
+    if n_right < n_left and n_right <= _FEW_ROWS:
+        left, right, n_left = right, left, n_right
+        conditions = [(b, _TURNED[c], a) for a, c, b in conditions]
+    spark = left.sparkSession
+    tasks, few = shuffle_partitions(spark), n_left <= _FEW_ROWS
+    if few:
+        dealt = max(tasks, 8 * spark.sparkContext.defaultParallelism, min(n_left * n_right // _PAIRS, 10_000))
+        right = right.repartition(dealt)
+    n = max(int(tasks ** 0.5), 8 * few, 1) if len(conditions) == 2 else tasks
     match, checks = F.lit(True), F.lit(True)
     for i, (a, comparison, b) in enumerate(conditions):
-        bounds = _bounds(left.filter(F.col(a).isNotNull()), a, n)
-        left = left.filter(F.col(a).isNotNull()).withColumn(f"left_bin_{i}", _bin(F.col(a), bounds))
+        bounds = _bounds(left, a, n)
+        left = left.withColumn(f"left_bin_{i}", _bin(F.col(a), bounds))
         own = _bin(F.col(b), bounds)
         reach = F.sequence(F.lit(0), own) if comparison in ("<", "<=") else F.sequence(own, F.lit(len(bounds)))
-        right = right.filter(F.col(b).isNotNull()).withColumn(f"own_bin_{i}", own).withColumn(f"right_bin_{i}", F.explode(reach))
+        right = right.withColumn(f"own_bin_{i}", own).withColumn(f"right_bin_{i}", F.explode(reach))
         match = match & (F.col(f"left_bin_{i}") == F.col(f"right_bin_{i}"))
         checks = checks & ((F.col(f"own_bin_{i}") != F.col(f"right_bin_{i}")) | F.expr(f"`{a}` {comparison} `{b}`"))
-    extra = [f"{name}_{i}" for i in range(len(conditions)) for name in ("left_bin", "right_bin", "own_bin")]
-    return left.join(right, match & checks).drop(*extra)
+    if few:
+        left = F.broadcast(left)
+    else:
+        bins = lambda side: [f"{side}_bin_{i}" for i in range(len(conditions))]
+        left, right = left.repartition(tasks, *bins("left")), right.repartition(tasks, *bins("right"))
+    return right.join(left, match & checks).select(*[f"`{c}`" for c in columns])
 
 
 def interval_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str]) -> DataFrame:
