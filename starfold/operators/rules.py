@@ -180,7 +180,10 @@ def _with_sides(rels: DataFrame, known: DataFrame) -> DataFrame:
         found = rels.join(ends, (F.col("model_id") == F.col("of_model")) & (F.col(f"{side}_table") == F.col("of_table")), "left")
         primary = F.coalesce(F.array_contains("primary_columns", F.col(f"{side}_column")), F.lit(False))
         rels = found.select(*rels.columns, F.get(roles, F.col(f"{side}_role") - 1).alias(f"{side}_role"), primary.alias(f"{side}_primary"))
-        rels = materialize(rels, "from-side") if side == "from" else rels
+        if side == "from":
+            rels = materialize(rels, "from-side")
+            # ``deduplicate`` gives a row of nulls for each pair without a number: one for each model is kept.
+            rels = rels.filter("seq is not null").unionByName(rels.filter("seq is null").distinct())
     return rels
 
 
@@ -189,8 +192,8 @@ def orient(rels: DataFrame, tables: DataFrame, columns: DataFrame, repeats: bool
 
     A fact is the many side of a non-fact. Otherwise the side with the probable primary key is the one
     side. Self-joins and relationships of missing tables stay as declared. A relationship with ``declared`` 1:1 keeps that
-    if ``found``, the cardinality of the data, is 1:1 too. Rows that come twice are given once; without ``repeats`` there are none.
-    ``tables`` may be those of ``known_tables``, which are then looked up as they are.
+    if ``found``, the cardinality of the data, is 1:1 too. Rows that come twice are given once; without ``repeats``
+    only rows without a number do. ``tables`` may be those of ``known_tables``, which are then looked up as they are.
     """
     tables = tables if "primary_columns" in tables.columns else known_tables(tables, columns)
     sided = _with_sides(rels.distinct() if repeats else rels, tables)

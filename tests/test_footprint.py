@@ -75,6 +75,8 @@ def test_orient_looks_up_each_end_once(spark):
         facts = bool(ra == rb == "fact" and a != b)
         ends = (b, y, a, x, rb, ra) if flip else (a, x, b, y, ra, rb)
         expected.add((m, seq, *ends, "n:n" if facts else "n:1", "both" if facts else "single"))
+    unnumbered = R.orient(R.deduplicate(rels), roles, columns, repeats=False).filter("seq is null").collect()
+    assert len(unnumbered) == len({r.model_id for r in unnumbered}) > 1
     found = list(map(tuple, oriented.collect()))
     assert len(found) == len(expected) and set(found) == expected
 
